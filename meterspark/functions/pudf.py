@@ -1,0 +1,13 @@
+"""Arrow-batched pandas UDFs (kept in a module without postponed annotations,
+since Spark reads the type hints at definition time)."""
+
+import pandas as pd
+from pyspark.sql.functions import pandas_udf
+
+
+@pandas_udf("double")
+def pearson_p_value_udf(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p-value of Pearson r from n pairs, vectorised per Arrow batch."""
+    from ..operators.profile import pearson_p_value
+    return pd.Series([pearson_p_value(float(a), int(b)) if pd.notna(a) and pd.notna(b) else float("nan")
+                      for a, b in zip(r, n)], dtype="float64")

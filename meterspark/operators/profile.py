@@ -269,3 +269,64 @@ def corr_topk(df: DataFrame, target: str, features: Sequence[str], k: int = 5) -
     top = m.orderBy(F.col("corr").desc_nulls_last(), "feature").limit(k).withColumn("direction", F.lit("positive"))
     bottom = m.orderBy(F.col("corr").asc_nulls_last(), "feature").limit(k).withColumn("direction", F.lit("negative"))
     return top.unionByName(bottom)
+
+
+def _betainc(a: float, b: float, x: float) -> float:
+    """Regularized incomplete beta I_x(a, b) by Lentz's continued fraction."""
+    import math
+    if x <= 0.0:
+        return 0.0
+    if x >= 1.0:
+        return 1.0
+    if x > (a + 1.0) / (a + b + 2.0):
+        return 1.0 - _betainc(b, a, 1.0 - x)
+    ln_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    tiny, eps = 1e-300, 1e-15
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 500):
+        m2 = 2 * m
+        num = m * (b - m) * x / ((a + m2 - 1.0) * (a + m2))
+        d = 1.0 + num * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + num / c
+        c = c if abs(c) > tiny else tiny
+        h *= d * c
+        num = -(a + m) * (a + b + m) * x / ((a + m2) * (a + m2 + 1.0))
+        d = 1.0 + num * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + num / c
+        c = c if abs(c) > tiny else tiny
+        delta = d * c
+        h *= delta
+        if abs(delta - 1.0) < eps:
+            break
+    return math.exp(ln_front) * h / a
+
+
+def pearson_p_value(r: float, n: int) -> float:
+    """Two-sided p-value of a Pearson r from n pairs (t test with n - 2 dof)."""
+    import math
+    if r is None or n is None or n < 3 or (isinstance(r, float) and math.isnan(r)):
+        return float("nan")
+    if abs(r) >= 1.0:
+        return 0.0
+    dof = n - 2.0
+    t2 = r * r * dof / (1.0 - r * r)
+    return _betainc(dof / 2.0, 0.5, dof / (dof + t2))
+
+
+def corr_significance(df: DataFrame, cols: Sequence[str], sig_level: float = 0.05) -> DataFrame:
+    """Pearson r, n, t and two-sided p-value for every ordered pair of columns.
+
+    ``significant`` marks p <= level and p != 0 (exact zeros such as the
+    diagonal are skipped).  r and n come from one aggregate; only the
+    k*k p-values run in a pandas UDF.
+    """
+    from ..functions.pudf import pearson_p_value_udf as p_value
+
+    m = corr_matrix(df, cols)
+    t = F.col("corr") * F.sqrt(F.try_divide(F.col("n") - F.lit(2), F.lit(1.0) - F.col("corr") * F.col("corr")))
+    out = m.withColumn("t_stat", t).withColumn("p_value", p_value(F.col("corr"), F.col("n")))
+    return out.withColumn("significant", (F.col("p_value") <= F.lit(sig_level)) & (F.col("p_value") != 0))
