@@ -1,3 +1,85 @@
-"""Queries module."""
+"""Queries: calendar features, log/min-max transforms, samples and splits (T5-T6, X-*)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import calendar as cal
+from ..functions import exprs
+from ..functions.numeric import rnd, rnd_sql
+from ..operators import features as fx
+from ..sources import roles
+from ..sources.roles import with_roles
+from .registry import query
+
+# The events span January 2024: the query passes that month's holidays.
+HOLIDAYS_2024_JAN = ["2024-01-01", "2024-01-15"]
+LKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+RKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "building_id"]
+
+
+@query("calendar_parts", sql="""
+SELECT event_id, ts, date_trunc('day', ts) AS date, CAST(month(ts) AS INTEGER) AS month,
+  strftime(ts, '%H:%M:%S') AS time, CAST(hour(ts) AS INTEGER) AS hr FROM events""")
+def calendar_parts(spark, sf_dir):
+    ev = roles.table(spark, sf_dir, "events").select("event_id", "ts")
+    parts = cal.calendar_parts("ts")
+    parts["date"] = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    return ev.select("event_id", "ts", *[c.alias(n) for n, c in parts.items()])
+
+
+@query("calendar_features", sql=f"SELECT event_id, ts, {cal.calendar_features_sql('ts', HOLIDAYS_2024_JAN)} FROM events")
+def calendar_features(spark, sf_dir):
+    ev = roles.table(spark, sf_dir, "events").select("event_id", "ts")
+    return ev.select("event_id", "ts", *[c.alias(n) for n, c in cal.calendar_features("ts", HOLIDAYS_2024_JAN).items()])
+
+
+@query("log_transform", sql=f"""
+WITH m AS (SELECT least(min(s_acctbal), min(CAST(s_nationkey AS DOUBLE))) AS g FROM supplier)
+SELECT s_suppkey AS building_id,
+  {rnd_sql("ln(s_acctbal + CASE WHEN g <= 0 THEN abs(g) + 1.0 ELSE 0.0 END)", 6)} AS log_square_feet,
+  {rnd_sql("ln(s_nationkey + CASE WHEN g <= 0 THEN abs(g) + 1.0 ELSE 0.0 END)", 6)} AS log_site_id
+FROM supplier, m""")
+def log_transform(spark, sf_dir):
+    b = roles.buildings(spark, sf_dir)
+    out = fx.log_transform(b, ["square_feet", "site_id"])
+    return out.select("building_id", rnd("log_square_feet", 6).alias("log_square_feet"),
+                      rnd("log_site_id", 6).alias("log_site_id"))
+
+
+@query("minmax_scale", sql=with_roles(f"""
+SELECT {', '.join(RKEYS)}, train_val_split,
+  {rnd_sql("(meter_reading - mn_r) / CASE WHEN mx_r = mn_r THEN 1.0 ELSE mx_r - mn_r END", 6)} AS meter_reading_scaled,
+  {rnd_sql("(l_quantity - mn_q) / CASE WHEN mx_q = mn_q THEN 1.0 ELSE mx_q - mn_q END", 6)} AS l_quantity_scaled
+FROM r, (SELECT min(meter_reading) AS mn_r, max(meter_reading) AS mx_r, min(l_quantity) AS mn_q, max(l_quantity) AS mx_q
+         FROM r WHERE train_val_split = 0) s""",
+    r=f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS building_id, l_extendedprice AS meter_reading, l_quantity, "
+      f"{exprs.split_flag_sql(RKEYS, 3)} AS train_val_split FROM (SELECT *, l_suppkey AS building_id FROM lineitem)"))
+def minmax_scale(spark, sf_dir):
+    r = roles.readings(spark, sf_dir, extra=("l_quantity",)).withColumn("train_val_split", exprs.split_flag(RKEYS, 3))
+    cols = ["meter_reading", "l_quantity"]
+    fitted = fx.minmax_fit(r.where(F.col("train_val_split") == 0), cols)
+    out = fx.minmax_apply(r, fitted, cols, suffix="_scaled")
+    return out.select(*RKEYS, "train_val_split", *[rnd(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in cols])
+
+
+_H5 = "CAST(('0x' || substr(md5(concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in LKEYS) + ", '5')), 1, 8)) AS BIGINT)"
+
+
+@query("sample_n", sql=f"SELECT * FROM lineitem ORDER BY {_H5}, {', '.join(LKEYS)} LIMIT 1000")
+def sample_n(spark, sf_dir):
+    return fx.sample_n(roles.table(spark, sf_dir, "lineitem"), 1000, LKEYS, seed=5)
+
+
+@query("fraction_sample", sql=f"SELECT * FROM lineitem WHERE {exprs.hash_bucket_sql(LKEYS, 5)} < 1")
+def fraction_sample(spark, sf_dir):
+    return fx.fraction_sample(roles.table(spark, sf_dir, "lineitem"), 0.001, LKEYS, seed=5)
+
+
+@query("split_counts", sql=with_roles(f"""
+SELECT meter, train_val_split, count(*) AS n, {rnd_sql('avg(ln(1 + meter_reading))', 6)} AS mean_target
+FROM (SELECT *, {exprs.split_flag_sql(RKEYS, 3)} AS train_val_split FROM r) GROUP BY 1, 2""", r=roles.readings_sql()))
+def split_counts(spark, sf_dir):
+    r = roles.readings(spark, sf_dir).withColumn("train_val_split", exprs.split_flag(RKEYS, 3))
+    out = fx.split_counts(r, ["meter"], "train_val_split", "meter_reading", log_y=True)
+    return out.withColumn("mean_target", rnd("mean_target", 6))

@@ -1,3 +1,131 @@
-"""Queries module."""
+"""Queries: baselines, RMSLE, prediction post-processing and Spark ML models (M-*).
+
+Model queries have no SQL twin (their check is rows-only).  Their tree
+settings are smaller than the reference defaults (kept in ``operators.ml``)
+so the driver's correctness run stays short; every model still reads the
+whole engineered table.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import exprs
+from ..functions.numeric import rnd, rnd_sql
+from ..operators import ml
+from ..sources import io, roles
+from ..sources.roles import with_roles
+from ..session import cut_lineage
+from . import forecast
+from .registry import query
+
+PR = roles.predictions_sql()
+PKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+QUICK_GBT = dict(maxDepth=5, maxIter=10)
+QUICK_RF = dict(numTrees=20, maxDepth=8)
+
+
+@query("baseline_rmsle", sql=with_roles(f"""
+SELECT {rnd_sql('any_value(b)', 6)} AS baseline, {rnd_sql('sqrt(avg(pow(ln(1 + b) - ln(1 + y), 2)))', 6)} AS rmsle, count(*) AS n
+FROM (SELECT y FROM s WHERE train_val_split = 1) v, (SELECT median(y) AS b FROM s WHERE train_val_split = 0) m""",
+    s=f"SELECT l_extendedprice AS y, {exprs.split_flag_sql(PKEYS, 3)} AS train_val_split FROM lineitem"))
+def baseline_rmsle(spark, sf_dir):
+    s = roles.table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"),
+                                                       exprs.split_flag(PKEYS, 3).alias("train_val_split"))
+    out = ml.baseline_rmsle(s, "y")
+    return out.select(rnd("baseline", 6).alias("baseline"), rnd("rmsle", 6).alias("rmsle"), "n")
+
+
+_CLIP = "CASE WHEN p < 0 THEN 0.0 ELSE p END"
+
+
+@query("rmsle", sql=with_roles(
+    f"SELECT l_returnflag, {rnd_sql(f'sqrt(avg(pow(ln(1 + ({_CLIP})) - ln(1 + y), 2)))', 6)} AS rmsle, count(*) AS n FROM pr GROUP BY 1",
+    pr=PR))
+def rmsle(spark, sf_dir):
+    clipped = ml.clip_predictions(roles.predictions(spark, sf_dir), "p", digits=12)
+    out = ml.rmsle(clipped, "y", "p", ["l_returnflag"])
+    return out.withColumn("rmsle", rnd("rmsle", 6))
+
+
+@query("clip_predictions", sql=with_roles(f"SELECT {', '.join(PKEYS)}, y, round({_CLIP}, 4) AS p FROM pr", pr=PR))
+def clip_predictions(spark, sf_dir):
+    return ml.clip_predictions(roles.predictions(spark, sf_dir), "p").select(*PKEYS, "y", "p")
+
+
+@query("clip_report", sql=with_roles(
+    "SELECT count(*) AS n, count(*) FILTER (WHERE p < 0) AS negatives, count(*) FILTER (WHERE p < 0) / count(*) AS negative_share FROM pr",
+    pr=PR))
+def clip_report(spark, sf_dir):
+    return ml.clip_report(roles.predictions(spark, sf_dir), "p")
+
+
+# --------------------------------------------------------------------------- Spark ML (rows-only checks)
+def _frame(spark, sf_dir):
+    # Fits scan the table many times: cut the lineage once into the shared checkpoint folder.
+    return cut_lineage(forecast.model_frame(spark, sf_dir))
+
+
+def _fit_predict(spark, sf_dir, kind, params):
+    df = _frame(spark, sf_dir)
+    train = df.where(F.col("train_val_split") == 0)
+    val = df.where(F.col("train_val_split") == 1)
+    model = ml.fit(train, forecast.feature_columns(), "meter_reading", kind, params)
+    return ml.predict(model, val, forecast.KEYS + ["meter", "meter_reading"])
+
+
+@query("lr_fit")
+def lr_fit(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "lr", None)
+
+
+@query("rf_fit")
+def rf_fit(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "rf", QUICK_RF)
+
+
+@query("gbt_fit")
+def gbt_fit(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "gbt", QUICK_GBT)
+
+
+@query("gbt_squared_fit")
+def gbt_squared_fit(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "gbt_squared", QUICK_GBT)
+
+
+@query("gbt_stage_loss")
+def gbt_stage_loss(spark, sf_dir):
+    df = _frame(spark, sf_dir)
+    model = ml.fit(df.where(F.col("train_val_split") == 0), forecast.feature_columns(), "meter_reading", "gbt", QUICK_GBT)
+    losses = ml.stage_losses(model, df.where(F.col("train_val_split") == 1), "absolute")
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
+
+
+@query("per_group_fit")
+def per_group_fit(spark, sf_dir):
+    return ml.per_group_fit(_frame(spark, sf_dir), "meter", forecast.feature_columns(), "meter_reading",
+                            forecast.KEYS, "gbt", QUICK_GBT)
+
+
+@query("per_group_rmsle")
+def per_group_rmsle(spark, sf_dir):
+    preds = per_group_fit(spark, sf_dir)
+    per = ml.rmsle(preds, "meter_reading", "prediction", ["meter"])
+    pooled = ml.rmsle(preds, "meter_reading", "prediction").select(F.lit(None).cast("int").alias("meter"), "rmsle", "n")
+    return per.unionByName(pooled)
+
+
+@query("learning_curve")
+def learning_curve(spark, sf_dir):
+    df = _frame(spark, sf_dir)
+    return ml.learning_curve(df, forecast.feature_columns(), "meter_reading", forecast.KEYS, kind="lr")
+
+
+@query("submission")
+def submission(spark, sf_dir):
+    df = _frame(spark, sf_dir).withColumn("row_id", F.xxhash64(*forecast.KEYS))
+    train = df.where(F.col("train_val_split") == 0)
+    test = df.where(F.col("train_val_split") == 1).drop("meter_reading")
+    model = ml.fit(train, forecast.feature_columns(), "meter_reading", "gbt", QUICK_GBT)
+    return io.submission(ml.predict(model, test, ["row_id"]))

@@ -35,10 +35,12 @@ def _sql_case(col: str, mapping: dict) -> str:
 
 
 # --------------------------------------------------------------------------- readings
-def readings(spark: SparkSession, sf_dir: str, zeros: bool = False, nulls: bool = False) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str, zeros: bool = False, nulls: bool = False,
+             extra: tuple[str, ...] = ()) -> DataFrame:
     """lineitem as hourly meter readings.
 
-    Key: (l_orderkey, l_linenumber, l_partkey, building_id).
+    Key: (l_orderkey, l_linenumber, l_partkey, building_id).  ``extra``
+    lineitem columns ride along as additional numeric predictors.
     """
     li = table(spark, sf_dir, "lineitem")
     reading = F.col("l_extendedprice")
@@ -52,6 +54,7 @@ def readings(spark: SparkSession, sf_dir: str, zeros: bool = False, nulls: bool
         _case_map(F.col("l_returnflag"), RETURNFLAG_TO_METER).cast("int").alias("meter"),
         F.col("l_shipdate").alias("ts"),
         reading.alias("meter_reading"),
+        *extra,
     )
 
 
