@@ -33,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 1_000_000
+DEFAULT_ACCURACY = 100_000
 _GLOBAL_KEY = "__group"
 
 
