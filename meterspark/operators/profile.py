@@ -237,10 +237,11 @@ def date_coverage_diff(df1: DataFrame, col1: str, df2: DataFrame, col2: str) ->
     return out.withColumn("equal", (F.col("missing_in_1") == 0) & (F.col("missing_in_2") == 0))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str], only_with: str | None = None) -> DataFrame:
     """All pairwise Pearson correlations (pairwise-complete) in one aggregate, long form.
 
-    Also returns the pairwise-complete ``n`` for significance tests.
+    Also returns the pairwise-complete ``n`` for significance tests.  With
+    ``only_with`` only the pairs involving that column are computed.
     """
     cols = list(cols)
     aggs, pairs = [], []
@@ -248,7 +249,12 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for j, b in enumerate(cols):
             if j < i:
                 continue
-            aggs.append(F.corr(a, b).alias(f"_r{i}_{j}"))
+            if only_with is not None and only_with not in (a, b):
+                continue
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            ca, cb = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+            # Pearson r over pairwise-complete rows; a constant column gives NULL, not an ANSI error.
+            aggs.append(F.try_divide(F.covar_pop(ca, cb), F.stddev_pop(ca) * F.stddev_pop(cb)).alias(f"_r{i}_{j}"))
             aggs.append(F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"_n{i}_{j}"))
             pairs.append((i, j))
     one = df.agg(*aggs)
@@ -264,10 +270,14 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def corr_topk(df: DataFrame, target: str, features: Sequence[str], k: int = 5) -> DataFrame:
     """The ``k`` most positive and ``k`` most negative correlations with ``target``."""
     cols = [target] + [c for c in features if c != target]
-    m = corr_matrix(df, cols).where((F.col("var2") == target) & (F.col("var1") != target)).select(
+    m = corr_matrix(df, cols, only_with=target).where((F.col("var2") == target) & (F.col("var1") != target)).select(
         F.col("var1").alias("feature"), "corr")
-    top = m.orderBy(F.col("corr").desc_nulls_last(), "feature").limit(k).withColumn("direction", F.lit("positive"))
-    bottom = m.orderBy(F.col("corr").asc_nulls_last(), "feature").limit(k).withColumn("direction", F.lit("negative"))
+    # m has one row per feature (bounded by the column list), so these windows are tiny.
+    up = Window.orderBy(F.col("corr").desc_nulls_last(), "feature")
+    down = Window.orderBy(F.col("corr").asc_nulls_last(), "feature")
+    ranked = m.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down))
+    top = ranked.where(F.col("_up") <= k).select("feature", "corr", F.lit("positive").alias("direction"))
+    bottom = ranked.where(F.col("_down") <= k).select("feature", "corr", F.lit("negative").alias("direction"))
     return top.unionByName(bottom)
 
 
