@@ -63,17 +63,23 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], bounded: bool =
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-              names: Sequence[str] | None = None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+              names: Sequence[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
+              extra_aggs: Sequence | None = None) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per group (nulls and NaN skipped).
 
-    Returns one row per group that has at least one non-null value, with one
-    column per probability.  With empty ``keys`` the result is one row.
+    Returns one row per group with one column per probability.  With empty
+    ``keys`` the result is one row.  ``extra_aggs`` (aggregate columns over the
+    *input* rows, e.g. counts including NULL values) ride along in the sketch
+    pass, so plain statistics cost no extra scan; with them every group of the
+    input is returned (quantile NULL when the group has no value).
     """
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     user_keys = list(keys)
+    extra_aggs = list(extra_aggs or [])
     v = F.col(value).cast("double")
-    base = df.select(*user_keys, F.nanvl(v, F.lit(None).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
+    base = df.select(*user_keys, F.nanvl(v, F.lit(None).cast("double")).alias("_v"), *(
+        [F.col(c) for c in df.columns if c not in user_keys and c != "_v"] if extra_aggs else []))
     base, gk = _keys_or_global(base, user_keys)
 
     margin = 4.0 / accuracy
@@ -86,7 +92,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         F.min("_v").alias("_mn"),
         F.max("_v").alias("_mx"),
         F.percentile_approx("_v", lo_ps + hi_ps, accuracy).alias("_ap"),
+        *extra_aggs,
     )
+    extra_names = sketch.columns[len(gk) + 4:]
+    base = base.where(F.col("_v").isNotNull()).select(*gk, "_v")
     small = F.col("_n") <= F.lit(accuracy)
     bands = sketch.select(
         *gk, "_n",
@@ -96,7 +105,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
 
     # Each row, per probability i: below the band -> counted as one bucket,
     # inside -> kept by value, above -> dropped.
-    tagged = base.join(bands, gk, "inner")
+    tagged = base.join(bands.where(F.col("_n") > 0), gk, "inner")
     entries = F.filter(
         F.array(*[
             F.when(F.col("_v") < F.col("_lo")[i], F.struct(F.lit(i).alias("i"), F.lit(True).alias("below"), F.lit(None).cast("double").alias("v")))
@@ -125,12 +134,18 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         at(F.col("_r0")).alias("_v0"), at(F.col("_r1")).alias("_v1"), F.first("_pos").alias("_pos"))
     q = F.col("_v0") + (F.col("_pos") - F.floor("_pos")) * (F.col("_v1") - F.col("_v0"))
     per_prob = picked.select(*gk, "_i", F.when(F.col("_v1") == F.col("_v0"), F.col("_v0")).otherwise(q).alias("_q"))
-    out = per_prob.groupBy(*gk).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i]) for i in range(k)])
+    if k == 1:
+        out = per_prob.select(*gk, F.col("_q").alias(names[0]))
+    else:
+        out = per_prob.groupBy(*gk).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i]) for i in range(k)])
+    if extra_names:
+        # One row per input group: the sketch side carries the extra statistics.
+        out = sketch.select(*gk, *extra_names).join(out, gk, "left")
     if not user_keys:
         out = out.drop(_GLOBAL_KEY)
     return out
 
 
 def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",
-           accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    return quantiles(df, keys, value, [0.5], [name], accuracy)
+           accuracy: int = DEFAULT_ACCURACY, extra_aggs: Sequence | None = None) -> DataFrame:
+    return quantiles(df, keys, value, [0.5], [name], accuracy, extra_aggs)

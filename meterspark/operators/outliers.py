@@ -44,13 +44,13 @@ def mad_stats(df: DataFrame, value: str, by: str | None = None, by_vals: Sequenc
     keys = [by] if by else []
     bounded = by_vals is not None or not keys
     src = _restrict(df, by, by_vals).select(*keys, null_nan(value).alias("_y"))
-    means = src.groupBy(*keys).agg(F.avg("_y").alias("_mean"))
-    dev = gs.attach(src, means, keys, bounded=bounded, how="inner") \
+    # The mean rides along in the median's sketch pass; the deviation needs a second pass.
+    med = gs.median(src, keys, "_y", "_median", accuracy, extra_aggs=[F.avg("_y").alias("_mean")])
+    dev = gs.attach(src, med.select(*keys, "_mean") if keys else med.select("_mean"), keys, bounded=bounded, how="inner") \
         .groupBy(*keys).agg(F.avg(F.abs(F.col("_y") - F.col("_mean"))).alias("_mad"))
-    med = gs.median(src, keys, "_y", "_median", accuracy)
     if not keys:
-        return gs.attach(gs.attach(means, dev, []), med, [])
-    return means.join(dev, keys, "left").join(med, keys, "left")
+        return gs.attach(med, dev, [])
+    return med.join(dev, keys, "left")
 
 
 def quartile_stats(df: DataFrame, value: str, by: str | None = None, by_vals: Sequence | None = None,

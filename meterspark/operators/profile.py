@@ -28,13 +28,14 @@ def stats_by_value(df: DataFrame, by: str, value: str, digits: int = 2,
     everything except ``count`` is rounded to ``digits``.
     """
     src = df.select(by, null_nan(value).alias("_y"))
-    basic = src.groupBy(by).agg(
+    # Plain statistics ride along in the median's sketch pass (no extra scan).
+    med = gs.median(src, [by], "_y", "median", accuracy, extra_aggs=[
         F.count(F.lit(1)).alias("count"), F.min("_y").alias("min"), F.avg("_y").alias("mean"),
-        F.stddev_samp("_y").alias("std"), F.max("_y").alias("max"))
-    med = gs.median(src, [by], "_y", "median", accuracy)
-    dev = gs.attach(src, med, [by], how="inner").select(by, F.abs(F.col("_y") - F.col("median")).alias("_d"))
+        F.stddev_samp("_y").alias("std"), F.max("_y").alias("max")])
+    dev = gs.attach(src, med.select(by, "median"), [by], how="inner") \
+        .select(by, F.abs(F.col("_y") - F.col("median")).alias("_d"))
     mad = gs.median(dev, [by], "_d", "_mad", accuracy)
-    out = basic.join(med, [by], "left").join(mad, [by], "left")
+    out = med.join(mad, [by], "left")
 
     def fin(c):
         return rnd(F.coalesce(c, F.lit(0.0)), digits)
@@ -106,12 +107,12 @@ def stats_by_column(df: DataFrame, cols: Sequence[str], digits: int = 3,
     stack = "stack({n}, {pairs}) as (column_name, _y)".format(
         n=len(cols), pairs=", ".join(f"'{c}', cast({c} as double)" for c in cols))
     long = df.selectExpr(stack)
-    basic = long.groupBy("column_name").agg(
+    med = gs.median(long, ["column_name"], "_y", "median", accuracy, extra_aggs=[
         F.min("_y").alias("min"), F.avg("_y").alias("mean"), F.stddev_samp("_y").alias("std"),
-        F.max("_y").alias("max"))
-    med = gs.median(long, ["column_name"], "_y", "median", accuracy)
-    mad = mean_abs_dev(long, ["column_name"], "_y")
-    out = basic.join(med, "column_name", "left").join(mad, "column_name", "left")
+        F.max("_y").alias("max")])
+    dev = gs.attach(long, med.select("column_name", "mean"), ["column_name"], how="inner")
+    mad = dev.groupBy("column_name").agg(F.avg(F.abs(F.col("_y") - F.col("mean"))).alias("mad"))
+    out = med.join(mad, "column_name", "left")
     return out.select("column_name", *[rnd(F.col(c), digits).alias(c) for c in ["min", "mean", "std", "median", "mad", "max"]])
 
 
