@@ -6,6 +6,10 @@ way a distributed prefix sum works: range-partition on the order, run the
 window inside each range partition, total each partition, and add the
 running total of the preceding partitions (one row per partition, so the
 offsets table is bounded by the partition count and safe to broadcast).
+
+Like ``RDD.zipWithIndex``, the partition totals and the per-row window read
+the same range-partitioned data; a recomputation must see the same rows in
+the same ranges, which holds because the order is a total order on the data.
 """
 
 from __future__ import annotations
@@ -22,25 +26,36 @@ def _parts(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def running_total(df: DataFrame, order: Sequence[Column], value: Column | str, out: str,
-                  partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over all rows up to this one in ``order``.
+def running_totals(df: DataFrame, order: Sequence[Column], values: dict[str, Column | str],
+                   partitions: int | None = None) -> DataFrame:
+    """Add one running-sum column per entry of ``values`` (output name -> value), all in one pass.
 
     ``order`` must be a total order (add a unique tiebreaker) for the result
     to be deterministic.
     """
     order = list(order)
-    val = F.col(value) if isinstance(value, str) else value
-    ranged = df.withColumn("_val", val).repartitionByRange(_parts(df, partitions), *order) \
-        .withColumn("_pid", F.spark_partition_id())
+    names = list(values)
+    vals = {f"_val{i}": (F.col(v) if isinstance(v, str) else v) for i, v in enumerate(values.values())}
+    ranged = df.select("*", *[c.alias(n) for n, c in vals.items()]) \
+        .repartitionByRange(_parts(df, partitions), *order).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_local", F.sum("_val").over(w))
-    totals = ranged.groupBy("_pid").agg(F.sum("_val").alias("_ptotal"))
+    local = ranged.select("*", *[F.sum(f"_val{i}").over(w).alias(f"_local{i}") for i in range(len(names))])
+    totals = ranged.groupBy("_pid").agg(*[F.sum(f"_val{i}").alias(f"_pt{i}") for i in range(len(names))])
     # One row per partition: the window below is bounded by the partition count.
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_ptotal").over(before), F.lit(0)).alias("_offset"))
-    return local.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_local") + F.col("_offset")) \
-        .drop("_pid", "_local", "_offset", "_val")
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_pt{i}").over(before), F.lit(0)).alias(f"_off{i}")
+                                      for i in range(len(names))])
+    out = local.join(F.broadcast(offsets), "_pid")
+    for i, name in enumerate(names):
+        out = out.withColumn(name, F.col(f"_local{i}") + F.col(f"_off{i}"))
+    drop = ["_pid"] + [f"_{p}{i}" for i in range(len(names)) for p in ("val", "local", "off")]
+    return out.drop(*drop)
+
+
+def running_total(df: DataFrame, order: Sequence[Column], value: Column | str, out: str,
+                  partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = sum of ``value`` over all rows up to this one in ``order``."""
+    return running_totals(df, order, {out: value}, partitions)
 
 
 def dense_index(df: DataFrame, col: str, out: str, partitions: int | None = None) -> DataFrame:

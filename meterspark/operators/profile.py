@@ -67,8 +67,7 @@ def value_share(df: DataFrame, col: str) -> DataFrame:
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("label")).agg(F.count(F.lit(1)).alias("volume"))
     total = counts.agg(F.sum("volume").alias("_total"))
     order = [F.col("volume").desc(), F.col("label").asc()]
-    ranked = ordered.running_total(counts, order, F.col("volume"), "_cum")
-    ranked = ordered.running_total(ranked, order, F.lit(1), "rank")
+    ranked = ordered.running_totals(counts, order, {"_cum": F.col("volume"), "rank": F.lit(1)})
     return gs.attach(ranked, total, []).select(
         "label", "volume", (F.col("volume") / F.col("_total")).alias("percent"),
         (F.col("_cum") / F.col("_total")).alias("cumulative_perc"), F.col("rank").cast("int").alias("rank"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import rnd, rnd_sql
+
 # Meter codes of the return flag, site codes of the event types.
 RETURNFLAG_TO_METER = {"A": 0, "N": 1, "R": 2}
 EVENT_TYPE_TO_SITE = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
@@ -118,7 +120,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly.select(
         _case_map(F.col("event_type"), EVENT_TYPE_TO_SITE).cast("int").alias("site_id"),
         "ts",
-        F.when(gap, null).otherwise(F.round("a", 6)).alias("air_temperature"),
+        F.when(gap, null).otherwise(rnd("a", 6)).alias("air_temperature"),
         F.when(gap | (F.col("event_type") == ALL_NULL_DEW_SITE), null).otherwise(F.col("m")).alias("dew_temperature"),
         F.when(gap, null).otherwise(F.col("x")).alias("wind_speed"),
     )
@@ -127,7 +129,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weather_sql() -> str:
     return (
         "SELECT CAST(" + _sql_case("event_type", EVENT_TYPE_TO_SITE) + " AS INTEGER) AS site_id, ts, "
-        "CASE WHEN hour(ts) % 6 = 0 THEN NULL ELSE round(a, 6) END AS air_temperature, "
+        f"CASE WHEN hour(ts) % 6 = 0 THEN NULL ELSE {rnd_sql('a', 6)} END AS air_temperature, "
         f"CASE WHEN hour(ts) % 6 = 0 OR event_type = '{ALL_NULL_DEW_SITE}' THEN NULL ELSE m END AS dew_temperature, "
         "CASE WHEN hour(ts) % 6 = 0 THEN NULL ELSE x END AS wind_speed "
         "FROM (SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS a, min(value) AS m, max(value) AS x "
