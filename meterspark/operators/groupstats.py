@@ -44,15 +44,38 @@ def _keys_or_global(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list
     return df.withColumn(_GLOBAL_KEY, F.lit(0)), [_GLOBAL_KEY]
 
 
+SMALL_ROWS = 10_000
+
+
+def materialize_small(stats: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
+    """Compute a small statistics table once and return it as a local relation.
+
+    The row count is checked (at most ``max_rows + 1`` rows reach the driver);
+    above the bound ``None`` is returned and the caller keeps the lazy plan.
+    Downstream scans then reuse the values instead of recomputing the
+    aggregate that produced them.
+    """
+    rows = stats.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return stats.sparkSession.createDataFrame(rows, stats.schema)
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], bounded: bool = False,
-           how: str = "left") -> DataFrame:
+           how: str = "left", materialize: bool = False) -> DataFrame:
     """Join per-group statistics onto rows.
 
     ``bounded=True`` asserts that ``stats`` has a small, known number of rows
     (one per literal value or per fixed code) and broadcasts it.  With no keys
-    the statistics are a single row joined on a constant key.
+    the statistics are a single row joined on a constant key.  With
+    ``materialize`` a bounded table is computed once (size-checked) so that
+    several consumers of the result do not recompute it.
     """
     keys = list(keys)
+    if materialize and (bounded or not keys):
+        small = materialize_small(stats)
+        if small is not None:
+            stats = small
     if not keys:
         df = df.withColumn(_GLOBAL_KEY, F.lit(0))
         if _GLOBAL_KEY not in stats.columns:

@@ -84,7 +84,8 @@ def detect_outliers(df: DataFrame, value: str, new_col: str, detect_type: str =
     else:
         raise ValueError(f"unknown detect_type {detect_type!r}")
 
-    joined = gs.attach(df, stats, keys, bounded=bounded)
+    # Labels usually feed several scans; a bounded statistics table is computed once.
+    joined = gs.attach(df, stats, keys, bounded=bounded, materialize=bounded)
     if by is None:
         label = F.when(is_out, F.lit("Outlier")).otherwise(F.lit("Normal"))
     else:
