@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import groupstats as gs
@@ -132,3 +132,42 @@ def learning_curve(df: DataFrame, features: Sequence[str], label: str, keys: Seq
     return scores.groupBy("train_size").agg(
         F.avg("train_rmsle").alias("train_mean"), F.stddev_pop("train_rmsle").alias("train_std"),
         F.avg("test_rmsle").alias("test_mean"), F.stddev_pop("test_rmsle").alias("test_std"))
+
+
+def knn_regress_1d(train: DataFrame, queries: DataFrame, x: str, y: str, train_key: Sequence[str],
+                   query_x: str, query_id: str, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """Exact k-nearest-neighbour regression on one numeric feature (uniform mean of k targets).
+
+    Neighbours are ranked by (|x_t - x_q|, distance in sorted order from the
+    query's insertion point, train position).  With that order the k chosen
+    rows of a query form a prefix on each side of its insertion point, so
+    they lie among the 2k training rows around it: every query is joined to
+    exactly those 2k candidates (an equi-join on a global train index built
+    with a distributed prefix sum), never to all training rows.  ``by``
+    restricts neighbours to the query's own group.
+    """
+    from . import ordered
+
+    by = list(by)
+    tk = list(train_key)
+    t = train.where(F.col(x).isNotNull()).select(
+        *by, F.col(x).cast("double").alias("_x"), F.lit(1).alias("_t"), F.col(y).cast("double").alias("_y"),
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(tk)], F.lit(None).alias("_qid"))
+    q = queries.where(F.col(query_x).isNotNull()).select(
+        *by, F.col(query_x).cast("double").alias("_x"), F.lit(0).alias("_t"), F.lit(None).cast("double").alias("_y"),
+        *[F.lit(None).cast(train.schema[c].dataType).alias(f"_k{i}") for i, c in enumerate(tk)],
+        F.col(query_id).alias("_qid"))
+    both = t.unionByName(q.withColumn("_qid", F.col("_qid").cast(q.schema["_qid"].dataType)), allowMissingColumns=False)
+    order = [F.col(c).asc() for c in by] + [F.col("_x").asc(), F.col("_t").asc()] + [F.col(f"_k{i}").asc() for i in range(len(tk))]
+    ranked = ordered.running_total(both, order, F.col("_t"), "_cum")
+    train_idx = ranked.where(F.col("_t") == 1).select(*by, (F.col("_cum") - 1).alias("_idx"), F.col("_x").alias("_tx"), "_y")
+    bounds = train_idx.groupBy(*by).agg(F.min("_idx").alias("_g0"), F.max("_idx").alias("_g1"))
+    qpos = ranked.where(F.col("_t") == 0).select(*by, "_qid", F.col("_x").alias("_qx"), F.col("_cum").alias("_c"))
+    qpos = qpos.join(bounds, by, "inner") if by else gs.attach(qpos, bounds, [])
+    lo = F.greatest(F.col("_c") - F.lit(k), F.col("_g0"))
+    hi = F.least(F.col("_c") + F.lit(k - 1), F.col("_g1"))
+    cand = qpos.select(*by, "_qid", "_qx", "_c", F.explode(F.sequence(lo, hi)).alias("_idx"))
+    pairs = cand.join(train_idx, by + ["_idx"], "inner")
+    w = Window.partitionBy("_qid").orderBy(F.abs(F.col("_tx") - F.col("_qx")), F.abs(F.col("_idx") - F.col("_c")), F.col("_idx"))
+    top = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    return top.groupBy(F.col("_qid").alias(query_id)).agg(F.avg("_y").alias("prediction"), F.count(F.lit(1)).alias("n_neighbors"))

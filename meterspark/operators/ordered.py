@@ -7,9 +7,8 @@ window inside each range partition, total each partition, and add the
 running total of the preceding partitions (one row per partition, so the
 offsets table is bounded by the partition count and safe to broadcast).
 
-Like ``RDD.zipWithIndex``, the partition totals and the per-row window read
-the same range-partitioned data; a recomputation must see the same rows in
-the same ranges, which holds because the order is a total order on the data.
+The partition totals and the per-row window read the same range-partitioned
+rows, materialised once by a reliable checkpoint, so they always agree.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _parts(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -36,8 +37,12 @@ def running_totals(df: DataFrame, order: Sequence[Column], values: dict[str, Col
     order = list(order)
     names = list(values)
     vals = {f"_val{i}": (F.col(v) if isinstance(v, str) else v) for i, v in enumerate(values.values())}
-    ranged = df.select("*", *[c.alias(n) for n, c in vals.items()]) \
-        .repartitionByRange(_parts(df, partitions), *order).withColumn("_pid", F.spark_partition_id())
+    # The per-row window and the per-partition totals must see the same range
+    # partitions.  Two independent recomputations of a range exchange need not
+    # agree on its bounds, so the partitioned rows are written once (reliable
+    # checkpoint in the shared checkpoint folder) and both branches read them.
+    ranged = cut_lineage(df.select("*", *[c.alias(n) for n, c in vals.items()])
+                         .repartitionByRange(_parts(df, partitions), *order).withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.select("*", *[F.sum(f"_val{i}").over(w).alias(f"_local{i}") for i in range(len(names))])
     totals = ranged.groupBy("_pid").agg(*[F.sum(f"_val{i}").alias(f"_pt{i}") for i in range(len(names))])

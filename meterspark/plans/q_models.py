@@ -129,3 +129,23 @@ def submission(spark, sf_dir):
     test = df.where(F.col("train_val_split") == 1).drop("meter_reading")
     model = ml.fit(train, forecast.feature_columns(), "meter_reading", "gbt", QUICK_GBT)
     return io.submission(ml.predict(model, test, ["row_id"]))
+
+
+# --------------------------------------------------------------------------- k-NN (M5, one feature, exact)
+_KNN_SQL = """
+WITH t AS (SELECT o_orderkey, o_totalprice AS x, CAST(month(o_orderdate) AS DOUBLE) AS y,
+                  row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS idx FROM orders),
+q AS (SELECT c_custkey, c_acctbal * 10.0 AS qx FROM customer),
+qc AS (SELECT q.*, (SELECT count(*) FROM t WHERE t.x < q.qx) AS c FROM q),
+p AS (SELECT qc.c_custkey, t.y, row_number() OVER (PARTITION BY qc.c_custkey
+        ORDER BY abs(t.x - qc.qx), abs(t.idx - qc.c), t.idx) AS rn FROM qc, t)
+SELECT c_custkey, """ + rnd_sql("avg(y)", 6) + """ AS prediction, count(*) AS n_neighbors FROM p WHERE rn <= 10 GROUP BY 1"""
+
+
+@query("knn_predict", sql=_KNN_SQL)
+def knn_predict(spark, sf_dir):
+    orders = roles.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("x"), F.month("o_orderdate").cast("double").alias("y"))
+    cust = roles.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") * 10.0).alias("qx"))
+    out = ml.knn_regress_1d(orders, cust, "x", "y", ["o_orderkey"], "qx", "c_custkey", k=10)
+    return out.select("c_custkey", rnd("prediction", 6).alias("prediction"), "n_neighbors")

@@ -75,3 +75,20 @@ def test_mad_labels_match_pandas(spark):
     df = spark.createDataFrame(pdf.reset_index())
     got = {r["index"]: r["lab"].split("_")[0] for r in ol.detect_outliers(df, "y", "lab", "MAD", by="k", by_vals=["a", "b"]).collect()}
     assert got == want and "Outlier" in got.values()
+
+
+def test_knn_1d_matches_brute_force(spark):
+    from meterspark.operators import ml
+    rng = np.random.default_rng(17)
+    tr = pd.DataFrame({"tid": range(300), "g": rng.integers(0, 3, 300), "x": rng.integers(0, 40, 300).astype(float),
+                       "y": rng.normal(size=300).round(3)})
+    qs = pd.DataFrame({"qid": range(80), "g": rng.integers(0, 3, 80), "qx": rng.uniform(-5, 45, 80).round(1)})
+    qs.loc[:9, "qx"] = 10.0                                            # many queries on one spot, exact ties
+    got = ml.knn_regress_1d(spark.createDataFrame(tr), spark.createDataFrame(qs), "x", "y", ["tid"], "qx", "qid",
+                            k=5, by=["g"]).toPandas().set_index("qid")["prediction"]
+    for _, q in qs.iterrows():
+        t = tr[tr.g == q.g].sort_values(["x", "tid"]).reset_index(drop=True)
+        c = int((t.x < q.qx).sum())
+        t["d"], t["di"], t["i"] = (t.x - q.qx).abs(), (t.index - c).__abs__(), t.index
+        want = t.sort_values(["d", "di", "i"]).head(5)["y"].mean()
+        assert abs(got[q.qid] - want) < 1e-12, q.qid
