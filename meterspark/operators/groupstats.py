@@ -77,14 +77,25 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], bounded: bool =
         if small is not None:
             stats = small
     if not keys:
-        df = df.withColumn(_GLOBAL_KEY, F.lit(0))
-        if _GLOBAL_KEY not in stats.columns:
-            stats = stats.withColumn(_GLOBAL_KEY, F.lit(0))
-        return df.join(F.broadcast(stats), [_GLOBAL_KEY], how).drop(_GLOBAL_KEY)
+        return attach_scalar(df, stats)
     right = F.broadcast(stats) if bounded else stats
     return df.join(right, keys, how)
 
 
+def attach_scalar(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Add the columns of a one-row statistics table to every row.
+
+    Uses one scalar subquery (a struct of all statistics) instead of a join:
+    Spark evaluates it once and inlines the value, so there is no cross join
+    and no shuffle.  An empty ``stats`` gives NULLs.
+    """
+    cols = [c for c in stats.columns if c != _GLOBAL_KEY]
+    sub = stats.select(F.struct(*[F.col(c) for c in cols]).alias("_stats")).scalar()
+    out = df.withColumn("_stats", sub)
+    return out.select(*[c for c in df.columns if c not in cols],
+                      *[F.col("_stats").getField(c).alias(c) for c in cols])
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
               names: Sequence[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
               extra_aggs: Sequence | None = None) -> DataFrame:
@@ -128,7 +139,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
 
     # Each row, per probability i: below the band -> counted as one bucket,
     # inside -> kept by value, above -> dropped.
-    tagged = base.join(bands.where(F.col("_n") > 0), gk, "inner")
+    if user_keys:
+        tagged = base.join(bands.where(F.col("_n") > 0), gk, "inner")
+    else:
+        tagged = attach_scalar(base, bands.drop(_GLOBAL_KEY))
     entries = F.filter(
         F.array(*[
             F.when(F.col("_v") < F.col("_lo")[i], F.struct(F.lit(i).alias("i"), F.lit(True).alias("below"), F.lit(None).cast("double").alias("v")))
@@ -163,7 +177,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         out = per_prob.groupBy(*gk).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i]) for i in range(k)])
     if extra_names:
         # One row per input group: the sketch side carries the extra statistics.
-        out = sketch.select(*gk, *extra_names).join(out, gk, "left")
+        if user_keys:
+            out = sketch.select(*gk, *extra_names).join(out, gk, "left")
+        else:
+            out = attach_scalar(sketch.select(*gk, *extra_names), out.drop(_GLOBAL_KEY))
     if not user_keys:
         out = out.drop(_GLOBAL_KEY)
     return out
