@@ -10,6 +10,7 @@ from ..operators import encode as enc
 from ..operators import profile as pf
 from ..operators import timeseries as tsx
 from ..operators import zerodays as zd
+from ..session import cut_lineage
 from ..sources import roles
 from ..sources.roles import with_roles
 from .registry import query
@@ -85,7 +86,8 @@ def clean_weather(weather, offsets):
     local = tsx.local_time_shift(weather, offsets)
     local = local.where(F.col("ts").isNotNull())
     cols = [c for c in local.columns if c not in ("site_id", "ts")]
-    filled = tsx.interpolate_linear(local, ["site_id"], "ts", cols, fill_edges=True)
+    # The filled table feeds both the NULL-column check and the grid: write it once.
+    filled = cut_lineage(tsx.interpolate_linear(local, ["site_id"], "ts", cols, fill_edges=True))
     (kept,) = enc.drop_null_columns([filled])
     keep_cols = [c for c in kept.columns if c not in ("site_id", "ts")]
     return tsx.fill_time_interpolate(kept, ["site_id"], keep_cols)

@@ -47,14 +47,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     used as is.  Only when it is unset (local tests) a scratch folder is
     created and registered.
     """
-    conf = spark.sparkContext.getConf()
-    current = conf.get(CHECKPOINT_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
+    current = spark.conf.get(CHECKPOINT_CONF, None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        sc = None
+    if not current and sc is not None:
+        current = sc.getConf().get(CHECKPOINT_CONF, None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        if sc is not None:
+            sc.setCheckpointDir(current)
         return current
     local = tempfile.mkdtemp(prefix="meterspark-ckpt-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, local)
-    spark.sparkContext.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     return local
 
 
