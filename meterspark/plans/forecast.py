@@ -61,3 +61,28 @@ def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = [f"log_{c}" for c in NUMERIC]
     fitted = fx.minmax_fit(df.where(F.col("train_val_split") == 0), logs)
     return fx.minmax_apply(df, fitted, logs)
+
+
+def run(spark: SparkSession, sf_dir: str, out_dir: str, kind: str = "gbt", params: dict | None = None,
+        log_y: bool = False) -> DataFrame:
+    """E1 end to end: engineer, fit on train rows, score held-out rows, write the submission CSV.
+
+    Returns the completeness report (expected vs written predictions).  The
+    feature table is checkpointed once (shared checkpoint folder) because the
+    fit scans it repeatedly; ``out_dir`` should be shared storage on a cluster.
+    """
+    from ..session import cut_lineage
+    from ..sources import io
+
+    df = cut_lineage(model_frame(spark, sf_dir).withColumn("row_id", F.xxhash64(*KEYS)))
+    label = "meter_reading"
+    train = df.where(F.col("train_val_split") == 0)
+    if log_y:
+        train = train.withColumn("_label", F.log1p(F.col(label)))
+        label = "_label"
+    test = df.where(F.col("train_val_split") == 1).drop("meter_reading")
+    model = ml.fit(train, feature_columns(), label, kind, params)
+    sub = io.submission(ml.predict(model, test, ["row_id"], log_y))
+    io.write_csv(sub, out_dir)
+    written = spark.read.schema("row_id long, meter_reading double").option("header", True).csv(out_dir)
+    return io.missing_predictions(test.select("row_id"), written)

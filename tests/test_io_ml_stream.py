@@ -97,3 +97,13 @@ def test_driver_contract(spark):
     assert out.count() == 5 and "mad" in out.columns
     q, o = se.queries(), se.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 90
+
+
+def test_forecast_end_to_end_writes_complete_submission(spark):
+    from meterspark.plans import forecast
+    out = os.path.join(_scratch(), "submission")
+    report = forecast.run(spark, SF001, out, params=dict(maxDepth=3, maxIter=3)).first()
+    assert report["missing"] == 0 and report["abs_diff"] == 0 and report["expected"] > 0
+    sub = spark.read.option("header", True).csv(out)
+    assert sub.columns == ["row_id", "meter_reading"]
+    assert sub.where("CAST(meter_reading AS DOUBLE) < 0").count() == 0
