@@ -140,3 +140,16 @@ def combine_sparse_labels(df: DataFrame, col: str, labels: DataFrame, new_label:
     j = df.join(tagged, F.col(col).cast("string") == F.col("_lab"), "left")
     return j.withColumn(out or col, F.when(F.col("_hit"), F.lit(new_label)).otherwise(F.col(col).cast("string"))) \
         .drop("_lab", "_hit")
+
+
+def site_offsets_frame(spark, offsets=exprs.SITE_GMT_OFFSETS) -> DataFrame:
+    """(site_id, offset_h) lookup built from the fixed per-site GMT offsets (site = list position)."""
+    return spark.createDataFrame([(i, int(h)) for i, h in enumerate(offsets)], "site_id int, offset_h int")
+
+
+def primary_use_map(df: DataFrame, col: str = "primary_use", extra_code: int = 99,
+                    extra_label: str = exprs.SPARSE_LABEL) -> DataFrame:
+    """code -> label mapper: sorted distinct labels as 0..n-1 plus one extra code for merged sparse labels."""
+    dim = ordered.dense_index(df, col, "code").select("code", F.col(col).alias("label"))
+    extra = df.sparkSession.createDataFrame([(extra_code, extra_label)], "code int, label string")
+    return dim.unionByName(extra)

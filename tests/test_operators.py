@@ -256,3 +256,11 @@ def test_null_safe_filters(spark):
 def test_select_features():
     cols = ["ts", "log_square_feet", "log_wind_speed", "log_air_temperature", "is_workday"]
     assert fx.select_features(cols) == ["log_square_feet", "log_air_temperature", "is_workday", "is_holiday", "is_business_hr"]
+
+
+def test_fixed_mappers(spark):
+    offs = {r["site_id"]: r["offset_h"] for r in enc.site_offsets_frame(spark).collect()}
+    assert len(offs) == 16 and offs[0] == -5 and offs[4] == -8 and offs[12] == 0
+    df = spark.createDataFrame([("Office",), ("Education",), ("Office",)], "primary_use string")
+    m = dict(rows(enc.primary_use_map(df), "code", "label"))
+    assert m == {0: "Education", 1: "Office", 99: "NonTraditionalUsage"}
