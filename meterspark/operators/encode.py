@@ -97,11 +97,10 @@ def one_hot(df: DataFrame, categories: Mapping[str, Sequence], drop_source: bool
 
 def use_category(df: DataFrame, train: DataFrame, col: str = "primary_use", out: str = "use_categ",
                  light: Sequence[str] = WEEKEND_LIGHT_USES) -> DataFrame:
-    """0 for light-weekend uses, 1 for any other use seen in ``train``, NULL otherwise."""
+    """0 for the light-weekend uses (seen or not), 1 for any other use seen in ``train``, NULL otherwise."""
     seen = train.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_seen", F.lit(True))
     j = df.join(seen, col, "left")
-    code = F.when(F.col(col).isin(list(light)) & F.col("_seen"), F.lit(0)) \
-        .when(F.col("_seen"), F.lit(1))
+    code = F.when(F.col(col).isin(list(light)), F.lit(0)).when(F.col("_seen"), F.lit(1))
     return j.withColumn(out, code).drop("_seen")
 
 

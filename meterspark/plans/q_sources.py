@@ -183,7 +183,7 @@ _LIGHT = ["SMALL", "PROMO"]
 
 @query("use_category", sql=with_roles(f"""
 SELECT b.building_id, b.primary_use,
-  CASE WHEN s.primary_use IS NOT NULL AND b.primary_use IN ('SMALL', 'PROMO') THEN 0
+  CASE WHEN b.primary_use IN ('SMALL', 'PROMO') THEN 0
        WHEN s.primary_use IS NOT NULL THEN 1 END AS use_categ
 FROM b LEFT JOIN (SELECT DISTINCT primary_use FROM t WHERE primary_use IS NOT NULL) s USING (primary_use)""",
     b=roles.part_buildings_sql(),

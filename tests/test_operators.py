@@ -264,3 +264,10 @@ def test_fixed_mappers(spark):
     df = spark.createDataFrame([("Office",), ("Education",), ("Office",)], "primary_use string")
     m = dict(rows(enc.primary_use_map(df), "code", "label"))
     assert m == {0: "Education", 1: "Office", 99: "NonTraditionalUsage"}
+
+
+def test_use_category_seen_and_unseen(spark):
+    df = spark.createDataFrame([("Retail",), ("Office",), ("Parking",), (None,)], "primary_use string")
+    train = spark.createDataFrame([("Office",)], "primary_use string")
+    got = dict(rows(enc.use_category(df, train), "primary_use", "use_categ"))
+    assert got == {"Retail": 0, "Office": 1, "Parking": None, None: None}
