@@ -171,3 +171,14 @@ def knn_regress_1d(train: DataFrame, queries: DataFrame, x: str, y: str, train_k
     w = Window.partitionBy("_qid").orderBy(F.abs(F.col("_tx") - F.col("_qx")), F.abs(F.col("_idx") - F.col("_c")), F.col("_idx"))
     top = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     return top.groupBy(F.col("_qid").alias(query_id)).agg(F.avg("_y").alias("prediction"), F.count(F.lit(1)).alias("n_neighbors"))
+
+
+def group_scores(df: DataFrame, y: str, p: str, group_col: str) -> DataFrame:
+    """(level, group, rmsle, n): per group, the mean of the group RMSLEs, and RMSLE over all rows pooled."""
+    per = rmsle(df, y, p, [group_col])
+    mean = per.agg(F.avg("rmsle").alias("rmsle"), F.sum("n").alias("n"))
+    pooled = rmsle(df, y, p)
+    none = F.lit(None).cast(df.schema[group_col].dataType).alias(group_col)
+    return per.select(F.lit("group").alias("level"), group_col, "rmsle", "n") \
+        .unionByName(mean.select(F.lit("mean_of_groups").alias("level"), none, "rmsle", "n")) \
+        .unionByName(pooled.select(F.lit("pooled").alias("level"), none, "rmsle", "n"))

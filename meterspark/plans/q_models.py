@@ -149,3 +149,15 @@ def knn_predict(spark, sf_dir):
     cust = roles.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") * 10.0).alias("qx"))
     out = ml.knn_regress_1d(orders, cust, "x", "y", ["o_orderkey"], "qx", "c_custkey", k=10)
     return out.select("c_custkey", rnd("prediction", 6).alias("prediction"), "n_neighbors")
+
+
+@query("per_group_score", sql=with_roles(f"""
+SELECT 'group' AS level, l_returnflag, {rnd_sql('r', 6)} AS rmsle, n FROM g
+UNION ALL SELECT 'mean_of_groups', NULL, {rnd_sql('avg(r)', 6)}, sum(n)::BIGINT FROM g
+UNION ALL SELECT 'pooled', NULL, {rnd_sql('sqrt(avg(pow(ln(1 + p) - ln(1 + y), 2)))', 6)}, count(*) FROM c""", pr=PR,
+    c="SELECT l_returnflag, y, CASE WHEN p < 0 THEN 0.0 ELSE p END AS p FROM pr",
+    g="SELECT l_returnflag, sqrt(avg(pow(ln(1 + p) - ln(1 + y), 2))) AS r, count(*) AS n FROM c GROUP BY 1"))
+def per_group_score(spark, sf_dir):
+    """M10 scoring on given predictions: RMSLE per group, their mean, and RMSLE over the pooled rows."""
+    clipped = ml.clip_predictions(roles.predictions(spark, sf_dir), "p", digits=12)
+    return ml.group_scores(clipped, "y", "p", "l_returnflag").withColumn("rmsle", rnd("rmsle", 6))

@@ -105,7 +105,7 @@ def missing_by_category(spark, sf_dir):
 
 
 @query("freq_by_category", sql=with_roles(
-    "SELECT meter, site_id, month(ts) AS month, count(*) AS freq FROM r JOIN b USING (building_id) "
+    "SELECT meter, site_id, CAST(month(ts) AS INTEGER) AS month, count(*) AS freq FROM r JOIN b USING (building_id) "
     "WHERE meter_reading = 0 GROUP BY 1, 2, 3", r=READ_Z, b=B))
 def freq_by_category(spark, sf_dir):
     r = roles.readings(spark, sf_dir, zeros=True).join(roles.buildings(spark, sf_dir), "building_id")
@@ -298,7 +298,7 @@ def density_by_category(spark, sf_dir):
 
 @query("regr_line", sql=with_roles(
     f"SELECT l_returnflag, {rnd_sql('regr_slope(p, y)', 6)} AS slope, {rnd_sql('regr_intercept(p, y)', 4)} AS intercept, "
-    "regr_count(p, y) AS n FROM pr GROUP BY 1", pr=roles.predictions_sql()))
+    "CAST(regr_count(p, y) AS BIGINT) AS n FROM pr GROUP BY 1", pr=roles.predictions_sql()))
 def regr_line(spark, sf_dir):
     out = pdata.regr_line(roles.predictions(spark, sf_dir), "y", "p", ["l_returnflag"])
     return out.select("l_returnflag", rnd("slope", 6).alias("slope"), rnd("intercept", 4).alias("intercept"),

@@ -243,7 +243,7 @@ _SPAN_SQL = with_roles(
     f"SELECT {RKEYS_SQL}, site_id, meter, month, meter_reading FROM rb "
     "WHERE coalesce(site_id <> 0, true) OR coalesce(meter_reading <> 0, true) OR coalesce(month >= 6, false)",
     r=READ_Z, b=roles.buildings_sql(),
-    rb="SELECT r.*, b.site_id, month(r.ts) AS month FROM r LEFT JOIN b USING (building_id)")
+    rb="SELECT r.*, b.site_id, CAST(month(r.ts) AS INTEGER) AS month FROM r LEFT JOIN b USING (building_id)")
 
 
 def _readings_sites(spark, sf_dir):
