@@ -64,10 +64,11 @@ def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str, out_dir: str, kind: str = "gbt", params: dict | None = None,
-        log_y: bool = False) -> DataFrame:
+        log_y: bool = False, reduce_to: int | None = None) -> DataFrame:
     """E1 end to end: engineer, fit on train rows, score held-out rows, write the submission CSV.
 
-    Returns the completeness report (expected vs written predictions).  The
+    Returns the completeness report (expected vs written predictions).
+    ``reduce_to`` caps the training rows (about that many, hash-sampled).  The
     feature table is checkpointed once (shared checkpoint folder) because the
     fit scans it repeatedly; ``out_dir`` should be shared storage on a cluster.
     """
@@ -77,6 +78,11 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, kind: str = "gbt", param
     df = cut_lineage(model_frame(spark, sf_dir).withColumn("row_id", F.xxhash64(*KEYS)))
     label = "meter_reading"
     train = df.where(F.col("train_val_split") == 0)
+    if reduce_to:
+        # Training-row ceiling: a stable hash sample of about reduce_to rows (one count, no top-n buffer).
+        n = train.count()
+        if n > reduce_to:
+            train = fx.fraction_sample(train, reduce_to / n, KEYS, seed=5)
     if log_y:
         train = train.withColumn("_label", F.log1p(F.col(label)))
         label = "_label"
