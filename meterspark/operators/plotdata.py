@@ -78,16 +78,17 @@ def regr_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFram
 
 def scatter_points(df: DataFrame, x: str, y: str, keys: Sequence[str], fraction: float = 0.05,
                    label_col: str | None = None, seed: int = 7) -> DataFrame:
-    """Points for a scatter plot: complete rows, no 'Outlier' label, stable hash sample.
+    """Points for a scatter plot: complete rows, no 'Outlier' label, optionally a stable hash sample.
 
-    The sample is the chart's feature (a bounded point cloud); the diagonal
+    ``fraction`` < 1 bounds the point cloud for very large tables; the diagonal
     bounds ``y_min`` / ``y_max`` are the range of the true values ``x`` over all complete rows.
     """
     src = df.dropna(subset=[x, y])
     if label_col:
         src = src.where(F.coalesce(F.col(label_col) != F.lit("Outlier"), F.lit(True)))
     bounds = src.agg(F.min(x).alias("y_min"), F.max(x).alias("y_max"))
-    pts = src.where(exprs.hash_bucket(keys, seed) < F.lit(int(round(fraction * 1000)))).select(*keys, x, y)
+    pts = src if fraction >= 1.0 else src.where(exprs.hash_bucket(keys, seed) < F.lit(int(round(fraction * 1000))))
+    pts = pts.select(*keys, x, y)
     return gs.attach(pts, bounds, [])
 
 

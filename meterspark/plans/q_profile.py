@@ -310,6 +310,7 @@ _PKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 @query("scatter_points", sql=with_roles(
     f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y, p, (SELECT min(y) FROM pr) AS y_min, (SELECT max(y) FROM pr) AS y_max "
-    f"FROM pr WHERE {exprs.hash_bucket_sql(_PKEYS, 7)} < 50", pr=roles.predictions_sql()))
+    "FROM pr", pr=roles.predictions_sql()))
 def scatter_points(spark, sf_dir):
-    return pdata.scatter_points(roles.predictions(spark, sf_dir), "y", "p", _PKEYS, 0.05)
+    # Every complete point, as the source plots them; the operator's fraction is an option for huge tables.
+    return pdata.scatter_points(roles.predictions(spark, sf_dir), "y", "p", _PKEYS, fraction=1.0)
