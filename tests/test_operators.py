@@ -271,3 +271,30 @@ def test_use_category_seen_and_unseen(spark):
     train = spark.createDataFrame([("Office",)], "primary_use string")
     got = dict(rows(enc.use_category(df, train), "primary_use", "use_categ"))
     assert got == {"Retail": 0, "Office": 1, "Parking": None, None: None}
+
+
+def test_pivot_duplicates_do_not_multiply(spark):
+    df = spark.createDataFrame([(T(2020, 1, 1, 0), 1, 2.0), (T(2020, 1, 1, 0), 1, 5.0), (T(2020, 1, 1, 0), 2, 3.0),
+                                (T(2020, 1, 1, 1), 2, None)], "ts timestamp_ntz, site_id int, v double")
+    p = tsx.pivot_series(df, "ts", "site_id", "v", [1, 2, 3], "site_")
+    got = {r["ts"]: (r["site_1"], r["site_2"], r["site_3"]) for r in p.collect()}
+    assert got == {T(2020, 1, 1, 0): (5.0, 3.0, None), T(2020, 1, 1, 1): (None, None, None)}
+    miss = {r["column_name"]: r["volume"] for r in pf.missing_table(p, ["site_1", "site_2", "site_3"]).collect()}
+    assert miss == {"site_1": 1, "site_2": 1, "site_3": 2}
+
+
+def test_date_coverage_and_missing_predictions(spark):
+    from meterspark.sources import io
+    a = spark.createDataFrame([(T(2020, 1, 1, 5),), (T(2020, 1, 2, 0),), (T(2020, 1, 2, 7),)], "t timestamp_ntz")
+    b = spark.createDataFrame([(T(2020, 1, 2, 1),), (T(2020, 1, 3, 0),)], "t timestamp_ntz")
+    r = pf.date_coverage_diff(a, "t", b, "t").first()
+    assert (r["n_dates_1"], r["n_dates_2"], r["missing_in_2"], r["missing_in_1"], r["equal"]) == (2, 2, 1, 1, False)
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "row_id long")
+    preds = spark.createDataFrame([(1, 0.5), (3, 1.0), (4, 2.0)], "row_id long, prediction double")
+    m = io.missing_predictions(ids, preds).first()
+    assert (m["expected"], m["predicted"], m["missing"], m["abs_diff"]) == (3, 3, 1, 0)
+
+
+def test_table_lengths(spark):
+    t = {"a": spark.range(3), "b": spark.range(5).selectExpr("id", "id * 2 AS x")}
+    assert rows(pf.table_lengths(t), "table_name", "n_rows", "n_cols") == [("a", 3, 1), ("b", 5, 2)]
