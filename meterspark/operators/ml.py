@@ -112,21 +112,27 @@ def per_group_fit(df: DataFrame, group_col: str, features: Sequence[str], label:
 
 def learning_curve(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],
                    sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5,
-                   kind: str = "gbt", params: dict | None = None, seed: int = 11) -> DataFrame:
-    """Train/test RMSLE per (train size, fold) with hash-assigned folds; mean and std (ddof 0) per size."""
+                   kind: str = "gbt", params: dict | None = None, seed: int = 11,
+                   log_y: bool = False) -> DataFrame:
+    """Train/test RMSLE per (train size, fold) with hash-assigned folds; mean and std (ddof 0) per size.
+
+    With ``log_y`` the models learn log1p(label); scores are on the original scale.
+    """
     from ..functions import exprs
 
     spark = df.sparkSession
+    fit_label = "_lc_label"
     data = df.withColumn("_fold", exprs.hash_bucket(keys, seed, folds)) \
-             .withColumn("_u", exprs.hash_bucket(keys, seed + 1, 1000))
+             .withColumn("_u", exprs.hash_bucket(keys, seed + 1, 1000)) \
+             .withColumn(fit_label, F.log1p(F.col(label)) if log_y else F.col(label).cast("double"))
     rows = []
     for size in sizes:
         for k in range(folds):
             train = data.where((F.col("_fold") != k) & (F.col("_u") < F.lit(int(round(size * 1000)))))
             test = data.where(F.col("_fold") == k)
-            model = fit(train, features, label, kind, params)
-            tr = predict(model, train, [label]).agg(rmsle_expr(F.col(label), F.col("prediction"))).first()[0]
-            te = predict(model, test, [label]).agg(rmsle_expr(F.col(label), F.col("prediction"))).first()[0]
+            model = fit(train, features, fit_label, kind, params)
+            tr = predict(model, train, [label], log_y).agg(rmsle_expr(F.col(label), F.col("prediction"))).first()[0]
+            te = predict(model, test, [label], log_y).agg(rmsle_expr(F.col(label), F.col("prediction"))).first()[0]
             rows.append((float(size), k, float(tr), float(te)))
     scores = spark.createDataFrame(rows, "train_size double, fold int, train_rmsle double, test_rmsle double")
     return scores.groupBy("train_size").agg(

@@ -64,7 +64,7 @@ def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str, out_dir: str, kind: str = "gbt", params: dict | None = None,
-        log_y: bool = False, reduce_to: int | None = None) -> DataFrame:
+        log_y: bool = True, reduce_to: int | None = None) -> DataFrame:
     """E1 end to end: engineer, fit on train rows, score held-out rows, write the submission CSV.
 
     Returns the completeness report (expected vs written predictions).

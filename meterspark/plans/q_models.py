@@ -61,17 +61,21 @@ def clip_report(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- Spark ML (rows-only checks)
+LABEL = "_log_label"
+
+
 def _frame(spark, sf_dir):
     # Fits scan the table many times: cut the lineage once into the shared checkpoint folder.
-    return cut_lineage(forecast.model_frame(spark, sf_dir))
+    # Models learn log1p(reading) (RMSLE = RMSE there); predictions are expm1'd once and clipped at 0.
+    return cut_lineage(forecast.model_frame(spark, sf_dir).withColumn(LABEL, F.log1p("meter_reading")))
 
 
 def _fit_predict(spark, sf_dir, kind, params):
     df = _frame(spark, sf_dir)
     train = df.where(F.col("train_val_split") == 0)
     val = df.where(F.col("train_val_split") == 1)
-    model = ml.fit(train, forecast.feature_columns(), "meter_reading", kind, params)
-    return ml.predict(model, val, forecast.KEYS + ["meter", "meter_reading"])
+    model = ml.fit(train, forecast.feature_columns(), LABEL, kind, params)
+    return ml.predict(model, val, forecast.KEYS + ["meter", "meter_reading"], log_y=True)
 
 
 @query("lr_fit")
@@ -97,7 +101,7 @@ def gbt_squared_fit(spark, sf_dir):
 @query("gbt_stage_loss")
 def gbt_stage_loss(spark, sf_dir):
     df = _frame(spark, sf_dir)
-    model = ml.fit(df.where(F.col("train_val_split") == 0), forecast.feature_columns(), "meter_reading", "gbt", QUICK_GBT)
+    model = ml.fit(df.where(F.col("train_val_split") == 0), forecast.feature_columns(), LABEL, "gbt", QUICK_GBT)
     losses = ml.stage_losses(model, df.where(F.col("train_val_split") == 1), "absolute")
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
 
@@ -105,7 +109,7 @@ def gbt_stage_loss(spark, sf_dir):
 @query("per_group_fit")
 def per_group_fit(spark, sf_dir):
     return ml.per_group_fit(_frame(spark, sf_dir), "meter", forecast.feature_columns(), "meter_reading",
-                            forecast.KEYS, "gbt", QUICK_GBT)
+                            forecast.KEYS, "gbt", QUICK_GBT, log_y=True)
 
 
 @query("per_group_rmsle")
@@ -119,16 +123,16 @@ def per_group_rmsle(spark, sf_dir):
 @query("learning_curve")
 def learning_curve(spark, sf_dir):
     df = _frame(spark, sf_dir)
-    return ml.learning_curve(df, forecast.feature_columns(), "meter_reading", forecast.KEYS, kind="lr")
+    return ml.learning_curve(df, forecast.feature_columns(), "meter_reading", forecast.KEYS, kind="lr", log_y=True)
 
 
 @query("submission")
 def submission(spark, sf_dir):
     df = _frame(spark, sf_dir).withColumn("row_id", F.xxhash64(*forecast.KEYS))
     train = df.where(F.col("train_val_split") == 0)
-    test = df.where(F.col("train_val_split") == 1).drop("meter_reading")
-    model = ml.fit(train, forecast.feature_columns(), "meter_reading", "gbt", QUICK_GBT)
-    return io.submission(ml.predict(model, test, ["row_id"]))
+    test = df.where(F.col("train_val_split") == 1).drop("meter_reading", LABEL)
+    model = ml.fit(train, forecast.feature_columns(), LABEL, "gbt", QUICK_GBT)
+    return io.submission(ml.predict(model, test, ["row_id"], log_y=True))
 
 
 # --------------------------------------------------------------------------- k-NN (M5, one feature, exact)
