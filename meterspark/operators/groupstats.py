@@ -137,13 +137,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         F.array(*[F.when(small, F.col("_mx")).otherwise(F.col("_ap")[k + i]) for i in range(k)]).alias("_hi"),
     )
 
-    # Each row, per probability i: below the band -> counted as one bucket,
-    # inside -> kept by value, above -> dropped.
+    # Small groups (n <= accuracy): every value once, tagged i = -1, all probabilities
+    # are read from one ranked list.  Large groups, per probability i: below the
+    # band -> one counted bucket, inside -> kept by value, above -> dropped.
     if user_keys:
         tagged = base.join(bands.where(F.col("_n") > 0), gk, "inner")
     else:
         tagged = attach_scalar(base, bands.drop(_GLOBAL_KEY))
-    entries = F.filter(
+    whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit(False).alias("below"), F.col("_v").alias("v")))
+    per_prob = F.filter(
         F.array(*[
             F.when(F.col("_v") < F.col("_lo")[i], F.struct(F.lit(i).alias("i"), F.lit(True).alias("below"), F.lit(None).cast("double").alias("v")))
              .when(F.col("_v") <= F.col("_hi")[i], F.struct(F.lit(i).alias("i"), F.lit(False).alias("below"), F.col("_v").alias("v")))
@@ -151,30 +153,38 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         ]),
         lambda e: e.isNotNull(),
     )
+    entries = F.when(F.col("_n") <= F.lit(accuracy), whole).otherwise(per_prob)
     exploded = tagged.select(*gk, "_n", F.explode(entries).alias("_e")).select(
         *gk, "_n", F.col("_e.i").alias("_i"), F.col("_e.below").alias("_below"), F.col("_e.v").alias("_bv"))
     counted = exploded.groupBy(*gk, "_n", "_i", "_below", "_bv").agg(F.count(F.lit(1)).alias("_c"))
 
     w = Window.partitionBy(*gk, "_i").orderBy(F.col("_below").desc(), F.col("_bv").asc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p_arr = F.array(*[F.lit(p) for p in probs])
     ranked = counted.withColumn("_end", F.sum("_c").over(w) - 1) \
-        .withColumn("_start", F.col("_end") - F.col("_c") + 1) \
-        .withColumn("_pos", F.element_at(p_arr, F.col("_i") + 1) * (F.col("_n") - 1)) \
-        .withColumn("_r0", F.floor("_pos")) \
-        .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
+        .withColumn("_start", F.col("_end") - F.col("_c") + 1)
 
     def at(rank):
         return F.max(F.when((~F.col("_below")) & (F.col("_start") <= rank) & (rank <= F.col("_end")), F.col("_bv")))
 
-    picked = ranked.groupBy(*gk, "_i").agg(
-        at(F.col("_r0")).alias("_v0"), at(F.col("_r1")).alias("_v1"), F.first("_pos").alias("_pos"))
-    q = F.col("_v0") + (F.col("_pos") - F.floor("_pos")) * (F.col("_v1") - F.col("_v0"))
-    per_prob = picked.select(*gk, "_i", F.when(F.col("_v1") == F.col("_v0"), F.col("_v0")).otherwise(q).alias("_q"))
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        r0 = F.floor(pos)
+        r1 = F.least(r0 + 1, F.col("_n") - 1)
+        aggs += [at(r0).alias(f"_a{i}"), at(r1).alias(f"_b{i}")]
+    picked = ranked.groupBy(*gk, "_i").agg(F.first("_n").alias("_n"), *aggs)
+
+    def interp(i):
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        pos = F.lit(probs[i]) * (F.col("_n") - 1)
+        return F.when(b == a, a).otherwise(a + (pos - F.floor(pos)) * (b - a))
+
+    # A row of picked answers probability i when it holds the whole group (i = -1) or band i.
     if k == 1:
-        out = per_prob.select(*gk, F.col("_q").alias(names[0]))
+        out = picked.select(*gk, interp(0).alias(names[0]))
     else:
-        out = per_prob.groupBy(*gk).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i]) for i in range(k)])
+        out = picked.groupBy(*gk).agg(*[
+            F.max(F.when((F.col("_i") == -1) | (F.col("_i") == i), interp(i))).alias(names[i]) for i in range(k)])
     if extra_names:
         # One row per input group: the sketch side carries the extra statistics.
         if user_keys:
