@@ -283,19 +283,35 @@ def histogram_log1p(spark, sf_dir):
 _GRID = 50
 
 
-@query("density_by_category", sql=f"""
-WITH s AS (SELECT event_type, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h, min(value) AS mn, max(value) AS mx
-           FROM events WHERE value IS NOT NULL GROUP BY 1),
+def _density_sql(expr: str) -> str:
+    return f"""
+WITH ev AS (SELECT event_type, {expr} AS value FROM events),
+s AS (SELECT event_type, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h, min(value) AS mn, max(value) AS mx
+           FROM ev WHERE value IS NOT NULL GROUP BY 1),
 p AS (SELECT event_type, n, h, mn - 3.0 * h AS lo, (mx - mn + 6.0 * h) / {_GRID - 1} AS step FROM s WHERE h > 0),
 g AS (SELECT p.*, CAST(t.g AS INTEGER) AS g FROM p, range(0, {_GRID}) t(g))
 SELECT g.event_type, g.g, {rnd_sql('any_value(g.lo + g.g * g.step)', 6)} AS x,
   {rnd_sql(f'sum(exp(-0.5 * pow((g.lo + g.g * g.step - e.value) / g.h, 2))) / (any_value(g.n) * any_value(g.h) * {math.sqrt(2 * math.pi)!r})', 6)} AS density
-FROM g JOIN events e USING (event_type) GROUP BY g.event_type, g.g""")
-def density_by_category(spark, sf_dir):
-    d = pdata.density_by_category(roles.table(spark, sf_dir, "events"), "event_type", "value", _GRID)
+FROM g JOIN ev e USING (event_type) GROUP BY g.event_type, g.g"""
+
+
+def _density_spark(ev):
+    d = pdata.density_by_category(ev, "event_type", "value", _GRID)
     return d.select("event_type", F.col("g").cast("int").alias("g"), rnd("x", 6).alias("x"), rnd("density", 6).alias("density"))
 
 
+@query("density_by_category", sql=_density_sql("value"))
+def density_by_category(spark, sf_dir):
+    return _density_spark(roles.table(spark, sf_dir, "events"))
+
+
+@query("density_log1p", sql=_density_sql("ln(1 + value)"))
+def density_log1p(spark, sf_dir):
+    """V3: kernel density of log1p(value) per category."""
+    ev = roles.table(spark, sf_dir, "events").select("event_type", F.log1p("value").alias("value"))
+    return _density_spark(ev)
+
+
 @query("regr_line", sql=with_roles(
     f"SELECT l_returnflag, {rnd_sql('regr_slope(p, y)', 6)} AS slope, {rnd_sql('regr_intercept(p, y)', 4)} AS intercept, "
     "CAST(regr_count(p, y) AS BIGINT) AS n FROM pr GROUP BY 1", pr=roles.predictions_sql()))
