@@ -298,3 +298,19 @@ def test_date_coverage_and_missing_predictions(spark):
 def test_table_lengths(spark):
     t = {"a": spark.range(3), "b": spark.range(5).selectExpr("id", "id * 2 AS x")}
     assert rows(pf.table_lengths(t), "table_name", "n_rows", "n_cols") == [("a", 3, 1), ("b", 5, 2)]
+
+
+def test_change_encoding_and_null_columns(spark):
+    df = spark.createDataFrame([(0, 1.0, None), (2, None, None)], "meter int, a double, b double")
+    named = enc.change_encoding(df, {"meter": exprs.METER_NAMES}, ["meter", "site_id"], encode_to_int=False)
+    assert rows(named, "meter") == [("electricity",), ("steam",)]
+    back = enc.change_encoding(named, {"meter": exprs.METER_NAMES}, ["meter"], encode_to_int=True)
+    assert rows(back, "meter") == [(0,), (2,)]
+    assert enc.change_encoding(df, {"meter": exprs.METER_NAMES}, ["meter"], encode_to_int=True).columns == df.columns
+    (kept, other) = enc.drop_null_columns([df, df.withColumnRenamed("a", "a2")])
+    assert kept.columns == ["meter"] and other.columns == ["meter", "a2"]
+    rep = {r["column_name"]: r["dropped"] for r in enc.sparse_feature_report(df, thresh=0.5).collect()}
+    assert rep == {"meter": False, "a": False, "b": True}      # a is exactly on the threshold: kept
+    three = spark.createDataFrame([(None,), (1.0,), (2.0,)], "c double")
+    share = enc.sparse_feature_report(three, thresh=0.333, compat_rounding=True).first()
+    assert share["null_share"] == 0.333 and share["dropped"] is False   # rounded to 0.1 % first
