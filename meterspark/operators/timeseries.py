@@ -88,6 +88,10 @@ def interpolate_linear(df: DataFrame, by: Sequence[str], order: str, cols: Seque
                        tiebreak: Sequence[str] = ()) -> DataFrame:
     """Linear interpolation by row position within each series.
 
+    ``order`` (plus ``tiebreak``) must be unique within a series: positions
+    come from ``row_number`` and are reused by the chunk summaries, so ties
+    would make them depend on evaluation order.
+
     Inner gaps: ``prev + (next - prev) * (rn - prev_rn) / (next_rn - prev_rn)``;
     trailing gaps take the last valid value; leading gaps stay NULL unless
     ``fill_edges`` (then they take the first valid value, i.e. a backfill).
