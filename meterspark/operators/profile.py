@@ -47,15 +47,27 @@ def stats_by_value(df: DataFrame, by: str, value: str, digits: int = 2,
         fin(F.col("max")).alias("max"))
 
 
-def missing_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, volume, percent) of NULLs per column, one pass over the rows."""
+def missing_table(df: DataFrame, cols: Sequence[str] | None = None, share_of_nulls: bool = False) -> DataFrame:
+    """(column_name, volume, percent) of NULLs per column, one pass over the rows.
+
+    With ``share_of_nulls`` also each column's share of all NULLs (0 when there are none).
+    """
     cols = list(cols or df.columns)
     one = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(cols)])
     stack = "stack({n}, {pairs}) as (column_name, volume)".format(
         n=len(cols), pairs=", ".join(f"'{c}', _n{i}" for i, c in enumerate(cols)))
-    return one.selectExpr(stack, "_rows").select(
-        "column_name", "volume", (F.col("volume") / F.col("_rows")).alias("percent"))
+    extra = []
+    if share_of_nulls:
+        total = " + ".join(f"_n{i}" for i in range(len(cols)))
+        one = one.withColumn("_all", F.expr(total))
+        extra = ["_all"]
+    out = one.selectExpr(stack, "_rows", *extra).select(
+        "column_name", "volume", (F.col("volume") / F.col("_rows")).alias("percent"), *extra)
+    if share_of_nulls:
+        out = out.withColumn("perc_of_nulls", F.coalesce(F.try_divide(F.col("volume"), F.col("_all")), F.lit(0.0))) \
+            .drop("_all")
+    return out
 
 
 def value_share(df: DataFrame, col: str) -> DataFrame:

@@ -144,6 +144,16 @@ def count_intervals(spark, sf_dir):
     return pf.count_intervals(roles.table(spark, sf_dir, "events"), "value", _BOUNDS)
 
 
+@query("interval_bar", sql=f"""
+SELECT bucket, count, {exprs.human_format_sql('count')} AS label FROM (
+  SELECT CASE WHEN value <= 10 THEN 10 WHEN value <= 20 THEN 20 WHEN value <= 50 THEN 50 WHEN value <= 100 THEN 100 END AS bucket,
+    count(*) AS count FROM events WHERE value IS NOT NULL GROUP BY 1)""")
+def interval_bar(spark, sf_dir):
+    """V8: interval counts with human-readable bar labels."""
+    c = pf.count_intervals(roles.table(spark, sf_dir, "events"), "value", _BOUNDS)
+    return c.withColumn("label", exprs.human_format("count"))
+
+
 @query("aggregate_by_field", sql=with_roles(
     f"SELECT building_id, meter, {rnd_sql('sum(meter_reading)', 6)} AS meter_reading_sum, "
     f"{rnd_sql('avg(meter_reading)', 6)} AS meter_reading_mean, max(meter_reading) AS meter_reading_max, "

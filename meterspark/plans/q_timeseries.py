@@ -118,14 +118,17 @@ def pivot_series(spark, sf_dir):
     return tsx.pivot_series(roles.weather(spark, sf_dir), "ts", "site_id", "air_temperature", _SITE_CODES, "site_")
 
 
-@query("pivot_missing", sql=with_roles(" UNION ALL ".join(
-    f"SELECT 'site_{s}' AS column_name, count(*) FILTER (WHERE site_{s} IS NULL) AS volume, "
-    f"count(*) FILTER (WHERE site_{s} IS NULL) / count(*) AS percent FROM p" for s in _SITE_CODES),
+@query("pivot_missing", sql=with_roles(
+    "SELECT column_name, volume, percent, CASE WHEN sum(volume) OVER () = 0 THEN 0.0 "
+    "ELSE volume / sum(volume) OVER () END AS perc_of_nulls FROM (" + " UNION ALL ".join(
+        f"SELECT 'site_{s}' AS column_name, count(*) FILTER (WHERE site_{s} IS NULL) AS volume, "
+        f"count(*) FILTER (WHERE site_{s} IS NULL) / count(*) AS percent FROM p" for s in _SITE_CODES) + ")",
     w=W, p="SELECT ts, " + ", ".join(f"max(air_temperature) FILTER (WHERE site_id = {s}) AS site_{s}" for s in _SITE_CODES)
     + " FROM w GROUP BY ts"))
 def pivot_missing(spark, sf_dir):
+    """T9: the time-spine pivot's NULL count, share of rows and share of all NULLs per column."""
     p = tsx.pivot_series(roles.weather(spark, sf_dir), "ts", "site_id", "air_temperature", _SITE_CODES, "site_")
-    return pf.missing_table(p, [f"site_{s}" for s in _SITE_CODES])
+    return pf.missing_table(p, [f"site_{s}" for s in _SITE_CODES], share_of_nulls=True)
 
 
 @query("series_slice", sql=with_roles(
