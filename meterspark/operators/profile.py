@@ -351,4 +351,9 @@ def corr_significance(df: DataFrame, cols: Sequence[str], sig_level: float = 0.0
     m = corr_matrix(df, cols)
     t = F.col("corr") * F.sqrt(F.try_divide(F.col("n") - F.lit(2), F.lit(1.0) - F.col("corr") * F.col("corr")))
     out = m.withColumn("t_stat", t).withColumn("p_value", p_value(F.col("corr"), F.col("n")))
-    return out.withColumn("significant", (F.col("p_value") <= F.lit(sig_level)) & (F.col("p_value") != 0))
+    out = out.withColumn("significant", (F.col("p_value") <= F.lit(sig_level)) & (F.col("p_value") != 0))
+    # Share of significant unordered pairs among the k(k-1)/2 off-diagonal pairs (k*k rows: bounded).
+    k = len(list(cols))
+    share = out.where(F.col("i") < F.col("j")).agg(
+        (F.count_if("significant") / F.lit(max(1, k * (k - 1) // 2))).alias("share_significant"))
+    return gs.attach(out, share, [])
