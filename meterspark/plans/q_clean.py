@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rnd, rnd_sql
+from ..functions.numeric import rnd_sql
 from ..operators import outliers as ol
 from ..operators import profile as pf
 from ..sources import roles
