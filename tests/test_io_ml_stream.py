@@ -107,3 +107,11 @@ def test_forecast_end_to_end_writes_complete_submission(spark):
     sub = spark.read.option("header", True).csv(out)
     assert sub.columns == ["row_id", "meter_reading"]
     assert sub.where("CAST(meter_reading AS DOUBLE) < 0").count() == 0
+
+
+def test_exploration_report_builds(spark):
+    from meterspark.plans.explore import exploration_report
+    rep = exploration_report(spark, SF001)
+    counts = {k: v.count() for k, v in rep.items()}
+    assert all(n > 0 for n in counts.values()), counts
+    assert counts["top_variation"] == 2 and counts["zero_share_by_meter"] == 4
