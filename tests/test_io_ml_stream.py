@@ -115,3 +115,18 @@ def test_exploration_report_builds(spark):
     counts = {k: v.count() for k, v in rep.items()}
     assert all(n > 0 for n in counts.values()), counts
     assert counts["top_variation"] == 2 and counts["zero_share_by_meter"] == 4
+
+
+def test_streaming_reading_features_equal_batch(spark):
+    src = os.path.join(_scratch(), "readings")
+    batch_in = roles.readings(spark, SF001, zeros=True)
+    batch_in.write.parquet(src)
+    stream_in = spark.readStream.schema(batch_in.schema).parquet(src)
+    q = sfx.reading_features(stream_in).writeStream.outputMode("append").format("memory") \
+        .queryName("reading_features_t").option("checkpointLocation", os.path.join(_scratch(), "ckpt")).start()
+    q.processAllAvailable()
+    q.stop()
+    streamed = spark.sql("SELECT * FROM reading_features_t")
+    expected = sfx.reading_features(batch_in)
+    assert streamed.count() == expected.count() > 0
+    assert streamed.exceptAll(expected).count() == 0
