@@ -21,6 +21,19 @@ def map_labels(df: DataFrame, col: str, mapping: Mapping, reverse: bool = False,
     return df.withColumn(out or col, exprs.map_values(col, mapping, reverse))
 
 
+def map_labels_table(df: DataFrame, col: str, mapping: DataFrame, key: str = "key", value: str = "value",
+                     reverse: bool = False, out: str | None = None) -> DataFrame:
+    """Dictionary map held as a DataFrame (for dictionaries too large for a literal map).
+
+    A left join on the key (AQE broadcasts a small dictionary at run time);
+    unmapped values become NULL, as with the literal map.
+    """
+    k, v = (value, key) if reverse else (key, value)
+    dim = mapping.select(F.col(k).alias("_map_k"), F.col(v).alias("_map_v")).dropDuplicates(["_map_k"])
+    j = df.join(dim, F.col(col) == F.col("_map_k"), "left")
+    return j.withColumn(out or col, F.col("_map_v")).drop("_map_k", "_map_v")
+
+
 def label_encode(df: DataFrame, col: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Sorted distinct values -> 0..n-1.  Returns (encoded rows, code->label dimension).
 

@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 from . import groupstats as gs
 
 
-def local_time_shift(df: DataFrame, offsets: DataFrame, site_col: str = "site_id", ts_col: str = "ts",
+def local_time_shift(df: DataFrame, offsets: DataFrame | None = None, site_col: str = "site_id", ts_col: str = "ts",
                      offset_col: str = "offset_h", out: str | None = None) -> DataFrame:
     """``ts + offset hours`` of the row's site; a site without an offset gets NULL.
 
     ``offsets`` is a lookup table (site -> hours); AQE broadcasts it by
-    measured size.
+    measured size.  Without it the fixed 16-site offset list is used.
     """
+    if offsets is None:
+        from .encode import site_offsets_frame
+        offsets = site_offsets_frame(df.sparkSession).withColumnRenamed("site_id", site_col) \
+            .withColumnRenamed("offset_h", offset_col)
     j = df.join(offsets.select(site_col, offset_col), site_col, "left")
     shifted = F.expr(f"timestampadd(HOUR, {offset_col}, {ts_col})")
     return j.withColumn(out or ts_col, shifted).drop(offset_col)

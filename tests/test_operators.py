@@ -314,3 +314,14 @@ def test_change_encoding_and_null_columns(spark):
     three = spark.createDataFrame([(None,), (1.0,), (2.0,)], "c double")
     share = enc.sparse_feature_report(three, thresh=0.333, compat_rounding=True).first()
     assert share["null_share"] == 0.333 and share["dropped"] is False   # rounded to 0.1 % first
+
+
+def test_table_map_and_default_offsets(spark):
+    dim = spark.createDataFrame([(0, "electricity"), (1, "chilledwater")], "key int, value string")
+    df = spark.createDataFrame([(0,), (1,), (5,)], "m int")
+    assert rows(enc.map_labels_table(df, "m", dim, out="name"), "m", "name") == [(0, "electricity"), (1, "chilledwater"), (5, None)]
+    names = spark.createDataFrame([("chilledwater",), ("x",)], "n string")
+    assert rows(enc.map_labels_table(names, "n", dim, reverse=True, out="code"), "n", "code") == [("chilledwater", 1), ("x", None)]
+    w = spark.createDataFrame([(4, T(2016, 1, 1, 10)), (99, T(2016, 1, 1, 10))], "site_id int, ts timestamp_ntz")
+    got = dict(rows(tsx.local_time_shift(w), "site_id", "ts"))
+    assert got == {4: T(2016, 1, 1, 2), 99: None}
