@@ -21,17 +21,19 @@ MAD_SCALE = 1.4826
 
 
 def stats_by_value(df: DataFrame, by: str, value: str, digits: int = 2,
-                   accuracy: int = gs.DEFAULT_ACCURACY) -> DataFrame:
+                   accuracy: int = gs.DEFAULT_ACCURACY, mad_propagates_nulls: bool = False) -> DataFrame:
     """count / min / mean / std / median / scaled MAD / max per group.
 
     ``count`` counts rows (nulls included); missing statistics become 0;
-    everything except ``count`` is rounded to ``digits``.
+    everything except ``count`` is rounded to ``digits``.  The MAD skips
+    missing values; ``mad_propagates_nulls`` reproduces the source library's
+    default instead (a group with any missing value gets MAD 0).
     """
     src = df.select(by, null_nan(value).alias("_y"))
     # Plain statistics ride along in the median's sketch pass (no extra scan).
     med = gs.median(src, [by], "_y", "median", accuracy, extra_aggs=[
         F.count(F.lit(1)).alias("count"), F.min("_y").alias("min"), F.avg("_y").alias("mean"),
-        F.stddev_samp("_y").alias("std"), F.max("_y").alias("max")])
+        F.stddev_samp("_y").alias("std"), F.max("_y").alias("max"), F.count_if(F.col("_y").isNull()).alias("_nulls")])
     dev = gs.attach(src, med.select(by, "median"), [by], how="inner") \
         .select(by, F.abs(F.col("_y") - F.col("median")).alias("_d"))
     mad = gs.median(dev, [by], "_d", "_mad", accuracy)
@@ -40,10 +42,13 @@ def stats_by_value(df: DataFrame, by: str, value: str, digits: int = 2,
     def fin(c):
         return rnd(F.coalesce(c, F.lit(0.0)), digits)
 
+    mad = F.lit(MAD_SCALE) * F.col("_mad")
+    if mad_propagates_nulls:
+        mad = F.when(F.col("_nulls") > 0, F.lit(None)).otherwise(mad)
     return out.select(
         by, F.col("count").cast("int").alias("count"),
         fin(F.col("min")).alias("min"), fin(F.col("mean")).alias("mean"), fin(F.col("std")).alias("std"),
-        fin(F.col("median")).alias("median"), fin(F.lit(MAD_SCALE) * F.col("_mad")).alias("mad"),
+        fin(F.col("median")).alias("median"), fin(mad).alias("mad"),
         fin(F.col("max")).alias("max"))
 
 

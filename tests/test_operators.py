@@ -325,3 +325,9 @@ def test_table_map_and_default_offsets(spark):
     w = spark.createDataFrame([(4, T(2016, 1, 1, 10)), (99, T(2016, 1, 1, 10))], "site_id int, ts timestamp_ntz")
     got = dict(rows(tsx.local_time_shift(w), "site_id", "ts"))
     assert got == {4: T(2016, 1, 1, 2), 99: None}
+
+
+def test_stats_by_value_mad_null_policy(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", None)], "k string, y double")
+    assert pf.stats_by_value(df, "k", "y").first()["mad"] == round(1.4826, 2)
+    assert pf.stats_by_value(df, "k", "y", mad_propagates_nulls=True).first()["mad"] == 0.0
