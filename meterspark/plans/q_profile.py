@@ -43,7 +43,7 @@ _LEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
 
 @query("table_lengths", sql=" UNION ALL ".join(
     f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, "
-    f"CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS INTEGER) AS n_cols"
+    f"CAST((SELECT count(*) FROM (DESCRIBE {t})) AS INTEGER) AS n_cols"
     for t in _LEN_TABLES))
 def table_lengths(spark, sf_dir):
     return pf.table_lengths({t: roles.table(spark, sf_dir, t) for t in _LEN_TABLES})
