@@ -49,7 +49,7 @@ m AS (SELECT a.doc_id, len(w)::BIGINT AS n_words,
       FROM a LEFT JOIN rep ON rep.doc_id = a.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND n_symbols <= 0.1 * n_words
-  AND ex <= 0.5 * n_words AND st >= 0.02 * n_words AND n_dup_lines <= 0.3 * nl AND bu <= 0.9 * nl AND el <= 0.3 * nl AS kept
+  AND ex <= 0.5 * n_words AND st >= 0.02 * n_words AND n_dup_lines <= 0.5 * nl AND bu <= 0.9 * nl AND el <= 0.3 * nl AS kept
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 """)
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ RULES: tuple[Rule, ...] = (
     Rule("symbol_ratio", "n_symbols", "n_words", None, 0.1),
     Rule("exclamation_ratio", "n_exclaim", "n_words", None, 0.5),
     Rule("stop_word_ratio", "n_stop_words", "n_words", 0.02, None),
-    Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", None, 0.5),
     Rule("bullet_line_ratio", "n_bullet_lines", "n_lines", None, 0.9),
     Rule("ellipsis_line_ratio", "n_ellipsis_lines", "n_lines", None, 0.3),
 )
