@@ -22,8 +22,11 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _low = np.arange(256)
 _low[65:91] += 32
 _BYTE_LOWER = _BYTE[_low]
-_SEP = np.zeros(256, bool)
-_SEP[[32, 9, 10, 11, 12, 13]] = True
+#: Word separators: the white space of the shingle words; all ASCII but letters and digits for plain words.
+WHITE = np.zeros(256, bool)
+WHITE[[32, 9, 10, 11, 12, 13]] = True
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = NOT_ALNUM[128:] = False
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _K = _U(0xD6E8FEB86659FD93)
@@ -74,14 +77,14 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of one slice of texts: (hash, start byte, end byte, first word of each text + total)."""
     base = int(offsets[0])
     data, off = raw[base:int(offsets[-1])], offsets - base
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_SEP[data]
+    solid = ~sep[data]
     edge = np.zeros(n + 1, bool)  # a text begins here
     edge[off] = True
     first = solid.copy()
@@ -91,7 +94,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * power[:n], out=total[1:])
+    np.cumsum(_BYTE_LOWER[data] * power[:n], out=total[1:])
     h = mix((total[end] - total[start]) * inverse[start])
     return h, start + base, end + base, np.searchsorted(start, off)
 
