@@ -1,15 +1,65 @@
-"""Corpus pipeline over ``documents`` (stages are added as their operators land)."""
+"""Corpus pipeline over ``documents``: filter, deduplicate, decontaminate, redact, pack.
+
+Each stage takes (spark, docs, sf_dir), works on everything its predecessor
+kept and returns a DataFrame; all but the last return the columns of
+``documents``.  ``run`` writes every stage's rows to the shared folder and
+reads them back, so a stage is computed once and a lost executor never repeats
+an earlier one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterspark.llm import decontaminate, ngram_join, packing, quality, secrets
+from meterspark.llm.common import stored
+from meterspark.llm.q_llm import tokenizer_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays (five words, similarity of 0.8)."""
+    return ngram_join.keep_one(docs, 80, 5)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark, and the declared length follows the text."""
+    clean = secrets.redact(docs)
+    if "n_chars" not in clean.columns:
+        return clean
+    kind = docs.schema["n_chars"].dataType
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), 2, 1024)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: No SQL expresses the classifier, the tokenizer or the walk; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

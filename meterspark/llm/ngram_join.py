@@ -368,3 +368,20 @@ def link_components(docs: DataFrame, threshold: int = 80, width: int = 5) -> Dat
     profile = set_profiles(lost.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), width)
     none = F.lit(None).cast("long")
     return out.unionByName(profile.select("doc_id", F.col("n").alias("n_shingles"), none.alias("class_id"), none.alias("component_id")))
+
+
+def keep_one(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component; all columns stay.
+
+    Rows without doc_id stay; of rows that repeat a doc_id the one with the smallest text stays.
+    """
+    found = link_components(docs, threshold, width).where(F.col("doc_id").isNotNull())
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    repeated = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "repeated")
+    if repeated.isEmpty():
+        return out
+    twice = out.join(repeated, out["doc_id"] == repeated["_twice"], "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct("text", *[c for c in docs.columns if c not in ("text", "doc_id")])).alias("_row"))
+    rest = out.join(repeated, out["doc_id"] == repeated["_twice"], "left_anti")
+    return rest.unionByName(twice.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns]))
