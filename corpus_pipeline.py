@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterspark.llm import decontaminate, ngram_join, packing, quality, secrets
+from meterspark.llm import decontaminate, ngram_join, packing, quality, secret_scan
 from meterspark.llm.common import stored
 from meterspark.llm.q_llm import tokenizer_path
 
@@ -34,7 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark, and the declared length follows the text."""
-    clean = secrets.redact(docs)
+    clean = secret_scan.redact(docs)
     if "n_chars" not in clean.columns:
         return clean
     kind = docs.schema["n_chars"].dataType

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, quality, quality_rules, secrets, sharding, token_store, toxicity
+from . import decontaminate, ngram_join, packing, quality, quality_rules, secret_scan, sharding, suffix_dedup, token_store, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), 2, 1024)
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), 100)
+
+
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, token_store.write(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2))
@@ -103,4 +108,4 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_secret_scans")
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan(documents(spark, sf_dir)))
+    return secret_scan.digests(secret_scan.scan(documents(spark, sf_dir)))
