@@ -256,13 +256,13 @@ def run_pairs(key: np.ndarray, doc: np.ndarray, cap: int, last: bool, label: dic
     return ids[both // n] if n else both, ids[both % n] if n else both, mark
 
 
-def _candidates(blocks: DataFrame, last: bool) -> DataFrame:
+def _candidates(blocks: DataFrame, last: bool, cap: int) -> DataFrame:
     """Distinct pairs (a, b, star) whose sets share a signature."""
     def run(t: pa.Table) -> pa.Table:
         def joined(name, kind):
             return np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
 
-        a, b, star = run_pairs(joined("keys", "<u8"), np.repeat(joined("docs", "<i8"), joined("counts", "<u4")), CAP, last)
+        a, b, star = run_pairs(joined("keys", "<u8"), np.repeat(joined("docs", "<i8"), joined("counts", "<u4")), cap, last)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "star": pa.array(star, pa.bool_())})
 
     found = blocks.groupBy("bucket").applyInArrow(run, "a long, b long, star boolean")
@@ -319,7 +319,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> Da
     return rows.groupBy("a", "part").applyInArrow(run, "a long, b long")
 
 
-def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5, cap: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profiles with the class of every document, verified links between documents, components of linked classes)."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -335,7 +335,7 @@ def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5) -> tu
     links, scope, joined = None, docs, None
     for level, (k2, n2) in enumerate(LEVELS):
         last = level == len(LEVELS) - 1
-        pairs = stored(_candidates(_blocks(scope, buckets, bands, width, k2, n2), last), "pairs")
+        pairs = stored(_candidates(_blocks(scope, buckets, bands, width, k2, n2), last, cap), "pairs")
         new = stored(_verify(_prune(pairs.select("a", "b"), one, threshold), docs, width, threshold), "links")
         links = new if links is None else links.unionByName(new)
         by_class = (links.join(member.select(F.col("doc_id").alias("a"), F.col("class").alias("u")), "a")
@@ -358,9 +358,9 @@ def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5) -> tu
     return member, links, joined
 
 
-def link_components(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
+def link_components(docs: DataFrame, threshold: int = 80, width: int = 5, cap: int = CAP) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every row of ``docs``."""
-    member, _, joined = similarity_links(docs, threshold, width)
+    member, _, joined = similarity_links(docs, threshold, width, cap)
     out = member.join(joined, member["class"] == joined["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"),
         F.coalesce("component", "class").alias("component_id"))
