@@ -24,9 +24,10 @@ sorting (a bucket's size does not grow with the input).  A run of up to
 most central member instead.  Candidates are pruned by a histogram bound of the
 symmetric difference (exact: it never drops a link), and the survivors are
 verified on the whole sets.  When a star leaves members in different
-components, all members of that pivot's stars sign again with longer
-projections (next of ``LEVELS``); the last level compares all members of a run
-that are still in different components.  So components are exact, and links
+components, all members of that pivot's stars sign once more with longer
+projections, carrying their component and histogram; in each bucket only pairs
+of different components that the bound lets through are sent on.  Every link
+between different components is then verified, so components are exact; links
 inside a dense group are reported as links that span it.
 
 Sets equal to each other are one class and are compared once per task.
@@ -48,11 +49,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bucket_count, stored, text_bytes
+from .common import bucket_count, release, stored, text_bytes
 from .components import components
 
-#: (k2, n2) of the first and the refining rounds.
-LEVELS = ((1, 3), (2, 5), (3, 7))
+#: (k2, n2) of the first and the refining signing.
+FIRST, FINE = (1, 3), (2, 5)
 CAP = 8
 CELLS = 128
 SLACK = 1.08
@@ -163,11 +164,18 @@ def set_profiles(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, hist binary")
 
 
-def _blocks(docs: DataFrame, buckets: int, bands: Bands, width: int, k2: int, n2: int) -> DataFrame:
-    """Packed signature blocks: (bucket, ids of sets, entries of each, keys)."""
+_BLOCK = "bucket long, docs binary, counts binary, keys binary"
+
+
+def _blocks(docs: DataFrame, buckets: int, bands: Bands, width: int, k2: int, n2: int, fine: bool = False) -> DataFrame:
+    """Packed signature blocks: (bucket, ids of sets, entries of each, keys).
+
+    ``fine``: ``docs`` also has label, n and hist, which every block repeats for its sets.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # classes this task has signed for
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        more: dict[int, tuple[int, int, bytes]] = {}
         waiting = 0
 
         def flush() -> pa.RecordBatch:
@@ -182,11 +190,16 @@ def _blocks(docs: DataFrame, buckets: int, bands: Bands, width: int, k2: int, n2
             rows = []
             for a, b in zip(edge, ends):
                 at = np.flatnonzero(new[a:b])
-                rows.append((int(bucket[a]), doc[a:b][at].tobytes(), np.diff(np.append(at, b - a)).astype("<u4").tobytes(),
-                             key[a:b].tobytes()))
+                own = doc[a:b][at]
+                row = (int(bucket[a]), own.tobytes(), np.diff(np.append(at, b - a)).astype("<u4").tobytes(), key[a:b].tobytes())
+                if fine:
+                    label, n, hist = zip(*(more[d] for d in own.tolist()))
+                    row += (np.array(label, "<i8").tobytes(), np.array(n, "<i8").tobytes(), b"".join(hist))
+                rows.append(row)
+            more.clear()
             c = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])],
-                                              ["bucket", "docs", "counts", "keys"])
+                                              ["bucket", "docs", "counts", "keys", "labels", "sizes", "hists"][:len(c)])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -208,23 +221,31 @@ def _blocks(docs: DataFrame, buckets: int, bands: Bands, width: int, k2: int, n2
                 if len(key):
                     held.append((key, ids[a:b][keep][own].astype("<i8")))
                     waiting += len(key)
+                    if fine:
+                        for i in keep:
+                            more[int(ids[a + i])] = tuple(batch.column(c)[a + i].as_py() for c in (2, 3, 4))
                 if waiting >= BLOCK_ENTRIES:
                     yield flush()
                     waiting = 0
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket long, docs binary, counts binary, keys binary")
+    return docs.mapInArrow(run, _BLOCK + ", labels binary, sizes binary, hists binary" * fine)
 
 
-def run_pairs(key: np.ndarray, doc: np.ndarray, cap: int, last: bool, label: dict[int, int] | None = None):
-    """Distinct candidate pairs (a, b, star) of equal keys; ``star`` marks a pair of a pivot (a) with a member."""
-    ids, idx = np.unique(doc, return_inverse=True)
+def _runs(key: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members ordered by key, and where each run of equal keys begins (+ total)."""
     order = np.lexsort((idx, key))
     key, idx = key[order], idx[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (idx[1:] != idx[:-1])])  # a set signs once per key
     key, idx = key[new], idx[new]
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    return idx, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+
+
+def run_pairs(key: np.ndarray, doc: np.ndarray, cap: int):
+    """Distinct candidate pairs (a, b, star) of equal keys; ``star`` marks a pair of a pivot (a) with a member."""
+    ids, idx = np.unique(doc, return_inverse=True)
+    idx, edge = _runs(key, idx)
     length = np.diff(edge)
     codes, n = [np.zeros(0, np.int64)], len(ids)
     for m in range(2, cap + 1):
@@ -237,38 +258,87 @@ def run_pairs(key: np.ndarray, doc: np.ndarray, cap: int, last: bool, label: dic
         member = np.concatenate([np.arange(edge[r], edge[r + 1]) for r in large])
         run = np.repeat(np.arange(len(large)), length[large])
         who = idx[member]
-        central = np.bincount(who, minlength=n)
-        if last:
-            lab = np.array([label.get(int(d), int(d)) for d in ids]) if label else ids
-            for r in range(len(large)):
-                w = who[run == r]
-                for i in range(len(w) - 1):  # one row of the run at a time; only pairs in different components
-                    other = w[i + 1:][lab[w[i + 1:]] != lab[w[i]]]
-                    codes.append(w[i] * n + other)
-        else:
-            order = np.lexsort((who, -central[who], run))
-            first = np.flatnonzero(np.concatenate([[True], run[order][1:] != run[order][:-1]]))
-            pivot = who[order][first][run]
-            stars.append(np.unique((pivot * n + who)[pivot != who]))
+        # in how many long runs of this bucket a set takes part, in powers of two: buckets then agree on pivots
+        central = np.frexp(np.bincount(who, minlength=n))[1]
+        order = np.lexsort((who, -central[who], run))
+        first = np.flatnonzero(np.concatenate([[True], run[order][1:] != run[order][:-1]]))
+        pivot = who[order][first][run]
+        stars.append(np.unique((pivot * n + who)[pivot != who]))
     plain, star = np.unique(np.concatenate(codes)), np.unique(np.concatenate(stars))
     both = np.concatenate([plain, star])
     mark = np.concatenate([np.zeros(len(plain), bool), np.ones(len(star), bool)])
     return ids[both // n] if n else both, ids[both % n] if n else both, mark
 
 
-def _candidates(blocks: DataFrame, last: bool, cap: int) -> DataFrame:
+def may_link(far: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether sets whose symmetric difference is at least ``far`` can reach the threshold."""
+    return far * (100 + threshold) <= (size_a + size_b) * (100 - threshold)
+
+
+def open_pairs(key, doc, label, size, hist, threshold: int, chunk: int = 1 << 17):
+    """Distinct pairs of equal keys, different labels and admissible sizes and histograms, compared ``chunk`` at a time.
+
+    ``label``, ``size`` and ``hist`` belong to the entries of ``doc``'s distinct values in ascending order.
+    """
+    ids, idx = np.unique(doc, return_inverse=True)
+    idx, edge = _runs(key, idx)
+    n, out, held, waiting = len(ids), [np.zeros(0, np.int64)], [], 0
+
+    def settle() -> None:
+        code = np.unique(np.concatenate(held))
+        for at in range(0, len(code), chunk):
+            a, b = code[at:at + chunk] // n, code[at:at + chunk] % n
+            far = np.abs(hist[a].astype(np.int16) - hist[b]).sum(1, dtype=np.int64)
+            out.append(code[at:at + chunk][may_link(far, size[a], size[b], threshold)])
+
+    for a, b in zip(edge[:-1], edge[1:]):
+        w = idx[a:b]
+        if b - a < 2 or (label[w] == label[w[0]]).all():
+            continue
+        w = w[np.argsort(size[w], kind="stable")]  # partners of a set lie in a range of sizes
+        end = np.searchsorted(size[w], size[w] * 100 // threshold, "right")
+        for i in range(len(w) - 1):
+            other = w[i + 1:end[i]]
+            other = other[label[other] != label[w[i]]]
+            if len(other):
+                held.append(np.minimum(other, w[i]) * n + np.maximum(other, w[i]))
+                waiting += len(other)
+        if waiting >= 8 * chunk:
+            settle()
+            held, waiting = [], 0
+    if held:
+        settle()
+    code = np.unique(np.concatenate(out))
+    return ids[code // n], ids[code % n]
+
+
+def _joined(t: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
+
+
+def _candidates(blocks: DataFrame, cap: int) -> DataFrame:
     """Distinct pairs (a, b, star) whose sets share a signature."""
     def run(t: pa.Table) -> pa.Table:
-        def joined(name, kind):
-            return np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
-
-        a, b, star = run_pairs(joined("keys", "<u8"), np.repeat(joined("docs", "<i8"), joined("counts", "<u4")), cap, last)
+        a, b, star = run_pairs(_joined(t, "keys", "<u8"), np.repeat(_joined(t, "docs", "<i8"), _joined(t, "counts", "<u4")), cap)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "star": pa.array(star, pa.bool_())})
 
     found = blocks.groupBy("bucket").applyInArrow(run, "a long, b long, star boolean")
     return found.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
+def _open_candidates(blocks: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs of different components that share a fine signature and may link."""
+    def run(t: pa.Table) -> pa.Table:
+        docs = _joined(t, "docs", "<i8")
+        _, first = np.unique(docs, return_index=True)
+        hist = _joined(t, "hists", np.uint8).reshape(-1, CELLS)
+        a, b = open_pairs(_joined(t, "keys", "<u8"), np.repeat(docs, _joined(t, "counts", "<u4")), _joined(t, "labels", "<i8")[first],
+                          _joined(t, "sizes", "<i8")[first], hist[first], threshold)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return blocks.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+
+
 def _prune(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose sizes and histograms allow a link (the histogram distance never exceeds the true one)."""
     own = profiles.select("doc_id", "n", "f1", "f2", "hist")
@@ -287,8 +357,7 @@ def _prune(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
             x = np.frombuffer(b"".join(t.column("hist_a").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
             y = np.frombuffer(b"".join(t.column("hist_b").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
             far = np.abs(x - y).sum(1, dtype=np.int64)
-            most = (t.column("n_a").to_numpy() + t.column("n_b").to_numpy()) * (100 - threshold)
-            keep = far * (100 + threshold) <= most
+            keep = may_link(far, t.column("n_a").to_numpy(), t.column("n_b").to_numpy(), threshold)
             yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return rows.select("a", "b", "n_a", "n_b", "hist_a", "hist_b").mapInArrow(run, "a long, b long")
@@ -332,29 +401,33 @@ def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5, cap:
     stats = profiles.agg(F.max("n")).first()
     bands = Bands(threshold, max(1, int(stats[0] or 1)))
     buckets = bucket_count(text_bytes(docs), SIGNATURE_BUCKET_BYTES)
-    links, scope, joined = None, docs, None
-    for level, (k2, n2) in enumerate(LEVELS):
-        last = level == len(LEVELS) - 1
-        pairs = stored(_candidates(_blocks(scope, buckets, bands, width, k2, n2), last, cap), "pairs")
-        new = stored(_verify(_prune(pairs.select("a", "b"), one, threshold), docs, width, threshold), "links")
-        links = new if links is None else links.unionByName(new)
+    repeated = member.join(member.groupBy("doc_id").agg(F.min("class").alias("v")), "doc_id").where("class <> v").select(
+        F.col("class").alias("u"), "v")
+
+    def connected(links: DataFrame) -> DataFrame:
         by_class = (links.join(member.select(F.col("doc_id").alias("a"), F.col("class").alias("u")), "a")
                     .join(member.select(F.col("doc_id").alias("b"), F.col("class").alias("v")), "b").select("u", "v"))
-        repeated = member.join(member.groupBy("doc_id").agg(F.min("class").alias("v")), "doc_id").where("class <> v").select(
-            F.col("class").alias("u"), "v")
-        joined = stored(components(by_class.unionByName(repeated), "u", "v"), "components")
-        if last:
-            break
-        label = member.join(joined, member["class"] == joined["node"], "left").select(
-            "doc_id", F.coalesce("component", "class").alias("label")).distinct()
-        star = pairs.where("star").join(label.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a").join(
-            label.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b")
-        open_ = star.where("la <> lb").select("a").distinct()
-        again = star.join(open_, "a")
-        who = stored(again.select(F.col("a").alias("doc_id")).unionByName(again.select(F.col("b").alias("doc_id"))).distinct(), "again")
-        if who.isEmpty():
-            break
-        scope = docs.join(who, "doc_id")
+        return stored(components(by_class.unionByName(repeated), "u", "v"), "components")
+
+    pairs = stored(_candidates(_blocks(docs, buckets, bands, width, *FIRST), cap), "pairs")
+    release(docs.sparkSession)
+    links = stored(_verify(_prune(pairs.select("a", "b"), one, threshold), docs, width, threshold), "links")
+    release(docs.sparkSession)
+    joined = connected(links)
+    label = member.join(joined, member["class"] == joined["node"], "left").groupBy("doc_id").agg(
+        F.min(F.coalesce("component", "class")).alias("label"))
+    star = pairs.where("star").select(F.col("a").alias("pivot"), F.col("b").alias("member"))
+    star = star.unionByName(star.select("pivot", F.col("pivot").alias("member")).distinct())
+    star = stored(star.join(label.withColumnRenamed("doc_id", "member"), "member"), "stars")
+    mixed = star.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("pivot")
+    who = stored(star.join(mixed, "pivot", "left_semi").select(F.col("member").alias("doc_id"), "label").distinct(), "again")
+    if not who.isEmpty():
+        known = who.join(one.select("doc_id", "n", "hist"), "doc_id")
+        scope = docs.join(known, "doc_id").select("doc_id", "text", "label", "n", "hist")
+        more = stored(_open_candidates(_blocks(scope, buckets, bands, width, *FINE, fine=True), threshold), "open-pairs")
+        links = stored(links.unionByName(_verify(more, docs, width, threshold)), "links")
+        release(docs.sparkSession)
+        joined = connected(links)
     return member, links, joined
 
 

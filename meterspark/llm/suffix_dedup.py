@@ -31,17 +31,16 @@ table; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bucket_count, stored, text_bytes
+from .common import bucket_count, release, stored, text_bytes
 
 # Perfect difference sets (every remainder is a difference of two members), by modulus.
 COVERS = {
@@ -65,12 +64,6 @@ def cover_for(width: int) -> tuple[int, np.ndarray]:
     return v, np.array(COVERS.get(v, (0,)), np.int64)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps (it does so when their handles are collected)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class Packer:
     """Collects (bucket, document, position, key) and turns them into block rows.
 
@@ -284,9 +277,9 @@ def repeated_runs(docs: DataFrame, width: int = 100) -> tuple[DataFrame, DataFra
     buckets = bucket_count(total, SUFFIX_BUCKET_BYTES)
     v, _ = cover_for(width)
     near = stored(_per_document(_repeating(_sample_blocks(own, width, buckets), 5, False, buckets), v - 1, 1), "near")
-    _release(spark)
+    release(spark)
     cand = stored(own.join(near, "id"), "candidates")
-    _release(spark)
+    release(spark)
     windows = near.select(F.sum(F.octet_length("runs")).cast("long")).first()[0] or 0
     if windows:
         def count(batches):
@@ -300,12 +293,12 @@ def repeated_runs(docs: DataFrame, width: int = 100) -> tuple[DataFrame, DataFra
     for part in range(rounds if windows else 0):
         found = stored(_repeating(_window_blocks(cand, width, buckets, part, rounds), 8, True, buckets), "marked")
         marked = found if marked is None else marked.unionByName(found)
-        _release(spark)
+        release(spark)
     whole = copies.select("id", F.lit(None).cast("binary").alias("runs"))
     if marked is None:
         return numbered, whole
     runs = stored(_per_document(marked, 0, width), "runs")
-    _release(spark)
+    release(spark)
     return numbered, runs.unionByName(whole)
 
 
