@@ -14,7 +14,9 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+#: New words encoded together, with a mark between them that is a token of its own.
+TOGETHER = 48
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -32,20 +34,50 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = self.tokenizer.encode("a b", add_special_tokens=False).ids != (
             self.tokenizer.encode("a", add_special_tokens=False).ids + self.tokenizer.encode("b", add_special_tokens=False).ids)
+        self.mark = "\n" if self.spaced else "\x1f"
+        ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = ids[0] if len(ids) == 1 else None
         self.head: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.most = cache_words
 
+    def _each(self, words: list[str], before: str) -> dict[str, bytes]:
+        got = self.tokenizer.encode_batch_fast([before + w for w in words], add_special_tokens=False)
+        return dict(zip(words, (np.array(e.ids, "<u4").tobytes() for e in got)))
+
+    def _fresh(self, words: list[str], before: str) -> dict[str, bytes]:
+        """Encodings of new words: many in one call, cut at the mark (white space or a control character, which
+        neither merges with its neighbours nor occurs in these words)."""
+        if self.mark_id is None or self.spaced and not before:
+            return self._each(words, before)
+        odd = [w for w in words if self.mark in w or "<|" in w or not w]
+        plain = [w for w in words if self.mark not in w and "<|" not in w and w]
+        out = self._each(odd, before)
+        between = self.mark + before if self.spaced else f" {self.mark} "
+        groups = [plain[a:a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+        got = self.tokenizer.encode_batch_fast([before + between.join(g) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, got):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark_id)
+            if len(cut) != len(g) - 1:
+                out.update(self._each(g, before))
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(g, [*cut.tolist(), len(ids)]):
+                out[w] = raw[4 * a:4 * b]
+                a = b + 1
+        return out
+
     def _known(self, cache: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
         """Encodings of ``words``; new ones stay in the cache while there is room (frequent words come early)."""
-        new = list(words.difference(cache))
-        got = self.tokenizer.encode_batch_fast([before + w for w in new], add_special_tokens=False)
-        fresh = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in got)))
+        fresh = self._fresh(list(words.difference(cache)), before)
+        room = self.most - len(cache)
+        if room >= len(fresh):
+            cache.update(fresh)
+            return cache
         here = {w: cache[w] for w in words if w not in fresh}
         here.update(fresh)
-        room = self.most - len(cache)
-        if room > 0:
-            cache.update(list(fresh.items())[:room])
+        cache.update(list(fresh.items())[:max(room, 0)])
         return here
 
     def encode(self, texts: list[str]) -> list[bytes]:
