@@ -77,13 +77,17 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of one slice of texts: (hash, start byte, end byte, first word of each text + total)."""
+def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = WHITE, prefixes: tuple[int, ...] = ()):
+    """Word hashes of one slice of texts: (hash, start byte, end byte, first word of each text + total).
+
+    With ``prefixes`` the hash has a column for the word and one for each prefix of so many bytes.
+    """
     base = int(offsets[0])
     data, off = raw[base:int(offsets[-1])], offsets - base
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        shape = (0, 1 + len(prefixes)) if prefixes else 0
+        return np.zeros(shape, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     solid = ~sep[data]
     edge = np.zeros(n + 1, bool)  # a text begins here
     edge[off] = True
@@ -96,6 +100,9 @@ def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = WHITE) -> tupl
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_LOWER[data] * power[:n], out=total[1:])
     h = mix((total[end] - total[start]) * inverse[start])
+    if prefixes:
+        heads = [mix((total[np.minimum(start + p, end)] - total[start]) * inverse[start], 40 + p) for p in prefixes]
+        h = np.column_stack([h, *heads])
     return h, start + base, end + base, np.searchsorted(start, off)
 
 

@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 Words (runs of letters and digits, A-Z lower-cased) hash into a fixed embedding
-table.  Filters of several widths slide over the whole text, each filter's
+table; a word's embedding is the sum of its own row and the rows of its first
+bytes, so inflected forms share what they have in common.  Filters of several widths slide over the whole text, each filter's
 maximum over all positions is kept (so the place and the length of a text do
 not matter), and one dense layer gives the logit.  Embeddings start from the
 shrunk class log-odds of their bucket.  A share of the training rows is kept
@@ -42,11 +43,14 @@ LANGUAGE_WORDS = {
 }
 LANGUAGES = (*LANGUAGE_WORDS, "other")
 SEED_DECISION = 0.3
+#: Bytes of the word prefixes that have embeddings of their own.
+PREFIXES = (4, 5)
+COLUMNS = 1 + len(PREFIXES)
 
 
 @dataclass
 class Settings:
-    buckets: int = 1 << 17
+    buckets: int = 1 << 18
     dim: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
@@ -55,7 +59,7 @@ class Settings:
     rate: float = 0.01
     shrink: float = 12.0
     max_rows: int = 8000
-    max_words: int = 6_000_000
+    max_words: int = 4_000_000
 
 
 @dataclass
@@ -76,17 +80,17 @@ class Model:
 def _language_table(buckets: int) -> np.ndarray:
     table = np.full(buckets, -1, np.int8)
     for k, words in enumerate(LANGUAGE_WORDS.values()):
-        table[buckets_of(pa.array([" ".join(words)]), buckets)[0]] = k
+        table[buckets_of(pa.array([" ".join(words)]), buckets)[0][:, 0]] = k
     return table
 
 
 def buckets_of(texts: pa.Array, buckets: int) -> list[np.ndarray]:
-    """Word buckets of every whole text."""
+    """Buckets of every word and its prefixes (a row per word) of every whole text."""
     out = []
     raw, offsets = shingles.text_buffers(texts)
     with np.errstate(over="ignore"):
         for a, b in shingles.slices(offsets):
-            h, _, _, first = shingles.words(raw, offsets[a:b + 1], shingles.NOT_ALNUM)
+            h, _, _, first = shingles.words(raw, offsets[a:b + 1], shingles.NOT_ALNUM, PREFIXES)
             ids = (h & np.uint64(buckets - 1)).astype(np.int32)
             out += np.split(ids, first[1:-1]) if b > a else []
     return out
@@ -94,14 +98,14 @@ def buckets_of(texts: pa.Array, buckets: int) -> list[np.ndarray]:
 
 def _join(docs: list[np.ndarray], pad: int, bucket_pad: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts in one row, each followed by ``pad`` empty positions; and where each begins."""
-    blank = np.full(pad, bucket_pad, np.int32)
+    blank = np.full((pad, COLUMNS), bucket_pad, np.int32)
     begin = np.concatenate([[0], np.cumsum([len(d) + pad for d in docs])])
     return np.concatenate([x for d in docs for x in (d, blank)]), begin
 
 
 def _responses(m: Model, ids: np.ndarray) -> np.ndarray:
     """Response of every filter at every position (one product for all taps of all widths, then shifted sums)."""
-    taps = m.emb[ids] @ np.concatenate([w[j] for w in m.w for j in range(len(w))], axis=1)
+    taps = m.emb[ids].sum(1) @ np.concatenate([w[j] for w in m.w for j in range(len(w))], axis=1)
     f, at, out = m.s.filters, 0, np.empty((len(ids), m.s.filters * len(m.s.widths)), np.float32)
     for k, width in enumerate(m.s.widths):
         r = out[:, k * f:(k + 1) * f]
@@ -180,9 +184,9 @@ def train(docs: list[np.ndarray], y: np.ndarray, s: Settings | None = None, seed
                 gw = np.zeros_like(m.w[k])
                 for j in range(width):
                     idx = ids[np.minimum(place + j, len(ids) - 1)]
-                    gw[j] = np.einsum("dfe,df->ef", m.emb[idx], d)
+                    gw[j] = np.einsum("dfe,df->ef", m.emb[idx].sum(2), d)
                     rows.append(idx.ravel())
-                    grads.append((d[:, :, None] * m.w[k][j].T[None]).reshape(-1, s.dim))
+                    grads.append(np.repeat((d[:, :, None] * m.w[k][j].T[None]).reshape(-1, s.dim), COLUMNS, axis=0))
                 adam(f"w{k}", m.w[k], gw, rate)
                 adam(f"b{k}", m.b[k], d.sum(0), rate)
             rows, grads = np.concatenate(rows), np.concatenate(grads)
@@ -205,7 +209,7 @@ def languages(docs: list[np.ndarray], buckets: int, table: np.ndarray | None = N
     table = _language_table(buckets) if table is None else table
     out = np.full(len(docs), len(LANGUAGES) - 1)
     for i, d in enumerate(docs):
-        k = table[d]
+        k = table[d[:, 0]]
         n = np.bincount(k[k >= 0], minlength=len(LANGUAGE_WORDS))
         if n.sum():
             out[i] = n.argmax()
@@ -292,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None, seed: int
     words, y, back, left = [], [], [], s.max_words
     for r in small.withColumn("back", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)) == 0).orderBy(
             F.xxhash64("doc_id"), "doc_id", "w").toLocalIterator():
-        d = np.frombuffer(r["w"], np.int32)
+        d = np.frombuffer(r["w"], np.int32).reshape(-1, COLUMNS)
         if len(d) <= left:
             left -= len(d)
             words.append(d)
