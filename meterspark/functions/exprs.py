@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -50,6 +51,21 @@ def hash_bucket_sql(keys: Sequence[str], seed, buckets: int = 1000) -> str:
     return f"(CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) % {buckets})"
 
 
+_SHARE_BITS = 52
+
+
+def in_share(keys: Sequence[str], seed, fraction: float) -> Column:
+    """Whether the row's stable 52-bit hash lies in the first ``fraction`` of its range (fractions down to 2^-52)."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    h = F.conv(F.substring(F.md5(text), 1, _SHARE_BITS // 4), 16, 10).cast("bigint")
+    return h < F.lit(math.ceil(fraction * 2**_SHARE_BITS)).cast("bigint")
+
+
+def in_share_sql(keys: Sequence[str], seed, fraction: float) -> str:
+    text = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + f", '{seed}')"
+    return f"(CAST(('0x' || substr(md5({text}), 1, {_SHARE_BITS // 4})) AS BIGINT) < {math.ceil(fraction * 2**_SHARE_BITS)})"
+
+
 def split_flag(keys: Sequence[str], seed=3, train_share: float = 0.8) -> Column:
     """0 = train, 1 = validation."""
     return F.when(hash_bucket(keys, seed) < F.lit(int(round(train_share * 1000))), F.lit(0)).otherwise(F.lit(1))

@@ -48,11 +48,32 @@ def minmax_apply(df: DataFrame, fitted: DataFrame, cols: Sequence[str], suffix:
     return j.drop(*[c for c in fitted.columns])
 
 
-def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 5) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows: the ``n`` smallest stable key hashes (a top-n, not a sort)."""
+#: Largest sample taken with a per-task top-n heap; beyond it a hash threshold is found first.
+TOP_N_ROWS = 100_000
+
+
+def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 5, top_n_rows: int = TOP_N_ROWS) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows: those with the ``n`` smallest (stable key hash, keys).
+
+    Up to ``top_n_rows`` this is one top-n.  A larger sample first counts rows
+    per leading 16 bits of the hash (one job, at most 65,536 counts), keeps
+    every row below the slice that holds the n-th one, and takes a top-n of
+    that slice only.  Both ways give the same rows.
+    """
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
     h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
+    hashed = df.withColumn("_h", h)
+    if n <= top_n_rows:
+        return hashed.orderBy("_h", *keys).limit(n).drop("_h")
+    counts = hashed.groupBy(F.shiftright("_h", 16).alias("s")).agg(F.count(F.lit(1)).alias("c")).orderBy("s").collect()
+    left = n
+    for r in counts:
+        if r["c"] >= left:
+            cut = F.shiftright("_h", 16)
+            edge = hashed.where(cut == r["s"]).orderBy("_h", *keys).limit(left)
+            return hashed.where(cut < r["s"]).unionByName(edge).drop("_h")
+        left -= r["c"]
+    return df
 
 
 def fraction_sample(df: DataFrame, fraction: float, keys: Sequence[str], seed: int = 5,
@@ -64,7 +85,7 @@ def fraction_sample(df: DataFrame, fraction: float, keys: Sequence[str], seed: i
     """
     if per_feature_rule and n_features:
         fraction = min(1.0, 10.0 * n_features / max(1, df.count()))
-    return df.where(exprs.hash_bucket(keys, seed) < F.lit(int(round(fraction * 1000))))
+    return df.where(exprs.in_share(keys, seed, fraction))
 
 
 def split_counts(df: DataFrame, by: Sequence[str], split_col: str, target: str, log_y: bool = False) -> DataFrame:

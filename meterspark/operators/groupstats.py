@@ -29,6 +29,7 @@ and otherwise sort-merge joins with skew splitting.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,14 @@ def materialize_small(stats: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame
     return stats.sparkSession.createDataFrame(rows, stats.schema)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                   small_right: bool = False) -> DataFrame:
+    """Equi-join on ``keys`` in which NULL keys match each other (a NULL group is a group)."""
+    renamed = right.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_key_{i}"]) for i, k in enumerate(keys)])
+    return left.join(F.broadcast(renamed) if small_right else renamed, on, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], bounded: bool = False,
            how: str = "left", materialize: bool = False) -> DataFrame:
     """Join per-group statistics onto rows.
@@ -78,8 +87,7 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], bounded: bool =
             stats = small
     if not keys:
         return attach_scalar(df, stats)
-    right = F.broadcast(stats) if bounded else stats
-    return df.join(right, keys, how)
+    return null_safe_join(df, stats, keys, how, bounded)
 
 
 def attach_scalar(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -98,14 +106,16 @@ def attach_scalar(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
               names: Sequence[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
-              extra_aggs: Sequence | None = None) -> DataFrame:
+              extra_aggs: Sequence | None = None, bounded: bool = False) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per group (nulls and NaN skipped).
 
     Returns one row per group with one column per probability.  With empty
     ``keys`` the result is one row.  ``extra_aggs`` (aggregate columns over the
     *input* rows, e.g. counts including NULL values) ride along in the sketch
     pass, so plain statistics cost no extra scan; with them every group of the
-    input is returned (quantile NULL when the group has no value).
+    input is returned (quantile NULL when the group has no value).  ``bounded``
+    (a proven small number of groups) broadcasts the bands, so the rows are
+    never shuffled on the group key.  NULL keys form a group of their own.
     """
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
@@ -141,7 +151,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     # are read from one ranked list.  Large groups, per probability i: below the
     # band -> one counted bucket, inside -> kept by value, above -> dropped.
     if user_keys:
-        tagged = base.join(bands.where(F.col("_n") > 0), gk, "inner")
+        tagged = null_safe_join(base, bands.where(F.col("_n") > 0), gk, "inner", bounded)
     else:
         tagged = attach_scalar(base, bands.drop(_GLOBAL_KEY))
     whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit(False).alias("below"), F.col("_v").alias("v")))
@@ -177,7 +187,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     def interp(i):
         a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
         pos = F.lit(probs[i]) * (F.col("_n") - 1)
-        return F.when(b == a, a).otherwise(a + (pos - F.floor(pos)) * (b - a))
+        value = F.when(b == a, a).otherwise(a + (pos - F.floor(pos)) * (b - a))
+        missed = F.raise_error(F.lit("a quantile band does not hold its rank; raise the accuracy")).cast("double")
+        return F.when(a.isNull() | b.isNull(), missed).otherwise(value)
 
     # A row of picked answers probability i when it holds the whole group (i = -1) or band i.
     if k == 1:
@@ -188,7 +200,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     if extra_names:
         # One row per input group: the sketch side carries the extra statistics.
         if user_keys:
-            out = sketch.select(*gk, *extra_names).join(out, gk, "left")
+            out = null_safe_join(sketch.select(*gk, *extra_names), out, gk, "left")
         else:
             out = attach_scalar(sketch.select(*gk, *extra_names), out.drop(_GLOBAL_KEY))
     if not user_keys:
@@ -197,5 +209,5 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
 
 
 def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",
-           accuracy: int = DEFAULT_ACCURACY, extra_aggs: Sequence | None = None) -> DataFrame:
-    return quantiles(df, keys, value, [0.5], [name], accuracy, extra_aggs)
+           accuracy: int = DEFAULT_ACCURACY, extra_aggs: Sequence | None = None, bounded: bool = False) -> DataFrame:
+    return quantiles(df, keys, value, [0.5], [name], accuracy, extra_aggs, bounded)

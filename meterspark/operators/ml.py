@@ -164,7 +164,8 @@ def knn_regress_1d(train: DataFrame, queries: DataFrame, x: str, y: str, train_k
         *[F.lit(None).cast(train.schema[c].dataType).alias(f"_k{i}") for i, c in enumerate(tk)],
         F.col(query_id).alias("_qid"))
     both = t.unionByName(q.withColumn("_qid", F.col("_qid").cast(q.schema["_qid"].dataType)), allowMissingColumns=False)
-    order = [F.col(c).asc() for c in by] + [F.col("_x").asc(), F.col("_t").asc()] + [F.col(f"_k{i}").asc() for i in range(len(tk))]
+    order = [F.col(c).asc() for c in by] + [F.col("_x").asc(), F.col("_t").asc()] + [F.col(f"_k{i}").asc() for i in range(len(tk))] \
+        + [F.col("_qid").asc()]  # equal queries spread over range partitions
     ranked = ordered.running_total(both, order, F.col("_t"), "_cum")
     train_idx = ranked.where(F.col("_t") == 1).select(*by, (F.col("_cum") - 1).alias("_idx"), F.col("_x").alias("_tx"), "_y")
     bounds = train_idx.groupBy(*by).agg(F.min("_idx").alias("_g0"), F.max("_idx").alias("_g1"))

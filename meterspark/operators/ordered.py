@@ -67,4 +67,4 @@ def dense_index(df: DataFrame, col: str, out: str, partitions: int | None = None
     """Dimension of the distinct non-null values of ``col`` with codes 0..n-1 in ascending order."""
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
     ranked = running_total(distinct, [F.col(col).asc()], F.lit(1), "_rank", partitions)
-    return ranked.select(col, (F.col("_rank") - 1).cast("int").alias(out))
+    return ranked.select(col, (F.col("_rank") - 1).cast("bigint").alias(out))

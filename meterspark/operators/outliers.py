@@ -45,7 +45,7 @@ def mad_stats(df: DataFrame, value: str, by: str | None = None, by_vals: Sequenc
     bounded = by_vals is not None or not keys
     src = _restrict(df, by, by_vals).select(*keys, null_nan(value).alias("_y"))
     # The mean rides along in the median's sketch pass; the deviation needs a second pass.
-    med = gs.median(src, keys, "_y", "_median", accuracy, extra_aggs=[F.avg("_y").alias("_mean")])
+    med = gs.median(src, keys, "_y", "_median", accuracy, extra_aggs=[F.avg("_y").alias("_mean")], bounded=by_vals is not None)
     dev = gs.attach(src, med.select(*keys, "_mean") if keys else med.select("_mean"), keys, bounded=bounded, how="inner") \
         .groupBy(*keys).agg(F.avg(F.abs(F.col("_y") - F.col("_mean"))).alias("_mad"))
     if not keys:
@@ -57,7 +57,7 @@ def quartile_stats(df: DataFrame, value: str, by: str | None = None, by_vals: Se
                    accuracy: int = gs.DEFAULT_ACCURACY) -> DataFrame:
     keys = [by] if by else []
     src = _restrict(df, by, by_vals).select(*keys, null_nan(value).alias("_y"))
-    return gs.quantiles(src, keys, "_y", [0.25, 0.75], ["_q1", "_q3"], accuracy)
+    return gs.quantiles(src, keys, "_y", [0.25, 0.75], ["_q1", "_q3"], accuracy, bounded=by_vals is not None)
 
 
 def _group_label(flag, by: str) -> F.Column:

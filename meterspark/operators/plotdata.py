@@ -76,7 +76,7 @@ def regr_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFram
                                F.regr_count(F.col(y), F.col(x)).alias("n"))
 
 
-def scatter_points(df: DataFrame, x: str, y: str, keys: Sequence[str], fraction: float = 0.05,
+def scatter_points(df: DataFrame, x: str, y: str, keys: Sequence[str], fraction: float = 1.0,
                    label_col: str | None = None, seed: int = 7) -> DataFrame:
     """Points for a scatter plot: complete rows, no 'Outlier' label, optionally a stable hash sample.
 
@@ -87,7 +87,7 @@ def scatter_points(df: DataFrame, x: str, y: str, keys: Sequence[str], fraction:
     if label_col:
         src = src.where(F.coalesce(F.col(label_col) != F.lit("Outlier"), F.lit(True)))
     bounds = src.agg(F.min(x).alias("y_min"), F.max(x).alias("y_max"))
-    pts = src if fraction >= 1.0 else src.where(exprs.hash_bucket(keys, seed) < F.lit(int(round(fraction * 1000))))
+    pts = src if fraction >= 1.0 else src.where(exprs.in_share(keys, seed, fraction))
     pts = pts.select(*keys, x, y)
     return gs.attach(pts, bounds, [])
 
@@ -96,4 +96,4 @@ def sorted_bar(df: DataFrame, by: str, value: str, agg: str = "avg") -> DataFram
     """Category measure with its descending rank (ties broken by category)."""
     data = df.groupBy(by).agg(F.expr(f"{agg}({value})").alias(f"{agg}_{value}"))
     order = [F.col(f"{agg}_{value}").desc_nulls_last(), F.col(by).asc()]
-    return ordered.running_total(data, order, F.lit(1), "rank").withColumn("rank", F.col("rank").cast("int"))
+    return ordered.running_total(data, order, F.lit(1), "rank").withColumn("rank", F.col("rank").cast("bigint"))

@@ -37,7 +37,7 @@ def stats_by_value(df: DataFrame, by: str, value: str, digits: int = 2,
     dev = gs.attach(src, med.select(by, "median"), [by], how="inner") \
         .select(by, F.abs(F.col("_y") - F.col("median")).alias("_d"))
     mad = gs.median(dev, [by], "_d", "_mad", accuracy)
-    out = med.join(mad, [by], "left")
+    out = gs.null_safe_join(med, mad, [by], "left")
 
     def fin(c):
         return rnd(F.coalesce(c, F.lit(0.0)), digits)
@@ -46,7 +46,7 @@ def stats_by_value(df: DataFrame, by: str, value: str, digits: int = 2,
     if mad_propagates_nulls:
         mad = F.when(F.col("_nulls") > 0, F.lit(None)).otherwise(mad)
     return out.select(
-        by, F.col("count").cast("int").alias("count"),
+        by, F.col("count").alias("count"),
         fin(F.col("min")).alias("min"), fin(F.col("mean")).alias("mean"), fin(F.col("std")).alias("std"),
         fin(F.col("median")).alias("median"), fin(mad).alias("mad"),
         fin(F.col("max")).alias("max"))
@@ -87,7 +87,7 @@ def value_share(df: DataFrame, col: str) -> DataFrame:
     ranked = ordered.running_totals(counts, order, {"_cum": F.col("volume"), "rank": F.lit(1)})
     return gs.attach(ranked, total, []).select(
         "label", "volume", (F.col("volume") / F.col("_total")).alias("percent"),
-        (F.col("_cum") / F.col("_total")).alias("cumulative_perc"), F.col("rank").cast("int").alias("rank"))
+        (F.col("_cum") / F.col("_total")).alias("cumulative_perc"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def table_lengths(tables: dict[str, DataFrame]) -> DataFrame:
@@ -155,15 +155,18 @@ def assess_by_category(df: DataFrame, by: str, value: str) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.min("_y").alias("min"), F.avg("_y").alias("mean"),
         F.stddev_samp("_y").alias("std"), F.max("_y").alias("max"))
     mode = group_mode(src, [by], "_y", "mode")
-    out = basic.join(mode, by, "left")
+    out = gs.null_safe_join(basic, mode, [by], "left")
 
     def fin(c):
         return rnd(F.coalesce(c, F.lit(0.0)), 2)
 
+    def whole(c):  # NULL where the value exceeds 64 bits
+        return fin(F.col(c)).try_cast("bigint")
+
     return out.select(
-        by, F.col("count").cast("int").alias("count"), fin(F.col("min")).cast("int").alias("min"),
+        by, F.col("count").alias("count"), whole("min").alias("min"),
         fin(F.col("mean")).alias("mean"), fin(F.col("std")).alias("std"),
-        fin(F.col("mode")).cast("int").alias("mode"), fin(F.col("max")).cast("int").alias("max"))
+        whole("mode").alias("mode"), whole("max").alias("max"))
 
 
 def missing_by_category(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -43,12 +43,14 @@ def _scan(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], chu
     part = by + ["_chunk"]
     ow = Window.partitionBy(*part).orderBy(F.col(order), *[F.col(t) for t in tiebreak])
     back = ow.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fwd = ow.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # The next valid value is the last one seen in the opposite order: a growing frame, linear in the chunk.
+    fwd = Window.partitionBy(*part).orderBy(F.col(order).desc_nulls_last(), *[F.col(t).desc_nulls_last() for t in tiebreak]) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_rl", F.row_number().over(ow))
     for i, c in enumerate(cols):
         pos = F.when(F.col(c).isNotNull(), F.col("_rl"))
         d = d.withColumn(f"_pv{i}", F.last(c, True).over(back)).withColumn(f"_pp{i}", F.last(pos, True).over(back)) \
-             .withColumn(f"_nv{i}", F.first(c, True).over(fwd)).withColumn(f"_np{i}", F.first(pos, True).over(fwd))
+             .withColumn(f"_nv{i}", F.last(c, True).over(fwd)).withColumn(f"_np{i}", F.last(pos, True).over(fwd))
 
     # Chunk summaries: bounded by (series x chunks), carried across chunk borders.
     aggs = [F.count(F.lit(1)).alias("_cn")]
@@ -70,7 +72,7 @@ def _scan(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], chu
                    .withColumn(f"_cnv{i}", F.first(f"_fv{i}", True).over(after)) \
                    .withColumn(f"_cnp{i}", F.first(f"_gfp{i}", True).over(after))
         carried += [f"_cpv{i}", f"_cpp{i}", f"_cnv{i}", f"_cnp{i}"]
-    j = d.join(summ.select(*carried), part, "inner")
+    j = gs.null_safe_join(d, summ.select(*carried), part, "inner")  # NULL series and NULL times keep their rows
     j = j.withColumn("_rn", F.col("_rl") + F.col("_off"))
     for i, _ in enumerate(cols):
         j = j.withColumn(f"_pv{i}", F.coalesce(F.col(f"_pv{i}"), F.col(f"_cpv{i}"))) \

@@ -19,7 +19,7 @@ def _stats_by_value_sql(src: str, by: str, value: str) -> str:
     def fin(e):
         return rnd_sql(f"coalesce({e}, 0.0::DOUBLE)", 2)
     return f"""
-    SELECT s.{by}, CAST(count(*) AS INTEGER) AS count,
+    SELECT s.{by}, CAST(count(*) AS BIGINT) AS count,
       {fin('min(s.' + value + ')')} AS min, {fin('avg(s.' + value + ')')} AS mean,
       {fin('stddev_samp(s.' + value + ')')} AS std, {fin('any_value(m.med)')} AS median,
       {fin('1.4826::DOUBLE * median(abs(s.' + value + ' - m.med))')} AS mad, {fin('max(s.' + value + ')')} AS max

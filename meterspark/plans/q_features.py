@@ -71,7 +71,7 @@ def sample_n(spark, sf_dir):
     return fx.sample_n(roles.table(spark, sf_dir, "lineitem"), 1000, LKEYS, seed=5)
 
 
-@query("fraction_sample", sql=f"SELECT * FROM lineitem WHERE {exprs.hash_bucket_sql(LKEYS, 5)} < 1")
+@query("fraction_sample", sql=f"SELECT * FROM lineitem WHERE {exprs.in_share_sql(LKEYS, 5, 0.001)}")
 def fraction_sample(spark, sf_dir):
     return fx.fraction_sample(roles.table(spark, sf_dir, "lineitem"), 0.001, LKEYS, seed=5)
 

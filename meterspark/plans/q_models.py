@@ -22,7 +22,6 @@ from .registry import query
 PR = roles.predictions_sql()
 PKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 QUICK_GBT = dict(maxDepth=5, maxIter=10)
-QUICK_RF = dict(numTrees=20, maxDepth=8)
 
 
 @query("baseline_rmsle", sql=with_roles(f"""
@@ -85,7 +84,7 @@ def lr_fit(spark, sf_dir):
 
 @query("rf_fit")
 def rf_fit(spark, sf_dir):
-    return _fit_predict(spark, sf_dir, "rf", QUICK_RF)
+    return _fit_predict(spark, sf_dir, "rf", None)
 
 
 @query("gbt_fit")

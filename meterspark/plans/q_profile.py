@@ -38,7 +38,8 @@ def missing_table(spark, sf_dir):
     return pf.missing_table(_readings_parts(spark, sf_dir), _RP_COLS)
 
 
-_LEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+_LEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+               "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 @query("table_lengths", sql=" UNION ALL ".join(
@@ -85,9 +86,9 @@ def _mode_sql(rel: str, by: str, value: str) -> str:
 def _assess_sql(rel: str, by: str, value: str) -> str:
     def fin(e):
         return rnd_sql(f"coalesce(CAST({e} AS DOUBLE), 0.0::DOUBLE)", 2)
-    return (f"SELECT s.{by}, CAST(count(*) AS INTEGER) AS count, CAST(trunc({fin(f'min(s.{value})')}) AS INTEGER) AS min, "
+    return (f"SELECT s.{by}, CAST(count(*) AS BIGINT) AS count, CAST(trunc({fin(f'min(s.{value})')}) AS BIGINT) AS min, "
             f"{fin(f'avg(s.{value})')} AS mean, {fin(f'stddev_samp(s.{value})')} AS std, "
-            f"CAST(trunc({fin('any_value(m.mode)')}) AS INTEGER) AS mode, CAST(trunc({fin(f'max(s.{value})')}) AS INTEGER) AS max "
+            f"CAST(trunc({fin('any_value(m.mode)')}) AS BIGINT) AS mode, CAST(trunc({fin(f'max(s.{value})')}) AS BIGINT) AS max "
             f"FROM {rel} s LEFT JOIN ({_mode_sql(rel, by, value)}) m USING ({by}) GROUP BY s.{by}")
 
 

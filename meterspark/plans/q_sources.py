@@ -27,7 +27,7 @@ def scan_table(spark, sf_dir):
 
 @query("sample_scan", sql=f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
-WHERE {exprs.hash_bucket_sql(['l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey'], 3)} < 100""")
+WHERE {exprs.in_share_sql(['l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey'], 3, 0.1)}""")
 def sample_scan(spark, sf_dir):
     df = io.read_table(spark, f"{sf_dir}/lineitem.parquet", sample=0.1,
                        sample_keys=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], seed=3)
@@ -110,7 +110,7 @@ def map_labels(spark, sf_dir):
 
 
 @query("label_encode", sql="""
-SELECT p_partkey, p_type, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS p_type_code FROM part""")
+SELECT p_partkey, p_type, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS BIGINT) AS p_type_code FROM part""")
 def label_encode(spark, sf_dir):
     part = roles.table(spark, sf_dir, "part").select("p_partkey", "p_type")
     encoded, _ = enc.label_encode(part, "p_type", "p_type_code")
@@ -284,7 +284,7 @@ def removal_report(spark, sf_dir):
 def _share_sql(rel: str, col: str) -> str:
     return f"""SELECT label, volume, volume / sum(volume) OVER () AS percent,
   sum(volume) OVER (ORDER BY volume DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(volume) OVER () AS cumulative_perc,
-  CAST(row_number() OVER (ORDER BY volume DESC, label) AS INTEGER) AS rank
+  CAST(row_number() OVER (ORDER BY volume DESC, label) AS BIGINT) AS rank
   FROM (SELECT {col} AS label, count(*) AS volume FROM {rel} WHERE {col} IS NOT NULL GROUP BY 1)"""
 
 

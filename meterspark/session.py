@@ -70,8 +70,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    used as is.  Only on a local master (one machine) is a scratch folder
+    created and registered when it is unset; on a cluster that is an error.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     try:
@@ -84,6 +84,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None:
             sc.setCheckpointDir(current)
         return current
+    master = sc.master if sc is not None else ""
+    if not master.startswith("local[") and master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="meterspark-ckpt-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, local)
     if sc is not None:

@@ -49,7 +49,7 @@ def parse_timestamps(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def hash_sample(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 3) -> DataFrame:
     """Keep about ``fraction`` of the rows, chosen by a stable hash of ``keys``."""
-    return df.where(exprs.hash_bucket(keys, seed) < F.lit(int(round(fraction * 1000))))
+    return df.where(exprs.in_share(keys, seed, fraction))
 
 
 def downcast_plan(df: DataFrame, allow_float: bool = True) -> DataFrame:
