@@ -390,6 +390,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> Da
 
 def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5, cap: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profiles with the class of every document, verified links between documents, components of linked classes)."""
+    spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     profiles = stored(set_profiles(docs, width), "sets")
@@ -410,23 +411,31 @@ def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5, cap:
         return stored(components(by_class.unionByName(repeated), "u", "v"), "components")
 
     pairs = stored(_candidates(_blocks(docs, buckets, bands, width, *FIRST), cap), "pairs")
-    release(docs.sparkSession)
-    links = stored(_verify(_prune(pairs.select("a", "b"), one, threshold), docs, width, threshold), "links")
-    release(docs.sparkSession)
+    release(spark)
+    likely = stored(_prune(pairs.select("a", "b"), one, threshold), "likely")
+    star = pairs.where("star").select(F.col("a").alias("pivot"), F.col("b").alias("member"))
+    star = star.unionByName(star.select("pivot", F.col("pivot").alias("member")).distinct())
+    # The texts of all documents that may still be compared, fetched once: the list grows with the input, so it is
+    # never broadcast, and later steps shuffle this part only.
+    ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).unionByName(
+        star.select(F.col("member").alias("doc_id"))).distinct()
+    texts = stored(docs.join(ids.hint("shuffle_merge"), "doc_id", "left_semi"), "texts")
+    release(spark)
+    links = stored(_verify(likely, texts, width, threshold), "links")
+    release(spark)
     joined = connected(links)
     label = member.join(joined, member["class"] == joined["node"], "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "class")).alias("label"))
-    star = pairs.where("star").select(F.col("a").alias("pivot"), F.col("b").alias("member"))
-    star = star.unionByName(star.select("pivot", F.col("pivot").alias("member")).distinct())
     star = stored(star.join(label.withColumnRenamed("doc_id", "member"), "member"), "stars")
     mixed = star.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("pivot")
     who = stored(star.join(mixed, "pivot", "left_semi").select(F.col("member").alias("doc_id"), "label").distinct(), "again")
     if not who.isEmpty():
         known = who.join(one.select("doc_id", "n", "hist"), "doc_id")
-        scope = docs.join(known, "doc_id").select("doc_id", "text", "label", "n", "hist")
+        scope = texts.join(known, "doc_id").select("doc_id", "text", "label", "n", "hist")
         more = stored(_open_candidates(_blocks(scope, buckets, bands, width, *FINE, fine=True), threshold), "open-pairs")
-        links = stored(links.unionByName(_verify(more, docs, width, threshold)), "links")
-        release(docs.sparkSession)
+        release(spark)
+        links = stored(links.unionByName(_verify(more, texts, width, threshold)), "links")
+        release(spark)
         joined = connected(links)
     return member, links, joined
 
