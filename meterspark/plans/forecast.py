@@ -1,6 +1,7 @@
 """End-to-end forecasting plan (E1/E2): clean, engineer, split, fit, score.
 
-Everything is one lazy Spark plan per table until a model is fit; the
+Every step is a Spark plan; statistics of a short literal value list (outlier
+bounds by meter) are computed while planning, and models are fit in jobs.  The
 feature table is cut from its lineage once (reliable checkpoint in the
 cluster's shared checkpoint folder) before the several fits reuse it.
 """
@@ -30,26 +31,38 @@ SEASONAL_RULES = [{"meter": 2, "season": 1, "n_consec": 3},
                   {"meter": 1, "season": 3, "n_consec": 3}]
 
 
-def engineered(spark: SparkSession, sf_dir: str, holidays=cal.HOLIDAYS_2016) -> DataFrame:
-    """Readings -> unit fix -> outliers by meter -> building join -> filters -> calendar ->
-    seasonal zero runs -> log features -> one-hot -> split flag."""
-    r = roles.readings(spark, sf_dir, zeros=True, extra=("l_quantity", "l_discount"))
-    r = r.withColumn("meter_reading", exprs.unit_convert("meter_reading", "meter"))
-    r = ol.keep_normal(ol.detect_outliers(r, "meter_reading", "outliers_target_meter", "MAD",
-                                          by="meter", by_vals=METERS), "outliers_target_meter")
-    r = r.join(roles.buildings(spark, sf_dir), "building_id", "inner")
-    r = r.select("*", *[c.alias(n) for n, c in cal.calendar_parts("ts").items()])
+def _target_rules(spark: SparkSession, train: DataFrame) -> DataFrame:
+    """Row removal that looks at the target (outliers by meter, odd spans, zero readings, seasonal zero runs)."""
+    r = ol.keep_normal(ol.detect_outliers(train, "meter_reading", "outliers_target_meter", "MAD",
+                                          by="meter", by_vals=METERS), "outliers_target_meter").drop("outliers_target_meter")
     r = r.where(flt.irregular_span_keep(month_col="month") & flt.zero_reading_keep())
-    r = r.select("*", *[c.alias(n) for n, c in cal.calendar_features("ts", holidays).items()])
     r = r.withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     rules = zd.rules_frame(spark, SEASONAL_RULES).select(
         F.col("meter").cast("int"), F.col("season").cast("int"), F.col("n_consec").cast("int"))
-    r = zd.remove_consecutive_zero_days(r, "building_id", "day", "meter_reading", ["meter", "season"], rules)
-    r = fx.log_transform(r, NUMERIC)
-    r = enc.one_hot(r, {"meter": METERS, "season": SEASONS})
+    return zd.remove_consecutive_zero_days(r, "building_id", "day", "meter_reading", ["meter", "season"], rules).drop("day")
+
+
+def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings with the split flag of their keys."""
+    r = roles.readings(spark, sf_dir, zeros=True, extra=("l_quantity", "l_discount"))
     return r.withColumn("train_val_split", exprs.split_flag(KEYS, 3))
 
 
+def engineered(spark: SparkSession, sf_dir: str, holidays=cal.HOLIDAYS_2016) -> DataFrame:
+    """Readings -> split flag -> unit fix -> building join -> calendar -> row removal -> log features -> one-hot.
+
+    Rows are removed for their target on the train side only; every test row
+    stays, whatever its reading and whether or not its building is known.
+    """
+    r = raw_readings(spark, sf_dir).withColumn("meter_reading", exprs.unit_convert("meter_reading", "meter"))
+    r = r.join(roles.buildings(spark, sf_dir).withColumn("_known", F.lit(True)), "building_id", "left")
+    r = r.select("*", *[c.alias(n) for n, c in cal.calendar_parts("ts").items()])
+    r = r.select("*", *[c.alias(n) for n, c in cal.calendar_features("ts", holidays).items()])
+    train = _target_rules(spark, r.where((F.col("train_val_split") == 0) & F.col("_known")))
+    both = train.unionByName(r.where(F.col("train_val_split") == 1)).drop("_known")
+    return enc.one_hot(fx.log_transform(both, NUMERIC), {"meter": METERS, "season": SEASONS})
+
+
 def feature_columns() -> list[str]:
     return ([f"log_{c}" for c in NUMERIC] + [f"meter_{m}" for m in METERS] + [f"season_{s}" for s in SEASONS]
             + ["day_of_week", "time_of_day"] + fx.FLAG_FEATURES)
@@ -63,6 +76,11 @@ def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.minmax_apply(df, fitted, logs)
 
 
+def row_id() -> F.Column:
+    """The reading's own keys as text (no hash, so ids cannot collide)."""
+    return F.concat_ws("-", *[F.col(k).cast("string") for k in KEYS])
+
+
 def run(spark: SparkSession, sf_dir: str, out_dir: str, kind: str = "gbt", params: dict | None = None,
         log_y: bool = True, reduce_to: int | None = None) -> DataFrame:
     """E1 end to end: engineer, fit on train rows, score held-out rows, write the submission CSV.
@@ -75,7 +93,7 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, kind: str = "gbt", param
     from ..session import cut_lineage
     from ..sources import io
 
-    df = cut_lineage(model_frame(spark, sf_dir).withColumn("row_id", F.xxhash64(*KEYS)))
+    df = cut_lineage(model_frame(spark, sf_dir).withColumn("row_id", row_id()))
     label = "meter_reading"
     train = df.where(F.col("train_val_split") == 0)
     if reduce_to:
@@ -90,5 +108,6 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, kind: str = "gbt", param
     model = ml.fit(train, feature_columns(), label, kind, params)
     sub = io.submission(ml.predict(model, test, ["row_id"], log_y))
     io.write_csv(sub, out_dir)
-    written = spark.read.schema("row_id long, meter_reading double").option("header", True).csv(out_dir)
-    return io.missing_predictions(test.select("row_id"), written)
+    written = spark.read.schema("row_id string, meter_reading double").option("header", True).csv(out_dir)
+    expected = raw_readings(spark, sf_dir).where(F.col("train_val_split") == 1).select(row_id().alias("row_id"))
+    return io.missing_predictions(expected, written)

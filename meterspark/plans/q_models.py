@@ -127,7 +127,7 @@ def learning_curve(spark, sf_dir):
 
 @query("submission")
 def submission(spark, sf_dir):
-    df = _frame(spark, sf_dir).withColumn("row_id", F.xxhash64(*forecast.KEYS))
+    df = _frame(spark, sf_dir).withColumn("row_id", forecast.row_id())
     train = df.where(F.col("train_val_split") == 0)
     test = df.where(F.col("train_val_split") == 1).drop("meter_reading", LABEL)
     model = ml.fit(train, forecast.feature_columns(), LABEL, "gbt", QUICK_GBT)

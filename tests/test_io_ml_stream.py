@@ -130,3 +130,15 @@ def test_streaming_reading_features_equal_batch(spark):
     expected = sfx.reading_features(batch_in)
     assert streamed.count() == expected.count() > 0
     assert streamed.exceptAll(expected).count() == 0
+
+
+def test_every_raw_test_row_is_scored(spark, tmp_path):
+    from meterspark.plans import forecast
+
+    raw = forecast.raw_readings(spark, SF001).where("train_val_split = 1")
+    frame = forecast.engineered(spark, SF001)
+    assert frame.where("train_val_split = 1").count() == raw.count() > 0
+    assert frame.where("train_val_split = 1").where("meter_reading = 0").count() == raw.where("meter_reading = 0").count() > 0
+    assert frame.where("train_val_split = 0").count() < forecast.raw_readings(spark, SF001).where("train_val_split = 0").count()
+    report = forecast.run(spark, SF001, str(tmp_path / "out"), params=dict(maxDepth=2, maxIter=2)).first()
+    assert report["missing"] == 0 and report["expected"] == report["predicted"] == raw.count()
