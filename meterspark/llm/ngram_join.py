@@ -173,9 +173,12 @@ def _blocks(docs: DataFrame, buckets: int, bands: Bands, width: int, k2: int, n2
     ``fine``: ``docs`` also has label, n and hist, which every block repeats for its sets.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         seen: set[tuple[int, int]] = set()  # classes this task has signed for
         held: list[tuple[np.ndarray, np.ndarray]] = []
         more: dict[int, tuple[int, int, bytes]] = {}
+        packer = zstandard.ZstdCompressor(level=1)
         waiting = 0
 
         def flush() -> pa.RecordBatch:
@@ -194,7 +197,7 @@ def _blocks(docs: DataFrame, buckets: int, bands: Bands, width: int, k2: int, n2
                 row = (int(bucket[a]), own.tobytes(), np.diff(np.append(at, b - a)).astype("<u4").tobytes(), key[a:b].tobytes())
                 if fine:
                     label, n, hist = zip(*(more[d] for d in own.tolist()))
-                    row += (np.array(label, "<i8").tobytes(), np.array(n, "<i8").tobytes(), b"".join(hist))
+                    row += (np.array(label, "<i8").tobytes(), np.array(n, "<i8").tobytes(), packer.compress(b"".join(hist)))
                 rows.append(row)
             more.clear()
             c = list(zip(*rows))
@@ -329,9 +332,12 @@ def _candidates(blocks: DataFrame, cap: int) -> DataFrame:
 def _open_candidates(blocks: DataFrame, threshold: int) -> DataFrame:
     """Distinct pairs of different components that share a fine signature and may link."""
     def run(t: pa.Table) -> pa.Table:
+        import zstandard
+
         docs = _joined(t, "docs", "<i8")
         _, first = np.unique(docs, return_index=True)
-        hist = _joined(t, "hists", np.uint8).reshape(-1, CELLS)
+        z = zstandard.ZstdDecompressor()
+        hist = np.frombuffer(b"".join(map(z.decompress, t.column("hists").to_pylist())), np.uint8).reshape(-1, CELLS)
         a, b = open_pairs(_joined(t, "keys", "<u8"), np.repeat(docs, _joined(t, "counts", "<u4")), _joined(t, "labels", "<i8")[first],
                           _joined(t, "sizes", "<i8")[first], hist[first], threshold)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -369,7 +375,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> Da
     dealt = pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
     wanted = dealt.select(F.col("b").alias("doc_id"), "a", "part").unionByName(
         dealt.select(F.col("a").alias("doc_id"), "a", "part").distinct())
-    rows = wanted.join(docs, "doc_id")
+    rows = wanted.join(docs.hint("shuffle_merge"), "doc_id")  # both sides grow with the input: never broadcast
 
     def run(t: pa.Table) -> pa.Table:
         a, ids = t.column("a")[0].as_py(), t.column("doc_id").to_numpy()
@@ -431,7 +437,7 @@ def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5, cap:
     who = stored(star.join(mixed, "pivot", "left_semi").select(F.col("member").alias("doc_id"), "label").distinct(), "again")
     if not who.isEmpty():
         known = who.join(one.select("doc_id", "n", "hist"), "doc_id")
-        scope = texts.join(known, "doc_id").select("doc_id", "text", "label", "n", "hist")
+        scope = texts.join(known.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "label", "n", "hist")
         more = stored(_open_candidates(_blocks(scope, buckets, bands, width, *FINE, fine=True), threshold), "open-pairs")
         release(spark)
         links = stored(links.unionByName(_verify(more, texts, width, threshold)), "links")
