@@ -4,13 +4,18 @@ Words are runs of letters and digits, A-Z lower-cased.  The CGK walk reads a
 word sequence: at step t it emits the word under its pointer and advances by a
 random bit that depends on (t, word).  Sequences at small edit distance emit
 streams at small Hamming distance, so a key of a few sampled steps is equal
-with good probability; ``repeats`` independent walks raise the recall (a text
-without edits is always found).  Every word of every document begins a window;
+with good probability; ``repeats`` independent walks raise the recall.  Every word of every document begins a window;
 windows are as long as the items of a length class, whose steps are sampled
 from 1.2 times that length.  A window walks only as far as its next sampled
 step and goes on only while the words sampled so far are a prefix of some
 item's key, which gives the same matches as computing whole keys.
 
+The walks alone miss edited passages, above all those with a changed beginning,
+so the recall does not rest on them: an item that may have k edits is also cut
+into k + 1 pieces of nearly equal length.  Each edit touches at most one piece,
+so some piece stands unchanged in any text within k edits, and every place that
+holds a piece is verified too.  Every stretch within ``max_edit`` is found.
+
 Matching windows are verified by the exact edit distance between the item and
 the best-fitting stretch of the document around the window: at most
 ``max_edit`` edits per item word.  Items of fewer than ``min_words`` words are
@@ -63,6 +68,8 @@ class Index:
     #: per repeat: low 16 bits of the items' words at the first sampled step.
     heads: list[np.ndarray] = field(default_factory=list)
     short: dict[int, tuple[np.ndarray, list]] = field(default_factory=dict)
+    #: per number of words: sorted keys of the pieces of that length, (item, first word in the item) of each.
+    pieces: dict[int, tuple[np.ndarray, list]] = field(default_factory=dict)
 
 
 def texts_words(texts: pa.Array):
@@ -104,6 +111,10 @@ def _member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def edits_allowed(n: int, s: Settings) -> int:
+    return int(s.max_edit * n) if n >= s.min_words else 0
+
+
 def build_index(ids: list, words: list[np.ndarray], s: Settings) -> Index:
     out = Index(s, ids, words)
     longer = [k for k, w in enumerate(words) if len(w) >= s.min_words]
@@ -115,6 +126,15 @@ def build_index(ids: list, words: list[np.ndarray], s: Settings) -> Index:
             key = np.array([_sequence_key(words[k], n)[0] for k in items], np.uint64)
             order = np.argsort(key, kind="stable")
             out.short[n] = (key[order], [items[i] for i in order])
+        for k in longer:
+            cut = edits_allowed(len(words[k]), s) + 1
+            edge = [len(words[k]) * j // cut for j in range(cut + 1)]
+            for x, y in zip(edge, edge[1:]):
+                out.pieces.setdefault(y - x, []).append((k, x))
+        for n, parts in list(out.pieces.items()):
+            key = np.array([_sequence_key(words[k][x:x + n], n)[0] for k, x in parts], np.uint64)
+            order = np.argsort(key, kind="stable")
+            out.pieces[n] = (key[order], [parts[i] for i in order])
         classes: dict[int, list[int]] = {}
         for k in longer:
             low = s.min_words
@@ -202,6 +222,18 @@ def candidates(h: np.ndarray, index: Index) -> set[tuple[int, int]]:
     return out
 
 
+def piece_candidates(h: np.ndarray, first: np.ndarray, index: Index) -> set[tuple[int, int]]:
+    """(window start, item) pairs where an unchanged piece of the item stands; a window never begins before its text."""
+    out: set[tuple[int, int]] = set()
+    for size, (keys, parts) in index.pieces.items():
+        key = _sequence_key(h, size)
+        hit = np.flatnonzero(_member(keys, key)) if len(key) else np.zeros(0, int)
+        begin = first[np.searchsorted(first, hit, "right") - 1]
+        for j, (item, x) in _matches(keys, parts, key[hit], np.arange(len(hit))):
+            out.add((max(int(hit[j]) - x, int(begin[j])), item))
+    return out
+
+
 def fit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(edits, begin, end) of the stretch of ``text`` nearest to ``item`` (insertions, deletions, replacements)."""
     n = len(text)
@@ -229,7 +261,7 @@ def verified(h: np.ndarray, first: np.ndarray, found: set[tuple[int, int]], inde
     for start, item in sorted(found):
         doc = int(np.searchsorted(first, start, "right")) - 1
         w = index.words[item]
-        allowed = int(index.s.max_edit * len(w)) if len(w) >= index.s.min_words else 0
+        allowed = edits_allowed(len(w), index.s)
         a, b = max(int(first[doc]), start - allowed), min(int(first[doc + 1]), start + len(w) + 2 * allowed)
         if done.get((doc, item), -1) >= b or best.get((doc, item), (1,))[0] == 0:
             continue
@@ -274,7 +306,7 @@ def find_matches(docs: DataFrame, items: DataFrame, s: Settings | None = None) -
                 rows = []
                 for a, _, h, start, end, first in texts_words(batch.column(1)):
                     with np.errstate(over="ignore"):
-                        found = candidates(h, ix)
+                        found = candidates(h, ix) | piece_candidates(h, first, ix)
                     for doc, item, edits, x, y in verified(h, first, found, ix):
                         base = int(offsets[a + doc])
                         rows.append((a + doc, ix.ids[item], edits, int(start[x]) - base if y > x else 0, int(end[y - 1]) - base if y > x else 0))
@@ -302,7 +334,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, s: Settings | None = None
                 keep = np.ones(batch.num_rows, bool)
                 for a, _, h, _, _, first in texts_words(batch.column(text)):
                     with np.errstate(over="ignore"):
-                        found = candidates(h, ix)
+                        found = candidates(h, ix) | piece_candidates(h, first, ix)
                     for doc, *_ in verified(h, first, found, ix):
                         keep[a + doc] = False
                 yield batch.filter(pa.array(keep))

@@ -175,6 +175,26 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert {x["doc_id"] for x in clean.collect()} == {d for d, _ in rows} - {d for d, _ in pairs}
 
 
+@pytest.mark.parametrize("length", [8, 15, 30, 50])
+def test_every_text_within_the_edits_is_found(spark, length):
+    r, pool = random.Random(length), [f"v{i}" for i in range(300)]
+    items = [[r.choice(pool) for _ in range(length)] for _ in range(25)]
+    most, docs, want = length // 5, [], set()
+    for i, w in enumerate(items):
+        spread = sorted(r.sample(range(length), most))
+        variants = [w[most:], ["zz"] * most + w[most:], w[:-most], [x for j, x in enumerate(w) if j not in spread],
+                    ["zz" if j in spread else x for j, x in enumerate(w)],
+                    [y for j, x in enumerate(w) for y in (["zz", x] if j in spread else [x])]]
+        for v in variants:
+            around = [[f"a{r.randrange(10**6)}" for _ in range(20)] for _ in range(2)]
+            want.add((len(docs), i))
+            docs.append((len(docs), " ".join(around[0] * (len(docs) % 2) + v + around[1])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(m[0], m[1]) for m in decontaminate.find_matches(df, bench).collect()} >= want
+    assert decontaminate.clean_documents(df, bench).count() == 0
+
+
 def test_match_span_covers_the_item(spark):
     item = " ".join(f"word{i}" for i in range(20))
     docs = table(spark, [(1, "é before " + item + " after")])
