@@ -61,6 +61,8 @@ SLACK = 1.08
 SIGNATURE_BUCKET_BYTES = 32 << 20
 BLOCK_ENTRIES = 1 << 21
 HUB = 64
+#: Members of a run that one task pairs; a longer run is cut into parts of this size, two of which meet in a task.
+LONG = 8192
 _U = np.uint64
 
 
@@ -278,14 +280,18 @@ def may_link(far: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold:
     return far * (100 + threshold) <= (size_a + size_b) * (100 - threshold)
 
 
-def open_pairs(key, doc, label, size, hist, threshold: int, chunk: int = 1 << 17):
+def open_pairs(key, doc, label, size, hist, threshold: int, chunk: int = 1 << 17, side=None, long: int | None = None):
     """Distinct pairs of equal keys, different labels and admissible sizes and histograms, compared ``chunk`` at a time.
 
-    ``label``, ``size`` and ``hist`` belong to the entries of ``doc``'s distinct values in ascending order.
+    ``label``, ``size`` and ``hist`` belong to the entries of ``doc``'s distinct values in ascending order, like ``side``:
+    only pairs of different sides then count.  With ``long`` runs of more sets are left out and returned as a third result:
+    (key, indexes of the sets in ascending size).
     """
     ids, idx = np.unique(doc, return_inverse=True)
+    order = np.sort(key)
+    keys = order[np.concatenate([[True], order[1:] != order[:-1]])] if len(order) else order
     idx, edge = _runs(key, idx)
-    n, out, held, waiting = len(ids), [np.zeros(0, np.int64)], [], 0
+    n, out, held, waiting, left = len(ids), [np.zeros(0, np.int64)], [], 0, []
 
     def settle() -> None:
         code = np.unique(np.concatenate(held))
@@ -294,25 +300,30 @@ def open_pairs(key, doc, label, size, hist, threshold: int, chunk: int = 1 << 17
             far = np.abs(hist[a].astype(np.int16) - hist[b]).sum(1, dtype=np.int64)
             out.append(code[at:at + chunk][may_link(far, size[a], size[b], threshold)])
 
-    for a, b in zip(edge[:-1], edge[1:]):
+    for k, a, b in zip(keys, edge[:-1], edge[1:]):
         w = idx[a:b]
         if b - a < 2 or (label[w] == label[w[0]]).all():
             continue
         w = w[np.argsort(size[w], kind="stable")]  # partners of a set lie in a range of sizes
+        if long and len(w) > long:
+            left.append((k, w))
+            continue
         end = np.searchsorted(size[w], size[w] * 100 // threshold, "right")
         for i in range(len(w) - 1):
             other = w[i + 1:end[i]]
             other = other[label[other] != label[w[i]]]
+            if side is not None:
+                other = other[side[other] != side[w[i]]]
             if len(other):
                 held.append(np.minimum(other, w[i]) * n + np.maximum(other, w[i]))
                 waiting += len(other)
-        if waiting >= 8 * chunk:
-            settle()
-            held, waiting = [], 0
+            if waiting >= chunk:
+                settle()
+                held, waiting = [], 0
     if held:
         settle()
     code = np.unique(np.concatenate(out))
-    return ids[code // n], ids[code % n]
+    return (ids[code // n], ids[code % n], left) if long else (ids[code // n], ids[code % n])
 
 
 def _joined(t: pa.Table, name: str, kind: str) -> np.ndarray:
@@ -329,20 +340,58 @@ def _candidates(blocks: DataFrame, cap: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
-def _open_candidates(blocks: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs of different components that share a fine signature and may link."""
+def _open_candidates(blocks: DataFrame, threshold: int, long: int = LONG) -> DataFrame:
+    """Distinct pairs of different components that share a fine signature and may link.
+
+    A run of more than ``long`` sets leaves its bucket in parts of that size, and each two parts meet in a task of their own.
+    """
+    def table(a, b, parts=()):
+        c = list(zip(*parts)) or [()] * 7
+        empty = [None] * len(parts)
+        return pa.table({"a": pa.array([*a, *empty], pa.int64()), "b": pa.array([*b, *empty], pa.int64()),
+                         **{k: pa.array([None] * len(a) + list(x), t) for (k, t), x in zip(
+                             [("run", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("docs", pa.binary()),
+                              ("labels", pa.binary()), ("sizes", pa.binary()), ("hists", pa.binary())], c)}})
+
     def run(t: pa.Table) -> pa.Table:
         import zstandard
 
         docs = _joined(t, "docs", "<i8")
-        _, first = np.unique(docs, return_index=True)
+        ids, first = np.unique(docs, return_index=True)
+        z, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        hist = np.frombuffer(b"".join(map(z.decompress, t.column("hists").to_pylist())), np.uint8).reshape(-1, CELLS)
+        label, size, hist = _joined(t, "labels", "<i8")[first], _joined(t, "sizes", "<i8")[first], hist[first]
+        a, b, left = open_pairs(_joined(t, "keys", "<u8"), np.repeat(docs, _joined(t, "counts", "<u4")), label, size, hist,
+                                threshold, long=long)
+        rows = []
+        for key, w in left:
+            for i, at in enumerate(range(0, len(w), long)):
+                x = w[at:at + long]
+                rows.append((int(key.astype(np.int64)), i, -(-len(w) // long), ids[x].tobytes(), label[x].tobytes(),
+                             size[x].tobytes(), packer.compress(hist[x].tobytes())))
+        return table(a, b, rows)
+
+    def meet(t: pa.Table) -> pa.Table:
+        import zstandard
+
         z = zstandard.ZstdDecompressor()
+        docs, label, size = (_joined(t, c, "<i8") for c in ("docs", "labels", "sizes"))
         hist = np.frombuffer(b"".join(map(z.decompress, t.column("hists").to_pylist())), np.uint8).reshape(-1, CELLS)
-        a, b = open_pairs(_joined(t, "keys", "<u8"), np.repeat(docs, _joined(t, "counts", "<u4")), _joined(t, "labels", "<i8")[first],
-                          _joined(t, "sizes", "<i8")[first], hist[first], threshold)
+        side = np.repeat(np.arange(t.num_rows), [len(x) // 8 for x in t.column("docs").to_pylist()])
+        ids, first = np.unique(docs, return_index=True)
+        a, b = open_pairs(np.zeros(len(docs), np.uint64), docs, label[first], size[first], hist[first], threshold,
+                          side=side[first] if t.num_rows > 1 else None)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return blocks.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    packed = "run long, part long, parts long, docs binary, labels binary, sizes binary, hists binary"
+    found = stored(blocks.groupBy("bucket").applyInArrow(run, "a long, b long, " + packed), "open")
+    pairs = found.where("run IS NULL").select("a", "b")
+    parts = found.where("run IS NOT NULL")
+    if not parts.isEmpty():
+        dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
+            "run", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "docs", "labels", "sizes", "hists")
+        pairs = pairs.unionByName(dealt.groupBy("run", "x", "y").applyInArrow(meet, "a long, b long"))
+    return pairs.distinct()
 
 
 def _prune(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:

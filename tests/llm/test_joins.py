@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,31 @@ def test_histogram_bound_never_drops_a_link():
     assert not ngram_join.may_link(np.array([3]), np.array([9]), np.array([9]), 80)[0]
 
 
+def test_long_run_is_paired_in_bounded_memory():
+    n, rng = 5000, np.random.default_rng(1)
+    hist = rng.integers(0, 9, (n, ngram_join.CELLS)).astype(np.uint8)
+    hist[7] = hist[4321]
+    one = np.zeros(n, np.uint64), np.arange(n), np.arange(n), np.full(n, 500), hist, 80
+    tracemalloc.start()
+    a, b = ngram_join.open_pairs(*one)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (7, 4321) in set(zip(a.tolist(), b.tolist())) and peak < 150 << 20
+
+
+def test_long_runs_are_split_over_tasks(spark):
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"x{r.randrange(10**6)}" for _ in range(30)])) for i in range(40)]
+    rows += [(100 + i, t.replace("p59", f"q{i}")) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scope = ngram_join.set_profiles(df, 5).join(df, "doc_id").select("doc_id", "text", F.col("doc_id").alias("label"), "n", "hist")
+    blocks = ngram_join._blocks(scope, 4, ngram_join.Bands(80, 100), 5, *ngram_join.FINE, fine=True).cache()
+    whole = {tuple(x) for x in ngram_join._open_candidates(blocks, 80).collect()}
+    assert whole >= {(i, 100 + i) for i in range(40)}
+    assert {tuple(x) for x in ngram_join._open_candidates(blocks, 80, long=7).collect()} == whole
+
+
 def test_components_chain_and_hub(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(300, 301), (301, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
