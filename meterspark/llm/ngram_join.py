@@ -27,8 +27,13 @@ verified on the whole sets.  When a star leaves members in different
 components, all members of that pivot's stars sign once more with longer
 projections, carrying their component and histogram; in each bucket only pairs
 of different components that the bound lets through are sent on.  Every link
-between different components is then verified, so components are exact; links
-inside a dense group are reported as links that span it.
+between different components is then verified, so components are exact.
+
+A link that is still missing joins two members of stars in one component.  The
+classes in stars are therefore dealt by component into blocks, every two blocks
+of a component meet in a task, and all their pairs are compared exactly.  The
+link table is complete; link counts are summed inside those tasks, so that
+counting makes no row per pair.
 
 Sets equal to each other are one class and are compared once per task.
 
@@ -63,6 +68,8 @@ BLOCK_ENTRIES = 1 << 21
 HUB = 64
 #: Members of a run that one task pairs; a longer run is cut into parts of this size, two of which meet in a task.
 LONG = 8192
+#: Classes and shingles per block of one component.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
 _U = np.uint64
 
 
@@ -443,8 +450,101 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> Da
     return rows.groupBy("a", "part").applyInArrow(run, "a long, b long")
 
 
+def block_links(sets: list[np.ndarray], side: np.ndarray, threshold: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs (i, j): i of side 0 and j of side 1, or i < j when there is one side."""
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    size = np.array([len(x) for x in sets], np.int64)
+    value, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = times > 1  # a shingle of one set adds to no overlap
+    place = np.cumsum(shared) - 1
+    keep = shared[col]
+    col, owner = place[col[keep]], owner[keep]
+    order = np.argsort(col, kind="stable")
+    col, owner = col[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)  # counts below 2**24 are exact
+    for at in range(0, int(shared.sum()), chunk):
+        x, y = np.searchsorted(col, [at, at + chunk])
+        has = np.zeros((len(sets), chunk), np.float32)
+        has[owner[x:y], col[x:y] - at] = 1
+        both += has[left] @ has[right].T
+    both = both.astype(np.int64)
+    link = (both > 0) & (100 * both >= threshold * (size[left][:, None] + size[right][None, :] - both))
+    if not side.any():
+        link = np.triu(link, 1)
+    i, j = np.nonzero(link)
+    return left[i], right[j]
+
+
+def _dense_blocks(star: DataFrame, texts: DataFrame, member: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes of stars that share their component with another, those dealt into pairs of blocks with their texts)."""
+    weight = member.groupBy("class").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n"))
+    near = (star.select(F.col("member").alias("doc_id"), "label").distinct().join(member.select("doc_id", "class"), "doc_id")
+            .groupBy("class", "label").agg(F.min("doc_id").alias("doc_id")).join(weight, "class"))
+    group = near.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where("m > 1").select(
+        "label", F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    near = stored(near.join(group, "label"), "near")
+    rows = near.join(texts.hint("shuffle_merge"), "doc_id").select("class", "label", "docs", "parts", "text")
+    part = F.pmod(F.xxhash64("class"), F.col("parts"))
+    dealt = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return near, dealt.select("label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"),
+                              (F.col("part") > F.col("other")).alias("upper"), "class", "docs", "text")
+
+
+def _dense_links(dealt: DataFrame, width: int, threshold: int, counts: bool) -> DataFrame:
+    """Links (u, v) between classes of one component, or with ``counts`` the documents linked to each class in each task."""
+    def run(t: pa.Table) -> pa.Table:
+        names, first = np.unique(t.column("class").to_numpy(), return_index=True)  # rows may repeat a document
+        t = t.take(pa.array(first))
+        sets: list[np.ndarray] = []
+        for _, _, h, begin in shingles.text_sets(t.column("text"), width):
+            sets += [h[x:y] for x, y in zip(begin[:-1], begin[1:])]
+        i, j = block_links(sets, t.column("upper").to_numpy().astype(np.int64), threshold)
+        if not counts:
+            return pa.table({"u": pa.array(np.minimum(names[i], names[j])), "v": pa.array(np.maximum(names[i], names[j]))})
+        docs = t.column("docs").to_numpy()
+        total = np.zeros(len(names), np.int64)
+        np.add.at(total, i, docs[j])
+        np.add.at(total, j, docs[i])
+        some = np.flatnonzero(total)
+        return pa.table({"class": pa.array(names[some]), "found": pa.array(total[some])})
+
+    return dealt.groupBy("label", "x", "y").applyInArrow(run, "class long, found long" if counts else "u long, v long")
+
+
 def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5, cap: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles with the class of every document, verified links between documents, components of linked classes)."""
+    """(profiles with the class of every document, all links (u < v) between classes, components of linked classes)."""
+    member, links, joined, star, texts = _linked(docs, threshold, width, cap)
+    near, dealt = _dense_blocks(star, texts, member)
+    return member, _other_links(links, member, near).unionByName(_dense_links(dealt, width, threshold, False)), joined
+
+
+def _other_links(links: DataFrame, member: DataFrame, near: DataFrame) -> DataFrame:
+    """The links (u < v) between classes that are not compared in blocks."""
+    by_class = (links.join(member.select(F.col("doc_id").alias("a"), F.col("class").alias("x")), "a")
+                .join(member.select(F.col("doc_id").alias("b"), F.col("class").alias("y")), "b")
+                .where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+    return (by_class.join(near.select(F.col("class").alias("u"), F.lit(True).alias("in_u")), "u", "left")
+            .join(near.select(F.col("class").alias("v"), F.lit(True).alias("in_v")), "v", "left")
+            .where("in_u IS NULL OR in_v IS NULL").select("u", "v"))
+
+
+def _link_counts(member: DataFrame, links: DataFrame, star: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(class, n_links): other rows whose set links with the set of the class."""
+    near, dealt = _dense_blocks(star, texts, member)
+    dense = stored(_dense_links(dealt, width, threshold, True), "dense")
+    release(member.sparkSession)
+    docs = member.where("n > 0").groupBy("class").agg(F.count(F.lit(1)).alias("docs"))
+    other = _other_links(links, member, near)
+    other = other.unionByName(other.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    found = other.join(docs.withColumnRenamed("class", "v"), "v").select(F.col("u").alias("class"), F.col("docs").alias("found"))
+    own = docs.select("class", (F.col("docs") - 1).alias("found"))
+    return dense.unionByName(found).unionByName(own).groupBy("class").agg(F.sum("found").alias("n_links"))
+
+
+def _linked(docs: DataFrame, threshold: int, width: int, cap: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(classes, links that span every component, components, members of stars with their component, texts compared)."""
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -492,12 +592,26 @@ def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5, cap:
         links = stored(links.unionByName(_verify(more, texts, width, threshold)), "links")
         release(spark)
         joined = connected(links)
-    return member, links, joined
+        star = star.select("member").distinct().join(
+            member.join(joined, member["class"] == joined["node"], "left").groupBy(F.col("doc_id").alias("member")).agg(
+                F.min(F.coalesce("component", "class")).alias("label")), "member")
+    return member, links, joined, star, texts
 
 
 def link_components(docs: DataFrame, threshold: int = 80, width: int = 5, cap: int = CAP) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every row of ``docs``."""
-    member, _, joined = similarity_links(docs, threshold, width, cap)
+    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id and n_links of every row of ``docs``.
+
+    ``n_links`` counts the other rows with a doc_id whose set links with the row's own (equal sets link).
+    """
+    member, links, joined, star, texts = _linked(docs, threshold, width, cap)
+    out = _labelled(docs, member, joined, width)
+    count = _link_counts(member, links, star, texts, width, threshold)
+    return out.join(count, out["class_id"] == count["class"], "left").select(
+        *out.columns, F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
+def _labelled(docs: DataFrame, member: DataFrame, joined: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of every row of ``docs``."""
     out = member.join(joined, member["class"] == joined["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"),
         F.coalesce("component", "class").alias("component_id"))
@@ -512,7 +626,8 @@ def keep_one(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
 
     Rows without doc_id stay; of rows that repeat a doc_id the one with the smallest text stays.
     """
-    found = link_components(docs, threshold, width).where(F.col("doc_id").isNotNull())
+    member, _, joined, *_ = _linked(docs, threshold, width, CAP)
+    found = _labelled(docs, member, joined, width).where(F.col("doc_id").isNotNull())
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     repeated = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "repeated")

@@ -74,6 +74,29 @@ def test_join_components_match_brute_force(spark, seed, cap):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts)
 
 
+@pytest.mark.parametrize("cap,block", [(8, 1024), (2, 1024), (2, 5)])
+def test_all_links_of_dense_groups_are_listed_and_counted(spark, cap, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
+    r, texts = random.Random(7), corpus(3, groups=5)
+    base = [f"d{i}" for i in range(120)]
+    for i in range(30):  # one dense group; some of its pairs link and some do not
+        w = base[:]
+        for j in r.sample(range(120), i % 4):
+            w[j] = f"e{i}_{j}"
+        texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j]
+            and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    df = table(spark, list(enumerate(texts)))
+    got = {x["doc_id"]: x["n_links"] for x in ngram_join.link_components(df, cap=cap).collect()}
+    assert got == {i: sum(i in p for p in want) for i in range(len(texts))}
+    member, links, _ = ngram_join.similarity_links(df, cap=cap)
+    first = {x["doc_id"]: x["class"] for x in member.collect()}
+    listed = [tuple(x) for x in links.collect()]
+    assert len(listed) == len(set(listed))
+    assert set(listed) == {tuple(sorted((first[i], first[j]))) for i, j in want if first[i] != first[j]}
+
+
 def test_join_null_and_repeated_ids(spark):
     a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
     rows = [(5, a), (5, b), (2, b), (9, a), (None, a), (7, c), (7, c)]
