@@ -2,11 +2,14 @@
 
 Patterns report what they match (kinds ``assign``, ``access``, ``hex``).  The
 novelty pass looks at every other token-like string that has a word of
-sensitive context shortly before it.  Its novelty is its marginal cost: the
+sensitive context shortly before or after it.  Its novelty is its marginal cost: the
 compressed bytes of (surrounding text + candidate) less those of the
 surrounding text alone, with a dictionary of code identifiers primed in.  Known
 identifiers, repeats of the surroundings and natural-language pieces cost
 little; key material costs about its own length and is reported (``novel``).
+A long candidate is judged in pieces, since over many characters the entropy
+coder learns any alphabet; it is reported whole when a piece is novel.  What a
+piece must cost falls with the alphabet that the whole candidate keeps to.
 
 One narrow scan, no shuffle; a task holds one Arrow batch.  Positions are code
 points of the whole text, end exclusive.  Defined results: NULL text counts as
@@ -18,6 +21,7 @@ unchanged whatever their names.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +45,9 @@ CONTEXT = re.compile(r"(?ai:passw(?:or)?d|passphrase|pwd|secret|token|api[ _-]?k
 _STEMS = ("passw", "passphrase", "pwd", "secret", "token", "api", "access", "private", "credential", "bearer", "signature",
           "client", "auth")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-REACH, AROUND, NOVELTY = 48, 256, 0.9
+REACH, AROUND, NOVELTY, PIECE = 48, 256, 0.9, 24
+#: Hexadecimal digits hold half a byte each.
+UPPER_HEX, HEX_NOVELTY = re.compile(r"[0-9A-F]+"), 0.5
 _TOKEN_CHAR = re.compile(r"[A-Za-z0-9+/_=.-]*")
 
 # Identifiers that primed compression treats as known.
@@ -90,24 +96,48 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[str, int, int]]:
     return out
 
 
+def is_novel(around: str, word: str, least: float = NOVELTY) -> bool:
+    """Whether some piece of about ``PIECE`` characters costs what key material of the word's alphabet costs."""
+    if UPPER_HEX.fullmatch(word):
+        least = min(least, HEX_NOVELTY)
+    cut = max(1, len(word) // PIECE)
+    edge = [len(word) * i // cut for i in range(cut + 1)]
+    return any(novelty(around, word[x:y]) >= least for x, y in zip(edge, edge[1:]))
+
+
 def novel_spans(text: str, known: list[tuple[str, int, int]], least: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Incompressible token-like strings that begin within ``REACH`` characters after a sensitive word."""
+    """Incompressible token-like strings at most ``REACH`` characters after or before a sensitive word."""
     taken = {p for _, a, b in known for p in range(a, b)}
     found: dict[int, int] = {}
-    for c in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, c.end(), min(len(text), c.end() + REACH + 512)):
-            a, b = m.span()
-            if a > c.end() + REACH:
+    judged: set[tuple[int, int]] = set()
+
+    def judge(a: int, b: int) -> None:
+        word = text[a:b]
+        if (a, b) in judged:
+            return
+        judged.add((a, b))
+        rest = [text[p] for p in range(a, b) if p not in taken]
+        if not rest or len(rest) < min(16, b - a) and not any("0" <= x <= "9" for x in rest):
+            return  # reported already, but for a name or a sign
+        if not (re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word)):
+            return
+        if is_novel(text[max(0, a - AROUND):a] + text[b:b + AROUND], word, least):
+            found[a] = b
+            taken.update(range(a, b))
+
+    context = [c.span() for c in CONTEXT.finditer(text)]
+    for _, end in context:
+        for m in CANDIDATE.finditer(text, end, min(len(text), end + REACH + 512)):
+            if m.start() > end + REACH:
+                break
+            judge(m.start(), _TOKEN_CHAR.match(text, m.end()).end())  # the search window never cuts a candidate
+    runs = [m.span() for m in CANDIDATE.finditer(text)] if context else []
+    ends = [b for _, b in runs]
+    for begin, _ in context:
+        for a, b in runs[bisect_left(ends, begin - REACH):]:
+            if begin - a < 16:
                 break
-            b = _TOKEN_CHAR.match(text, b).end()  # the search window never cuts a candidate
-            word = text[a:b]
-            if a in found or not taken.isdisjoint(range(a, b)):
-                continue
-            if not (re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word)):
-                continue
-            around = text[max(0, a - AROUND):a] + text[b:b + AROUND]
-            if novelty(around, word) >= least:
-                found[a] = b
+            judge(a, min(b, begin))
     return [("novel", a, b) for a, b in found.items()]
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -120,6 +121,29 @@ def test_novelty_tells_keys_from_identifiers():
     assert secret_scan.find_spans(f"no sensitive words near {key}") == []
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz",
+                                      "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+                                      "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_keys_of_every_length_are_found_on_both_sides(spark, alphabet):
+    r = random.Random(len(alphabet))
+    texts = sorted(t[0] for t in read(spark, "documents", SMALL).select("text").where("length(text) > 600").collect())
+    for size in (32, 64, 100, 200, 400, 2000):
+        hits = [0, 0]
+        for _ in range(20):
+            key = "".join(r.choices(alphabet, k=size - 2)) + "A7" if "A" in alphabet else "".join(r.choices(alphabet, k=size - 2)) + "a7"
+            doc = r.choice(texts)
+            a, b = doc[:256], doc[256:512]
+            for side, text in enumerate((f"{a} bearer {key} {b}", f"{a} {key} is the bearer {b}")):
+                at = text.index(key)
+                hits[side] += any(x <= at and at + size <= y for _, x, y in secret_scan.find_spans(text))
+        assert min(hits) >= 17, (size, hits)
+
+
+def test_long_identifiers_and_words_are_not_novel():
+    for word in ("wxyz1234" * 40, "onesen2erblest" * 20, "getElementById2addEventListener", "the_access_token_of_the_client_2"):
+        assert secret_scan.find_spans(f"some text onesen erblest here, bearer of {word} and more text") == []
+
+
 def test_redact_keeps_other_columns(spark):
     docs = spark.createDataFrame([(1, "a password=abcdefghijklm b", 5), (2, None, 6), (3, "clean", 7)], "doc_id long, text string, n_chars long")
     rows = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.redact(docs).collect()}
