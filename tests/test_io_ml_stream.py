@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,3 +143,26 @@ def test_every_raw_test_row_is_scored(spark, tmp_path):
     assert frame.where("train_val_split = 0").count() < forecast.raw_readings(spark, SF001).where("train_val_split = 0").count()
     report = forecast.run(spark, SF001, str(tmp_path / "out"), params=dict(maxDepth=2, maxIter=2)).first()
     assert report["missing"] == 0 and report["expected"] == report["predicted"] == raw.count()
+
+
+def test_registered_boosting_has_the_reference_settings(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from meterspark.plans import q_models
+
+    seen = []
+
+    def fit(train, features, label, kind="gbt", params=None):
+        est = ml._estimator(kind, label, params)
+        seen.append((est.getMaxDepth(), est.getMaxIter()))
+        raise InterruptedError
+
+    monkeypatch.setattr(ml, "fit", fit)
+    monkeypatch.setattr(q_models, "_frame", lambda s, d: s.createDataFrame(
+        [(1, 2, 3, 4, 0, 1.0, 0, 0.5)],
+        "l_orderkey int, l_linenumber int, l_partkey int, l_suppkey int, meter int, meter_reading double, train_val_split int, _log_label double"))
+    monkeypatch.setattr(q_models.forecast, "row_id", lambda: F.lit(1))
+    names = ["gbt_fit", "gbt_squared_fit", "gbt_stage_loss", "per_group_fit", "per_group_rmsle", "submission"]
+    for name in names:
+        with pytest.raises(InterruptedError):
+            entry.queries()[name](spark, "")
+    assert seen == [(10, 100)] * len(names)
