@@ -77,6 +77,22 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word of one slice of texts, and the first word of each text (+ total)."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    solid = ~sep[data]
+    edge = np.zeros(n + 1, bool)  # a text begins here
+    edge[off] = True
+    first = solid.copy()
+    first[1:] &= ~solid[:-1] | edge[1:n]
+    last = solid.copy()
+    last[:-1] &= ~solid[1:] | edge[1:n]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(start, off)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = WHITE, prefixes: tuple[int, ...] = ()):
     """Word hashes of one slice of texts: (hash, start byte, end byte, first word of each text + total).
 
@@ -88,14 +104,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = WHITE, prefixe
     if not n:
         shape = (0, 1 + len(prefixes)) if prefixes else 0
         return np.zeros(shape, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~sep[data]
-    edge = np.zeros(n + 1, bool)  # a text begins here
-    edge[off] = True
-    first = solid.copy()
-    first[1:] &= ~solid[:-1] | edge[1:n]
-    last = solid.copy()
-    last[:-1] &= ~solid[1:] | edge[1:n]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    start, end, first = word_spans(data, off, sep)
     power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_LOWER[data] * power[:n], out=total[1:])
@@ -103,7 +112,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = WHITE, prefixe
     if prefixes:
         heads = [mix((total[np.minimum(start + p, end)] - total[start]) * inverse[start], 40 + p) for p in prefixes]
         h = np.column_stack([h, *heads])
-    return h, start + base, end + base, np.searchsorted(start, off)
+    return h, start + base, end + base, first
 
 
 def shingles(h: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
