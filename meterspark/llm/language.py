@@ -30,7 +30,7 @@ learning) lang are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -70,7 +70,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 @dataclass
 class Settings:
     buckets: int = 1 << 12
-    max_rows: int = 3000
+    max_rows: int = 1500
     max_languages: int = 128
     piece: tuple[int, int] = (24, 240)
     ridge: float = 1e-4
@@ -86,7 +86,6 @@ class Model:
     pairs: tuple[tuple[int, int], ...] = ()
     weights: np.ndarray | None = None
     scale: tuple[float, float] = (1.0, 1.0)
-    log: dict = field(default_factory=dict)
 
 
 def letters(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,12 +120,17 @@ def gram_counts(data: np.ndarray, buckets: int) -> np.ndarray:
 
 def vectors(counts: np.ndarray) -> np.ndarray:
     """Square roots of the shares, with a constant 1 at the end (a row of zeros for a text without runs)."""
-    x = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
-    return np.column_stack([x, np.ones(len(x))]).astype(np.float32)
+    x = np.ones((len(counts), counts.shape[1] + 1), np.float32)
+    np.divide(counts, np.maximum(counts.sum(1, keepdims=True), 1), out=x[:, :-1], casting="same_kind")
+    np.sqrt(x, out=x)
+    return x
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 20) -> np.ndarray:
-    """Linear machine with squared hinge loss: Newton steps on the rows inside the margin, solved by conjugate gradients."""
+    """Linear machine with squared hinge loss: Newton steps on the rows inside the margin, solved by conjugate gradients.
+
+    Rows of weight 0 take no part (so all machines share one matrix).
+    """
     w = np.zeros(x.shape[1], np.float32)
     weight = (weight / weight.sum()).astype(np.float32)
 
@@ -136,16 +140,15 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, step
     now = loss(w)
     for _ in range(steps):
         slack = 1 - y * (x @ w)
-        rows = np.flatnonzero(slack > 0)
-        xa, ca = x[rows], weight[rows]
-        g = ridge * w - 2 * (ca * y[rows] * slack[rows]) @ xa
+        ca = weight * (slack > 0)
+        g = ridge * w - 2 * (ca * y * slack) @ x
         d, r = np.zeros_like(w), g.copy()
         p, rr = r.copy(), float(r @ r)
         small = 1e-4 * rr
         for _ in range(50):
             if rr <= small:
                 break
-            q = ridge * p + 2 * (ca * (xa @ p)) @ xa
+            q = ridge * p + 2 * (ca * (x @ p)) @ x
             a = rr / max(float(p @ q), 1e-30)
             d, r = d + a * p, r - a * q
             new = float(r @ r)
@@ -166,8 +169,8 @@ def _families(languages: tuple[str, ...], x: np.ndarray, y: np.ndarray) -> tuple
     for i, code in enumerate(languages):
         if code.lower() in FAMILY_OF:
             groups.setdefault(FAMILY_OF[code.lower()], []).append(i)
-    mean = np.stack([x[y == i, :-1].mean(0) for i in range(len(languages))])
-    listed = {f: mean[v].mean(0) for f, v in groups.items()}
+    mean = [x[y == i, :-1].mean(0) for i in range(len(languages))]
+    listed = {f: np.mean([mean[i] for i in v], axis=0) for f, v in groups.items()}
     for i, code in enumerate(languages):
         if code.lower() not in FAMILY_OF:
             near = max(listed, key=lambda f: float(mean[i] @ listed[f])) if listed else code
@@ -175,10 +178,13 @@ def _families(languages: tuple[str, ...], x: np.ndarray, y: np.ndarray) -> tuple
     return tuple(tuple(sorted(v)) for _, v in sorted(groups.items()))
 
 
-def _even(y: np.ndarray) -> np.ndarray:
-    """Row weights that give every class the same sum."""
-    _, code, n = np.unique(y, return_inverse=True, return_counts=True)
-    return 1.0 / n[code]
+def _even(sign: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Row weights that give both sides the same sum; 0 for rows that are not used."""
+    out = np.zeros(len(sign))
+    for side in (1, -1):
+        rows = used & (sign == side)
+        out[rows] = 1.0 / max(rows.sum(), 1)
+    return out
 
 
 def _scale(margin: np.ndarray) -> float:
@@ -190,26 +196,28 @@ def _scale(margin: np.ndarray) -> float:
 def train(counts: np.ndarray, languages: list[str], back: np.ndarray, s: Settings | None = None) -> Model:
     """Fit on gram counts and languages of the sample; rows in ``back`` only calibrate the score."""
     s = s or Settings()
-    names = tuple(sorted({lang for lang, b in zip(languages, back) if not b}))
+    taught = {lang for lang, b in zip(languages, back) if not b}
+    back = np.array([b and lang in taught for lang, b in zip(languages, back)], bool)  # a language's only rows are learned
+    names = tuple(sorted(set(languages)))
     m = Model(s, names)
     if len(names) < 2:
         return m
-    y = np.array([names.index(lang) if lang in names else -1 for lang in languages])
-    x, back = vectors(counts), np.asarray(back, bool)
-    tr, va = np.flatnonzero(~back), np.flatnonzero(back & (y >= 0))
-    m.families = _families(names, x[tr], y[tr])
+    y = np.array([names.index(lang) for lang in languages])
+    x, tr, va = vectors(counts), ~back, back
+    m.families = _families(names, x, np.where(tr, y, -1))
     of = np.array([next(f for f, v in enumerate(m.families) if i in v) for i in range(len(names))])
     cols, sure = [], ([], [])
+
+    def machine(sign: np.ndarray, among: np.ndarray, kind: int) -> None:
+        w = fit_svm(x, sign.astype(np.float32), _even(sign, among & tr), s.ridge)
+        cols.append(w)
+        sure[kind].append((sign * (x @ w))[among & va])
+
     for f in range(len(m.families) if len(m.families) > 1 else 0):
-        sign = np.where(of[y[tr]] == f, 1.0, -1.0).astype(np.float32)
-        cols.append(fit_svm(x[tr], sign, _even(sign), s.ridge))
-        sure[0].append(np.where(of[y[va]] == f, 1, -1) * (x[va] @ cols[-1]))
+        machine(np.where(of[y] == f, 1, -1), tr | va, 0)
     m.pairs = tuple(p for v in m.families for p in combinations(v, 2))
     for i, j in m.pairs:
-        rows, test = tr[(y[tr] == i) | (y[tr] == j)], va[(y[va] == i) | (y[va] == j)]
-        sign = np.where(y[rows] == i, 1.0, -1.0).astype(np.float32)
-        cols.append(fit_svm(x[rows], sign, _even(sign), s.ridge))
-        sure[1].append(np.where(y[test] == i, 1, -1) * (x[test] @ cols[-1]))
+        machine(np.where(y == i, 1, -1), (y == i) | (y == j), 1)
     m.weights = np.stack(cols, axis=1)
     m.scale = tuple(_scale(np.concatenate(v)) if v else 1.0 for v in sure)
     return m
@@ -268,14 +276,13 @@ def _sample(docs: DataFrame, s: Settings) -> DataFrame:
     rate = docs.sparkSession.createDataFrame(rates, "lang string, rate double")  # at most ``max_languages`` rows
     h = F.xxhash64(F.lit(11), "doc_id", "text")
     picked = (able.join(F.broadcast(rate), "lang").withColumn("h", h)
-              .where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).limit(4 * s.max_rows).select("lang", "h", "text"))
+              .where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "h", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = letters(b.column(2))
             out = []
             for i, h in enumerate(b.column(1).to_pylist()):
-                text = data[off[i]:off[i + 1]]
+                text = letters(b.column(2).slice(i, 1))[0]
                 rng = np.random.default_rng(h & 0xFFFFFFFF)
                 size = int(rng.integers(*s.piece))
                 at = int(rng.integers(0, max(len(text) - size, 0) + 1))
@@ -285,18 +292,19 @@ def _sample(docs: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(packed, pa.binary())],
                                              ["lang", "h", "counts"])
 
-    return picked.mapInArrow(run, "lang string, h long, counts binary")
+    # the limit only bounds the sample when very many rows repeat one document
+    return picked.mapInArrow(run, "lang string, h long, counts binary").limit(8 * s.max_rows)
 
 
 def fit(docs: DataFrame, s: Settings | None = None) -> Model:
     """Learn from text and non-NULL ``lang`` of the documents that are not held out."""
     s = s or Settings()
-    rows = sorted(_sample(docs, s).collect(), key=lambda r: (r["h"], r["lang"], r["counts"]))  # bounded by ``max_rows``
+    rows = sorted(((r["h"], r["lang"], bytes(r["counts"])) for r in _sample(docs, s).collect()))  # bounded by ``max_rows``
     counts = np.zeros((len(rows), s.buckets), np.float32)
-    for i, r in enumerate(rows):
-        at = np.frombuffer(r["counts"], "<u4").reshape(-1, 2)
+    for i, (_, _, packed) in enumerate(rows):
+        at = np.frombuffer(packed, "<u4").reshape(-1, 2)
         counts[i, at[:, 0]] = at[:, 1]
-    return train(counts, [r["lang"] for r in rows], np.array([(r["h"] >> 7) % 4 == 0 for r in rows], bool), s)
+    return train(counts, [lang for _, lang, _ in rows], np.array([(h >> 7) % 4 == 0 for h, _, _ in rows], bool), s)
 
 
 def identify(docs: DataFrame, m: Model) -> DataFrame:
@@ -307,12 +315,14 @@ def identify(docs: DataFrame, m: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = has_letter(b.column(1)) if m.languages else np.zeros(b.num_rows, bool)
-            data, off = letters(b.column(1))
             lang, score = np.full(b.num_rows, len(m.languages)), np.zeros(b.num_rows)
-            rows = np.flatnonzero(known)
-            for a in range(0, len(rows), 256):
-                part = rows[a:a + 256]
-                lang[part], score[part] = predict(m, np.stack([gram_counts(data[off[i]:off[i + 1]], m.s.buckets) for i in part]))
+            for x, y in shingles.slices(shingles.text_buffers(b.column(1))[1]):
+                data, off = letters(b.column(1).slice(x, y - x))
+                rows = np.flatnonzero(known[x:y])
+                for a in range(0, len(rows), 256):
+                    part = rows[a:a + 256]
+                    counts = np.stack([gram_counts(data[off[i]:off[i + 1]], m.s.buckets) for i in part])
+                    lang[x + part], score[x + part] = predict(m, counts)
             yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(lang, pa.int64())), pa.array(score, pa.float64())],
                                              ["doc_id", "lang_pred", "score"])
 
