@@ -19,15 +19,19 @@ weak sets also sign with twice as many, unsplit partitions, and again, until
 they are strong.
 
 Signatures travel as packed blocks per bucket of signatures and meet by
-sorting (a bucket's size does not grow with the input).  A run of up to
+sorting (buckets grow in number with the input; equal sets sign once per task,
+and a signature that very many different sets share makes its bucket larger).  A run of up to
 ``CAP`` documents gives all its pairs; a longer run gives a star around its
 most central member instead.  Candidates are pruned by a histogram bound of the
 symmetric difference (exact: it never drops a link), and the survivors are
 verified on the whole sets.  When a star leaves members in different
 components, all members of that pivot's stars sign once more with longer
-projections, carrying their component and histogram; in each bucket only pairs
-of different components that the bound lets through are sent on.  Every link
-between different components is then verified, so components are exact.
+projections, carrying their component and histogram; in each bucket the pairs
+of different components that the bound lets through grow trees, and only the
+trees' edges are sent on (fewer than the bucket has sets).  The ends of every
+link between different components are then in one tree of all buckets' edges; the
+members of each such tree are compared block by block, all pairs, and a task sends
+no more links than join its components, so components are exact.
 
 A link that is still missing joins two members of stars in one component.  The
 classes in stars are therefore dealt by component into blocks, every two blocks
@@ -38,8 +42,8 @@ counting makes no row per pair.
 Sets equal to each other are one class and are compared once per task.
 
 Defined results: text without words (or NULL) has no set and links with
-nothing; rows that repeat a doc_id are one node (linked to whatever any of its
-texts is linked to); rows without doc_id have a NULL component and no links;
+nothing; rows that repeat a doc_id are compared each, and are in one component (linked
+to whatever any of its texts is linked to); rows without doc_id have a NULL component and no links;
 an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -68,6 +72,8 @@ BLOCK_ENTRIES = 1 << 21
 HUB = 64
 #: Members of a run that one task pairs; a longer run is cut into parts of this size, two of which meet in a task.
 LONG = 8192
+#: Tasks that share the members of one pivot.
+SALT = 32
 #: Classes and shingles per block of one component.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
 _U = np.uint64
@@ -287,29 +293,48 @@ def may_link(far: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold:
     return far * (100 + threshold) <= (size_a + size_b) * (100 - threshold)
 
 
-def open_pairs(key, doc, label, size, hist, threshold: int, chunk: int = 1 << 17, side=None, long: int | None = None):
-    """Distinct pairs of equal keys, different labels and admissible sizes and histograms, compared ``chunk`` at a time.
+def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots (smallest member of each tree) after the edges a - b."""
+    while True:
+        x, y = root[a], root[b]
+        other = x != y
+        if not other.any():
+            return root
+        a, b, x, y = a[other], b[other], x[other], y[other]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
 
+
+def open_trees(key, doc, label, size, hist, threshold: int, chunk: int = 1 << 15, side=None, long: int | None = None):
+    """Trees over the sets that may link: (set, root) for every set joined to a smaller one, and the runs left out.
+
+    Sets of equal keys, different labels and admissible sizes and histograms are joined, ``chunk`` comparisons at a time;
+    two sets that already share a tree are not compared again, so what leaves a bucket never exceeds its sets.
     ``label``, ``size`` and ``hist`` belong to the entries of ``doc``'s distinct values in ascending order, like ``side``:
-    only pairs of different sides then count.  With ``long`` runs of more sets are left out and returned as a third result:
-    (key, indexes of the sets in ascending size).
+    only pairs of different sides then count.  With ``long``, runs of more sets are left out: (key, indexes of the sets in
+    ascending size).
     """
     ids, idx = np.unique(doc, return_inverse=True)
     order = np.sort(key)
     keys = order[np.concatenate([[True], order[1:] != order[:-1]])] if len(order) else order
     idx, edge = _runs(key, idx)
-    n, out, held, waiting, left = len(ids), [np.zeros(0, np.int64)], [], 0, []
+    root, left, x, y, waiting = np.arange(len(ids)), [], [], [], 0
 
     def settle() -> None:
-        code = np.unique(np.concatenate(held))
-        for at in range(0, len(code), chunk):
-            a, b = code[at:at + chunk] // n, code[at:at + chunk] % n
-            far = np.abs(hist[a].astype(np.int16) - hist[b]).sum(1, dtype=np.int64)
-            out.append(code[at:at + chunk][may_link(far, size[a], size[b], threshold)])
+        nonlocal root
+        a, b = np.concatenate(x), np.concatenate(y)
+        for at in range(0, len(a), chunk):
+            i, j = a[at:at + chunk], b[at:at + chunk]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            far = np.abs(hist[i].astype(np.int16) - hist[j]).sum(1, dtype=np.int64)
+            near = may_link(far, size[i], size[j], threshold)
+            root = merged(root, i[near], j[near])
 
     for k, a, b in zip(keys, edge[:-1], edge[1:]):
         w = idx[a:b]
-        if b - a < 2 or (label[w] == label[w[0]]).all():
+        if b - a < 2 or (label[w] == label[w[0]]).all() or (root[w] == root[w[0]]).all():
             continue
         w = w[np.argsort(size[w], kind="stable")]  # partners of a set lie in a range of sizes
         if long and len(w) > long:
@@ -318,19 +343,20 @@ def open_pairs(key, doc, label, size, hist, threshold: int, chunk: int = 1 << 17
         end = np.searchsorted(size[w], size[w] * 100 // threshold, "right")
         for i in range(len(w) - 1):
             other = w[i + 1:end[i]]
-            other = other[label[other] != label[w[i]]]
+            other = other[(label[other] != label[w[i]]) & (root[other] != root[w[i]])]
             if side is not None:
                 other = other[side[other] != side[w[i]]]
             if len(other):
-                held.append(np.minimum(other, w[i]) * n + np.maximum(other, w[i]))
+                x.append(np.full(len(other), w[i]))
+                y.append(other)
                 waiting += len(other)
             if waiting >= chunk:
                 settle()
-                held, waiting = [], 0
-    if held:
+                x, y, waiting = [], [], 0
+    if waiting:
         settle()
-    code = np.unique(np.concatenate(out))
-    return (ids[code // n], ids[code % n], left) if long else (ids[code // n], ids[code % n])
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]], left
 
 
 def _joined(t: pa.Table, name: str, kind: str) -> np.ndarray:
@@ -348,7 +374,8 @@ def _candidates(blocks: DataFrame, cap: int) -> DataFrame:
 
 
 def _open_candidates(blocks: DataFrame, threshold: int, long: int = LONG) -> DataFrame:
-    """Distinct pairs of different components that share a fine signature and may link.
+    """Edges (a, b) of trees that span, bucket by bucket, the sets of different components that share a fine signature and
+    may link: both ends of every such link are in one component of these edges.
 
     A run of more than ``long`` sets leaves its bucket in parts of that size, and each two parts meet in a task of their own.
     """
@@ -368,7 +395,7 @@ def _open_candidates(blocks: DataFrame, threshold: int, long: int = LONG) -> Dat
         z, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         hist = np.frombuffer(b"".join(map(z.decompress, t.column("hists").to_pylist())), np.uint8).reshape(-1, CELLS)
         label, size, hist = _joined(t, "labels", "<i8")[first], _joined(t, "sizes", "<i8")[first], hist[first]
-        a, b, left = open_pairs(_joined(t, "keys", "<u8"), np.repeat(docs, _joined(t, "counts", "<u4")), label, size, hist,
+        a, b, left = open_trees(_joined(t, "keys", "<u8"), np.repeat(docs, _joined(t, "counts", "<u4")), label, size, hist,
                                 threshold, long=long)
         rows = []
         for key, w in left:
@@ -386,8 +413,8 @@ def _open_candidates(blocks: DataFrame, threshold: int, long: int = LONG) -> Dat
         hist = np.frombuffer(b"".join(map(z.decompress, t.column("hists").to_pylist())), np.uint8).reshape(-1, CELLS)
         side = np.repeat(np.arange(t.num_rows), [len(x) // 8 for x in t.column("docs").to_pylist()])
         ids, first = np.unique(docs, return_index=True)
-        a, b = open_pairs(np.zeros(len(docs), np.uint64), docs, label[first], size[first], hist[first], threshold,
-                          side=side[first] if t.num_rows > 1 else None)
+        a, b, _ = open_trees(np.zeros(len(docs), np.uint64), docs, label[first], size[first], hist[first], threshold,
+                             side=side[first] if t.num_rows > 1 else None)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     packed = "run long, part long, parts long, docs binary, labels binary, sizes binary, hists binary"
@@ -482,24 +509,69 @@ def _dense_blocks(star: DataFrame, texts: DataFrame, member: DataFrame) -> tuple
     weight = member.groupBy("class").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n"))
     near = (star.select(F.col("member").alias("doc_id"), "label").distinct().join(member.select("doc_id", "class"), "doc_id")
             .groupBy("class", "label").agg(F.min("doc_id").alias("doc_id")).join(weight, "class"))
+    near = stored(_with_parts(near), "near")
+    return near, _dealt(near, texts, "docs")
+
+
+def _with_parts(near: DataFrame) -> DataFrame:
+    """Groups (``label``) of two and more classes, with the number of blocks that hold the group's classes."""
     group = near.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where("m > 1").select(
         "label", F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("long").alias("parts"))
-    near = stored(near.join(group, "label"), "near")
-    rows = near.join(texts.hint("shuffle_merge"), "doc_id").select("class", "label", "docs", "parts", "text")
+    return near.join(group, "label")
+
+
+def _dealt(near: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
+    """Every two blocks (x <= y) of a group, with the texts of their classes."""
+    rows = near.join(texts.hint("shuffle_merge"), "doc_id").select("class", "label", *more, "parts", "text")
     part = F.pmod(F.xxhash64("class"), F.col("parts"))
     dealt = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return near, dealt.select("label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"),
-                              (F.col("part") > F.col("other")).alias("upper"), "class", "docs", "text")
+    return dealt.select("label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"),
+                        (F.col("part") > F.col("other")).alias("upper"), "class", *more, "text")
+
+
+def _block_sets(t: pa.Table, width: int) -> tuple[pa.Table, list[np.ndarray]]:
+    """The rows of one task, one per class, and their shingle sets."""
+    t = t.take(pa.array(np.unique(t.column("class").to_numpy(), return_index=True)[1]))  # rows may repeat a document
+    sets: list[np.ndarray] = []
+    for _, _, h, begin in shingles.text_sets(t.column("text"), width):
+        sets += [h[x:y] for x, y in zip(begin[:-1], begin[1:])]
+    return t, sets
+
+
+def _tree_links(trees: DataFrame, known: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links that join the components (``own``) of sets in one candidate tree: all its pairs are compared block by block, and
+    a task sends at most one link fewer than it has components."""
+    near = (components(trees, "a", "b").withColumnRenamed("component", "label").join(
+        known.select(F.col("doc_id").alias("node"), F.col("label").alias("own"), "n"), "node")
+        .select("label", F.col("node").alias("class"), F.col("node").alias("doc_id"), "own", "n"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t, sets = _block_sets(t, width)
+        names, own = t.column("class").to_numpy(), np.unique(t.column("own").to_numpy(), return_inverse=True)[1]
+        i, j = block_links(sets, t.column("upper").to_numpy().astype(np.int64), threshold)
+        a, b = [], []
+        apart = own[i] != own[j]
+        i, j = i[apart], j[apart]
+        root = np.arange(len(names))
+        while len(i):  # take the first link left, join its components, drop the links this settles
+            x, y = root[own[i]], root[own[j]]
+            _, first = np.unique(np.maximum(x, y), return_index=True)  # one link per component, to a smaller one: no cycle
+            a.append(names[i[first]])
+            b.append(names[j[first]])
+            root = merged(root, own[i[first]], own[j[first]])
+            still = root[own[i]] != root[own[j]]
+            i, j = i[still], j[still]
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.concatenate([none, *a]), pa.int64()), "b": pa.array(np.concatenate([none, *b]), pa.int64())})
+
+    return _dealt(stored(_with_parts(near), "trees"), texts, "own").groupBy("label", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def _dense_links(dealt: DataFrame, width: int, threshold: int, counts: bool) -> DataFrame:
     """Links (u, v) between classes of one component, or with ``counts`` the documents linked to each class in each task."""
     def run(t: pa.Table) -> pa.Table:
-        names, first = np.unique(t.column("class").to_numpy(), return_index=True)  # rows may repeat a document
-        t = t.take(pa.array(first))
-        sets: list[np.ndarray] = []
-        for _, _, h, begin in shingles.text_sets(t.column("text"), width):
-            sets += [h[x:y] for x, y in zip(begin[:-1], begin[1:])]
+        t, sets = _block_sets(t, width)
+        names = t.column("class").to_numpy()
         i, j = block_links(sets, t.column("upper").to_numpy().astype(np.int64), threshold)
         if not counts:
             return pa.table({"u": pa.array(np.minimum(names[i], names[j])), "v": pa.array(np.maximum(names[i], names[j]))})
@@ -514,8 +586,11 @@ def _dense_links(dealt: DataFrame, width: int, threshold: int, counts: bool) ->
 
 
 def similarity_links(docs: DataFrame, threshold: int = 80, width: int = 5, cap: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles with the class of every document, all links (u < v) between classes, components of linked classes)."""
-    member, links, joined, star, texts = _linked(docs, threshold, width, cap)
+    """(profiles with the class of every document, all links (u < v) between classes, components of linked classes).
+
+    Needs one row per doc_id.
+    """
+    member, links, joined, star, texts = _linked(_known(docs), threshold, width, cap)
     near, dealt = _dense_blocks(star, texts, member)
     return member, _other_links(links, member, near).unionByName(_dense_links(dealt, width, threshold, False)), joined
 
@@ -543,31 +618,49 @@ def _link_counts(member: DataFrame, links: DataFrame, star: DataFrame, texts: Da
     return dense.unionByName(found).unionByName(own).groupBy("class").agg(F.sum("found").alias("n_links"))
 
 
-def _linked(docs: DataFrame, threshold: int, width: int, cap: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(classes, links that span every component, components, members of stars with their component, texts compared)."""
-    spark = docs.sparkSession
-    docs = docs.where(F.col("doc_id").isNotNull()).select(
+def _known(docs: DataFrame) -> DataFrame:
+    """doc_id and text of the rows with a doc_id."""
+    return docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with a key of their own: the doc_id where it is unique, else a number (column ``id`` keeps the doc_id).
+
+    The second result joins the rows that repeat a doc_id: (u, v); None when there are none.
+    """
+    known = _known(docs)
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return known.withColumn("id", F.col("doc_id")), None
+    rows = stored(known.select(F.col("doc_id").alias("id"), "text", F.monotonically_increasing_id().alias("doc_id")), "numbered")
+    first = rows.groupBy("id").agg(F.min("doc_id").alias("v"))
+    return rows, rows.join(first, "id").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+
+
+def _linked(docs: DataFrame, threshold: int, width: int, cap: int, same: DataFrame | None = None
+            ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(classes, links that span every component, components, members of stars with their component, texts compared).
+
+    ``same``: rows (u, v) that are one document although their sets need not link.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     profiles = stored(set_profiles(docs, width), "sets")
     classes = profiles.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class"))
     member = stored(profiles.join(classes, ["n", "f1", "f2"], "left").select(
         "doc_id", "n", F.coalesce("class", "doc_id").alias("class")), "classes")
-    one = profiles.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2", "hist")).alias("p")).select("doc_id", "p.*") \
-        if profiles.count() != profiles.select("doc_id").distinct().count() else profiles
     stats = profiles.agg(F.max("n")).first()
     bands = Bands(threshold, max(1, int(stats[0] or 1)))
     buckets = bucket_count(text_bytes(docs), SIGNATURE_BUCKET_BYTES)
-    repeated = member.join(member.groupBy("doc_id").agg(F.min("class").alias("v")), "doc_id").where("class <> v").select(
-        F.col("class").alias("u"), "v")
 
     def connected(links: DataFrame) -> DataFrame:
-        by_class = (links.join(member.select(F.col("doc_id").alias("a"), F.col("class").alias("u")), "a")
-                    .join(member.select(F.col("doc_id").alias("b"), F.col("class").alias("v")), "b").select("u", "v"))
-        return stored(components(by_class.unionByName(repeated), "u", "v"), "components")
+        first, second = (member.select(F.col("doc_id").alias(x), F.col("class").alias(c)) for x, c in (("a", "u"), ("b", "v")))
+        edges = links if same is None else links.unionByName(same.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        return stored(components(edges.join(first, "a").join(second, "b").select("u", "v"), "u", "v"), "components")
 
     pairs = stored(_candidates(_blocks(docs, buckets, bands, width, *FIRST), cap), "pairs")
     release(spark)
-    likely = stored(_prune(pairs.select("a", "b"), one, threshold), "likely")
+    likely = stored(_prune(pairs.select("a", "b"), profiles, threshold), "likely")
     star = pairs.where("star").select(F.col("a").alias("pivot"), F.col("b").alias("member"))
     star = star.unionByName(star.select("pivot", F.col("pivot").alias("member")).distinct())
     # The texts of all documents that may still be compared, fetched once: the list grows with the input, so it is
@@ -582,14 +675,17 @@ def _linked(docs: DataFrame, threshold: int, width: int, cap: int) -> tuple[Data
     label = member.join(joined, member["class"] == joined["node"], "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "class")).alias("label"))
     star = stored(star.join(label.withColumnRenamed("doc_id", "member"), "member"), "stars")
-    mixed = star.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("pivot")
-    who = stored(star.join(mixed, "pivot", "left_semi").select(F.col("member").alias("doc_id"), "label").distinct(), "again")
+    mixed = star.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    salt = F.pmod(F.xxhash64("member"), F.lit(SALT)).cast("int")  # a pivot with very many members is met in several tasks
+    mixed = mixed.select("pivot", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    who = stored(star.withColumn("salt", salt).join(mixed, ["pivot", "salt"], "left_semi").select(
+        F.col("member").alias("doc_id"), "label").distinct(), "again")
     if not who.isEmpty():
-        known = who.join(one.select("doc_id", "n", "hist"), "doc_id")
+        known = who.join(profiles.select("doc_id", "n", "hist"), "doc_id")
         scope = texts.join(known.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "label", "n", "hist")
-        more = stored(_open_candidates(_blocks(scope, buckets, bands, width, *FINE, fine=True), threshold), "open-pairs")
+        trees = stored(_open_candidates(_blocks(scope, buckets, bands, width, *FINE, fine=True), threshold), "open")
         release(spark)
-        links = stored(links.unionByName(_verify(more, texts, width, threshold)), "links")
+        links = stored(links.unionByName(_tree_links(trees, known, texts, width, threshold)), "links")
         release(spark)
         joined = connected(links)
         star = star.select("member").distinct().join(
@@ -603,22 +699,31 @@ def link_components(docs: DataFrame, threshold: int = 80, width: int = 5, cap: i
 
     ``n_links`` counts the other rows with a doc_id whose set links with the row's own (equal sets link).
     """
-    member, links, joined, star, texts = _linked(docs, threshold, width, cap)
-    out = _labelled(docs, member, joined, width)
+    rows, same = _numbered(docs)
+    member, links, joined, star, texts = _linked(rows, threshold, width, cap, same)
+    out = _labelled(docs, rows, same, member, joined, width)
     count = _link_counts(member, links, star, texts, width, threshold)
-    return out.join(count, out["class_id"] == count["class"], "left").select(
-        *out.columns, F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out.join(count, out["_class"] == count["class"], "left").select(
+        *(c for c in out.columns if c != "_class"),
+        F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
-def _labelled(docs: DataFrame, member: DataFrame, joined: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class_id and component_id of every row of ``docs``."""
+def _labelled(docs: DataFrame, rows: DataFrame, same: DataFrame | None, member: DataFrame, joined: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of every row of ``docs``; ``_class`` is the key of its class."""
     out = member.join(joined, member["class"] == joined["node"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"),
-        F.coalesce("component", "class").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("_class"), F.coalesce("component", "class").alias("component_id"))
+    if same is None:
+        out = out.withColumn("class_id", F.col("_class"))
+    else:  # keys are row numbers: classes and components are named by their smallest doc_id
+        out = stored(out.join(rows.select("doc_id", "id"), "doc_id"), "rows")
+        for key, name in (("_class", "class_id"), ("component_id", "_component")):
+            out = out.join(out.groupBy(key).agg(F.min("id").alias(name)), key)
+        out = out.withColumn("component_id", F.col("_component")).withColumn("doc_id", F.col("id"))
+    names = ["doc_id", "n_shingles", "class_id", "component_id", "_class"]
     lost = docs.where(F.col("doc_id").isNull())
     profile = set_profiles(lost.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), width)
     none = F.lit(None).cast("long")
-    return out.unionByName(profile.select("doc_id", F.col("n").alias("n_shingles"), none.alias("class_id"), none.alias("component_id")))
+    return out.select(*names).unionByName(profile.select("doc_id", F.col("n").alias("n_shingles"), *(none.alias(c) for c in names[2:])))
 
 
 def keep_one(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
@@ -626,8 +731,9 @@ def keep_one(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
 
     Rows without doc_id stay; of rows that repeat a doc_id the one with the smallest text stays.
     """
-    member, _, joined, *_ = _linked(docs, threshold, width, CAP)
-    found = _labelled(docs, member, joined, width).where(F.col("doc_id").isNotNull())
+    rows, same = _numbered(docs)
+    member, _, joined, *_ = _linked(rows, threshold, width, CAP, same)
+    found = _labelled(docs, rows, same, member, joined, width).where(F.col("doc_id").isNotNull())
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     repeated = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "repeated")

@@ -108,6 +108,20 @@ def test_join_null_and_repeated_ids(spark):
     assert ngram_join.keep_one(table(spark, rows)).columns == table(spark, rows).columns
 
 
+def test_near_copy_of_either_text_of_a_repeated_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(120)), " ".join(f"b{i}" for i in range(300))
+    near = a.replace("a119", "x")
+    for rows in ([(1, b), (1, a), (2, near)], [(1, a), (2, near), (1, b)], [(5, a), (5, b), (2, near), (9, b.replace("b0 ", "y ")), (7, "c d")]):
+        got = sorted(tuple(r) for r in ngram_join.link_components(table(spark, rows)).select("doc_id", "component_id", "n_links").collect())
+        least = min(d for d, t in rows if t != "c d")
+        want = []
+        for d, t in rows:
+            s = shingle_set(t)
+            links = sum(100 * len(s & shingle_set(u)) >= 80 * len(s | shingle_set(u)) for _, u in rows) - 1
+            want.append((d, d if t == "c d" else least, links))
+        assert got == sorted(want)
+
+
 def test_join_empty_table(spark):
     empty = table(spark, [(1, "a")]).limit(0)
     assert ngram_join.link_components(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
@@ -140,10 +154,28 @@ def test_long_run_is_paired_in_bounded_memory():
     hist[7] = hist[4321]
     one = np.zeros(n, np.uint64), np.arange(n), np.arange(n), np.full(n, 500), hist, 80
     tracemalloc.start()
-    a, b = ngram_join.open_pairs(*one)
+    a, b, _ = ngram_join.open_trees(*one)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert (7, 4321) in set(zip(a.tolist(), b.tolist())) and peak < 150 << 20
+    assert list(zip(a.tolist(), b.tolist())) == [(4321, 7)] and peak < 150 << 20
+
+
+def test_bucket_of_near_pairs_sends_a_tree():
+    n = 3000
+    hist = np.zeros((n, ngram_join.CELLS), np.uint8)
+    a, b, _ = ngram_join.open_trees(np.zeros(n, np.uint64), np.arange(n), np.arange(n), np.full(n, 500), hist, 80)
+    assert len(a) == n - 1 and set(b.tolist()) == {0}  # of 4.5 million pairs
+
+
+def test_merged_roots_are_the_smallest_members():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    root = ngram_join.merged(np.arange(300), a, b)
+    want = list(range(300))
+    for _ in range(300):
+        for x, y in zip(a.tolist(), b.tolist()):
+            want[x] = want[y] = min(want[x], want[y])
+    assert root.tolist() == want
 
 
 def test_long_runs_are_split_over_tasks(spark):
@@ -154,9 +186,9 @@ def test_long_runs_are_split_over_tasks(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     scope = ngram_join.set_profiles(df, 5).join(df, "doc_id").select("doc_id", "text", F.col("doc_id").alias("label"), "n", "hist")
     blocks = ngram_join._blocks(scope, 4, ngram_join.Bands(80, 100), 5, *ngram_join.FINE, fine=True).cache()
-    whole = {tuple(x) for x in ngram_join._open_candidates(blocks, 80).collect()}
-    assert whole >= {(i, 100 + i) for i in range(40)}
-    assert {tuple(x) for x in ngram_join._open_candidates(blocks, 80, long=7).collect()} == whole
+    trees = [{r["node"]: r["component"] for r in components(ngram_join._open_candidates(blocks, 80, long=n), "a", "b").collect()}
+             for n in (ngram_join.LONG, 7)]
+    assert trees[0] == trees[1] and all(trees[0][i] == trees[0][100 + i] for i in range(40))
 
 
 def test_components_chain_and_hub(spark):

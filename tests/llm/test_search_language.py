@@ -217,12 +217,12 @@ def test_gram_counts_do_not_depend_on_blocks(monkeypatch):
 
 
 def test_language_edge_cases(spark):
-    rows = [(1, None, "en"), (2, "", "en"), (2, "1234 !?", "en"), (None, "ñandú 5", None), (3, LONG, "en"), (4, "the the", "en"), (4, "the the", "en"),
+    rows = [(1, None, "en"), (2, "", "en"), (2, "1234 !?", "en"), (None, "ñandú 5", None), (3, LONG, "en"), (7, "the the", "en"), (7, "the the", "en"),
             (5, "日本", None)]
     docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, score string, held_out string")
     unlabelled = language.identify(docs, language.fit(docs.withColumn("lang", F.lit(None).cast("string")))).collect()
     assert len(unlabelled) == 8 and all(r["lang_pred"] == "und" and r["score"] == 0 for r in unlabelled)
     one = language.identify(docs, language.fit(docs)).collect()
     assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in one) == [
-        (0, "en"), (1, "und"), (2, "und"), (2, "und"), (3, "en"), (4, "en"), (4, "en"), (5, "en")]
+        (0, "en"), (1, "und"), (2, "und"), (2, "und"), (3, "en"), (5, "en"), (7, "en"), (7, "en")]
     assert language.identify(docs.limit(0), language.fit(docs.limit(0))).count() == 0
