@@ -3,7 +3,8 @@
 Each document is encoded once, ended with ``end_id`` and, only when it is
 longer than a sequence, cut from its end into full pieces (the first piece
 takes the remainder).  Full pieces are sequences of their own.  The rest are
-dealt by hash into groups of bounded size; within a group pieces are placed in
+dealt by a hash of their row number into groups of bounded size (so rows that repeat
+a key, or have none, spread as well); within a group pieces are placed in
 order of falling length, each into the open sequence whose choice makes the sum
 over gaps of (open sequences with that gap) squared smallest; a new sequence
 opens only when no open one has room.  Groups pack independently, so the
@@ -62,22 +63,18 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()),
                            *(T.StructField(c, T.LongType()) for c in names[2:])])
-    tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(tokenizer)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
             row, out = [], []
-            for x, y in tokens.runs(texts):
-                for i, ids in zip(range(x, y), enc.encode(texts[x:y])):
-                    ids += tail
-                    n = len(ids) // 4
+            for x, part in tokens.encoded(tokenizer, b.column(1), end_id):
+                for i, ids in enumerate(part, x):
+                    n = len(ids)
                     first = n if n <= capacity else n % capacity or capacity
                     cuts = [0, *range(first, n + 1, capacity)]
                     for k, (p, q) in enumerate(zip(cuts, cuts[1:])):
                         row.append(i)
-                        out.append((k, p, q - p, zlib.crc32(memoryview(ids)[4 * p:4 * q])))
+                        out.append((k, p, q - p, zlib.crc32(ids[p:q])))
             k, p, n, c = (list(v) for v in zip(*out)) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(row, pa.int64())), pa.array(k, pa.int32()), pa.array(p, pa.int64()),
@@ -103,7 +100,7 @@ def pack(pieces_: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PIE
         table = table.append_column("sequence_id", pa.array(b + (g << 32), pa.int64()))
         return table.append_column("offset", pa.array(o, pa.int64()))
 
-    dealt = small.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long"))
+    dealt = small.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     return dealt.groupBy("_group").applyInArrow(run, schema).select(*names, "sequence_id", "offset").unionByName(full)
 
 

@@ -16,14 +16,15 @@ One file holds consecutive documents in ascending doc_id order:
 A reader seeks to the end, reads the seek table and the index, and decompresses
 only the frames that hold the documents it wants; every frame read is checked.
 
-Writing range-partitions by doc_id, so each task writes one file, streaming
+Writing range-partitions by doc_id (and, where it repeats, the text's hash), so each task writes one file, streaming
 frame by frame; file names are unique per attempt and only the written
 manifest (one row per file) says which files count, so retried or speculative
 tasks do no harm.  Paths go through ``pyarrow.fs`` (file, hdfs, s3, ...), below
 the shared folder.
 
 Defined results: NULL text counts as empty (only the end id); a NULL doc_id
-sorts first and is kept; repeated doc_ids are ordered by text; an empty table
+sorts first and is kept; repeated doc_ids are ordered by a hash of the text (so that
+rows of one key can be dealt to several files); an empty table
 gives no files and an empty result; extra columns are ignored.
 """
 
@@ -41,6 +42,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterspark.operators.ordered import running_totals
+
 from . import tokens
 from .common import shared_path, stored, text_bytes
 
@@ -70,17 +73,14 @@ class Writer:
         self.keys: list[int | None] = []
         self.sizes: list[int] = []
 
-    def add(self, key: int | None, ids: bytes) -> None:
-        """``ids``: little-endian unsigned 32-bit."""
-        if self.width == 2:
-            wide = np.frombuffer(ids, "<u4")
-            if len(wide) and int(wide.max()) > 0xFFFF:
-                raise ValueError("an id does not fit 16 bits")
-            data = wide.astype("<u2").tobytes()
-        else:
-            data = ids
+    def add(self, key: int | None, ids: bytes | np.ndarray) -> None:
+        """``ids``: little-endian unsigned 32-bit (bytes or an array)."""
+        wide = np.frombuffer(ids, "<u4")
+        if self.width == 2 and len(wide) and int(wide.max()) > 0xFFFF:
+            raise ValueError("an id does not fit 16 bits")
+        data = wide.astype("<u2" if self.width == 2 else "<u4").tobytes()
         self.keys.append(key)
-        self.sizes.append(len(ids) // 4)
+        self.sizes.append(len(wide))
         self.pending.append(data)
         self.waiting += len(data)
         if self.waiting >= self.frame_bytes:
@@ -185,7 +185,6 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
     least = least_files or 4 * spark.sparkContext.defaultParallelism
     files = max(least, -(-text_bytes(docs) // file_bytes))
     width = 2 if vocabulary <= 1 << 16 else 4
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -199,12 +198,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
                 store.create_dir(root, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
                 stream = store.open_output_stream(f"{root}/{name}")
-                out, enc = Writer(stream, width), tokens.encoder(tokenizer)
+                out = Writer(stream, width)
             keys = b.column(0).to_pylist()
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for x, y in tokens.runs(texts):
-                for key, ids in zip(keys[x:y], enc.encode(texts[x:y])):
-                    out.add(key, ids + tail)
+            for x, texts in tokens.encoded(tokenizer, b.column(1), end_id):
+                for key, ids in zip(keys[x:x + len(texts)], texts):
+                    out.add(key, ids)
         if out is not None:
             out.close()
             stream.close()
@@ -215,18 +213,16 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
                  pa.array([len(out.sizes)], pa.int64()), pa.array([total], pa.int64())],
                 ["part", "path", "bytes", "n_docs", "n_tokens"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
-        files, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(run, "part int, path string, bytes long, n_docs long, n_tokens long"), "token-manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    return stored(ordered.select("doc_id", "text").mapInArrow(run, "part int, path string, bytes long, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from the files."""
-    rows = sorted(manifest.collect(), key=lambda r: r["part"])  # one row per file
-    begin, work = 0, []
-    for r in rows:
-        work.append((r["path"], r["bytes"], begin))
-        begin += r["n_tokens"]
+    files = max(1, manifest.count())
+    work = running_totals(manifest, [F.col("part")], {"_end": "n_tokens"}, min(files, 200)).select(
+        "path", "bytes", (F.col("_end") - F.col("n_tokens")).alias("begin"), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,5 +239,5 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                              pa.array(np.diff(t.begin)[cut], pa.int64()), pa.array(crc, pa.int64())],
                             ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    plan = spark.createDataFrame(work, "path string, bytes long, begin long").repartition(max(1, len(work)))
+    plan = work.repartitionByRange(files, "part").select("path", "bytes", "begin")
     return plan.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -5,7 +5,9 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from meterspark.llm import packing, token_store, tokens
 from meterspark.llm.q_llm import tokenizer_path
@@ -31,10 +33,13 @@ def table(spark, texts):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_cached_encoder_equals_tokenizer(name):
-    enc = tokens.WordEncoder(tokenizer_path(name), cache_words=5)
-    for texts in (ODD, ODD[::-1]):
-        got = [np.frombuffer(x, "<u4").tolist() + [2] for x in enc.encode([t or "" for t in texts])]
-        assert got == plain(name, texts)
+    more = ODD + ["“quoted” text", "trailing\u00a0", "\u2003lead x", "\u3000", "é à", "x" * 3000 + " y", "ends with à", "tab\tin word"]
+    enc = tokens.WordEncoder(tokenizer_path(name), 2, cache_words=5)
+    for texts in (more, more[::-1], more[:3], more[3:4], []):
+        assert [x.tolist() for x in enc.encode(pa.array(texts, pa.string()))] == plain(name, texts)
+    big = tokens.WordEncoder(tokenizer_path(name), None)
+    for _ in range(2):  # the second time from the cache
+        assert [x.tolist() + [2] for x in big.encode(pa.array(["pad", *more, "end"]).slice(1, len(more)))] == plain(name, more)
 
 
 def test_packing_contract(spark):
@@ -88,6 +93,24 @@ def test_sum_of_squares_choice_is_the_smallest():
     assert max(fill.values()) <= 20
 
 
+def test_packing_spreads_rows_without_own_keys(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(None, "a b c") for _ in range(300)] + [(7, "a b c") for _ in range(300)], "doc_id long, text string")
+    rows = packing.pack_documents(docs.withColumn("_group", F.lit(1)), path, group_pieces=100).collect()
+    groups = {}
+    for r in rows:
+        groups[r["sequence_id"] >> 32] = groups.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(rows) == 600 and len(groups) == 6 and max(groups.values()) < 200
+
+
+def test_packing_is_tight(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(["word"] * int(n)) for n in np.minimum(rng.exponential(250, 1500) + 1, 1020)]
+    rows = packing.pack_documents(table(spark, texts), tokenizer_path("byte_bpe_50k.json")).collect()
+    least = math.ceil(sum(r["length"] for r in rows) / 1024)
+    assert len({r["sequence_id"] for r in rows}) <= least + 3
+
+
 def test_packing_empty_table(spark):
     assert packing.pack_documents(table(spark, ["a"]).limit(0), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
@@ -142,5 +165,8 @@ def test_token_files_null_repeated_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, "z"), (3, "a"), (1, None)], "doc_id long, text string")
     path = tokenizer_path("word_bpe_49k.json")
     rows = token_store.read(spark, token_store.write(docs, path, least_files=2)).orderBy("start").collect()
+    many = spark.createDataFrame([(5, f"t {i % 40}") for i in range(400)], "doc_id long, text string")
+    manifest = token_store.write(many, path, least_files=8)
+    assert manifest.count() > 4 and manifest.agg({"n_docs": "sum"}).first()[0] == 400  # one key, several files
     assert [r["doc_id"] for r in rows] == [None, 1, 3, 3] and rows[-1]["start"] == sum(r["n_tokens"] for r in rows[:-1])
     assert token_store.read(spark, token_store.write(docs.limit(0), path)).count() == 0
