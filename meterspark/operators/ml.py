@@ -2,13 +2,14 @@
 
 Fits are MLlib estimators on DataFrames (distributed tree building, no
 collect of training rows).  Scores are aggregates.  A per-category model
-loop runs one distributed fit per category value; the category list is a
-small aggregate.
+loop runs one distributed fit per category value, several side by side; the
+number of categories is checked against a stated bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -16,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored_table
 from . import groupstats as gs
 
 # Reference model settings (used as defaults).
@@ -88,26 +90,37 @@ def stage_losses(model: PipelineModel, df: DataFrame, loss: str = "absolute") ->
 
 def per_group_fit(df: DataFrame, group_col: str, features: Sequence[str], label: str, keep: Sequence[str],
                   kind: str = "gbt", params: dict | None = None, split_col: str = "train_val_split",
-                  log_y: bool = False) -> DataFrame:
-    """One model per value of ``group_col``; returns validation predictions of all groups.
-
-    Each fit is a distributed Spark ML job on the group's training rows; the
-    group values come from one small distinct aggregate.
+                  log_y: bool = False, max_groups: int = 64, at_once: int = 4) -> DataFrame:
+    """One model per value of ``group_col`` (NULL is a group); returns validation predictions of all groups.
+
+    Each fit is a distributed Spark ML job on the group's training rows, read
+    from one stored table of keys, features and label; ``at_once`` fits run side
+    by side, so the many small stages of boosting fill the cluster.  More than
+    ``max_groups`` groups are an error, never a silent cut.  A group without
+    training rows predicts the median training label of all groups.
     """
-    label_col = "_label"
-    data = df.withColumn(label_col, F.log1p(F.col(label)) if log_y else F.col(label).cast("double"))
-    values = [r[0] for r in data.select(group_col).distinct().orderBy(group_col).collect()]
-    parts = []
-    for v in values:
-        part = data.where(F.col(group_col) == F.lit(v))
-        train = part.where(F.col(split_col) == 0)
-        val = part.where(F.col(split_col) == 1)
-        model = fit(train, features, label_col, kind, params)
-        parts.append(predict(model, val, list(keep) + [group_col, label], log_y))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from concurrent.futures import ThreadPoolExecutor
+
+    fit_label = "_label"
+    names = list(dict.fromkeys([*keep, group_col, label, split_col, *features]))
+    data = stored_table(df.select(*names, (F.log1p(F.col(label)) if log_y else F.col(label).cast("double")).alias(fit_label)))
+    sizes = data.groupBy(group_col).agg(F.count_if(F.col(split_col) == 0).alias("n")).limit(max_groups + 1).collect()
+    if len(sizes) > max_groups:
+        raise ValueError(f"more than {max_groups} values of {group_col}: raise max_groups or group them first")
+    train, val = data.where(F.col(split_col) == 0), data.where(F.col(split_col) == 1)
+
+    def one(r) -> DataFrame:
+        mine = F.col(group_col).eqNullSafe(F.lit(r[0]).cast(data.schema[group_col].dataType))
+        if not r["n"]:
+            flat = gs.attach(val.where(mine), gs.median(train, [], fit_label, "prediction"), [])
+            return clip_predictions(flat.select(*keep, *extra, "prediction"), "prediction", log_y)
+        return predict(fit(train.where(mine), features, fit_label, kind, params), val.where(mine), [*keep, *extra], log_y)
+
+    extra = [c for c in (group_col, label) if c not in keep]
+    if not sizes:
+        return val.select(*keep, *extra, F.lit(None).cast("double").alias("prediction"))
+    with ThreadPoolExecutor(at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, sorted(sizes, key=lambda r: (r[0] is not None, r[0]))))
 
 
 def learning_curve(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],

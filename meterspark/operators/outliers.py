@@ -39,13 +39,13 @@ def _restrict(df: DataFrame, by: str | None, by_vals) -> DataFrame:
 
 
 def mad_stats(df: DataFrame, value: str, by: str | None = None, by_vals: Sequence | None = None,
-              accuracy: int = gs.DEFAULT_ACCURACY) -> DataFrame:
+              cells: int = gs.CELLS) -> DataFrame:
     """Per group: median, mean and mean absolute deviation about the mean."""
     keys = [by] if by else []
     bounded = by_vals is not None or not keys
     src = _restrict(df, by, by_vals).select(*keys, null_nan(value).alias("_y"))
     # The mean rides along in the median's sketch pass; the deviation needs a second pass.
-    med = gs.median(src, keys, "_y", "_median", accuracy, extra_aggs=[F.avg("_y").alias("_mean")], bounded=by_vals is not None)
+    med = gs.median(src, keys, "_y", "_median", cells, extra_aggs=[F.avg("_y").alias("_mean")])
     dev = gs.attach(src, med.select(*keys, "_mean") if keys else med.select("_mean"), keys, bounded=bounded, how="inner") \
         .groupBy(*keys).agg(F.avg(F.abs(F.col("_y") - F.col("_mean"))).alias("_mad"))
     if not keys:
@@ -54,10 +54,10 @@ def mad_stats(df: DataFrame, value: str, by: str | None = None, by_vals: Sequenc
 
 
 def quartile_stats(df: DataFrame, value: str, by: str | None = None, by_vals: Sequence | None = None,
-                   accuracy: int = gs.DEFAULT_ACCURACY) -> DataFrame:
+                   cells: int = gs.CELLS) -> DataFrame:
     keys = [by] if by else []
     src = _restrict(df, by, by_vals).select(*keys, null_nan(value).alias("_y"))
-    return gs.quantiles(src, keys, "_y", [0.25, 0.75], ["_q1", "_q3"], accuracy, bounded=by_vals is not None)
+    return gs.quantiles(src, keys, "_y", [0.25, 0.75], ["_q1", "_q3"], cells)
 
 
 def _group_label(flag, by: str) -> F.Column:
@@ -67,17 +67,17 @@ def _group_label(flag, by: str) -> F.Column:
 
 def detect_outliers(df: DataFrame, value: str, new_col: str, detect_type: str = "MAD",
                     by: str | None = None, by_vals: Sequence | None = None,
-                    accuracy: int = gs.DEFAULT_ACCURACY) -> DataFrame:
+                    cells: int = gs.CELLS) -> DataFrame:
     """Add ``new_col`` with outlier labels (see module doc)."""
     mode = detect_type.upper()
     keys = [by] if by else []
     bounded = by_vals is not None or not keys
     y = null_nan(value)
     if mode == "MAD":
-        stats = mad_stats(df, value, by, by_vals, accuracy)
+        stats = mad_stats(df, value, by, by_vals, cells)
         is_out = F.coalesce(F.abs(F.lit(Z_CONST) * (y - F.col("_median"))) > F.lit(CUTOFF) * F.col("_mad"), F.lit(False))
     elif mode == "QUARTILE":
-        stats = quartile_stats(df, value, by, by_vals, accuracy)
+        stats = quartile_stats(df, value, by, by_vals, cells)
         iqr = F.col("_q3") - F.col("_q1")
         normal = (y > F.col("_q1") - F.lit(CUTOFF) * iqr) & (y < F.col("_q3") + F.lit(CUTOFF) * iqr)
         is_out = ~F.coalesce(normal, F.lit(False))

@@ -21,7 +21,7 @@ MAD_SCALE = 1.4826
 
 
 def stats_by_value(df: DataFrame, by: str, value: str, digits: int = 2,
-                   accuracy: int = gs.DEFAULT_ACCURACY, mad_propagates_nulls: bool = False) -> DataFrame:
+                   cells: int = gs.CELLS, mad_propagates_nulls: bool = False) -> DataFrame:
     """count / min / mean / std / median / scaled MAD / max per group.
 
     ``count`` counts rows (nulls included); missing statistics become 0;
@@ -31,12 +31,12 @@ def stats_by_value(df: DataFrame, by: str, value: str, digits: int = 2,
     """
     src = df.select(by, null_nan(value).alias("_y"))
     # Plain statistics ride along in the median's sketch pass (no extra scan).
-    med = gs.median(src, [by], "_y", "median", accuracy, extra_aggs=[
+    med = gs.median(src, [by], "_y", "median", cells, extra_aggs=[
         F.count(F.lit(1)).alias("count"), F.min("_y").alias("min"), F.avg("_y").alias("mean"),
         F.stddev_samp("_y").alias("std"), F.max("_y").alias("max"), F.count_if(F.col("_y").isNull()).alias("_nulls")])
     dev = gs.attach(src, med.select(by, "median"), [by], how="inner") \
         .select(by, F.abs(F.col("_y") - F.col("median")).alias("_d"))
-    mad = gs.median(dev, [by], "_d", "_mad", accuracy)
+    mad = gs.median(dev, [by], "_d", "_mad", cells)
     out = gs.null_safe_join(med, mad, [by], "left")
 
     def fin(c):
@@ -117,13 +117,13 @@ def mean_abs_dev(df: DataFrame, keys: Sequence[str], value: str, name: str = "ma
 
 
 def stats_by_column(df: DataFrame, cols: Sequence[str], digits: int = 3,
-                    accuracy: int = gs.DEFAULT_ACCURACY) -> DataFrame:
+                    cells: int = gs.CELLS) -> DataFrame:
     """min / mean / std / median / mad (mean abs deviation) / max per column, rounded."""
     cols = list(cols)
     stack = "stack({n}, {pairs}) as (column_name, _y)".format(
         n=len(cols), pairs=", ".join(f"'{c}', cast({c} as double)" for c in cols))
     long = df.selectExpr(stack)
-    med = gs.median(long, ["column_name"], "_y", "median", accuracy, extra_aggs=[
+    med = gs.median(long, ["column_name"], "_y", "median", cells, extra_aggs=[
         F.min("_y").alias("min"), F.avg("_y").alias("mean"), F.stddev_samp("_y").alias("std"),
         F.max("_y").alias("max")])
     dev = gs.attach(long, med.select("column_name", "mean"), ["column_name"], how="inner")
@@ -241,8 +241,8 @@ def extremes_by_group(df: DataFrame, by: str, value: str, entity: str) -> DataFr
 
 
 def median_by_keys(df: DataFrame, keys: Sequence[str], value: str, name: str,
-                   accuracy: int = gs.DEFAULT_ACCURACY) -> DataFrame:
-    return gs.median(df, keys, value, name, accuracy)
+                   cells: int = gs.CELLS) -> DataFrame:
+    return gs.median(df, keys, value, name, cells)
 
 
 def date_coverage_diff(df1: DataFrame, col1: str, df2: DataFrame, col2: str) -> DataFrame:

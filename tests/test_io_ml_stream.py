@@ -157,12 +157,24 @@ def test_registered_boosting_has_the_reference_settings(spark, monkeypatch):
         raise InterruptedError
 
     monkeypatch.setattr(ml, "fit", fit)
-    monkeypatch.setattr(q_models, "_frame", lambda s, d: s.createDataFrame(
-        [(1, 2, 3, 4, 0, 1.0, 0, 0.5)],
-        "l_orderkey int, l_linenumber int, l_partkey int, l_suppkey int, meter int, meter_reading double, train_val_split int, _log_label double"))
+    row = {**{k: 1 for k in q_models.forecast.KEYS}, **{c: 1.0 for c in q_models.forecast.feature_columns()},
+           "meter": 0, "meter_reading": 1.0, "train_val_split": 0, "_log_label": 0.5}
+    monkeypatch.setattr(q_models, "_frame", lambda s, d: s.createDataFrame([tuple(row.values())], list(row)))
     monkeypatch.setattr(q_models.forecast, "row_id", lambda: F.lit(1))
     names = ["gbt_fit", "gbt_squared_fit", "gbt_stage_loss", "per_group_fit", "per_group_rmsle", "submission"]
     for name in names:
         with pytest.raises(InterruptedError):
             entry.queries()[name](spark, "")
     assert seen == [(10, 100)] * len(names)
+
+
+def test_per_group_models_cover_null_groups_and_groups_without_training_rows(spark):
+    rows = [(i, g, float(i % 7), float(i % 7) * (2 if g else 3), int(i % 3 == 0)) for i in range(120) for g in (0, 1, None)]
+    rows += [(1000 + i, 5, 1.0, 4.0, 1) for i in range(4)]  # rows to score only
+    df = spark.createDataFrame(rows, "id int, g int, x double, y double, train_val_split int")
+    out = ml.per_group_fit(df, "g", ["x"], "y", ["id"], "gbt", dict(maxIter=3, maxDepth=2, lossType="squared"))
+    assert out.columns == ["id", "g", "y", "prediction"]
+    got = {(r["id"], r["g"]): r["prediction"] for r in out.collect()}
+    assert set(got) == {(i, g) for i, g, _, _, s in rows if s == 1} and all(p >= 0 for p in got.values())
+    with pytest.raises(ValueError, match="more than 2"):
+        ml.per_group_fit(df, "g", ["x"], "y", ["id"], max_groups=2)

@@ -1,4 +1,4 @@
-"""Exact quantiles: band method against numpy, including groups larger than the sketch accuracy."""
+"""Exact quantiles: narrowed ranges against numpy, including groups larger than the counters of a range."""
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,8 @@ def _pandas_quantiles(pdf, probs):
     return out
 
 
-@pytest.mark.parametrize("accuracy", [50, 1000, 100_000])
-def test_band_quantiles_match_numpy(spark, accuracy):
+@pytest.mark.parametrize("cells", [16, 1000, 1 << 16])
+def test_narrowed_quantiles_match_numpy(spark, cells):
     rng = np.random.default_rng(7)
     n = 6000
     pdf = pd.DataFrame({
@@ -29,7 +29,7 @@ def test_band_quantiles_match_numpy(spark, accuracy):
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     got = {r["k"]: [r[f"q{i}"] for i in range(len(probs))]
-           for r in gs.quantiles(df, ["k"], "v", probs, accuracy=accuracy).collect()}
+           for r in gs.quantiles(df, ["k"], "v", probs, cells=cells).collect()}
     want = _pandas_quantiles(pdf, probs)
     assert set(got) == set(want)
     for k in want:
@@ -56,8 +56,8 @@ def test_nan_is_missing(spark):
 
 def test_repartition_invariant(spark):
     df = spark.range(0, 5000).select((F.col("id") % 7).alias("k"), (F.col("id") * 1.5 % 101).alias("v"))
-    a = sorted(gs.median(df, ["k"], "v", "m", accuracy=100).collect())
-    b = sorted(gs.median(df.repartition(13), ["k"], "v", "m", accuracy=100).collect())
+    a = sorted(gs.median(df, ["k"], "v", "m", cells=100).collect())
+    b = sorted(gs.median(df.repartition(13), ["k"], "v", "m", cells=100).collect())
     assert a == b
 
 
@@ -71,3 +71,49 @@ def test_prefix_sums_exact_for_any_partition_count(spark):
         got = ordered.running_total(u, [F.col("x").asc(), F.col("t").asc()], F.col("t"), "c", partitions=parts).toPandas()
         got = got.sort_values(["x", "t"])
         assert (got["c"].to_numpy() == np.cumsum(got["t"].to_numpy())).all(), parts
+
+
+@pytest.mark.parametrize("values", [
+    [float("inf"), float("-inf"), 1.0, 2.0, 3.0] * 9,
+    [5e-324 * k for k in range(40)],
+    [10.0**k for k in range(-300, 300, 3)] + [-(10.0**k) for k in range(-300, 300, 7)],
+    [1.7e308, -1.7e308, 0.0, -0.0] * 8 + [1.0],
+    [7.25] * 50,
+    [1.0] * 30 + [1.0 + 2**-52 * k for k in range(30)],
+])
+def test_ranges_narrow_whatever_the_values(spark, values):
+    df = spark.createDataFrame([("k", v) for v in values] + [(None, v) for v in values[:3]], "k string, v double").repartition(5)
+    probs = [0.0, 0.3, 0.5, 0.99, 1.0]
+    got = {r["k"]: [r[f"q{i}"] for i in range(5)] for r in gs.quantiles(df, ["k"], "v", probs, cells=24).collect()}
+    whole = gs.quantiles(df, ["k"], "v", probs).collect()
+    assert repr(sorted({r["k"]: [r[f"q{i}"] for i in range(5)] for r in whole}.items(), key=str)) == repr(sorted(got.items(), key=str))
+    ranked = sorted(values)
+    for p, q in zip(probs, got["k"]):
+        low = ranked[int(np.floor(p * (len(values) - 1)))]
+        high = ranked[min(int(np.floor(p * (len(values) - 1))) + 1, len(values) - 1)]
+        assert low <= q <= high or np.isnan(q) and np.isinf([low, high]).any()
+
+
+def test_rows_of_large_groups_are_not_shuffled(spark):
+    """At a tiny broadcast threshold only counters meet: no sort-merge join and no exchange below the counting."""
+    df = spark.range(20_000).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 10_007).cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        out = gs.quantiles(df, ["k"], "v", [0.25, 0.5], cells=500)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["k"]: (r["q0"], r["q1"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+    for exchange in plan.split("Exchange hashpartitioning")[1:]:
+        below = exchange.split("\n")[1]
+        assert "HashAggregate" in below or "Window" in below or "Project" in below
+    pdf = df.toPandas()
+    assert got == {k: (float(np.quantile(g, 0.25)), float(np.quantile(g, 0.5))) for k, g in pdf.groupby("k")["v"]}
+
+
+def test_more_large_groups_than_the_driver_holds(spark, monkeypatch):
+    monkeypatch.setattr(gs.materialize_small, "__defaults__", (2,))
+    df = spark.range(2_000).select((F.col("id") % 5).alias("k"), ((F.col("id") * 31) % 997).cast("double").alias("v"))
+    got = {r["k"]: r["m"] for r in gs.median(df, ["k"], "v", "m", cells=50).collect()}
+    assert got == {k: float(np.median(g)) for k, g in df.toPandas().groupby("k")["v"]}

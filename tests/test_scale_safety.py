@@ -87,10 +87,10 @@ def test_fill_frames_only_grow(spark):
     assert not rows_after
 
 
-@pytest.mark.parametrize("accuracy", [20, 100])
-def test_band_path_equals_small_group_path(spark, accuracy):
+@pytest.mark.parametrize("cells", [20, 100])
+def test_narrowed_ranges_equal_the_small_group_path(spark, cells):
     df = spark.range(3_000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1009).cast("double").alias("y"))
-    a = gs.quantiles(df, ["g"], "y", [0.25, 0.5, 0.9], accuracy=accuracy).collect()
+    a = gs.quantiles(df, ["g"], "y", [0.25, 0.5, 0.9], cells=cells).collect()
     b = gs.quantiles(df, ["g"], "y", [0.25, 0.5, 0.9]).collect()
     assert sorted(a) == sorted(b)
 
@@ -99,7 +99,7 @@ def test_bounded_groups_keep_rows_in_place(spark):
     df = spark.range(1_000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("y"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = gs.quantiles(df, ["g"], "y", [0.5], bounded=True)._jdf.queryExecution().executedPlan().toString()
+        plan = gs.quantiles(df, ["g"], "y", [0.25, 0.5], cells=50)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
