@@ -21,7 +21,7 @@ unchanged whatever their names.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,7 +48,6 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 REACH, AROUND, NOVELTY, PIECE = 48, 256, 0.9, 24
 #: Hexadecimal digits hold half a byte each.
 UPPER_HEX, HEX_NOVELTY = re.compile(r"[0-9A-F]+"), 0.5
-_TOKEN_CHAR = re.compile(r"[A-Za-z0-9+/_=.-]*")
 
 # Identifiers that primed compression treats as known.
 IDENTIFIERS = (
@@ -73,12 +72,11 @@ def _compressor():
     return zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False)
 
 
-def novelty(around: str, candidate: str) -> float:
-    """Marginal compressed bytes of ``candidate`` after ``around``, per byte of it."""
+def novelty(around: str, candidate: str, known: int | None = None) -> float:
+    """Marginal compressed bytes of ``candidate`` after ``around``, per byte of it (``known``: compressed bytes of ``around``)."""
     z = _compressor()
-    known = around.encode("utf-8", "replace")
-    extra = candidate.encode()
-    return (len(z.compress(known + extra)) - len(z.compress(known))) / len(extra)
+    before, extra = around.encode("utf-8", "replace"), candidate.encode()
+    return (len(z.compress(before + extra)) - (len(z.compress(before)) if known is None else known)) / len(extra)
 
 
 def _mentions(low: str, stems: tuple[str, ...]) -> bool:
@@ -102,43 +100,61 @@ def is_novel(around: str, word: str, least: float = NOVELTY) -> bool:
         least = min(least, HEX_NOVELTY)
     cut = max(1, len(word) // PIECE)
     edge = [len(word) * i // cut for i in range(cut + 1)]
-    return any(novelty(around, word[x:y]) >= least for x, y in zip(edge, edge[1:]))
+    known = len(_compressor().compress(around.encode("utf-8", "replace")))
+    pieces = dict.fromkeys(word[x:y] for x, y in zip(edge, edge[1:]))  # equal pieces cost the same
+    return any(novelty(around, p, known) >= least for p in pieces)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _gaps(a: int, b: int, spans: list[tuple[int, int]], ends: list[int]) -> list[tuple[int, int]]:
+    """The parts of [a, b) that no span covers (``spans``: disjoint and in order, ``ends``: their ends)."""
+    out = []
+    for i in range(bisect_right(ends, a), len(spans)):
+        x, y = spans[i]
+        if x >= b:
+            break
+        if x > a:
+            out.append((a, x))
+        a = max(a, y)
+    return [*out, (a, b)] if a < b else out
 
 
 def novel_spans(text: str, known: list[tuple[str, int, int]], least: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Incompressible token-like strings at most ``REACH`` characters after or before a sensitive word."""
-    taken = {p for _, a, b in known for p in range(a, b)}
-    found: dict[int, int] = {}
-    judged: set[tuple[int, int]] = set()
-
-    def judge(a: int, b: int) -> None:
-        word = text[a:b]
-        if (a, b) in judged:
-            return
-        judged.add((a, b))
-        rest = [text[p] for p in range(a, b) if p not in taken]
-        if not rest or len(rest) < min(16, b - a) and not any("0" <= x <= "9" for x in rest):
-            return  # reported already, but for a name or a sign
-        if not (re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word)):
-            return
-        if is_novel(text[max(0, a - AROUND):a] + text[b:b + AROUND], word, least):
-            found[a] = b
-            taken.update(range(a, b))
+    """Incompressible token-like strings at most ``REACH`` characters after or before a sensitive word.
 
+    Sensitive words split the runs of token characters; each part of 16 and more characters is judged once, so the
+    time grows with the text, however many sensitive words one run holds.
+    """
     context = [c.span() for c in CONTEXT.finditer(text)]
-    for _, end in context:
-        for m in CANDIDATE.finditer(text, end, min(len(text), end + REACH + 512)):
-            if m.start() > end + REACH:
-                break
-            judge(m.start(), _TOKEN_CHAR.match(text, m.end()).end())  # the search window never cuts a candidate
-    runs = [m.span() for m in CANDIDATE.finditer(text)] if context else []
-    ends = [b for _, b in runs]
-    for begin, _ in context:
-        for a, b in runs[bisect_left(ends, begin - REACH):]:
-            if begin - a < 16:
-                break
-            judge(a, min(b, begin))
-    return [("novel", a, b) for a, b in found.items()]
+    if not context:
+        return []
+    begins, ends = [a for a, _ in context], [b for _, b in context]
+    taken = _merged([(a, b) for _, a, b in known])
+    taken_ends = [b for _, b in taken]
+    found = []
+    for run in CANDIDATE.finditer(text):
+        for a, b in _gaps(run.start(), run.end(), context, ends):
+            before, after = bisect_right(ends, a) - 1, bisect_left(begins, b)
+            near = before >= 0 and a - ends[before] <= REACH or after < len(begins) and begins[after] - b <= REACH
+            if b - a < 16 or not near:
+                continue
+            rest = "".join(text[x:y] for x, y in _gaps(a, b, taken, taken_ends))
+            if len(rest) < 16 and not re.search("[0-9]", rest):
+                continue  # reported already, but for a name or a sign
+            word = text[a:b]
+            if re.search("[0-9]", word) and re.search("[A-Za-z]", word) and is_novel(
+                    text[max(0, a - AROUND):a] + text[b:b + AROUND], word, least):
+                found.append(("novel", a, b))
+    return found
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:

@@ -186,3 +186,21 @@ def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in q_llm.QUERIES) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "benchmark_decontamination",
                                                       "secret_scans", "best_fit_packing"]
+
+
+def test_secret_scan_time_grows_with_the_text():
+    import time
+
+    key = "".join(random.Random(2).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    for text in ("token" * 200_000, "token1" * 170_000, "secret " + "ab9z" * 250_000, "token=aaaaaaaaaaaaaaaa1 " * 40_000):
+        begin = time.process_time()
+        secret_scan.find_spans(text)
+        assert time.process_time() - begin < 20, text[:20]
+    text = "x " * 1000 + f"bearer {key}" + " y" * 1000 + f" {key[::-1]} credential"
+    assert [(k, text[a:b]) for k, a, b in secret_scan.find_spans(text)] == [("novel", key), ("novel", key[::-1])]
+
+
+def test_sensitive_words_split_a_run():
+    key = "".join(random.Random(2).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    text = "x " * 300 + f"{key}_token_passphrase_abc" + " y" * 300
+    assert [(k, text[a:b]) for k, a, b in secret_scan.find_spans(text)] == [("novel", key + "_")]
