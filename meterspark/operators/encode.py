@@ -86,12 +86,23 @@ def drop_null_columns(dfs: Sequence[DataFrame], reference: DataFrame | None = No
 
 def sparse_feature_report(df: DataFrame, thresh: float = 0.5, compat_rounding: bool = False) -> DataFrame:
     """(column_name, null_share, dropped): dropped when the null share exceeds ``thresh``."""
-    share = F.col("null_count") / F.col("row_count")
+    share = F.try_divide(F.col("null_count"), F.col("row_count"))  # NULL for a table without rows: nothing is dropped
     if compat_rounding:
         share = F.round(share, 3)
     return null_counts(df).select("column_name", share.alias("null_share"), (share > F.lit(thresh)).alias("dropped"))
 
 
+def drop_sparse_features(dfs: Sequence[DataFrame], thresh: float = 0.5, reference: DataFrame | None = None,
+                         compat_rounding: bool = False) -> list[DataFrame]:
+    """Drop from every frame the columns whose NULL share in ``reference`` (default: first frame) exceeds ``thresh``.
+
+    The shares are one aggregate row; a reference without rows drops nothing.
+    """
+    report = sparse_feature_report(reference if reference is not None else dfs[0], thresh, compat_rounding)
+    bad = [r["column_name"] for r in report.where("dropped").collect()]  # one row per column
+    return [d.drop(*[c for c in bad if c in d.columns]) for d in dfs]
+
+
 def match_columns(df1: DataFrame, df2: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keep only the columns both frames have, in the first frame's order."""
     common = [c for c in df1.columns if c in set(df2.columns)]

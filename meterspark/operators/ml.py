@@ -82,6 +82,17 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str], log_y: boo
     return clip_predictions(out, "prediction", log_y)
 
 
+def save(model: PipelineModel, path: str) -> str:
+    """Write a fitted pipeline (features and estimator) to ``path``, replacing what is there."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load(path: str) -> PipelineModel:
+    """The pipeline that ``save`` wrote; it scores like the one that was saved."""
+    return PipelineModel.load(path)
+
+
 def stage_losses(model: PipelineModel, df: DataFrame, loss: str = "absolute") -> list[float]:
     """Validation loss after each boosting round (GBT models only)."""
     assembled = model.stages[0].transform(df)

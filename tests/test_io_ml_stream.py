@@ -50,9 +50,8 @@ def test_model_save_load_same_predictions(spark):
                                     (F.col("id") % 7).cast("double").alias("z")) \
         .withColumn("y", F.col("x") * 2.0 + F.col("z") + 1.0)
     model = ml.fit(df, ["x", "z"], "y", "gbt", dict(maxDepth=3, maxIter=5))
-    model.write().overwrite().save(f"{d}/model")
-    from pyspark.ml import PipelineModel
-    loaded = PipelineModel.load(f"{d}/model")
+    ml.save(ml.fit(df, ["x"], "y", "lr"), f"{d}/model")
+    loaded = ml.load(ml.save(model, f"{d}/model"))  # replaces the first
     a = sorted(r["prediction"] for r in model.transform(df).collect())
     b = sorted(r["prediction"] for r in loaded.transform(df).collect())
     assert a == b

@@ -331,3 +331,13 @@ def test_stats_by_value_mad_null_policy(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", None)], "k string, y double")
     assert pf.stats_by_value(df, "k", "y").first()["mad"] == round(1.4826, 2)
     assert pf.stats_by_value(df, "k", "y", mad_propagates_nulls=True).first()["mad"] == 0.0
+
+
+def test_drop_sparse_features(spark):
+    a = spark.createDataFrame([(1, None, None, "x"), (2, None, 1.0, None), (3, 1.0, 2.0, "y")], "id int, a double, b double, c string")
+    other = spark.createDataFrame([(9, 5.0)], "id int, a double")
+    first, second = enc.drop_sparse_features([a, other], 0.5)
+    assert first.columns == ["id", "b", "c"] and second.columns == ["id"]
+    assert enc.drop_sparse_features([a], 0.3)[0].columns == ["id"]
+    assert enc.drop_sparse_features([other], 0.3, reference=a)[0].columns == ["id"]
+    assert enc.drop_sparse_features([a.limit(0)], 0.3)[0].columns == a.columns
