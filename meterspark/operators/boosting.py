@@ -6,8 +6,10 @@ trains model m, so one pass over the table serves every model: one per meter,
 or one per (training size, fold) of a learning curve.  A level of all trees is
 one job: tasks add gradients and counts per (model, node, feature, bin) in
 arrays, send one packed histogram per (model, node), and the histograms are
-merged and the best cut is chosen per (model, node) in tasks.  The driver gets
-one row per open node.  Every ``REFRESH`` rounds the margins are stored anew, so
+merged and the best cut is chosen per (model, node) in tasks.  Nodes that hold
+at most ``SMALL`` rows wait until no larger one is open; then the rows of each
+meet in one task, which finishes the subtree, all of them in one job.  The
+driver gets one row per node.  Every ``REFRESH`` rounds the margins are stored anew, so
 a lost executor repeats a task and never an earlier round.
 
 Objective: squared error with L1 (``alpha``) and L2 (``lam``) on the leaves.  A
@@ -36,6 +38,8 @@ from ..session import stored_table
 
 MAX_MODELS = 62
 REFRESH = 10
+#: Rows up to which a node's subtree is finished in one task.
+SMALL = 1 << 16
 #: A split has to gain more than this.
 MIN_GAIN = 1e-6
 _TABLE = "bins binary, y double, mask long, margins binary"
@@ -208,100 +212,192 @@ def _refreshed(table: DataFrame, recent: list[list[Tree]], features: int, models
     return stored_table(table.mapInArrow(run, _TABLE))
 
 
+def _gradients(b: pa.RecordBatch, recent, growing: list[Tree], open_: list[list[int]], features: int):
+    """(model, slot of its open node, bins, gradient) of the rows of one batch that stand in an open node."""
+    models = len(growing)
+    x, y, mask, margins = _rows(b, features, models)
+    for m in range(models):
+        at = np.flatnonzero(mask >> m & 1) if open_[m] else ()
+        if not len(at):
+            continue
+        slot = np.full(len(growing[m].value), -1)
+        slot[open_[m]] = np.arange(len(open_[m]))
+        mine = x[at]
+        slot = slot[growing[m].place(mine)]
+        live = slot >= 0
+        at, mine, slot = at[live], mine[live], slot[live]
+        g = margins[at, m] - y[at]
+        for trees in recent:
+            g = g + trees[m].predict(mine)
+        if len(at):
+            yield m, slot, mine, g
+
+
+def _histograms(x: np.ndarray, g: np.ndarray, slot: np.ndarray, slots: int, width: int) -> np.ndarray:
+    """Gradient sums and counts per (slot, column, bin)."""
+    out = np.empty((slots, x.shape[1], width, 2))
+    for j in range(x.shape[1]):
+        code = slot * width + x[:, j]
+        out[:, j, :, 0] = np.bincount(code, g, slots * width).reshape(-1, width)
+        out[:, j, :, 1] = np.bincount(code, minlength=slots * width).reshape(-1, width)
+    return out
+
+
+def _cuts(h: np.ndarray, s: Settings) -> list[tuple]:
+    """(gain, column, cut, missing to the left, left G, left H, G, H) of the best cut of each node."""
+    out = []
+    for part in np.array_split(h, len(h) // 64 + 1):
+        whole = part[:, 0].sum(axis=1)
+        low = np.cumsum(part[:, :, 1:], axis=2)
+        sides = np.stack([low, low + part[:, :, :1]], axis=1)  # node, missing side, column, cut
+        gl, hl = sides[..., 0], sides[..., 1]
+        g, n = whole[:, 0].reshape(-1, 1, 1, 1), whole[:, 1].reshape(-1, 1, 1, 1)
+        gain = 0.5 * (s.worth(gl, hl) + s.worth(g - gl, n - hl) - s.worth(g, n))
+        least = max(s.min_child, 1)
+        gain[(hl < least) | (n - hl < least)] = -1.0
+        top = gain.reshape(len(part), -1).argmax(axis=1)
+        miss, column, cut = np.unravel_index(top, gain.shape[1:])
+        rows = np.arange(len(part))
+        out += zip(gain.reshape(len(part), -1)[rows, top].tolist(), column.tolist(), (cut + 1).tolist(), (miss == 1).tolist(),
+                   gl[rows, miss, column, cut].tolist(), hl[rows, miss, column, cut].tolist(), *whole.T.tolist())
+    return out
+
+
+_SPLIT = "model int, node int, feature int, cut int, missing_left boolean, gain double, gl double, hl double, g double, h double"
+
+
+def _split_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32()] * 4 + [pa.bool_()] + [pa.float64()] * 5
+    names = [c.split()[0] for c in _SPLIT.split(", ")]
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
+
+
 def _level(table: DataFrame, recent, growing: list[Tree], open_: list[list[int]], cols: np.ndarray,
            features: int, bins: int, s: Settings) -> list:
-    """Best cut of every open node of every model: one pass over the table."""
-    models, width = len(growing), bins + 1
+    """Best cut of every open node of every model: one pass over the table, histograms merged per (model, node)."""
+    width = bins + 1
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, held = [], [None] * models
-        for m in range(models):
-            slot = np.full(len(growing[m].value), -1)
-            slot[open_[m]] = np.arange(len(open_[m]))
-            slots.append(slot)
+        held = {}
         for b in batches:
-            x, y, mask, margins = _rows(b, features, models)
-            for m in range(models):
-                at = np.flatnonzero(mask >> m & 1) if open_[m] else ()
-                if not len(at):
-                    continue
-                mine = x[at]
-                slot = slots[m][growing[m].place(mine)]
-                live = slot >= 0
-                at, mine, slot = at[live], mine[live], slot[live]
-                g = margins[at, m] - y[at]
-                for trees in recent:
-                    g = g + trees[m].predict(mine)
-                if held[m] is None:
-                    held[m] = np.zeros((len(open_[m]), len(cols), width, 2))
-                size = len(open_[m]) * width
-                for j, c in enumerate(cols):
-                    code = slot * width + mine[:, c]
-                    held[m][:, j, :, 0] += np.bincount(code, g, size).reshape(-1, width)
-                    held[m][:, j, :, 1] += np.bincount(code, minlength=size).reshape(-1, width)
-        for m, h in enumerate(held):
-            if h is not None:
-                some = np.flatnonzero(h[:, 0, :, 1].any(axis=1))
-                for part in np.array_split(some, len(some) // 256 + 1):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), m, np.int32)), pa.array(np.array(open_[m], np.int32)[part]),
-                         _packed(h[part].reshape(len(part), -1))], ["model", "node", "h"])
+            for m, slot, x, g in _gradients(b, recent, growing, open_, features):
+                h = _histograms(x[:, cols], g, slot, len(open_[m]), width)
+                held[m] = held[m] + h if m in held else h
+        for m, h in held.items():
+            some = np.flatnonzero(h[:, 0, :, 1].any(axis=1))
+            for part in np.array_split(some, len(some) // 256 + 1):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), m, np.int32)), pa.array(np.array(open_[m], np.int32)[part]),
+                     _packed(h[part].reshape(len(part), -1))], ["model", "node", "h"])
 
     def best(t: pa.Table) -> pa.Table:
-        h = sum(np.frombuffer(v, np.float64) for v in t.column("h").to_pylist()).reshape(len(cols), width, 2)
-        whole = h[0].sum(axis=0)
-        low = np.cumsum(h[:, 1:], axis=1)
-        sides = np.stack([low, low + h[:, :1]])                      # missing right, missing left
-        gl, hl = sides[..., 0], sides[..., 1]
-        gr, hr = whole[0] - gl, whole[1] - hl
-        gain = 0.5 * (s.worth(gl, hl) + s.worth(gr, hr) - s.worth(*whole))
-        gain[(hl < max(s.min_child, 1)) | (hr < max(s.min_child, 1))] = -1.0
-        i = int(np.argmax(gain))
-        miss, j, cut = np.unravel_index(i, gain.shape)
-        one = [int(t.column("model")[0].as_py()), int(t.column("node")[0].as_py()), int(cols[j]), int(cut) + 1, bool(miss),
-               float(gain.flat[i]), float(gl.flat[i]), float(hl.flat[i]), float(whole[0]), float(whole[1])]
-        return pa.table({f.name: pa.array([v], f.type) for f, v in zip(best_schema, one)})
-
-    best_schema = pa.schema([("model", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("cut", pa.int32()),
-                             ("missing_left", pa.bool_()), *((c, pa.float64()) for c in ("gain", "gl", "hl", "g", "h"))])
-    packed = table.mapInArrow(histograms, "model int, node int, h binary")
-    return packed.groupBy("model", "node").applyInArrow(
-        best, "model int, node int, feature int, cut int, missing_left boolean, gain double, gl double, hl double, g double, h double").collect()
+        total = np.zeros((1, len(cols), width, 2))
+        for v in t.column("h"):
+            total += np.frombuffer(v.as_buffer(), np.float64).reshape(total.shape)
+        gain, j, *rest = _cuts(total, s)[0]
+        cut, miss = rest[:2]
+        return _split_table([(t.column("model")[0].as_py(), t.column("node")[0].as_py(), int(cols[j]), cut, miss, gain, *rest[2:])])
+
+    return table.mapInArrow(histograms, "model int, node int, h binary").groupBy("model", "node").applyInArrow(best, _SPLIT).collect()
+
+
+def _subtrees(table: DataFrame, recent, growing: list[Tree], open_: list[list[int]], cols: np.ndarray,
+              features: int, bins: int, s: Settings) -> list:
+    """All splits below the open nodes, each of which holds a bounded number of rows: a node's rows meet in one task."""
+    width = bins + 1
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for m, slot, x, g in _gradients(b, recent, growing, open_, features):
+                order = np.argsort(slot, kind="stable")
+                edge = np.flatnonzero(np.diff(slot[order], prepend=-1))
+                x, g = np.ascontiguousarray(x[order][:, cols]), g[order]
+                ends = np.append(edge[1:], len(order))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(edge), m, np.int32)), pa.array(np.array(open_[m], np.int32)[slot[order][edge]]),
+                     pa.array([x[i:j].tobytes() for i, j in zip(edge, ends)], pa.binary()),
+                     pa.array([g[i:j].tobytes() for i, j in zip(edge, ends)], pa.binary())], ["model", "node", "x", "g"])
+
+    def finish(t: pa.Table) -> pa.Table:
+        m, root = t.column("model")[0].as_py(), t.column("node")[0].as_py()
+        x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.uint8).reshape(-1, len(cols))
+        g = np.frombuffer(b"".join(t.column("g").to_pylist()), np.float64)
+        nodes, slot, out = [root], np.zeros(len(g), np.int64), []
+        for _ in range((root + 1).bit_length() - 1, s.depth):
+            found = _cuts(_histograms(x, g, slot, len(nodes), width), s)
+            split = [i for i, r in enumerate(found) if r[0] > MIN_GAIN or nodes[i] == root]
+            out += [(m, nodes[i], int(cols[found[i][1]]), found[i][2], found[i][3], found[i][0], *found[i][4:]) for i in split]
+            split = [i for i in split if found[i][0] > MIN_GAIN]
+            if not split:
+                break
+            place = np.full(len(nodes), -1)
+            place[split] = 2 * np.arange(len(split))
+            live = place[slot] >= 0
+            x, g, slot = x[live], g[live], slot[live]
+            column, cut, miss = (np.array([r[i] for r in found]) for i in (1, 2, 3))
+            b = x[np.arange(len(x)), column[slot]]
+            left = np.where(b == 0, miss[slot], b <= cut[slot])
+            slot = place[slot] + 1 - left
+            nodes = [c for i in split for c in (2 * nodes[i] + 1, 2 * nodes[i] + 2)]
+        return _split_table(out)
+
+    return table.mapInArrow(rows, "model int, node int, x binary, g binary").groupBy("model", "node").applyInArrow(finish, _SPLIT).collect()
+
+
+def _round(table: DataFrame, sizes: dict[int, int], recent, models: int, round_: int, features: int, s: Settings, small: int) -> list[Tree]:
+    """One tree per model: levels of large nodes by histograms, then everything below small nodes in one job."""
+    cols = s.columns(features, round_)
+    growing = [Tree(s.depth) for _ in range(models)]
+    large, rest = [[] for _ in range(models)], [[] for _ in range(models)]
+    for m, n in sizes.items():
+        (large if n > small else rest)[m].append(0)
+
+    def apply(found: list) -> list[tuple[int, int, float]]:
+        """Enter the splits; returns the children as (model, node, rows)."""
+        children = []
+        for r in found:
+            t, i = growing[r["model"]], r["node"]
+            if i == 0:
+                t.value[0] = s.leaf(r["g"], r["h"])
+            if r["gain"] > MIN_GAIN:
+                t.feature[i], t.cut[i], t.missing_left[i] = r["feature"], r["cut"], r["missing_left"]
+                for child, g, h in ((2 * i + 1, r["gl"], r["hl"]), (2 * i + 2, r["g"] - r["gl"], r["h"] - r["hl"])):
+                    t.value[child] = s.leaf(g, h)
+                    children.append((r["model"], child, h))
+        return children
+
+    while any(large):
+        children = apply(_level(table, recent, growing, large, cols, features, s.bins, s))
+        large = [[] for _ in range(models)]
+        for m, node, n in sorted(children):
+            if 2 * node + 1 < len(growing[m].value):
+                (large if n > small else rest)[m].append(node)
+    if any(rest):
+        apply(_subtrees(table, recent, growing, [sorted(r) for r in rest], cols, features, s.bins, s))
+    return growing
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, settings: Settings = Settings(), mask: Column | None = None,
-        models: int = 1) -> Booster:
-    """Fit ``models`` models side by side; bit m of ``mask`` says whether a row trains model m (default: one model, all rows)."""
+        models: int = 1, small: int = SMALL) -> Booster:
+    """Fit ``models`` models side by side; bit m of ``mask`` says whether a row trains model m (default: one model, all rows).
+
+    Nodes of at most ``small`` rows are finished in one task; the trees do not depend on it.
+    """
     if not 1 <= models <= MAX_MODELS:
         raise ValueError(f"1 to {MAX_MODELS} models, not {models}")
     features, s = list(features), settings
     edges = bin_edges(df.where(F.col(label).isNotNull()), features, s.bins)
     booster = Booster(features, edges, s)
     table = _binned(df, features, label, F.lit(1) if mask is None else mask, edges, models, s.base)
+    counts = table.agg(*[F.count_if(F.col("mask").bitwiseAND(F.lit(1 << m)) != 0).alias(f"n{m}") for m in range(models)]).first()
+    sizes = {m: n for m, n in enumerate(counts) if n}
     recent: list[list[Tree]] = []
     for round_ in range(s.rounds):
         if len(recent) == REFRESH:
             table, recent = _refreshed(table, recent, len(features), models), []
-        cols = s.columns(len(features), round_)
-        growing, open_ = [Tree(s.depth) for _ in range(models)], [[0] for _ in range(models)]
-        for level in range(s.depth):
-            found = _level(table, recent, growing, open_, cols, len(features), s.bins, s)
-            open_ = [[] for _ in range(models)]
-            for r in found:
-                t, i = growing[r["model"]], r["node"]
-                if level == 0:
-                    t.value[0] = s.leaf(r["g"], r["h"])
-                if r["gain"] <= MIN_GAIN:
-                    continue
-                t.feature[i], t.cut[i], t.missing_left[i] = r["feature"], r["cut"], r["missing_left"]
-                t.value[2 * i + 1] = s.leaf(r["gl"], r["hl"])
-                t.value[2 * i + 2] = s.leaf(r["g"] - r["gl"], r["h"] - r["hl"])
-                open_[r["model"]] += [2 * i + 1, 2 * i + 2]
-            open_ = [sorted(o) for o in open_]
-            if not any(open_):
-                break
-        booster.trees.append(growing)
-        recent.append(growing)
+        grown = _round(table, sizes, recent, models, round_, len(features), s, small)
+        booster.trees.append(grown)
+        recent.append(grown)
     return booster
 
 

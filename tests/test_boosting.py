@@ -70,11 +70,11 @@ def test_missing_values_go_to_the_better_side(spark):
     assert all(r["prediction"] == pytest.approx(r["y"]) for r in out)
 
 
-@pytest.mark.parametrize("alpha,share", [(0.0, 1.0), (4.0, 0.5)])
-def test_equal_to_the_plain_version(spark, alpha, share):
+@pytest.mark.parametrize("alpha,share,small", [(0.0, 1.0, 1 << 16), (4.0, 0.5, 1 << 16), (1.0, 1.0, 60), (1.0, 1.0, 0)])
+def test_equal_to_the_plain_version(spark, alpha, share, small):
     df, rows = _frame(spark)
-    s = bo.Settings(rounds=13, depth=4, rate=0.3, alpha=alpha, column_share=share, bins=16, min_child=3)
-    model = bo.fit(df, ["a", "b"], "y", s)  # more rounds than bo.REFRESH: margins are stored once on the way
+    s = bo.Settings(rounds=12 if small > 60 else 3, depth=4, rate=0.3, alpha=alpha, column_share=share, bins=16, min_child=3)
+    model = bo.fit(df, ["a", "b"], "y", s, small=small)  # more rounds than bo.REFRESH: margins are stored once on the way
     got = {r["id"]: r["prediction"] for r in model.predict(df, ["id"]).collect()}
     x = np.column_stack([[0 if r[1 + c] is None else np.searchsorted(e, r[1 + c], "left") + 1 for r in rows]
                          for c, e in enumerate(model.edges)])
