@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import null_nan, rnd
 from . import groupstats as gs
+from .correlation import corr_matrix, corr_significance  # noqa: F401
 from . import ordered
 
 # Fixed value: normal-consistency scale of the median absolute deviation.
@@ -257,36 +258,6 @@ def date_coverage_diff(df1: DataFrame, col1: str, df2: DataFrame, col2: str) ->
     return out.withColumn("equal", (F.col("missing_in_1") == 0) & (F.col("missing_in_2") == 0))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], only_with: str | None = None) -> DataFrame:
-    """All pairwise Pearson correlations (pairwise-complete) in one aggregate, long form.
-
-    Also returns the pairwise-complete ``n`` for significance tests.  With
-    ``only_with`` only the pairs involving that column are computed.
-    """
-    cols = list(cols)
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            if only_with is not None and only_with not in (a, b):
-                continue
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            ca, cb = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-            # Pearson r over pairwise-complete rows; a constant column gives NULL, not an ANSI error.
-            aggs.append(F.try_divide(F.covar_pop(ca, cb), F.stddev_pop(ca) * F.stddev_pop(cb)).alias(f"_r{i}_{j}"))
-            aggs.append(F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"_n{i}_{j}"))
-            pairs.append((i, j))
-    one = df.agg(*aggs)
-    rows = []
-    for i, j in pairs:
-        rows.append(f"'{cols[i]}', '{cols[j]}', {i}, {j}, _r{i}_{j}, _n{i}_{j}")
-        if i != j:
-            rows.append(f"'{cols[j]}', '{cols[i]}', {j}, {i}, _r{i}_{j}, _n{i}_{j}")
-    stack = f"stack({len(rows)}, {', '.join(rows)}) as (var1, var2, i, j, corr, n)"
-    return one.selectExpr(stack)
-
-
 def corr_topk(df: DataFrame, target: str, features: Sequence[str], k: int = 5) -> DataFrame:
     """The ``k`` most positive and ``k`` most negative correlations with ``target``."""
     cols = [target] + [c for c in features if c != target]
@@ -299,69 +270,3 @@ def corr_topk(df: DataFrame, target: str, features: Sequence[str], k: int = 5) -
     top = ranked.where(F.col("_up") <= k).select("feature", "corr", F.lit("positive").alias("direction"))
     bottom = ranked.where(F.col("_down") <= k).select("feature", "corr", F.lit("negative").alias("direction"))
     return top.unionByName(bottom)
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta I_x(a, b) by Lentz's continued fraction."""
-    import math
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _betainc(b, a, 1.0 - x)
-    ln_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    tiny, eps = 1e-300, 1e-15
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        m2 = 2 * m
-        num = m * (b - m) * x / ((a + m2 - 1.0) * (a + m2))
-        d = 1.0 + num * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + num / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        num = -(a + m) * (a + b + m) * x / ((a + m2) * (a + m2 + 1.0))
-        d = 1.0 + num * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + num / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return math.exp(ln_front) * h / a
-
-
-def pearson_p_value(r: float, n: int) -> float:
-    """Two-sided p-value of a Pearson r from n pairs (t test with n - 2 dof)."""
-    import math
-    if r is None or n is None or n < 3 or (isinstance(r, float) and math.isnan(r)):
-        return float("nan")
-    if abs(r) >= 1.0:
-        return 0.0
-    dof = n - 2.0
-    t2 = r * r * dof / (1.0 - r * r)
-    return _betainc(dof / 2.0, 0.5, dof / (dof + t2))
-
-
-def corr_significance(df: DataFrame, cols: Sequence[str], sig_level: float = 0.05) -> DataFrame:
-    """Pearson r, n, t and two-sided p-value for every ordered pair of columns.
-
-    ``significant`` marks p <= level and p != 0 (exact zeros such as the
-    diagonal are skipped).  r and n come from one aggregate; only the
-    k*k p-values run in a pandas UDF.
-    """
-    from ..functions.pudf import pearson_p_value_udf as p_value
-
-    m = corr_matrix(df, cols)
-    t = F.col("corr") * F.sqrt(F.try_divide(F.col("n") - F.lit(2), F.lit(1.0) - F.col("corr") * F.col("corr")))
-    out = m.withColumn("t_stat", t).withColumn("p_value", p_value(F.col("corr"), F.col("n")))
-    out = out.withColumn("significant", (F.col("p_value") <= F.lit(sig_level)) & (F.col("p_value") != 0))
-    # Share of significant unordered pairs among the k(k-1)/2 off-diagonal pairs (k*k rows: bounded).
-    k = len(list(cols))
-    share = out.where(F.col("i") < F.col("j")).agg(
-        (F.count_if("significant") / F.lit(max(1, k * (k - 1) // 2))).alias("share_significant"))
-    return gs.attach(out, share, [])

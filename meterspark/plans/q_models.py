@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..functions.numeric import rnd, rnd_sql
-from ..operators import ml
+from ..operators import boosting, ml
+from ..operators import groupstats as gs
 from ..sources import io, roles
 from ..sources.roles import with_roles
 from ..session import stored_table
@@ -93,7 +94,11 @@ def gbt_fit(spark, sf_dir):
 
 @query("gbt_squared_fit")
 def gbt_squared_fit(spark, sf_dir):
-    return _fit_predict(spark, sf_dir, "gbt_squared", None)
+    """M9: squared error with L1 on the leaves and a column sample per tree, at the reference settings."""
+    df = _frame(spark, sf_dir)
+    model = boosting.fit(df.where(F.col("train_val_split") == 0), forecast.feature_columns(), LABEL)
+    out = model.predict(df.where(F.col("train_val_split") == 1), forecast.KEYS + ["meter", "meter_reading"])
+    return ml.clip_predictions(out, "prediction", log_y=True)
 
 
 @query("gbt_stage_loss")
@@ -119,6 +124,28 @@ def per_group_rmsle(spark, sf_dir):
     return per.unionByName(pooled)
 
 
+@query("per_group_boosted", sql=with_roles(
+    f"SELECT meter, count(*) AS n, true AS all_scored, true AS below_baseline FROM r WHERE {exprs.split_flag_sql(forecast.KEYS, 3)} = 1 GROUP BY 1",
+    r=roles.readings_sql(zeros=True)))
+def per_group_boosted(spark, sf_dir):
+    """M10: all meters in one boosting run; whether its RMSLE on a meter is below that of the meter's median (SQL counts the rows)."""
+    df = _frame(spark, sf_dir)
+    preds = boosting.fit_groups(df, "meter", forecast.feature_columns(), LABEL, ["meter", "meter_reading"])
+    preds = ml.clip_predictions(preds, "prediction", log_y=True)
+    flat = gs.median(df.where(F.col("train_val_split") == 0), ["meter"], "meter_reading", "baseline")
+    both = gs.attach(preds, flat, ["meter"])
+    y = F.col("meter_reading")
+    return both.groupBy("meter").agg(
+        F.count(F.lit(1)).alias("n"), (F.count("prediction") == F.count(F.lit(1))).alias("all_scored"),
+        (ml.rmsle_expr(y, F.col("prediction")) < ml.rmsle_expr(y, F.col("baseline"))).alias("below_baseline"))
+
+
+@query("learning_curve_boosted")
+def learning_curve_boosted(spark, sf_dir):
+    """M11 on a tree model: 5 sizes x 5 folds at the full settings, all 25 models in one run."""
+    return boosting.learning_curve(_frame(spark, sf_dir), forecast.feature_columns(), LABEL, forecast.KEYS, log_y=True)
+
+
 @query("learning_curve")
 def learning_curve(spark, sf_dir):
     df = _frame(spark, sf_dir)

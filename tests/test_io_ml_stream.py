@@ -160,12 +160,22 @@ def test_registered_boosting_has_the_reference_settings(spark, monkeypatch):
            "meter": 0, "meter_reading": 1.0, "train_val_split": 0, "_log_label": 0.5}
     monkeypatch.setattr(q_models, "_frame", lambda s, d: s.createDataFrame([tuple(row.values())], list(row)))
     monkeypatch.setattr(q_models.forecast, "row_id", lambda: F.lit(1))
-    names = ["gbt_fit", "gbt_squared_fit", "gbt_stage_loss", "per_group_fit", "per_group_rmsle", "submission"]
+    names = ["gbt_fit", "gbt_stage_loss", "per_group_fit", "per_group_rmsle", "submission"]
     for name in names:
         with pytest.raises(InterruptedError):
             entry.queries()[name](spark, "")
     assert seen == [(10, 100)] * len(names)
 
+    def fit_l1(train, features, label, settings=q_models.boosting.Settings(), *_):
+        seen.append((settings.depth, settings.rounds, settings.alpha, settings.column_share, settings.rate))
+        raise InterruptedError
+
+    monkeypatch.setattr(q_models.boosting, "fit", fit_l1)
+    for name in ("gbt_squared_fit", "per_group_boosted", "learning_curve_boosted"):
+        with pytest.raises(InterruptedError):
+            entry.queries()[name](spark, "")
+    assert seen[len(names):] == [(10, 100, 10.0, 0.3, 0.1)] * 3
+
 
 def test_per_group_models_cover_null_groups_and_groups_without_training_rows(spark):
     rows = [(i, g, float(i % 7), float(i % 7) * (2 if g else 3), int(i % 3 == 0)) for i in range(120) for g in (0, 1, None)]

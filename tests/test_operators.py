@@ -230,7 +230,6 @@ def test_corr_pairwise_complete_and_pvalue(spark):
     m = {(r["var1"], r["var2"]): r for r in pf.corr_matrix(df, ["a", "b", "c"]).collect()}
     assert m[("a", "b")]["n"] == 4 and m[("a", "b")]["corr"] > 0.99
     assert m[("a", "c")]["corr"] is None or math.isnan(m[("a", "c")]["corr"])   # constant column
-    assert math.isclose(pf.pearson_p_value(0.5, 20), 0.024777, abs_tol=1e-5)
 
 
 # ---------------------------------------------------------------- encodings and filters
