@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..functions.numeric import rnd, rnd_sql
-from ..operators import boosting, ml
+from ..operators import boosting, ml, neighbours
 from ..operators import groupstats as gs
 from ..sources import io, roles
 from ..sources.roles import with_roles
@@ -181,6 +181,27 @@ def knn_predict(spark, sf_dir):
     return out.select("c_custkey", rnd("prediction", 6).alias("prediction"), "n_neighbors")
 
 
+_KNN_MULTI_SQL = f"""
+WITH t AS (SELECT o_orderkey, o_totalprice / 1000.0::DOUBLE AS x1, CAST(month(o_orderdate) * 20 AS DOUBLE) AS x2,
+                  CAST(o_custkey AS DOUBLE) AS y FROM orders),
+q AS (SELECT c_custkey, c_acctbal / 50.0::DOUBLE AS x1, CAST(c_nationkey * 10 AS DOUBLE) AS x2 FROM customer),
+p AS (SELECT c_custkey, q.x1, q.x2, t.y, row_number() OVER (PARTITION BY c_custkey
+        ORDER BY (q.x1 - t.x1) * (q.x1 - t.x1) + (q.x2 - t.x2) * (q.x2 - t.x2), o_orderkey) AS rn FROM q, t)
+SELECT c_custkey, {rnd_sql("avg(y)", 6)} AS prediction, count(*) AS n_neighbors FROM p WHERE rn <= 10 GROUP BY 1"""
+
+
+@query("knn_predict_multi", sql=_KNN_MULTI_SQL)
+def knn_predict_multi(spark, sf_dir):
+    """M5: exact k-NN on two features, every customer against every order."""
+    orders = roles.table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") / 1000.0).alias("x1"), (F.month("o_orderdate") * 20).cast("double").alias("x2"),
+        F.col("o_custkey").cast("double").alias("y"))
+    cust = roles.table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_acctbal") / 50.0).alias("x1"), (F.col("c_nationkey") * 10).cast("double").alias("x2"))
+    out = neighbours.knn_regress(orders, cust, ["x1", "x2"], "y", "o_orderkey", "c_custkey", k=10)
+    return out.select("c_custkey", rnd("prediction", 6).alias("prediction"), "n_neighbors")
+
+
 @query("per_group_score", sql=with_roles(f"""
 SELECT 'group' AS level, l_returnflag, {rnd_sql('r', 6)} AS rmsle, n FROM g
 UNION ALL SELECT 'mean_of_groups', NULL, {rnd_sql('avg(r)', 6)}, sum(n)::BIGINT FROM g
