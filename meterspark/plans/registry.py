@@ -1,7 +1,7 @@
 """Registry of named queries: a Spark plan plus, where expressible, SQL.
 
-Every query takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-whole tables of ``sf_dir``.  The optional SQL text is the independent oracle
+Every query takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
+tables of ``sf_dir``; some run jobs while they plan (statistics, model fits).  The optional SQL text is the independent oracle
 run by DuckDB over the same parquet tables.
 """
 
