@@ -309,8 +309,9 @@ def brute_removal(rows, width):
     return out
 
 
-@pytest.mark.parametrize("width,seed", [(100, 1), (20, 2), (9, 3)])
-def test_removed_bytes_match_brute_force(spark, width, seed):
+@pytest.mark.parametrize("width,seed,bits", [(100, 1, 64), (20, 2, 64), (9, 3, 64), (100, 1, 8), (20, 2, 11)])
+def test_removed_bytes_match_brute_force(spark, width, seed, bits):
+    # with few bits different strings share hashes, and only their bytes tell them apart
     r = random.Random(seed)
     shared = ["".join(r.choices("abcd é\n", k=r.randrange(width - 5, 3 * width))) for _ in range(6)]
     texts = [None, "", "a" * (5 * width), "ab" * width, "é" * width]
@@ -320,7 +321,7 @@ def test_removed_bytes_match_brute_force(spark, width, seed):
     texts += texts[10:20]
     rows = list(enumerate(texts))
     got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in
-           suffix_dedup.remove_repeats(table(spark, rows), width).collect()}
+           suffix_dedup.remove_repeats(table(spark, rows), width, bits=bits).collect()}
     assert [got[i] for i, _ in rows] == brute_removal(rows, width)
 
 
@@ -333,6 +334,17 @@ def test_removal_order_of_null_and_repeated_ids(spark):
     assert suffix_dedup.remove_repeats(table(spark, rows).limit(0), 100).count() == 0
 
 
+def test_a_string_in_every_document_is_one_entry_of_a_block():
+    n = 5000
+    packer = suffix_dedup.Packer(8, 0, 4, True)
+    packer.add(np.arange(n, 0, -1), np.full(n, 7), np.full(n, 10, np.uint64))
+    told, sent = list(packer.send(True))
+    doc, pos, key = suffix_dedup.unpack(pa.Table.from_batches([sent]), 8)
+    assert (doc.tolist(), pos.tolist(), key.tolist(), sent["bucket"].to_pylist()) == ([1], [7], [10], [2])
+    doc, pos, source, gap = suffix_dedup.unpack(pa.Table.from_batches([told]), -1)
+    assert sorted(doc) == list(range(2, n + 1)) and set(source) == {1} and set(gap) == {0} and min(told["bucket"].to_pylist()) >= 4
+
+
 def test_covers_are_difference_covers():
     for v, c in suffix_dedup.COVERS.items():
         assert {(a - b) % v for a in c for b in c} == set(range(v))
