@@ -32,6 +32,26 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one run that can be dropped again when no later step reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        path = shared_path(self.spark, what)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.setdefault(what, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Overwrite the tables of these names by empty ones and let Spark drop finished shuffles."""
+        for path in (p for n in names for p in self.paths.pop(n, [])):
+            self.spark.range(0).write.mode("overwrite").parquet(path)
+        release(self.spark)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now (it does so when their handles are collected)."""
     gc.collect()

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bucket_count, release, stored, text_bytes
+from .common import Scratch, bucket_count, stored, text_bytes
 
 # Perfect difference sets (every remainder is a difference of two members), by modulus.
 COVERS = {
@@ -61,6 +61,8 @@ COVERS = {
 #: Text bytes whose suffixes share a bucket, and entries held before a block is sent.
 SUFFIX_BUCKET_BYTES = 16 << 20
 BLOCK_ENTRIES = 1 << 21
+#: Bytes on disk for one candidate window of a round (its entry, and its share of what it reports).
+ENTRY_BYTES = 14
 #: Bytes of claims a task remembers, and entries of the table of hashes that different strings share.
 CLAIM_BYTES = 16 << 20
 SHARED_BITS = 1 << 23
@@ -422,19 +424,20 @@ def repeated_runs(docs: DataFrame, width: int = 100, bits: int = 64) -> tuple[Da
 
     ``bits`` shortens the window hashes; results do not depend on it.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
+    stored = scratch.stored
     numbered = _numbered(docs)
     keyed = stored(numbered.where(F.octet_length("text") >= width).select("id", F.unhex(F.sha2("text", 256)).alias("f")), "prints")
     first = keyed.groupBy("f").agg(F.min("id").alias("first"))
     copies = stored(keyed.join(first, "f").where("id <> first").select("id"), "copies")
+    scratch.drop("prints")
     own = numbered.select("id", "text").where(F.octet_length("text") >= width).join(copies, "id", "left_anti")
     total = text_bytes(docs)
     buckets = bucket_count(total, SUFFIX_BUCKET_BYTES)
     v, _ = cover_for(width)
     near = stored(_per_document(_repeating(_sample_blocks(own, width, buckets), 5, False, buckets), v - 1, 1), "near")
-    release(spark)
+    scratch.drop()
     cand = stored(own.join(near, "id"), "candidates")
-    release(spark)
     windows = near.select(F.sum(F.octet_length("runs")).cast("long")).first()[0] or 0
     if windows:
         def count(batches):
@@ -443,20 +446,21 @@ def repeated_runs(docs: DataFrame, width: int = 100, bits: int = 64) -> tuple[Da
                 yield pa.RecordBatch.from_arrays([pa.array([int(sum((p[:, 1] - p[:, 0]).sum() for p in pair))], pa.int64())], ["n"])
 
         windows = near.select("runs").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    rounds = max(1, -(-10 * int(windows) // max(1, total)))
+    scratch.drop("near")
+    rounds = max(1, -(-ENTRY_BYTES * int(windows) // max(1, total)))
     marked = None
     for part in range(rounds if windows else 0):
         found = stored(_repeating(_window_blocks(cand, width, buckets, part, rounds, bits), 8, True, buckets), "marked")
         marked = found if marked is None else marked.unionByName(found)
-        release(spark)
+        scratch.drop()
     whole = copies.select("id", F.lit(None).cast("binary").alias("runs"))
     if marked is None:
         return numbered, whole
     found = stored(_segments(marked, width), "runs")
-    release(spark)
+    scratch.drop("marked")
     wrong = stored(_false_claims(cand, found, width), "wrong")
-    release(spark)
     runs = found.select("id", "runs") if wrong.isEmpty() else stored(_compared(cand, found, wrong, width, bits), "compared")
+    scratch.drop("candidates")
     return numbered, runs.unionByName(whole)
 
 
