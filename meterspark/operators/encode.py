@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,8 +128,16 @@ def use_category(df: DataFrame, train: DataFrame, col: str = "primary_use", out:
     return j.withColumn(out, code).drop("_seen")
 
 
-def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.fillna(0, subset=list(cols))
+def fill_zero(df: DataFrame, cols: Sequence[str], where: Column | None = None) -> DataFrame:
+    """NULL and NaN become 0 in ``cols``; with ``where`` only on the rows it selects (one pass for train and test)."""
+    if where is None:
+        return df.fillna(0, subset=list(cols))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    filled = {}
+    for c in cols:
+        missing = F.col(c).isNull() | F.isnan(c) if isinstance(types[c], T.FractionalType) else F.col(c).isNull()
+        filled[c] = F.when(where & missing, F.lit(0).cast(types[c])).otherwise(F.col(c))
+    return df.withColumns(filled)
 
 
 def remove_sparse_labels(df: DataFrame, col: str, thresh: float = 0.995, ignore_col: str | None = None,

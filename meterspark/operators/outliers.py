@@ -100,3 +100,24 @@ def detect_outliers(df: DataFrame, value: str, new_col: str, detect_type: str =
 def keep_normal(df: DataFrame, label_col: str) -> DataFrame:
     """Keep rows whose label contains 'Normal' or is NULL."""
     return df.where(F.coalesce(F.col(label_col).contains("Normal"), F.lit(True)))
+
+
+def two_stage(df: DataFrame, value: str, by: str, by_vals: Sequence, entity: str, top: int = 2,
+              first_label: str = "outliers_target_type", second_label: str = "outliers_target_user",
+              cells: int = gs.CELLS) -> DataFrame:
+    """Rows that pass MAD labels per ``by`` and then, among them, per entity for the ``top`` most variable entities.
+
+    The second stage sees only what the first one kept; rows of other entities get a NULL second label and stay.
+    Both label columns are returned.
+    """
+    from .profile import top_variation
+
+    kept = keep_normal(detect_outliers(df, value, first_label, "MAD", by=by, by_vals=by_vals, cells=cells), first_label)
+    most = top_variation(kept, entity, value, top).select(entity)
+    # ``top`` rows at most (a proven bound), so they are broadcast.
+    flagged = kept.join(F.broadcast(most.withColumn("_top", F.lit(True))), entity, "left")
+    stats = mad_stats(flagged.where(F.col("_top")).drop("_top"), value, by=entity, by_vals=None, cells=cells)
+    is_out = F.coalesce(F.abs(F.lit(Z_CONST) * (null_nan(value) - F.col("_median"))) > F.lit(CUTOFF) * F.col("_mad"), F.lit(False))
+    labelled = gs.attach(flagged, stats, [entity], bounded=True) \
+        .withColumn(second_label, F.when(F.col("_top"), _group_label(is_out, entity)))
+    return keep_normal(labelled, second_label).drop("_top", *[c for c in stats.columns if c.startswith("_")])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import calendar as cal
 from ..functions import exprs
@@ -18,7 +19,9 @@ from ..operators import features as fx
 from ..operators import filters as flt
 from ..operators import ml
 from ..operators import outliers as ol
+from ..operators import timeseries as tsx
 from ..operators import zerodays as zd
+from ..session import stored_table
 from ..sources import roles
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "building_id"]
@@ -63,6 +66,55 @@ def engineered(spark: SparkSession, sf_dir: str, holidays=cal.HOLIDAYS_2016) ->
     return enc.one_hot(fx.log_transform(both, NUMERIC), {"meter": METERS, "season": SEASONS})
 
 
+# --------------------------------------------------------------------------- with weather
+def weather_without_offset(weather: DataFrame, offsets: DataFrame) -> DataFrame:
+    """site_id, n_rows: the weather rows that have no local time and that ``clean_weather`` leaves out."""
+    return weather.join(offsets.where("offset_h IS NOT NULL").select("site_id"), "site_id", "left_anti") \
+        .groupBy("site_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def clean_weather(weather: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Local time -> interpolate (+ edge fill) -> drop columns still NULL -> grid + interpolate (T1, T2, P9, T4)."""
+    local = tsx.local_time_shift(weather, offsets)
+    local = local.where(F.col("ts").isNotNull())
+    cols = [c for c in local.columns if c not in ("site_id", "ts")]
+    # The filled table feeds both the NULL-column check and the grid: write it once.
+    filled = stored_table(tsx.interpolate_linear(local, ["site_id"], "ts", cols, fill_edges=True))
+    (kept,) = enc.drop_null_columns([filled])
+    keep_cols = [c for c in kept.columns if c not in ("site_id", "ts")]
+    return tsx.fill_time_interpolate(kept, ["site_id"], keep_cols)
+
+
+def engineer_with_weather(readings: DataFrame, buildings: DataFrame, weather: DataFrame, offsets: DataFrame,
+                          key: list[str], sites: list[int], holidays=cal.HOLIDAYS_2016, light=enc.WEEKEND_LIGHT_USES,
+                          top: int = 2) -> tuple[DataFrame, list[str]]:
+    """(rows, feature names): readings with building, weather and calendar features, split, filled and scaled.
+
+    Outliers per site and then per most variable building (D-e) -> buildings (J1) -> local-time weather (J3) ->
+    logs (X1) -> calendar (T6) -> use group of the train rows (P13) -> one-hot sites (P12) -> feature list (P14) ->
+    zero fill on the test rows (P16) -> logs scaled by the train rows (X2).  ``readings`` need ``key``, building_id,
+    site_id, ts and meter_reading; ``buildings`` building_id, primary_use and numeric columns.  Readings without a
+    building or a weather hour keep NULL there on the train side.  The joined rows are written once.
+    """
+    clean = ol.two_stage(readings, "meter_reading", "site_id", sites, "building_id", top,
+                         "outliers_target_site", "outliers_target_building").drop("outliers_target_site", "outliers_target_building")
+    joined = clean.join(buildings, "building_id", "left").join(clean_weather(weather, offsets), ["site_id", "ts"], "left")
+    rows = stored_table(joined.withColumn("train_val_split", exprs.split_flag(key, 3)))
+    first = ["square_feet"]  # the feature list begins with its log
+    skip = {*key, *first, "building_id", "site_id", "train_val_split", "meter_reading"}
+    numeric = first + [f.name for f in rows.schema.fields if f.name not in skip and isinstance(f.dataType, T.NumericType)]
+    out = fx.log_transform(rows, numeric)
+    out = out.select("*", *[c.alias(n) for n, c in cal.calendar_features("ts", holidays).items()])
+    out = enc.use_category(out, rows.where(F.col("train_val_split") == 0), light=light)
+    out = enc.one_hot(out, {"site_id": sites})
+    features = fx.select_features(out.columns)
+    out = enc.fill_zero(out, features, F.col("train_val_split") == 1)
+    logs = [c for c in features if c.startswith("log_")]
+    out = fx.minmax_apply(out, fx.minmax_fit(out.where(F.col("train_val_split") == 0), logs), logs)
+    return out.select(*key, "building_id", "meter_reading", "train_val_split", *features), features
+
+
+# --------------------------------------------------------------------------- model table without weather
 def feature_columns() -> list[str]:
     return ([f"log_{c}" for c in NUMERIC] + [f"meter_{m}" for m in METERS] + [f"season_{s}" for s in SEASONS]
             + ["day_of_week", "time_of_day"] + fx.FLAG_FEATURES)

@@ -105,38 +105,30 @@ def outlier_iqr_grouped(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- two-stage removal
-def outlier_two_stage_frame(ev):
-    """Stage 1: MAD by event type; stage 2: MAD within the two most variable users
-    of the rows that survived stage 1."""
-    from ..operators import profile as prof
-    from ..operators import groupstats as gs
-    s1 = ol.keep_normal(ol.detect_outliers(ev, "value", "outliers_target_type", "MAD", by="event_type",
-                                           by_vals=EVENT_TYPES), "outliers_target_type")
-    top = prof.top_variation(s1, "user_id", "value", 2).select("user_id")
-    # Stage 2 on the top users only; top has exactly 2 rows (a proven bound), so it is broadcast.
-    flagged = s1.join(F.broadcast(top.withColumn("_top", F.lit(True))), "user_id", "left")
-    inside = flagged.where(F.col("_top")).drop("_top")
-    stats = ol.mad_stats(inside, "value", by="user_id", by_vals=None)
-    y = F.col("value")
-    is_out = F.coalesce(F.abs(F.lit(ol.Z_CONST) * (y - F.col("_median"))) > F.lit(ol.CUTOFF) * F.col("_mad"), F.lit(False))
-    labelled = gs.attach(flagged, stats, ["user_id"], bounded=True).withColumn(
-        "outliers_target_user", F.when(F.col("_top"), F.concat(F.when(is_out, F.lit("Outlier_")).otherwise(F.lit("Normal_")),
-                                                                 F.lit("user_id-"), F.col("user_id").cast("string"))))
-    out = ol.keep_normal(labelled, "outliers_target_user")
-    return out.select("event_id", "event_type", "user_id", "value", "outliers_target_type", "outliers_target_user")
-
-
-@query("outlier_two_stage", sql=roles.with_roles("""
-SELECT s1.event_id, s1.event_type, s1.user_id, s1.value, s1.outliers_target_type,
-  CASE WHEN t.user_id IS NOT NULL THEN (CASE WHEN coalesce(abs(0.6745::DOUBLE * (s1.value - st.med)) > 3.0::DOUBLE * dv.mad, false)
-    THEN 'Outlier_' ELSE 'Normal_' END) || 'user_id-' || CAST(s1.user_id AS VARCHAR) END AS outliers_target_user
-FROM s1 LEFT JOIN top t USING (user_id)
-LEFT JOIN (SELECT user_id, median(value) AS med FROM s1 WHERE user_id IN (SELECT user_id FROM top) GROUP BY 1) st USING (user_id)
-LEFT JOIN (SELECT x.user_id, avg(abs(x.value - mu.mu)) AS mad FROM s1 x JOIN (SELECT user_id, avg(value) AS mu FROM s1 GROUP BY 1) mu USING (user_id)
-           WHERE x.user_id IN (SELECT user_id FROM top) GROUP BY 1) dv USING (user_id)
-WHERE t.user_id IS NULL OR NOT coalesce(abs(0.6745::DOUBLE * (s1.value - st.med)) > 3.0::DOUBLE * dv.mad, false)""",
-    lab=_mad_label_sql("events", "event_type", "value", _EV_LIST, "outliers_target_type"),
-    s1="SELECT * FROM lab WHERE outliers_target_type IS NULL OR contains(outliers_target_type, 'Normal')",
-    top="SELECT user_id FROM s1 GROUP BY 1 ORDER BY stddev_samp(value) DESC NULLS LAST, user_id LIMIT 2"))
+def two_stage_sql(src: str, value: str, by: str, vals: str, entity: str, first: str, second: str) -> dict[str, str]:
+    """SQL twin of outliers.two_stage over relation ``src``: its CTEs, the last one named ``s2``."""
+    return {
+        "lab": _mad_label_sql(src, by, value, vals, first),
+        "s1": f"SELECT * FROM lab WHERE {first} IS NULL OR contains({first}, 'Normal')",
+        "top": f"SELECT {entity} FROM s1 GROUP BY 1 ORDER BY stddev_samp({value}) DESC NULLS LAST, {entity} LIMIT 2",
+        "s2": f"""
+SELECT s1.*, CASE WHEN t.{entity} IS NOT NULL THEN (CASE WHEN coalesce(abs(0.6745::DOUBLE * (s1.{value} - st.med)) > 3.0::DOUBLE * dv.mad, false)
+    THEN 'Outlier_' ELSE 'Normal_' END) || '{entity}-' || CAST(s1.{entity} AS VARCHAR) END AS {second}
+FROM s1 LEFT JOIN top t USING ({entity})
+LEFT JOIN (SELECT {entity}, median({value}) AS med FROM s1 WHERE {entity} IN (SELECT {entity} FROM top) GROUP BY 1) st USING ({entity})
+LEFT JOIN (SELECT x.{entity}, avg(abs(x.{value} - mu.mu)) AS mad FROM s1 x JOIN (SELECT {entity}, avg({value}) AS mu FROM s1 GROUP BY 1) mu USING ({entity})
+           WHERE x.{entity} IN (SELECT {entity} FROM top) GROUP BY 1) dv USING ({entity})
+WHERE t.{entity} IS NULL OR NOT coalesce(abs(0.6745::DOUBLE * (s1.{value} - st.med)) > 3.0::DOUBLE * dv.mad, false)""",
+    }
+
+
+_TWO = ("outliers_target_type", "outliers_target_user")
+
+
+@query("outlier_two_stage", sql=roles.with_roles(
+    f"SELECT event_id, event_type, user_id, value, {', '.join(_TWO)} FROM s2",
+    **two_stage_sql("events", "value", "event_type", _EV_LIST, "user_id", *_TWO)))
 def outlier_two_stage(spark, sf_dir):
-    return outlier_two_stage_frame(roles.table(spark, sf_dir, "events"))
+    """Stage 1: MAD by event type; stage 2: MAD within the two most variable users of what stage 1 kept."""
+    out = ol.two_stage(roles.table(spark, sf_dir, "events"), "value", "event_type", EVENT_TYPES, "user_id", 2, *_TWO)
+    return out.select("event_id", "event_type", "user_id", "value", *_TWO)

@@ -10,6 +10,9 @@ from ..functions.numeric import rnd, rnd_sql
 from ..operators import features as fx
 from ..sources import roles
 from ..sources.roles import with_roles
+from . import forecast
+from .q_clean import two_stage_sql
+from .q_timeseries import CLEAN_WEATHER_SQL
 from .registry import query
 
 # The events span January 2024: the query passes that month's holidays.
@@ -83,3 +86,44 @@ def split_counts(spark, sf_dir):
     r = roles.readings(spark, sf_dir).withColumn("train_val_split", exprs.split_flag(RKEYS, 3))
     out = fx.split_counts(r, ["meter"], "train_val_split", "meter_reading", log_y=True)
     return out.withColumn("mean_target", rnd("mean_target", 6))
+
+
+# --------------------------------------------------------------------------- the whole feature table, weather included
+_SITES = sorted(roles.EVENT_TYPE_TO_SITE.values())
+_LIGHT = ["SMALL", "PROMO"]
+_ENG_NUM = ["square_feet", "floor_count", "air_temperature", "wind_speed"]
+_ENG_LOGS = ["log_square_feet", "log_floor_count", "log_air_temperature"]  # log_wind_speed is on the removed list
+_ENG_REST = ["day_of_week", "is_workday", "is_holiday", "time_of_day", "is_business_hr", "season", "use_categ",
+             *[f"site_id_{s}" for s in _SITES]]
+
+
+def event_features(spark, sf_dir):
+    """(rows, feature names) of the readings that have weather."""
+    return forecast.engineer_with_weather(
+        roles.event_readings(spark, sf_dir), roles.part_buildings(spark, sf_dir), roles.weather(spark, sf_dir),
+        roles.site_offsets(spark, sf_dir), ["event_id"], _SITES, HOLIDAYS_2024_JAN, _LIGHT)
+
+
+@query("engineered_features", sql=with_roles(
+    "SELECT event_id, building_id, meter_reading, train_val_split, "
+    + ", ".join(rnd_sql(f"({c} - mn_{c}) / CASE WHEN mx_{c} = mn_{c} THEN 1.0::DOUBLE ELSE mx_{c} - mn_{c} END", 6) + f" AS {c}"
+                for c in _ENG_LOGS) + ", " + ", ".join(_ENG_REST) + " FROM fz, mm",
+    e=roles.event_readings_sql(), p=roles.part_buildings_sql(), **CLEAN_WEATHER_SQL,
+    **two_stage_sql("e", "meter_reading", "site_id", ", ".join(map(str, _SITES)), "building_id", "label_1", "label_2"),
+    x=f"SELECT s2.event_id, building_id, site_id, s2.ts, meter_reading, primary_use, square_feet, floor_count, air_temperature, wind_speed, "
+      f"{exprs.split_flag_sql(['event_id'], 3)} AS train_val_split "
+      "FROM s2 LEFT JOIN p USING (building_id) LEFT JOIN wx USING (site_id, ts)",
+    gm="SELECT least(" + ", ".join(f"min(CAST({c} AS DOUBLE))" for c in _ENG_NUM) + ") AS m FROM x",
+    seen="SELECT DISTINCT primary_use AS u FROM x WHERE train_val_split = 0 AND primary_use IS NOT NULL",
+    lg="SELECT event_id, building_id, meter_reading, train_val_split, "
+       + ", ".join(f"ln({c[4:]} + CASE WHEN m <= 0 THEN abs(m) + 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {c}" for c in _ENG_LOGS)
+       + f", {cal.calendar_features_sql('ts', HOLIDAYS_2024_JAN)}, "
+       "CASE WHEN primary_use IN ('SMALL', 'PROMO') THEN 0 WHEN u IS NOT NULL THEN 1 END AS use_categ, "
+       + ", ".join(f"CASE WHEN site_id = {s} THEN 1 ELSE 0 END AS site_id_{s}" for s in _SITES)
+       + " FROM x LEFT JOIN seen ON primary_use = u, gm",
+    fz="SELECT event_id, building_id, meter_reading, train_val_split, "
+       + ", ".join(f"CASE WHEN train_val_split = 1 THEN coalesce({c}, 0) ELSE {c} END AS {c}" for c in [*_ENG_LOGS, *_ENG_REST]) + " FROM lg",
+    mm="SELECT " + ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _ENG_LOGS) + " FROM fz WHERE train_val_split = 0"))
+def engineered_features(spark, sf_dir):
+    out, _ = event_features(spark, sf_dir)
+    return out.select(*[rnd(c, 6).alias(c) if c in _ENG_LOGS else F.col(c) for c in out.columns])

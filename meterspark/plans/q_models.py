@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..functions.numeric import rnd, rnd_sql
 from ..operators import boosting, ml, neighbours
+from ..operators import encode as enc
 from ..operators import groupstats as gs
 from ..sources import io, roles
 from ..sources.roles import with_roles
 from ..session import stored_table
-from . import forecast
+from . import forecast, q_features
 from .registry import query
 
 PR = roles.predictions_sql()
@@ -212,3 +213,13 @@ def per_group_score(spark, sf_dir):
     """M10 scoring on given predictions: RMSLE per group, their mean, and RMSLE over the pooled rows."""
     clipped = ml.clip_predictions(roles.predictions(spark, sf_dir), "p", digits=12)
     return ml.group_scores(clipped, "y", "p", "l_returnflag").withColumn("rmsle", rnd("rmsle", 6))
+
+
+@query("weather_fit")
+def weather_fit(spark, sf_dir):
+    """The forest on the feature table with weather: a prediction for every held-out reading."""
+    rows, features = q_features.event_features(spark, sf_dir)
+    rows = stored_table(rows.withColumn(LABEL, F.log1p(F.greatest("meter_reading", F.lit(0.0)))))
+    train = enc.fill_zero(rows.where(F.col("train_val_split") == 0), features)
+    model = ml.fit(train, features, LABEL, "rf")
+    return ml.predict(model, rows.where(F.col("train_val_split") == 1), ["event_id", "building_id", "meter_reading"], log_y=True)

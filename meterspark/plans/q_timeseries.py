@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.numeric import rnd, rnd_sql
-from ..operators import encode as enc
 from ..operators import profile as pf
 from ..operators import timeseries as tsx
 from ..operators import zerodays as zd
-from ..session import cut_lineage
 from ..sources import roles
 from ..sources.roles import with_roles
+from . import forecast
 from .registry import query
 
 W = roles.weather_sql()
@@ -81,36 +80,37 @@ def fill_time_grid(spark, sf_dir):
     return tsx.fill_time_grid(roles.weather(spark, sf_dir), ["site_id"], "ts")
 
 
-def clean_weather(weather, offsets):
-    """Local time -> interpolate (+ edge fill) -> drop columns still NULL -> grid + interpolate."""
-    local = tsx.local_time_shift(weather, offsets)
-    local = local.where(F.col("ts").isNotNull())
-    cols = [c for c in local.columns if c not in ("site_id", "ts")]
-    # The filled table feeds both the NULL-column check and the grid: write it once.
-    filled = cut_lineage(tsx.interpolate_linear(local, ["site_id"], "ts", cols, fill_edges=True))
-    (kept,) = enc.drop_null_columns([filled])
-    keep_cols = [c for c in kept.columns if c not in ("site_id", "ts")]
-    return tsx.fill_time_interpolate(kept, ["site_id"], keep_cols)
-
-
 _T4_KEEP = ["air_temperature", "wind_speed"]
 
 
-@query("fill_time_interpolate", sql=with_roles(
-    _interp_select("gj", ["site_id", "ts"], _T4_KEEP, fill_edges=True),
+CLEAN_WEATHER_SQL = dict(
     w=W, o=roles.site_offsets_sql(),
     l="SELECT w.site_id, w.ts + to_hours(o.offset_h) AS ts, air_temperature, wind_speed FROM w JOIN o USING (site_id)",
     f=_interp_select("l", ["site_id", "ts"], _T4_KEEP, fill_edges=True, digits=None),
     g=_GRID_SQL.format(rel="f"),
-    gj="SELECT g.site_id, g.ts, f.air_temperature, f.wind_speed FROM g LEFT JOIN f USING (site_id, ts)"))
+    gj="SELECT g.site_id, g.ts, f.air_temperature, f.wind_speed FROM g LEFT JOIN f USING (site_id, ts)",
+    wx=_interp_select("gj", ["site_id", "ts"], _T4_KEEP, fill_edges=True, digits=None))
+
+
+@query("fill_time_interpolate", sql=with_roles(
+    "SELECT site_id, ts, " + ", ".join(f"{rnd_sql(c, 6)} AS {c}" for c in _T4_KEEP) + " FROM wx", **CLEAN_WEATHER_SQL))
 def fill_time_interpolate(spark, sf_dir):
-    out = clean_weather(roles.weather(spark, sf_dir), roles.site_offsets(spark, sf_dir))
+    out = forecast.clean_weather(roles.weather(spark, sf_dir), roles.site_offsets(spark, sf_dir))
     return _rounded(out, _T4_KEEP)
 
 
 _SITE_CODES = sorted(roles.EVENT_TYPE_TO_SITE.values())
 
 
+@query("weather_without_offset", sql=with_roles(
+    "SELECT w.site_id, count(*) AS n_rows FROM w ANTI JOIN ok USING (site_id) GROUP BY 1",
+    w=W, ok="SELECT site_id FROM (" + roles.site_offsets_sql() + ") WHERE offset_h <> -8"))
+def weather_without_offset(spark, sf_dir):
+    """The rows T1 cannot shift: here the sites whose clock is eight hours behind are left out of the lookup."""
+    known = roles.site_offsets(spark, sf_dir).where("offset_h <> -8")
+    return forecast.weather_without_offset(roles.weather(spark, sf_dir), known)
+
+
 @query("pivot_series", sql=with_roles(
     "SELECT ts, " + ", ".join(f"max(air_temperature) FILTER (WHERE site_id = {s}) AS site_{s}" for s in _SITE_CODES)
     + " FROM w GROUP BY ts", w=W))
