@@ -25,16 +25,19 @@ nothing.  A model without training rows predicts ``base``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..session import stored_table
+from ..session import drop_stored, stored_at, stored_table
 
 MAX_MODELS = 62
 REFRESH = 10
@@ -42,6 +45,10 @@ REFRESH = 10
 SMALL = 1 << 16
 #: A split has to gain more than this.
 MIN_GAIN = 1e-6
+#: Cells of the drawn columns up to which a round is one pass (over all models of one job).
+CUBE = 1 << 22
+#: Leaf values kept as lookup tables in one task.
+LOOKUP = 1 << 23
 _TABLE = "bins binary, y double, mask long, margins binary"
 
 
@@ -59,6 +66,24 @@ class Settings:
     base: float = 0.5
     bins: int = 64
     seed: int = 6
+    #: "squared" or "absolute" (see ``fit_absolute``)
+    loss: str = "squared"
+
+    @property
+    def high(self) -> bool:
+        """Missing values count as higher than all others (and are no bin of their own)."""
+        return self.loss == "absolute"
+
+    @property
+    def min_gain(self) -> float:
+        return 0.0 if self.loss == "absolute" else MIN_GAIN
+
+    def gain(self, gl, hl, g, h):
+        """What a node (g, h) gains by a cut with (gl, hl) on the left."""
+        if self.loss == "absolute":  # loss of variance, for targets of square 1
+            whole, left, right = ((n - s * s / np.maximum(n, 1)) / np.maximum(n, 1) for s, n in ((g, h), (gl, hl), (g - gl, h - hl)))
+            return whole - hl / h * left - (h - hl) / h * right
+        return 0.5 * (self.worth(gl, hl) + self.worth(g - gl, h - hl) - self.worth(g, h))
 
     def worth(self, g, h):
         t = np.maximum(np.abs(g) - self.alpha, 0.0)
@@ -99,47 +124,144 @@ class Tree:
         return self.value[self.place(x)]
 
 
+class Steps:
+    """Adds the trees of some rounds to margins.
+
+    The trees of a round read the drawn columns only, so their leaf values form a table over the cells of these columns.
+    The table is made when the rows scored so far outnumber its entries; together the tables hold at most ``LOOKUP`` values.
+    """
+
+    def __init__(self, rounds: Sequence[tuple[np.ndarray, list[Tree]]], sizes: np.ndarray):
+        self.rounds, self.sizes = rounds, sizes
+        self.room = LOOKUP // max(1, len(rounds))
+        self.seen, self.tables = 0, {}
+
+    def _table(self, i: int) -> np.ndarray | None:
+        cols, trees = self.rounds[i]
+        sizes = self.sizes[cols]
+        n = float(np.prod(sizes.astype(float)))
+        if i not in self.tables and n * len(trees) <= min(self.room, self.seen):
+            x = np.zeros((int(n), len(self.sizes)), np.uint8)
+            x[:, cols] = np.column_stack(np.unravel_index(np.arange(int(n)), sizes))
+            self.tables[i] = np.stack([t.predict(x) for t in trees])
+        return self.tables.get(i)
+
+    def add(self, x: np.ndarray, at: dict[int, np.ndarray], out: dict[int, np.ndarray]) -> None:
+        """Add to ``out[m]`` what model m says on the rows ``at[m]``."""
+        self.seen += sum(map(len, at.values()))
+        for i, (cols, trees) in enumerate(self.rounds):
+            table = self._table(i)
+            code = None if table is None else _codes(x, cols, self.sizes)
+            for m, rows in at.items():
+                if len(rows):
+                    out[m] = out[m] + (trees[m].predict(x[rows]) if table is None else table[m][code[rows]])
+
+
+def _codes(x: np.ndarray, cols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    code = np.zeros(len(x), np.int64)
+    for c in cols:
+        code = code * int(sizes[c]) + x[:, c]
+    return code
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """The batches, joined to about ``rows`` rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _bits(mask: np.ndarray, models: int) -> dict[int, np.ndarray]:
+    return {m: np.flatnonzero(mask >> m & 1) for m in range(models)}
+
+
 @dataclass
 class Booster:
     features: list[str]
     edges: list[np.ndarray]
     settings: Settings
     trees: list[list[Tree]] = field(default_factory=list)  # per round, one tree per model
+    label: str = ""
+
+    def save(self, path: str) -> None:
+        """Write edges, settings and trees to ``path`` as one Parquet row per round, replacing what is there."""
+        head = json.dumps([self.features, [e.tolist() for e in self.edges], asdict(self.settings), self.label])
+        rows = [(i, head if i < 0 else json.dumps([[t.depth, t.feature.tolist(), t.cut.tolist(), t.missing_left.tolist(), t.value.tolist()]
+                                                   for t in self.trees[i]])) for i in range(-1, len(self.trees))]
+        SparkSession.active().createDataFrame(rows, "round int, content string").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, path: str) -> Booster | None:
+        """The model that ``save`` wrote, or None if ``path`` holds something else."""
+        try:
+            rows = SparkSession.active().read.schema("round int, content string").parquet(path).orderBy("round").collect()
+        except AnalysisException:
+            return None
+        if not rows:
+            return None
+        features, edges, settings, label = json.loads(rows[0]["content"])
+        trees = []
+        for r in rows[1:]:
+            trees.append([])
+            for depth, *arrays in json.loads(r["content"]):
+                t = Tree(depth)
+                t.feature[:], t.cut[:], t.missing_left[:], t.value[:] = arrays
+                trees[-1].append(t)
+        return cls(features, [np.array(e) for e in edges], Settings(**settings), trees, label)
 
     def predict(self, df: DataFrame, keep: Sequence[str], model: Column | None = None) -> DataFrame:
         """``keep`` and ``prediction``; ``model`` is the number of the model that scores a row (NULL: ``base``)."""
-        edges, trees, base, n = self.edges, self.trees, self.settings.base, len(keep)
+        edges, base, n, high, rounds, sizes = self.edges, self.settings.base, len(keep), self.settings.high, self.rounds(), self.sizes()
         rows = df.select(*keep, (F.lit(0) if model is None else model).cast("int").alias("_model"),
                          *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(self.features)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            steps = Steps(rounds, sizes)
             for b in batches:
-                x = _bins([b.column(n + 1 + i) for i in range(len(edges))], edges, b.num_rows)
+                x = _bins([b.column(n + 1 + i) for i in range(len(edges))], edges, b.num_rows, high)
                 who = b.column(n).fill_null(-1).to_numpy(zero_copy_only=False)
                 out = np.full(b.num_rows, base)
-                for m in np.unique(who[who >= 0]):
-                    at = np.flatnonzero(who == m)
-                    out[at] += sum((r[m].predict(x[at]) for r in trees), np.zeros(len(at)))
+                at = {m: np.flatnonzero(who == m) for m in np.unique(who[who >= 0])}
+                more = {m: np.zeros(len(rows)) for m, rows in at.items()}
+                steps.add(x, at, more)
+                for m, rows in at.items():
+                    out[rows] += more[m]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(out)], [*keep, "prediction"])
 
         schema = df.select(*keep, F.lit(0.0).alias("prediction")).schema
         return rows.mapInArrow(run, schema)
 
+    def rounds(self) -> list[tuple[np.ndarray, list[Tree]]]:
+        return [(self.settings.columns(len(self.edges), i), r) for i, r in enumerate(self.trees)]
+
+    def sizes(self) -> np.ndarray:
+        """Bins of every feature, the missing one included."""
+        return np.array([len(e) + 2 for e in self.edges], np.int64)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.predict(df, df.columns)
+
     def losses(self, df: DataFrame, label: str) -> list[float]:
-        """Mean squared error on ``df`` after each round of the first model, in one pass."""
-        edges, trees, base = self.edges, [r[0] for r in self.trees], self.settings.base
+        """Mean squared (or absolute) error on ``df`` after each round of the first model, in one pass."""
+        edges, trees, base, high = self.edges, [r[0] for r in self.trees], self.settings.base, self.settings.high
         rows = df.where(F.col(label).isNotNull()).select(
             F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(self.features)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros(len(trees)), 0
             for b in batches:
-                x = _bins([b.column(1 + i) for i in range(len(edges))], edges, b.num_rows)
+                x = _bins([b.column(1 + i) for i in range(len(edges))], edges, b.num_rows, high)
                 rest = base - b.column(0).to_numpy(zero_copy_only=False)
                 n += b.num_rows
                 for i, t in enumerate(trees):
                     rest = rest + t.predict(x)
-                    total[i] += rest @ rest
+                    total[i] += np.abs(rest).sum() if high else rest @ rest
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(trees))), pa.array(total), pa.array(np.full(len(trees), n))],
                                              ["i", "s", "n"])
 
@@ -158,11 +280,11 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndar
     return [np.unique(np.array(v or [], float)) for v in row]
 
 
-def _bins(columns: Sequence[pa.Array], edges: Sequence[np.ndarray], n: int) -> np.ndarray:
+def _bins(columns: Sequence[pa.Array], edges: Sequence[np.ndarray], n: int, high: bool = False) -> np.ndarray:
     out = np.zeros((n, len(edges)), np.uint8)
     for i, (c, e) in enumerate(zip(columns, edges)):
         v = c.cast(pa.float64()).to_numpy(zero_copy_only=False)
-        out[:, i] = np.where(np.isnan(v), 0, np.searchsorted(e, v, "left") + 1)
+        out[:, i] = np.where(np.isnan(v) & (not high), 0, np.searchsorted(e, v, "left") + 1)
     return out
 
 
@@ -179,7 +301,7 @@ def _matrix(a: pa.Array, kind, width: int) -> np.ndarray:
     return raw.view(kind).reshape(len(a), width)
 
 
-def _binned(df: DataFrame, features, label, mask: Column, edges, models: int, base: float) -> DataFrame:
+def _binned(df: DataFrame, features, label, mask: Column, edges, models: int, base: float) -> tuple[DataFrame, str]:
     rows = df.select(F.col(label).cast("double").alias("y"), mask.cast("long").alias("mask"),
                      *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]).where("y IS NOT NULL AND mask <> 0")
 
@@ -189,7 +311,7 @@ def _binned(df: DataFrame, features, label, mask: Column, edges, models: int, ba
             yield pa.RecordBatch.from_arrays([_packed(x), b.column(0), b.column(1), _packed(np.full((b.num_rows, models), base))],
                                              ["bins", "y", "mask", "margins"])
 
-    return stored_table(rows.mapInArrow(run, _TABLE))
+    return stored_at(rows.mapInArrow(run, _TABLE))
 
 
 def _rows(b: pa.RecordBatch, features: int, models: int):
@@ -197,92 +319,98 @@ def _rows(b: pa.RecordBatch, features: int, models: int):
             b.column(2).to_numpy(zero_copy_only=False), _matrix(b.column(3), np.float64, models))
 
 
-def _refreshed(table: DataFrame, recent: list[list[Tree]], features: int, models: int) -> DataFrame:
-    """The table with the recent trees added to the margins."""
+def _refreshed(table: DataFrame, recent, sizes: np.ndarray, models: int) -> tuple[DataFrame, str]:
+    """The table with the recent trees added to the margins, and its folder."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = Steps(recent, sizes)
         for b in batches:
-            x, _, mask, margins = _rows(b, features, models)
-            margins = margins.copy()
-            for m in range(models):
-                at = np.flatnonzero(mask >> m & 1)
-                for trees in recent:
-                    margins[at, m] += trees[m].predict(x[at])
+            x, _, mask, margins = _rows(b, len(sizes), models)
+            margins, at = margins.copy(), _bits(mask, models)
+            out = {m: margins[rows, m] for m, rows in at.items()}
+            steps.add(x, at, out)
+            for m, rows in at.items():
+                margins[rows, m] = out[m]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _packed(margins)], b.schema.names)
 
-    return stored_table(table.mapInArrow(run, _TABLE))
+    return stored_at(table.mapInArrow(run, _TABLE))
 
 
-def _gradients(b: pa.RecordBatch, recent, growing: list[Tree], open_: list[list[int]], features: int):
-    """(model, slot of its open node, bins, gradient) of the rows of one batch that stand in an open node."""
-    models = len(growing)
-    x, y, mask, margins = _rows(b, features, models)
-    for m in range(models):
-        at = np.flatnonzero(mask >> m & 1) if open_[m] else ()
-        if not len(at):
-            continue
+def _units(batches: Iterator[pa.RecordBatch], chosen: Sequence[int], recent, sizes: np.ndarray, models: int):
+    """(model, bins, gradient, None) of the rows that train the chosen models."""
+    steps = Steps(recent, sizes)
+    for b in _blocks(batches):
+        x, y, mask, margins = _rows(b, len(sizes), models)
+        at = {m: np.flatnonzero(mask >> m & 1) for m in chosen}
+        out = {m: margins[rows, m] for m, rows in at.items()}
+        steps.add(x, at, out)
+        for m, rows in at.items():
+            if len(rows):
+                yield m, x[rows], out[m] - y[rows], None
+
+
+def _standing(units, growing: list[Tree], open_: list[list[int]]):
+    """(model, slot of its open node, bins, gradient, weight) of the units that stand in an open node."""
+    for m, x, g, n in units:
         slot = np.full(len(growing[m].value), -1)
         slot[open_[m]] = np.arange(len(open_[m]))
-        mine = x[at]
-        slot = slot[growing[m].place(mine)]
+        slot = slot[growing[m].place(x)]
         live = slot >= 0
-        at, mine, slot = at[live], mine[live], slot[live]
-        g = margins[at, m] - y[at]
-        for trees in recent:
-            g = g + trees[m].predict(mine)
-        if len(at):
-            yield m, slot, mine, g
+        if live.any():
+            yield m, slot[live], x[live], g[live], None if n is None else n[live]
 
 
-def _histograms(x: np.ndarray, g: np.ndarray, slot: np.ndarray, slots: int, width: int) -> np.ndarray:
-    """Gradient sums and counts per (slot, column, bin)."""
-    out = np.empty((slots, x.shape[1], width, 2))
+def _histograms(x: np.ndarray, g: np.ndarray, n: np.ndarray | None, slot: np.ndarray, slots: int, width: int) -> np.ndarray:
+    """Gradient sums, rows and units per (slot, column, bin); a unit is a row, or equal rows with their number ``n``."""
+    out = np.empty((slots, x.shape[1], width, 3))
     for j in range(x.shape[1]):
         code = slot * width + x[:, j]
         out[:, j, :, 0] = np.bincount(code, g, slots * width).reshape(-1, width)
-        out[:, j, :, 1] = np.bincount(code, minlength=slots * width).reshape(-1, width)
+        out[:, j, :, 2] = np.bincount(code, minlength=slots * width).reshape(-1, width)
+        out[:, j, :, 1] = out[:, j, :, 2] if n is None else np.bincount(code, n, slots * width).reshape(-1, width)
     return out
 
 
 def _cuts(h: np.ndarray, s: Settings) -> list[tuple]:
-    """(gain, column, cut, missing to the left, left G, left H, G, H) of the best cut of each node."""
+    """(gain, column, cut, missing to the left, left G, left H, left units, G, H, units) of the best cut of each node."""
     out = []
     for part in np.array_split(h, len(h) // 64 + 1):
         whole = part[:, 0].sum(axis=1)
         low = np.cumsum(part[:, :, 1:], axis=2)
-        sides = np.stack([low, low + part[:, :, :1]], axis=1)  # node, missing side, column, cut
+        sides = low[:, None] if s.high else np.stack([low, low + part[:, :, :1]], axis=1)  # node, missing side, column, cut
         gl, hl = sides[..., 0], sides[..., 1]
         g, n = whole[:, 0].reshape(-1, 1, 1, 1), whole[:, 1].reshape(-1, 1, 1, 1)
-        gain = 0.5 * (s.worth(gl, hl) + s.worth(g - gl, n - hl) - s.worth(g, n))
+        gain = s.gain(gl, hl, g, n)
         least = max(s.min_child, 1)
         gain[(hl < least) | (n - hl < least)] = -1.0
         top = gain.reshape(len(part), -1).argmax(axis=1)
         miss, column, cut = np.unravel_index(top, gain.shape[1:])
         rows = np.arange(len(part))
         out += zip(gain.reshape(len(part), -1)[rows, top].tolist(), column.tolist(), (cut + 1).tolist(), (miss == 1).tolist(),
-                   gl[rows, miss, column, cut].tolist(), hl[rows, miss, column, cut].tolist(), *whole.T.tolist())
+                   *sides[rows, miss, column, cut].T.tolist(), *whole.T.tolist())
     return out
 
 
-_SPLIT = "model int, node int, feature int, cut int, missing_left boolean, gain double, gl double, hl double, g double, h double"
+_SPLIT = "model int, node int, feature int, cut int, missing_left boolean, gain double, gl double, hl double, ul double, " \
+    "g double, h double, u double"
+_HISTOGRAM = "model int, node int, h binary"
 
 
 def _split_table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32()] * 4 + [pa.bool_()] + [pa.float64()] * 5
+    kinds = [pa.int32()] * 4 + [pa.bool_()] + [pa.float64()] * 7
     names = [c.split()[0] for c in _SPLIT.split(", ")]
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
-def _level(table: DataFrame, recent, growing: list[Tree], open_: list[list[int]], cols: np.ndarray,
-           features: int, bins: int, s: Settings) -> list:
+def _level(table: DataFrame, units, growing: list[Tree], open_: list[list[int]], cols: np.ndarray, s: Settings) -> list:
     """Best cut of every open node of every model: one pass over the table, histograms merged per (model, node)."""
-    width = bins + 1
+    width = s.bins + 1
+    chosen = [m for m, nodes in enumerate(open_) if nodes]
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {}
-        for b in batches:
-            for m, slot, x, g in _gradients(b, recent, growing, open_, features):
-                h = _histograms(x[:, cols], g, slot, len(open_[m]), width)
-                held[m] = held[m] + h if m in held else h
+        for m, slot, x, g, n in _standing(units(batches, chosen), growing, open_):
+            h = _histograms(x[:, cols], g, n, slot, len(open_[m]), width)
+            held[m] = held[m] + h if m in held else h
         for m, h in held.items():
             some = np.flatnonzero(h[:, 0, :, 1].any(axis=1))
             for part in np.array_split(some, len(some) // 256 + 1):
@@ -291,113 +419,332 @@ def _level(table: DataFrame, recent, growing: list[Tree], open_: list[list[int]]
                      _packed(h[part].reshape(len(part), -1))], ["model", "node", "h"])
 
     def best(t: pa.Table) -> pa.Table:
-        total = np.zeros((1, len(cols), width, 2))
+        total = np.zeros((1, len(cols), width, 3))
         for v in t.column("h"):
             total += np.frombuffer(v.as_buffer(), np.float64).reshape(total.shape)
         gain, j, *rest = _cuts(total, s)[0]
         cut, miss = rest[:2]
         return _split_table([(t.column("model")[0].as_py(), t.column("node")[0].as_py(), int(cols[j]), cut, miss, gain, *rest[2:])])
 
-    return table.mapInArrow(histograms, "model int, node int, h binary").groupBy("model", "node").applyInArrow(best, _SPLIT).collect()
+    return table.mapInArrow(histograms, _HISTOGRAM).groupBy("model", "node").applyInArrow(best, _SPLIT).collect()
+
+
+def _grown(m: int, root: int, x: np.ndarray, g: np.ndarray, n: np.ndarray | None, cols: np.ndarray, s: Settings) -> list[tuple]:
+    """All splits below a node from its units; ``x`` has the drawn columns only."""
+    width = s.bins + 1
+    nodes, slot, out = [root], np.zeros(len(g), np.int64), []
+    for _ in range((root + 1).bit_length() - 1, s.depth):
+        found = _cuts(_histograms(x, g, n, slot, len(nodes), width), s)
+        split = [i for i, r in enumerate(found) if r[0] > s.min_gain or nodes[i] == root]
+        out += [(m, nodes[i], int(cols[found[i][1]]), found[i][2], found[i][3], found[i][0], *found[i][4:]) for i in split]
+        split = [i for i in split if found[i][0] > s.min_gain]
+        if not split:
+            break
+        place = np.full(len(nodes), -1)
+        place[split] = 2 * np.arange(len(split))
+        live = place[slot] >= 0
+        x, g, slot, n = x[live], g[live], slot[live], None if n is None else n[live]
+        column, cut, miss = (np.array([r[i] for r in found]) for i in (1, 2, 3))
+        b = x[np.arange(len(x)), column[slot]]
+        left = np.where(b == 0, miss[slot], b <= cut[slot])
+        slot = place[slot] + 1 - left
+        nodes = [c for i in split for c in (2 * nodes[i] + 1, 2 * nodes[i] + 2)]
+    return out
 
 
-def _subtrees(table: DataFrame, recent, growing: list[Tree], open_: list[list[int]], cols: np.ndarray,
-              features: int, bins: int, s: Settings) -> list:
-    """All splits below the open nodes, each of which holds a bounded number of rows: a node's rows meet in one task."""
-    width = bins + 1
+def _subtrees(table: DataFrame, units, growing: list[Tree], open_: list[list[int]], cols: np.ndarray, s: Settings) -> list:
+    """All splits below the open nodes, each of which holds a bounded number of units: a node's units meet in one task."""
+    chosen = [m for m, nodes in enumerate(open_) if nodes]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for m, slot, x, g in _gradients(b, recent, growing, open_, features):
-                order = np.argsort(slot, kind="stable")
-                edge = np.flatnonzero(np.diff(slot[order], prepend=-1))
-                x, g = np.ascontiguousarray(x[order][:, cols]), g[order]
-                ends = np.append(edge[1:], len(order))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(edge), m, np.int32)), pa.array(np.array(open_[m], np.int32)[slot[order][edge]]),
-                     pa.array([x[i:j].tobytes() for i, j in zip(edge, ends)], pa.binary()),
-                     pa.array([g[i:j].tobytes() for i, j in zip(edge, ends)], pa.binary())], ["model", "node", "x", "g"])
+        for m, slot, x, g, n in _standing(units(batches, chosen), growing, open_):
+            order = np.argsort(slot, kind="stable")
+            edge = np.flatnonzero(np.diff(slot[order], prepend=-1))
+            x, g = np.ascontiguousarray(x[order][:, cols]), g[order]
+            n = np.zeros(0) if n is None else n[order].astype(float)
+            ends = np.append(edge[1:], len(order))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(edge), m, np.int32)), pa.array(np.array(open_[m], np.int32)[slot[order][edge]]),
+                 *(pa.array([v[i:j].tobytes() for i, j in zip(edge, ends)], pa.binary()) for v in (x, g, n))],
+                ["model", "node", "x", "g", "n"])
 
     def finish(t: pa.Table) -> pa.Table:
-        m, root = t.column("model")[0].as_py(), t.column("node")[0].as_py()
-        x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.uint8).reshape(-1, len(cols))
-        g = np.frombuffer(b"".join(t.column("g").to_pylist()), np.float64)
-        nodes, slot, out = [root], np.zeros(len(g), np.int64), []
-        for _ in range((root + 1).bit_length() - 1, s.depth):
-            found = _cuts(_histograms(x, g, slot, len(nodes), width), s)
-            split = [i for i, r in enumerate(found) if r[0] > MIN_GAIN or nodes[i] == root]
-            out += [(m, nodes[i], int(cols[found[i][1]]), found[i][2], found[i][3], found[i][0], *found[i][4:]) for i in split]
-            split = [i for i in split if found[i][0] > MIN_GAIN]
-            if not split:
-                break
-            place = np.full(len(nodes), -1)
-            place[split] = 2 * np.arange(len(split))
-            live = place[slot] >= 0
-            x, g, slot = x[live], g[live], slot[live]
-            column, cut, miss = (np.array([r[i] for r in found]) for i in (1, 2, 3))
-            b = x[np.arange(len(x)), column[slot]]
-            left = np.where(b == 0, miss[slot], b <= cut[slot])
-            slot = place[slot] + 1 - left
-            nodes = [c for i in split for c in (2 * nodes[i] + 1, 2 * nodes[i] + 2)]
-        return _split_table(out)
-
-    return table.mapInArrow(rows, "model int, node int, x binary, g binary").groupBy("model", "node").applyInArrow(finish, _SPLIT).collect()
-
-
-def _round(table: DataFrame, sizes: dict[int, int], recent, models: int, round_: int, features: int, s: Settings, small: int) -> list[Tree]:
-    """One tree per model: levels of large nodes by histograms, then everything below small nodes in one job."""
-    cols = s.columns(features, round_)
+        x, g, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("x", np.uint8), ("g", float), ("n", float)))
+        return _split_table(_grown(t.column("model")[0].as_py(), t.column("node")[0].as_py(), x.reshape(-1, len(cols)), g,
+                                   n if len(n) else None, cols, s))
+
+    return table.mapInArrow(rows, "model int, node int, x binary, g binary, n binary") \
+        .groupBy("model", "node").applyInArrow(finish, _SPLIT).collect()
+
+
+def _cube(table: DataFrame, units, chosen: Sequence[int], cols: np.ndarray, sizes: np.ndarray, s: Settings, parts: int,
+          chunk: int = 1 << 13) -> list:
+    """All splits of the chosen models in one pass: sums per cell of the drawn columns, merged, and a tree grown from them.
+
+    Rows that agree in the drawn columns stand in the same node of every tree of the round, so their sums are enough.
+    """
+    dims = sizes[cols]
+    cells = int(np.prod(dims))
+    chunk = min(chunk, cells)
+    padded = -(-cells // chunk) * chunk
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {m: np.zeros((2, padded)) for m in chosen}
+        for m, x, g, _ in units(batches, chosen):
+            code = _codes(x, cols, sizes)
+            if len(code) < padded:
+                np.add.at(held[m][0], code, g)
+                np.add.at(held[m][1], code, 1.0)
+            else:
+                held[m] += (np.bincount(code, g, padded), np.bincount(code, minlength=padded))
+        for m, h in held.items():
+            h = h.reshape(2, -1, chunk).transpose(1, 0, 2)
+            some = np.flatnonzero(h[:, 1].any(axis=1))
+            for part in np.array_split(some, len(some) // 64 + 1):
+                if len(part):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), m, np.int32)), pa.array(part.astype(np.int32)),
+                                                      _packed(h[part].reshape(len(part), -1))], ["model", "node", "h"])
+
+    def merged(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v.as_buffer(), np.float64) for v in t.column("h"))
+        return pa.table({"model": t.column("model")[:1], "node": t.column("node")[:1], "h": pa.array([total.tobytes()], pa.binary())})
+
+    def tree(t: pa.Table) -> pa.Table:
+        h = np.zeros((2, padded // chunk, chunk))
+        for i, v in zip(t.column("node").to_pylist(), t.column("h")):
+            h[:, i] += np.frombuffer(v.as_buffer(), np.float64).reshape(2, chunk)
+        g, n = h.reshape(2, -1)
+        some = np.flatnonzero(n)
+        x = np.column_stack(np.unravel_index(some, dims)).astype(np.uint8)
+        return _split_table(_grown(t.column("model")[0].as_py(), 0, x, g[some], n[some], cols, s))
+
+    out = table.mapInArrow(sums, _HISTOGRAM)
+    if padded * parts > 1 << 22:  # else the sums of one model fit one task before they are merged
+        out = out.groupBy("model", "node").applyInArrow(merged, _HISTOGRAM)
+    return out.groupBy("model").applyInArrow(tree, _SPLIT).collect()
+
+
+def _round(table: DataFrame, units, count: dict[int, int], models: int, cols: np.ndarray, s: Settings, small: int,
+           sizes: np.ndarray | None = None, parts: int = 1) -> list[Tree]:
+    """One tree per model: in one pass by cells if ``sizes`` are given and the drawn columns have few, else levels of large
+    nodes by histograms, then everything below small nodes in one job."""
     growing = [Tree(s.depth) for _ in range(models)]
-    large, rest = [[] for _ in range(models)], [[] for _ in range(models)]
-    for m, n in sizes.items():
-        (large if n > small else rest)[m].append(0)
 
     def apply(found: list) -> list[tuple[int, int, float]]:
-        """Enter the splits; returns the children as (model, node, rows)."""
+        """Enter the splits; returns the children as (model, node, units)."""
         children = []
         for r in found:
             t, i = growing[r["model"]], r["node"]
             if i == 0:
                 t.value[0] = s.leaf(r["g"], r["h"])
-            if r["gain"] > MIN_GAIN:
+            if r["gain"] > s.min_gain:
                 t.feature[i], t.cut[i], t.missing_left[i] = r["feature"], r["cut"], r["missing_left"]
-                for child, g, h in ((2 * i + 1, r["gl"], r["hl"]), (2 * i + 2, r["g"] - r["gl"], r["h"] - r["hl"])):
+                for child, g, h, u in ((2 * i + 1, r["gl"], r["hl"], r["ul"]),
+                                       (2 * i + 2, r["g"] - r["gl"], r["h"] - r["hl"], r["u"] - r["ul"])):
                     t.value[child] = s.leaf(g, h)
-                    children.append((r["model"], child, h))
+                    children.append((r["model"], child, u))
         return children
 
+    cells = CUBE + 1 if sizes is None else float(np.prod(sizes[cols].astype(float)))
+    if cells <= CUBE:
+        at_once = max(1, int(CUBE // cells))
+        chosen = sorted(count)
+        for i in range(0, len(chosen), at_once):
+            apply(_cube(table, units, chosen[i:i + at_once], cols, sizes, s, parts))
+        return growing
+    large, rest = [[] for _ in range(models)], [[] for _ in range(models)]
+    for m, n in count.items():
+        (large if n > small else rest)[m].append(0)
     while any(large):
-        children = apply(_level(table, recent, growing, large, cols, features, s.bins, s))
+        children = apply(_level(table, units, growing, large, cols, s))
         large = [[] for _ in range(models)]
         for m, node, n in sorted(children):
             if 2 * node + 1 < len(growing[m].value):
                 (large if n > small else rest)[m].append(node)
     if any(rest):
-        apply(_subtrees(table, recent, growing, [sorted(r) for r in rest], cols, features, s.bins, s))
+        apply(_subtrees(table, units, growing, [sorted(r) for r in rest], cols, s))
     return growing
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, settings: Settings = Settings(), mask: Column | None = None,
-        models: int = 1, small: int = SMALL) -> Booster:
+        models: int = 1, small: int = SMALL, cube: bool = True) -> Booster:
     """Fit ``models`` models side by side; bit m of ``mask`` says whether a row trains model m (default: one model, all rows).
 
-    Nodes of at most ``small`` rows are finished in one task; the trees do not depend on it.
+    A round whose drawn columns have few cells is one pass.  In other rounds (all, without ``cube``) nodes of at most
+    ``small`` rows are finished in one task; the trees do not depend on either.
     """
     if not 1 <= models <= MAX_MODELS:
         raise ValueError(f"1 to {MAX_MODELS} models, not {models}")
     features, s = list(features), settings
     edges = bin_edges(df.where(F.col(label).isNotNull()), features, s.bins)
     booster = Booster(features, edges, s)
-    table = _binned(df, features, label, F.lit(1) if mask is None else mask, edges, models, s.base)
+    sizes = booster.sizes()
+    table, path = _binned(df, features, label, F.lit(1) if mask is None else mask, edges, models, s.base)
     counts = table.agg(*[F.count_if(F.col("mask").bitwiseAND(F.lit(1 << m)) != 0).alias(f"n{m}") for m in range(models)]).first()
-    sizes = {m: n for m, n in enumerate(counts) if n}
-    recent: list[list[Tree]] = []
+    count = {m: n for m, n in enumerate(counts) if n}
+    parts = table.rdd.getNumPartitions()
+    recent: list = []
+    for round_ in range(s.rounds):
+        if len(recent) == REFRESH:
+            (table, new), recent = _refreshed(table, recent, sizes, models), []
+            drop_stored(df.sparkSession, path)
+            path = new
+        cols = s.columns(len(features), round_)
+        grown = _round(table, partial(_units, recent=recent, sizes=sizes, models=models), count, models, cols, s, small, sizes if cube else None, parts)
+        booster.trees.append(grown)
+        recent = [*recent, (cols, grown)]
+    drop_stored(df.sparkSession, path)
+    return booster
+
+
+# --------------------------------------------------------------------------- absolute error
+_CELLS = "bins binary, ys binary, margin double"
+#: Rows up to which every value of a feature counts for its split points, quantiles taken beyond, and units of a node per task.
+EXACT_ROWS, GRID, SMALL_CELLS = 10_000, 2048, 1 << 17
+
+
+def split_points(df: DataFrame, features: Sequence[str], bins: int, n: int) -> list[np.ndarray]:
+    """Cuts between values of each feature as Spark ML places them: all of few values, else about n / bins rows apart.
+
+    Up to ``EXACT_ROWS`` rows they come from all values, beyond from ``GRID`` quantiles of all rows (one pass).
+    """
+    values = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    if n <= EXACT_ROWS:
+        got = values.limit(EXACT_ROWS).toArrow()
+        lists = [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in got.columns]
+    else:
+        at = F.array(*[F.lit((i + 0.5) / GRID) for i in range(GRID)])
+        none = F.lit(None).cast("double")
+        row = values.agg(*[F.percentile_approx(F.nanvl(F.col(c), none), at, F.lit(10_000)).alias(c) for c in values.columns],
+                         *[F.min(F.nanvl(F.col(c), none)).alias(f"{c}_a") for c in values.columns],
+                         *[F.max(F.nanvl(F.col(c), none)).alias(f"{c}_b") for c in values.columns]).first()
+        lists = [np.array([*(row[c] or []), *(v for v in (row[f"{c}_a"], row[f"{c}_b"]) if v is not None)], float) for c in values.columns]
+    out = []
+    for v in lists:
+        value, count = np.unique(v + 0.0, return_counts=True)
+        middle = (value[:-1] + value[1:]) / 2
+        slots = min(bins, n) - 1
+        if len(middle) > slots:
+            stride = count.sum() / (slots + 1)
+            target, keep, total = stride, [], np.cumsum(count)
+            for i in range(1, len(value)):
+                if abs(total[i - 1] - target) < abs(total[i] - target):
+                    keep.append(i - 1)
+                    target += stride
+            middle = middle[keep]
+        out.append(middle[~np.isnan(middle)])
+    return out
+
+
+def _runs(bins: pa.Array, width: int) -> np.ndarray:
+    """First rows of the runs of equal bins."""
+    x = _matrix(bins, np.uint8, width)
+    return np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(axis=1))) if len(x) else np.zeros(0, int)
+
+
+def _cells(df: DataFrame, features, label, edges) -> tuple[DataFrame, str]:
+    """Rows that agree in all bins as one cell with their sorted labels.
+
+    Rows are dealt by (bins, label), so many equal ones spread over tasks; a cell holds at most the rows of one batch, and
+    a bins value may have several cells.
+    """
+    rows = df.select(F.col(label).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([_packed(_bins(b.columns[1:], edges, b.num_rows, True)), b.column(0)], ["bins", "y"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = _runs(b.column(0), len(edges))
+            offsets = np.append(first, b.num_rows).astype(np.int32) * 8
+            y = np.ascontiguousarray(b.column(1).to_numpy(zero_copy_only=False))
+            ys = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(y)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first)), ys, pa.array(np.zeros(len(first)))], ["bins", "ys", "margin"])
+
+    table, path = stored_at(rows.mapInArrow(binned, "bins binary, y double"))
+    cells = table.repartitionByRange("bins", "y").sortWithinPartitions("bins", "y").mapInArrow(joined, _CELLS)
+    out = stored_at(cells)
+    drop_stored(df.sparkSession, path)
+    return out
+
+
+def _scored(batches: Iterator[pa.RecordBatch], recent, sizes: np.ndarray):
+    """(batch, bins, margins) of the cells with the recent trees added."""
+    steps = Steps(recent, sizes)
+    for b in batches:
+        x = _matrix(b.column(0), np.uint8, len(sizes))
+        out = {0: b.column(2).to_numpy(zero_copy_only=False)}
+        steps.add(x, {0: np.arange(len(x))}, out)
+        yield b, x, out[0]
+
+
+def _signs(batches: Iterator[pa.RecordBatch], chosen, recent, sizes: np.ndarray, first: bool):
+    """(model, bins, gradient, rows) of the cells: labels in the first round, then the rows below less those not below."""
+    for b, x, margins in _scored(batches, recent, sizes):
+        if not len(x):
+            continue
+        ends = np.frombuffer(b.column(1).buffers()[1], np.int32)[b.column(1).offset:b.column(1).offset + len(x) + 1].astype(np.int64)
+        y = np.frombuffer(b.column(1).buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.float64)
+        n = np.diff(ends) // 8
+        at = (ends[:-1] - ends[0]) // 8
+        g = -np.add.reduceat(y, at) if first else 2.0 * np.add.reduceat((y < np.repeat(margins, n)).astype(np.int64), at) - n
+        yield 0, x, g, n.astype(float)
+
+
+def _stored_units(batches: Iterator[pa.RecordBatch], chosen, width: int):
+    for b in _blocks(batches):
+        yield 0, _matrix(b.column(0), np.uint8, width), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+
+
+def fit_absolute(df: DataFrame, features: Sequence[str], label: str, settings: Settings, small: int = SMALL_CELLS) -> Booster:
+    """Boosting on the absolute error as Spark ML's ``GBTRegressor`` does it.
+
+    The first tree fits the label, the others the sign of what is left, each by loss of variance, and a leaf is a mean.
+    Missing values are higher than all others.  All rows with the same bins have one margin, so a cell keeps their labels
+    in order, a round counts those below the margin, and the tree grows on cells with their sums; its time follows the
+    number of different cells (at most the rows).  Training rows without a label or a feature are an error, as there.
+    """
+    s, features = settings, list(features)
+    spark = df.sparkSession
+    names = [F.col(c).cast("double") for c in (label, *features)]
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    n, good = df.agg(F.count(F.lit(1)), F.count_if(whole)).first()
+    if not n or good < n:
+        raise ValueError(f"{n} training rows, {n - good} of them without a label or a feature")
+    booster = Booster(features, split_points(df, features, s.bins, n), s, label=label)
+    sizes = booster.sizes()
+    table, path = _cells(df, features, label, booster.edges)
+    cells = table.count()
+    recent: list = []
     for round_ in range(s.rounds):
         if len(recent) == REFRESH:
-            table, recent = _refreshed(table, recent, len(features), models), []
-        grown = _round(table, sizes, recent, models, round_, len(features), s, small)
+            def refreshed(batches: Iterator[pa.RecordBatch], recent=recent) -> Iterator[pa.RecordBatch]:
+                for b, _, margins in _scored(batches, recent, sizes):
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(margins)], b.schema.names)
+
+            (table, new), recent = stored_at(table.mapInArrow(refreshed, _CELLS)), []
+            drop_stored(spark, path)
+            path = new
+        units = partial(_signs, recent=recent, sizes=sizes, first=round_ == 0)
+        now, of = table, None
+        if cells > small:  # several passes: the sums are stored once
+            def sums(batches: Iterator[pa.RecordBatch], units=units) -> Iterator[pa.RecordBatch]:
+                for _, x, g, n in units(batches, [0]):
+                    yield pa.RecordBatch.from_arrays([_packed(x), pa.array(g), pa.array(n)], ["bins", "g", "n"])
+
+            now, of = stored_at(table.mapInArrow(sums, "bins binary, g double, n double"))
+            units = partial(_stored_units, width=len(features))
+        step = replace(s, rate=1.0) if round_ == 0 else s
+        cols = s.columns(len(features), round_)
+        grown = _round(now, units, {0: cells}, 1, cols, step, small)
+        if of:
+            drop_stored(spark, of)
         booster.trees.append(grown)
-        recent.append(grown)
+        recent = [*recent, (cols, grown)]
+    drop_stored(spark, path)
     return booster
 
 
@@ -440,17 +787,19 @@ def learning_curve(df: DataFrame, features: Sequence[str], label: str, keys: Seq
         test = test.bitwiseOR(F.when(fold == k, bit).otherwise(F.lit(0)))
     data = stored_table(df.select(*features, F.col(label).alias("_y"), train.alias("_train"), test.alias("_test")))
     model = fit(data, features, "_y", settings, F.col("_train"), len(pairs))
-    edges, trees, base, n = model.edges, model.trees, settings.base, len(features)
+    edges, base, n, rounds, bins = model.edges, settings.base, len(features), model.rounds(), model.sizes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(pairs), 2, 2))
-        for b in batches:
+        total, steps = np.zeros((len(pairs), 2, 2)), Steps(rounds, bins)
+        for b in _blocks(batches):
             x = _bins(b.columns[:n], edges, b.num_rows)
             y, masks = b.column(n).to_numpy(zero_copy_only=False), [b.column(n + 1 + i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-            for m in range(len(pairs)):
-                for side, mask in enumerate(masks):
-                    at = np.flatnonzero(mask >> m & 1)
-                    p = np.maximum(base + sum((r[m].predict(x[at]) for r in trees), np.zeros(len(at))), 0.0)
+            for side, mask in enumerate(masks):
+                rows = _bits(mask, len(pairs))
+                out = {m: np.full(len(at), base) for m, at in rows.items()}
+                steps.add(x, rows, out)
+                for m, at in rows.items():
+                    p = np.maximum(out[m], 0.0)
                     d = p - y[at] if log_y else np.log1p(p) - np.log1p(y[at])
                     total[m, side] += (d @ d, len(at))
         m = np.repeat(np.arange(len(pairs)), 2)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored_table
+from . import boosting
 from . import groupstats as gs
 
 # Reference model settings (used as defaults).
@@ -70,31 +71,50 @@ def _estimator(kind: str, label: str, params: dict | None):
     raise ValueError(f"unknown model kind {kind!r}")
 
 
-def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", params: dict | None = None) -> PipelineModel:
-    """Assemble features and fit one estimator as a Pipeline (same transform for train, val, test)."""
+#: Parameters of ``GBTRegressor`` that boosting on the absolute error by cells has too.
+CELL_PARAMS = {"lossType", "maxDepth", "maxIter", "minInstancesPerNode", "stepSize", "seed", "maxBins"}
+
+
+def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "gbt",
+        params: dict | None = None) -> PipelineModel | boosting.Booster:
+    """Assemble features and fit one estimator as a Pipeline (same transform for train, val, test).
+
+    Boosting on the absolute error is fitted by ``boosting.fit_absolute``: the same trees, grown on cells of equal bins.
+    """
+    if kind == "gbt" and {**GBT_ABS_PARAMS, **(params or {})}["lossType"] == "absolute" and CELL_PARAMS >= set(params or {}):
+        est = _estimator(kind, label, params)
+        settings = boosting.Settings(
+            rounds=est.getMaxIter(), depth=est.getMaxDepth(), rate=est.getStepSize(), alpha=0.0, lam=0.0, column_share=1.0,
+            min_child=est.getMinInstancesPerNode(), base=0.0, bins=est.getMaxBins(), loss="absolute")
+        return boosting.fit_absolute(train, features, label, settings)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     return Pipeline(stages=[assembler, _estimator(kind, label, params)]).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str], log_y: bool = False) -> DataFrame:
     """Score rows; predictions are clipped at 0 (and expm1'd once when trained on log1p)."""
-    out = model.transform(df).select(*keep, "prediction")
+    out = model.predict(df, keep) if isinstance(model, boosting.Booster) else model.transform(df).select(*keep, "prediction")
     return clip_predictions(out, "prediction", log_y)
 
 
-def save(model: PipelineModel, path: str) -> str:
+def save(model: PipelineModel | boosting.Booster, path: str) -> str:
     """Write a fitted pipeline (features and estimator) to ``path``, replacing what is there."""
-    model.write().overwrite().save(path)
+    if isinstance(model, boosting.Booster):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load(path: str) -> PipelineModel:
+def load(path: str) -> PipelineModel | boosting.Booster:
     """The pipeline that ``save`` wrote; it scores like the one that was saved."""
-    return PipelineModel.load(path)
+    return boosting.Booster.load(path) or PipelineModel.load(path)
 
 
 def stage_losses(model: PipelineModel, df: DataFrame, loss: str = "absolute") -> list[float]:
     """Validation loss after each boosting round (GBT models only)."""
+    if isinstance(model, boosting.Booster):
+        return model.losses(df, model.label)
     assembled = model.stages[0].transform(df)
     return list(model.stages[-1].evaluateEachIteration(assembled, loss))
 

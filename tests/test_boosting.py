@@ -131,3 +131,58 @@ def test_empty_tables_null_labels_and_limits(spark):
     with pytest.raises(ValueError, match="models"):
         bo.fit(df, ["a"], "y", models=63)
     assert bo.fit_groups(df.limit(0).withColumn("train_val_split", F.lit(0)), "g", ["a"], "y", ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("cut", [dict(column_share=1.0, alpha=1.0), dict(column_share=0.5, alpha=0.0)])
+def test_rounds_by_cells_equal_rounds_by_levels(spark, cut, monkeypatch):
+    df, rows = _frame(spark)
+    mask = F.when(F.col("g") == 0, 1).when(F.col("g") == 1, 6).otherwise(5)
+    s = bo.Settings(rounds=12, depth=4, rate=0.3, bins=16, min_child=3, **cut)
+    asked, plain = [], bo._cube
+    monkeypatch.setattr(bo, "_cube", lambda *a: asked.append(1) or plain(*a, chunk=5))
+    # one job per round; merged by chunk first, since the table counts as having very many parts
+    one = bo.fit(df, ["a", "b"], "y", s, mask, 3)
+    assert len(asked) == s.rounds
+    many = bo.fit(df, ["a", "b"], "y", s, mask, 3, small=60, cube=False)
+    assert len(asked) == s.rounds
+    who = F.col("id") % 3
+    got, want = ({r["id"]: r["prediction"] for r in m.predict(df, ["id"], who).collect()} for m in (one, many))
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("small", [1 << 17, 20])
+def test_absolute_error_equals_spark_ml(spark, small, tmp_path):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    _, rows = _frame(spark, 900)
+    df = spark.createDataFrame([(r[0], float(r[1] or 3), r[2], r[3]) for r in rows],
+                               "id int, a double, b double, y double").repartition(3)
+    params = dict(maxDepth=5, maxIter=13, minInstancesPerNode=6, stepSize=0.1, seed=6)
+    at = VectorAssembler(inputCols=["a", "b"], outputCol="features", handleInvalid="keep").transform(df)
+    spark_model = GBTRegressor(featuresCol="features", labelCol="y", lossType="absolute", **params).fit(at)
+    want = {r["id"]: r["prediction"] for r in spark_model.transform(at).collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bo.fit_absolute, "__defaults__", (small,))
+        model = ml.fit(df, ["a", "b"], "y", "gbt", params)
+    got = {r["id"]: r["prediction"] for r in model.predict(df, ["id"]).collect()}
+    assert got == pytest.approx(want)
+    assert ml.stage_losses(model, df) == pytest.approx(spark_model.evaluateEachIteration(at, "absolute"))
+    again = ml.load(ml.save(model, str(tmp_path / "m")))
+    assert {r["id"]: r["prediction"] for r in again.transform(df).collect()} == got
+    assert model.rounds()[0][1][0].value.any() and len(model.trees) == 13
+    for c in ("y", "a"):  # as Spark ML
+        with pytest.raises(ValueError, match="without a label or a feature"):
+            ml.fit(df.withColumn(c, F.when(F.col("id") > 3, F.col(c))), ["a", "b"], "y", "gbt", params)
+    odd = spark.createDataFrame([(1, None, 0.5), (2, float("nan"), -0.5)], "id int, a double, b double")
+    at = VectorAssembler(inputCols=["a", "b"], outputCol="features", handleInvalid="keep").transform(odd)
+    assert [r["prediction"] for r in model.predict(odd, ["id"]).collect()] == pytest.approx(
+        [r["prediction"] for r in spark_model.transform(at).collect()])
+
+
+def test_equal_rows_are_one_cell_and_spread(spark):
+    df = spark.range(30_000).select((F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y")).repartition(4)
+    cells, _ = bo._cells(df, ["x"], "y", [np.array([0.5])])
+    got = cells.selectExpr("hex(bins) AS b", "length(ys) / 8 AS n").collect()
+    assert sum(r["n"] for r in got) == 30_000 and {r["b"] for r in got} == {"01", "02"}
+    assert len(got) < 20 and max(r["n"] for r in got) <= 10_000
