@@ -186,3 +186,16 @@ def test_equal_rows_are_one_cell_and_spread(spark):
     got = cells.selectExpr("hex(bins) AS b", "length(ys) / 8 AS n").collect()
     assert sum(r["n"] for r in got) == 30_000 and {r["b"] for r in got} == {"01", "02"}
     assert len(got) < 20 and max(r["n"] for r in got) <= 10_000
+
+
+def test_linear_learning_curve_takes_two_passes_and_equals_separate_fits(spark, monkeypatch):
+    df, _ = _frame(spark)
+    # two columns that add up to one: collinear with the intercept, as one-hot columns are
+    df = df.select("id", "b", F.lit(0.3).alias("k"), (F.col("g") == 0).cast("int").alias("c"), (F.col("g") != 0).cast("int").alias("d"), F.expm1(F.abs("y")).alias("y"))
+    sizes, seen, plain = (0.4, 1.0), [], ml.fit
+    want = {r["train_size"]: r for r in ml.learning_curve(df, ["b", "k", "c", "d"], "y", ["id"], sizes, 3, "lr", dict(maxIter=100), log_y=True).collect()}
+    monkeypatch.setattr(ml, "fit", lambda train, *a: seen.append(train.count()) or plain(train, *a))
+    got = {r["train_size"]: r for r in ml.learning_curve(df, ["b", "k", "c", "d"], "y", ["id"], sizes, 3, "lr", log_y=True).collect()}
+    assert set(got) == set(want) and seen == [4] * 6  # rows per fit: the independent columns (b, c) and two, not the training rows
+    for z in sizes:
+        assert tuple(got[z]) == pytest.approx(tuple(want[z]), abs=1e-6)
