@@ -3,8 +3,10 @@
 Features are quantised once (missing values are bin 0) into a stored table of
 (bins, label, model mask, margins).  Bit m of the mask says whether a row
 trains model m, so one pass over the table serves every model: one per meter,
-or one per (training size, fold) of a learning curve.  A level of all trees is
-one job: tasks add gradients and counts per (model, node, feature, bin) in
+or one per (training size, fold) of a learning curve.  When the columns drawn
+for a round have few cells, the round is one job: tasks add gradients and
+counts per (model, cell), the sums are merged, and each tree is grown from its
+cells in a task.  Otherwise a level of all trees is one job: tasks add gradients and counts per (model, node, feature, bin) in
 arrays, send one packed histogram per (model, node), and the histograms are
 merged and the best cut is chosen per (model, node) in tasks.  Nodes that hold
 at most ``SMALL`` rows wait until no larger one is open; then the rows of each
@@ -15,7 +17,7 @@ a lost executor repeats a task and never an earlier round.
 Objective: squared error with L1 (``alpha``) and L2 (``lam``) on the leaves.  A
 node with gradient sum G over H rows is worth T(G)^2 / (H + lam) with
 T(G) = sign(G) * max(|G| - alpha, 0), and a leaf predicts -T(G) / (H + lam).
-Missing values go to the side that gains more.  ``column_share`` of the features
+Missing values go to the side that gains more (absolute error: see ``fit_absolute``).  ``column_share`` of the features
 is drawn per tree.
 
 Sizes: a task holds open nodes x drawn features x bins pairs of numbers per

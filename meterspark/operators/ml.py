@@ -1,7 +1,7 @@
 """Model fitting and evaluation with Spark ML (M-*).
 
-Fits are MLlib estimators on DataFrames (distributed tree building, no
-collect of training rows).  Scores are aggregates.  A per-category model
+Fits are MLlib estimators on DataFrames, or ``boosting`` (distributed tree
+building, no collect of training rows beyond a stated few).  Scores are aggregates.  A per-category model
 loop runs one distributed fit per category value, several side by side; the
 number of categories is checked against a stated bound.
 """
@@ -81,7 +81,7 @@ def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "gbt"
         params: dict | None = None) -> PipelineModel | boosting.Booster:
     """Assemble features and fit one estimator as a Pipeline (same transform for train, val, test).
 
-    Boosting on the absolute error is fitted by ``boosting.fit_absolute``: the same trees, grown on cells of equal bins.
+    Boosting on the absolute error is fitted by ``boosting.fit_absolute``: Spark ML's trees, grown on cells of equal bins.
     """
     if kind == "gbt" and {**GBT_ABS_PARAMS, **(params or {})}["lossType"] == "absolute" and CELL_PARAMS >= set(params or {}):
         est = _estimator(kind, label, params)
