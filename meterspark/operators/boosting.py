@@ -644,18 +644,24 @@ def _runs(bins: pa.Array, width: int) -> np.ndarray:
     return np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(axis=1))) if len(x) else np.zeros(0, int)
 
 
-def _cells(df: DataFrame, features, label, edges) -> tuple[DataFrame, str]:
-    """Rows that agree in all bins as one cell with their sorted labels.
-
-    Rows are dealt by (bins, label), so many equal ones spread over tasks; a cell holds at most the rows of one batch, and
-    a bins value may have several cells.
-    """
+def binned_in_order(df: DataFrame, features, label, edges) -> tuple[DataFrame, str]:
+    """(bins, y) of the rows, sorted and dealt by ranges of both (missing values are high), and the folder it is read from."""
     rows = df.select(F.col(label).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([_packed(_bins(b.columns[1:], edges, b.num_rows, True)), b.column(0)], ["bins", "y"])
 
+    table, path = stored_at(rows.mapInArrow(binned, "bins binary, y double"))
+    return table.repartitionByRange("bins", "y").sortWithinPartitions("bins", "y"), path
+
+
+def _cells(df: DataFrame, features, label, edges) -> tuple[DataFrame, str]:
+    """Rows that agree in all bins as one cell with their sorted labels.
+
+    Rows are dealt by (bins, label), so many equal ones spread over tasks; a cell holds at most the rows of one batch, and
+    a bins value may have several cells.
+    """
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             first = _runs(b.column(0), len(edges))
@@ -664,9 +670,8 @@ def _cells(df: DataFrame, features, label, edges) -> tuple[DataFrame, str]:
             ys = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(y)])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first)), ys, pa.array(np.zeros(len(first)))], ["bins", "ys", "margin"])
 
-    table, path = stored_at(rows.mapInArrow(binned, "bins binary, y double"))
-    cells = table.repartitionByRange("bins", "y").sortWithinPartitions("bins", "y").mapInArrow(joined, _CELLS)
-    out = stored_at(cells)
+    rows, path = binned_in_order(df, features, label, edges)
+    out = stored_at(rows.mapInArrow(joined, _CELLS))
     drop_stored(df.sparkSession, path)
     return out
 
@@ -699,6 +704,17 @@ def _stored_units(batches: Iterator[pa.RecordBatch], chosen, width: int):
         yield 0, _matrix(b.column(0), np.uint8, width), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
 
 
+def whole_rows(df: DataFrame, features: Sequence[str], label: str) -> int:
+    """The number of training rows; none, or one without a label or a feature, is an error."""
+    whole = F.lit(True)
+    for c in (F.col(c).cast("double") for c in (label, *features)):
+        whole = whole & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    n, good = df.agg(F.count(F.lit(1)), F.count_if(whole)).first()
+    if not n or good < n:
+        raise ValueError(f"{n} training rows, {n - good} of them without a label or a feature")
+    return n
+
+
 def fit_absolute(df: DataFrame, features: Sequence[str], label: str, settings: Settings, small: int = SMALL_CELLS) -> Booster:
     """Boosting on the absolute error as Spark ML's ``GBTRegressor`` does it.
 
@@ -709,13 +725,7 @@ def fit_absolute(df: DataFrame, features: Sequence[str], label: str, settings: S
     """
     s, features = settings, list(features)
     spark = df.sparkSession
-    names = [F.col(c).cast("double") for c in (label, *features)]
-    whole = F.lit(True)
-    for c in names:
-        whole = whole & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    n, good = df.agg(F.count(F.lit(1)), F.count_if(whole)).first()
-    if not n or good < n:
-        raise ValueError(f"{n} training rows, {n - good} of them without a label or a feature")
+    n = whole_rows(df, features, label)
     booster = Booster(features, split_points(df, features, s.bins, n), s, label=label)
     sizes = booster.sizes()
     table, path = _cells(df, features, label, booster.edges)
