@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs
+from . import groupstats as gs
 from . import ordered
 from .profile import value_share
 
@@ -121,9 +122,13 @@ def one_hot(df: DataFrame, categories: Mapping[str, Sequence], drop_source: bool
 
 def use_category(df: DataFrame, train: DataFrame, col: str = "primary_use", out: str = "use_categ",
                  light: Sequence[str] = WEEKEND_LIGHT_USES) -> DataFrame:
-    """0 for the light-weekend uses (seen or not), 1 for any other use seen in ``train``, NULL otherwise."""
+    """0 for the light-weekend uses (seen or not), 1 for any other use seen in ``train``, NULL otherwise.
+
+    The uses are found while planning; up to ``gs.SMALL_ROWS`` are broadcast, so rows with the same use do not meet in one task.
+    """
     seen = train.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_seen", F.lit(True))
-    j = df.join(seen, col, "left")
+    small = gs.materialize_small(seen)
+    j = df.join(seen if small is None else F.broadcast(small), col, "left")
     code = F.when(F.col(col).isin(list(light)), F.lit(0)).when(F.col("_seen"), F.lit(1))
     return j.withColumn(out, code).drop("_seen")
 

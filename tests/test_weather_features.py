@@ -31,3 +31,12 @@ def test_weather_of_unknown_sites_is_reported(spark):
     offsets = spark.createDataFrame([(0, 1), (2, None)], "site_id int, offset_h int")
     got = {(r["site_id"], r["n_rows"]) for r in forecast.weather_without_offset(w, offsets).collect()}
     assert got == {(1, 2), (2, 1), (None, 1)}
+
+
+def test_rows_of_one_use_are_not_sent_to_one_task(spark):
+    df = spark.createDataFrame([(i, ["light", "other", "new", None][i % 4], i % 2) for i in range(40)], "k int, primary_use string, part int")
+    out = enc.use_category(df, df.where("part = 1"), light=["light"])
+    assert {(r["primary_use"], r["use_categ"]) for r in out.collect()} == {("light", 0), ("other", 1), ("new", None), (None, None)}
+    assert len(out.collect()) == 40
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
