@@ -183,7 +183,7 @@ def test_pipeline_takes_extra_columns_and_empty_tables(spark):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in q_llm.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q_llm.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "benchmark_decontamination",
                                                       "secret_scans", "best_fit_packing"]
 
