@@ -20,13 +20,16 @@ they are strong.
 
 Signatures travel as packed blocks per bucket of signatures and meet by
 sorting (buckets grow in number with the input; equal sets sign once per task,
-and a signature that very many different sets share makes its bucket larger).  A run of up to
+and a signature that very many different sets share makes its bucket larger).  Of a
+signature 40 bits travel: two that agree in them and in the bucket make one run, which
+adds candidates and never drops one.  A run of up to
 ``CAP`` documents gives all its pairs; a longer run gives a star around its
 most central member instead.  Candidates are pruned by a histogram bound of the
 symmetric difference (exact: it never drops a link), and the survivors are
 verified on the whole sets.  When a star leaves members in different
 components, all members of that pivot's stars sign once more with longer
-projections, carrying their component and histogram; in each bucket the pairs
+projections, carrying their component; the sets in runs of more than one component
+get their histograms, and in each bucket the pairs
 of different components that the bound lets through grow trees, and only the
 trees' edges are sent on (fewer than the bucket has sets).  The ends of every
 link between different components are then in one tree of all buckets' edges; the
@@ -179,20 +182,50 @@ def set_profiles(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, hist binary")
 
 
-_BLOCK = "bucket long, docs binary, counts binary, keys binary"
+_BLOCK = "bucket long, docs binary, counts binary, keys binary, labels binary"
+_FULL = "bucket long, docs binary, counts binary, keys binary, labels binary, sizes binary, hists binary"
+#: Bits of a signature that do not travel, and bytes of those that do.
+CUT, KEY_BYTES = 24, 5
+
+
+def _pack(packer, a: np.ndarray) -> bytes:
+    """Integers by byte planes, compressed: small ones take little more than their low bytes."""
+    return packer.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
+
+def _unpack(z, packed: list[bytes], kind: str) -> list[np.ndarray]:
+    size = np.dtype(kind).itemsize
+    return [np.ascontiguousarray(np.frombuffer(z.decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel() for x in packed]
+
+
+def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(key, set, label) of all entries of one bucket; a key is unlike those of other buckets."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    counts = np.concatenate(_unpack(z, t.column("counts").to_pylist(), "<u4"))
+    docs = np.concatenate([np.cumsum(x) for x in _unpack(z, t.column("docs").to_pylist(), "<i8")])
+    raw = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+    key = np.zeros((len(raw), 8), np.uint8)
+    key[:, CUT // 8:] = raw
+    key = key.view("<u8").ravel() + _U(t.column("bucket")[0].as_py())
+    label = None
+    if t.column("labels")[0].as_py() is not None:
+        label = np.repeat(docs - np.concatenate(_unpack(z, t.column("labels").to_pylist(), "<i8")), counts)
+    return key, np.repeat(docs, counts), label
 
 
 def _blocks(docs: DataFrame, buckets: int, bands: Bands, width: int, k2: int, n2: int, fine: bool = False) -> DataFrame:
     """Packed signature blocks: (bucket, ids of sets, entries of each, keys).
 
-    ``fine``: ``docs`` also has label, n and hist, which every block repeats for its sets.
+    ``fine``: ``docs`` also has label, n and hist; only entries whose key sets of different labels share, with these.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         seen: set[tuple[int, int]] = set()  # classes this task has signed for
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        more: dict[int, tuple[int, int, bytes]] = {}
+        more: dict[int, int] = {}
         packer = zstandard.ZstdCompressor(level=1)
         waiting = 0
 
@@ -209,15 +242,14 @@ def _blocks(docs: DataFrame, buckets: int, bands: Bands, width: int, k2: int, n2
             for a, b in zip(edge, ends):
                 at = np.flatnonzero(new[a:b])
                 own = doc[a:b][at]
-                row = (int(bucket[a]), own.tobytes(), np.diff(np.append(at, b - a)).astype("<u4").tobytes(), key[a:b].tobytes())
-                if fine:
-                    label, n, hist = zip(*(more[d] for d in own.tolist()))
-                    row += (np.array(label, "<i8").tobytes(), np.array(n, "<i8").tobytes(), packer.compress(b"".join(hist)))
-                rows.append(row)
+                label = _pack(packer, own - np.array([more[d] for d in own.tolist()], "<i8")) if fine else None
+                rows.append((int(bucket[a]), _pack(packer, np.diff(own, prepend=0)),
+                             _pack(packer, np.diff(np.append(at, b - a)).astype("<u4")),
+                             key[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, CUT // 8:].tobytes(), label))
             more.clear()
             c = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])],
-                                              ["bucket", "docs", "counts", "keys", "labels", "sizes", "hists"][:len(c)])
+                                              ["bucket", "docs", "counts", "keys", "labels"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -241,14 +273,55 @@ def _blocks(docs: DataFrame, buckets: int, bands: Bands, width: int, k2: int, n2
                     waiting += len(key)
                     if fine:
                         for i in keep:
-                            more[int(ids[a + i])] = tuple(batch.column(c)[a + i].as_py() for c in (2, 3, 4))
+                            more[int(ids[a + i])] = batch.column(2)[a + i].as_py()
                 if waiting >= BLOCK_ENTRIES:
                     yield flush()
                     waiting = 0
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, _BLOCK + ", labels binary, sizes binary, hists binary" * fine)
+    light = docs.select("doc_id", "text", *["label"] * fine).mapInArrow(run, _BLOCK)
+    return _mixed(light, docs.select("doc_id", "label", "n", "hist")) if fine else light
+
+
+def _mixed(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """The entries of runs with more than one label, packed anew with the labels, sizes and histograms of their sets."""
+    def run(t: pa.Table) -> pa.Table:
+        key, doc, label = _entries(t)
+        order = np.lexsort((label, key))
+        key, doc, label = key[order], doc[order], label[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        edge = np.append(np.flatnonzero(first), len(key))
+        keep = (label[edge[:-1]] != label[edge[1:] - 1])[np.cumsum(first) - 1]
+        key, doc = key[keep], doc[keep]
+        order = np.lexsort((key, doc))
+        key, doc = key[order], doc[order]
+        edge = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1))
+        return pa.table({"bucket": pa.array(np.full(len(edge), t.column("bucket")[0].as_py())), "doc_id": pa.array(doc[edge]),
+                         "keys": pa.array([key[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(key)))], pa.binary())})
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
+        for t in batches:
+            if not t.num_rows:
+                continue
+            bucket, doc, label, n = (t.column(c).to_numpy() for c in ("bucket", "doc_id", "label", "n"))
+            keys, hist = t.column("keys").to_pylist(), t.column("hist").to_pylist()
+            order = np.lexsort((doc, bucket))
+            rows = []
+            for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                rows.append((int(bucket[at[0]]), doc[at].tobytes(), np.array([len(keys[i]) // 8 for i in at], "<u4").tobytes(),
+                             b"".join(keys[i] for i in at), label[at].tobytes(), n[at].tobytes(),
+                             packer.compress(b"".join(hist[i] for i in at))))
+            c = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])],
+                                             ["bucket", "docs", "counts", "keys", "labels", "sizes", "hists"])
+
+    shared = blocks.groupBy("bucket").applyInArrow(run, "bucket long, doc_id long, keys binary")
+    return shared.join(known.hint("shuffle_merge"), "doc_id").select(
+        "bucket", "doc_id", "keys", "label", "n", "hist").mapInArrow(packed, _FULL)
 
 
 def _runs(key: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,7 +439,7 @@ def _joined(t: pa.Table, name: str, kind: str) -> np.ndarray:
 def _candidates(blocks: DataFrame, cap: int) -> DataFrame:
     """Distinct pairs (a, b, star) whose sets share a signature."""
     def run(t: pa.Table) -> pa.Table:
-        a, b, star = run_pairs(_joined(t, "keys", "<u8"), np.repeat(_joined(t, "docs", "<i8"), _joined(t, "counts", "<u4")), cap)
+        a, b, star = run_pairs(*_entries(t)[:2], cap)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "star": pa.array(star, pa.bool_())})
 
     found = blocks.groupBy("bucket").applyInArrow(run, "a long, b long, star boolean")
@@ -651,7 +724,7 @@ def _linked(docs: DataFrame, threshold: int, width: int, cap: int, same: DataFra
         "doc_id", "n", F.coalesce("class", "doc_id").alias("class")), "classes")
     stats = profiles.agg(F.max("n")).first()
     bands = Bands(threshold, max(1, int(stats[0] or 1)))
-    buckets = bucket_count(text_bytes(docs), SIGNATURE_BUCKET_BYTES)
+    buckets = min(bucket_count(text_bytes(docs), SIGNATURE_BUCKET_BYTES), 1 << CUT)
 
     def connected(links: DataFrame) -> DataFrame:
         first, second = (member.select(F.col("doc_id").alias(x), F.col("class").alias(c)) for x, c in (("a", "u"), ("b", "v")))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meterspark.llm import decontaminate, ngram_join, shingles, suffix_dedup
+from meterspark.llm import common, decontaminate, ngram_join, shingles, suffix_dedup
 from meterspark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -191,6 +192,42 @@ def test_long_runs_are_split_over_tasks(spark):
     assert trees[0] == trees[1] and all(trees[0][i] == trees[0][100 + i] for i in range(40))
 
 
+def test_signature_blocks_are_small_and_hold_histograms_of_mixed_runs_only(spark):
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(200))) for i in range(1000, 1040)]
+                               + [(i, "one two three four five six seven " * 3 + f"t{i % 2}") for i in range(8)], "doc_id long, text string")
+    bands = ngram_join.Bands(80, 300)
+    blocks = ngram_join._blocks(df, 3000, bands, 5, *ngram_join.FIRST).toArrow()
+    by_bucket = [blocks.filter(pa.array([b == i for b in blocks.column("bucket").to_pylist()])) for i in set(blocks.column("bucket").to_pylist())]
+    entries = [ngram_join._entries(t) for t in by_bucket]
+    keys = sum(len(e[0]) for e in entries)
+    assert {int(d) for e in entries for d in e[1]} > set(range(1000, 1040)) and sum(len(set(e[0].tolist())) for e in entries) > keys / 2
+    assert sum(len(k) for k in blocks.column("keys").to_pylist()) == ngram_join.KEY_BYTES * keys  # eight bytes before
+    profiles = ngram_join.set_profiles(df, 5).join(df, "doc_id")
+    for label, some in ((F.lit(1).cast("long"), 0), (F.col("doc_id"), 2)):
+        scope = profiles.select("doc_id", "text", label.alias("label"), "n", "hist")
+        fine = ngram_join._blocks(scope, 40, bands, 5, *ngram_join.FINE, fine=True).toArrow()
+        held = {int(d) for x in fine.column("docs").to_pylist() for d in np.frombuffer(x, "<i8")}
+        assert held <= set(range(8)) and len(held) >= some  # sets that share no key with another component leave no block
+
+
+def test_shuffle_files_of_a_stored_table_go_with_its_query(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {str(f) for f in re.findall(r"shuffle_\d+_\d+_\d+[.]data", disk.getAllFiles().mkString(" "))}
+
+    before, df = files(), spark.range(5000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count()
+    out = common.stored(df, "test")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    else:
+        raise AssertionError(files() - before)
+    assert out.agg(F.sum("count")).first()[0] == 5000
+
+
 def test_components_chain_and_hub(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(300, 301), (301, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
