@@ -1,17 +1,19 @@
 """Second-order gradient boosting over a binned table, many models in one run (M9-M11).
 
-Features are quantised once (missing values are bin 0) into a stored table of
-(bins, label, model mask, margins).  Bit m of the mask says whether a row
-trains model m, so one pass over the table serves every model: one per meter,
+Features are quantised once (missing values are bin 0).  Rows with equal bins have
+one margin in every model, so they are summed up to one cell, and the stored table
+has for every cell and model the number of rows and the sum of their gradients: a
+pass takes as long as there are different cells (at most the rows).  Bit m of a mask
+says whether a row trains model m, so one pass over the table serves every model: one per meter,
 or one per (training size, fold) of a learning curve.  When the columns drawn
 for a round have few cells, the round is one job: tasks add gradients and
 counts per (model, cell), the sums are merged, and each tree is grown from its
 cells in a task.  Otherwise a level of all trees is one job: tasks add gradients and counts per (model, node, feature, bin) in
 arrays, send one packed histogram per (model, node), and the histograms are
 merged and the best cut is chosen per (model, node) in tasks.  Nodes that hold
-at most ``SMALL`` rows wait until no larger one is open; then the rows of each
+at most ``SMALL`` cells wait until no larger one is open; then the cells of each
 meet in one task, which finishes the subtree, all of them in one job.  The
-driver gets one row per node.  Every ``REFRESH`` rounds the margins are stored anew, so
+driver gets one row per node.  Every ``REFRESH`` rounds the gradients are stored anew, so
 a lost executor repeats a task and never an earlier round.
 
 Objective: squared error with L1 (``alpha``) and L2 (``lam``) on the leaves.  A
@@ -21,7 +23,7 @@ Missing values go to the side that gains more (absolute error: see ``fit_absolut
 is drawn per tree.
 
 Sizes: a task holds open nodes x drawn features x bins pairs of numbers per
-model, a row 8 bytes per model; models are limited to ``MAX_MODELS``.  Rows without a label train
+model, a cell 16 bytes per model; models are limited to ``MAX_MODELS``.  Rows without a label train
 nothing.  A model without training rows predicts ``base``.
 """
 
@@ -43,15 +45,17 @@ from ..session import drop_stored, stored_at, stored_table
 
 MAX_MODELS = 62
 REFRESH = 10
-#: Rows up to which a node's subtree is finished in one task.
+#: Cells up to which a node's subtree is finished in one task.
 SMALL = 1 << 16
 #: A split has to gain more than this.
 MIN_GAIN = 1e-6
 #: Cells of the drawn columns up to which a round is one pass (over all models of one job).
 CUBE = 1 << 22
 #: Leaf values kept as lookup tables in one task.
-LOOKUP = 1 << 23
-_TABLE = "bins binary, y double, mask long, margins binary"
+LOOKUP = 1 << 24
+#: Rows per task of a table of sorted rows, and numbers of one kind that a task holds of the cells it reads.
+TASK_ROWS, TASK_SUMS = 1 << 22, 1 << 21
+_TABLE = "bins binary, ns binary, gs binary"
 
 
 @dataclass(frozen=True)
@@ -125,27 +129,46 @@ class Tree:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.value[self.place(x)]
 
+    def cells(self, cols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The prediction of every cell of the columns that the tree reads: every leaf fills its box."""
+        out, where = np.empty(sizes[cols]), {int(c): j for j, c in enumerate(cols)}
+        todo = [(0, [np.arange(n) for n in out.shape])]
+        while todo:
+            node, box = todo.pop()
+            if self.feature[node] < 0:
+                out[np.ix_(*box)] = self.value[node]
+                continue
+            j = where[int(self.feature[node])]
+            left = np.where(box[j] == 0, self.missing_left[node], box[j] <= self.cut[node])
+            for child, side in ((2 * node + 1, left), (2 * node + 2, ~left)):
+                if side.any():
+                    todo.append((child, [*box[:j], box[j][side], *box[j + 1:]]))
+        return out.ravel()
+
 
 class Steps:
     """Adds the trees of some rounds to margins.
 
-    The trees of a round read the drawn columns only, so their leaf values form a table over the cells of these columns.
-    The table is made when the rows scored so far outnumber its entries; together the tables hold at most ``LOOKUP`` values.
+    The trees of a round read the drawn columns only, so their leaf values form a table (cell, model) over the cells of
+    these columns.  It is made when the rows scored so far make up for it; the tables together hold at most ``LOOKUP`` values.
     """
 
     def __init__(self, rounds: Sequence[tuple[np.ndarray, list[Tree]]], sizes: np.ndarray):
         self.rounds, self.sizes = rounds, sizes
-        self.room = LOOKUP // max(1, len(rounds))
-        self.seen, self.tables = 0, {}
+        self.room, self.seen, self.tables = LOOKUP, 0, {}
 
     def _table(self, i: int) -> np.ndarray | None:
         cols, trees = self.rounds[i]
-        sizes = self.sizes[cols]
-        n = float(np.prod(sizes.astype(float)))
-        if i not in self.tables and n * len(trees) <= min(self.room, self.seen):
-            x = np.zeros((int(n), len(self.sizes)), np.uint8)
-            x[:, cols] = np.column_stack(np.unravel_index(np.arange(int(n)), sizes))
-            self.tables[i] = np.stack([t.predict(x) for t in trees])
+        n = float(np.prod(self.sizes[cols].astype(float)))
+        if i not in self.tables and n * len(trees) <= self.room and min(n, 1 << 15) * len(trees) <= self.seen:
+            if n > 1 << 15:
+                found = [t.cells(cols, self.sizes) for t in trees]
+            else:
+                x = np.zeros((int(n), len(self.sizes)), np.uint8)
+                x[:, cols] = np.column_stack(np.unravel_index(np.arange(int(n)), self.sizes[cols]))
+                found = [t.predict(x) for t in trees]
+            self.tables[i] = np.column_stack(found)
+            self.room -= self.tables[i].size
         return self.tables.get(i)
 
     def add(self, x: np.ndarray, at: dict[int, np.ndarray], out: dict[int, np.ndarray]) -> None:
@@ -156,7 +179,20 @@ class Steps:
             code = None if table is None else _codes(x, cols, self.sizes)
             for m, rows in at.items():
                 if len(rows):
-                    out[m] = out[m] + (trees[m].predict(x[rows]) if table is None else table[m][code[rows]])
+                    out[m] = out[m] + (trees[m].predict(x[rows]) if table is None else table[code[rows], m])
+
+    def sums(self, x: np.ndarray, models: int) -> np.ndarray:
+        """What every model says on every row of bins: (row, model)."""
+        self.seen += len(x) * models
+        out = np.zeros((len(x), models))
+        for i, (cols, trees) in enumerate(self.rounds):
+            table = self._table(i)
+            if table is None:
+                for m, t in enumerate(trees):
+                    out[:, m] += t.predict(x)
+            else:
+                out += table.take(_codes(x, cols, self.sizes), axis=0)
+        return out
 
 
 def _codes(x: np.ndarray, cols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -303,51 +339,81 @@ def _matrix(a: pa.Array, kind, width: int) -> np.ndarray:
     return raw.view(kind).reshape(len(a), width)
 
 
-def _binned(df: DataFrame, features, label, mask: Column, edges, models: int, base: float) -> tuple[DataFrame, str]:
-    rows = df.select(F.col(label).cast("double").alias("y"), mask.cast("long").alias("mask"),
-                     *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]).where("y IS NOT NULL AND mask <> 0")
+def _binned(df: DataFrame, features, label, edges, **masks: Column) -> DataFrame:
+    """(bins, y, masks) of the rows with a label."""
+    rows = df.select(F.col(label).cast("double").alias("y"), *[m.cast("long").alias(k) for k, m in masks.items()],
+                     *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]).where("y IS NOT NULL")
+    names = ["bins", "y", *masks]
+    k = len(names) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _bins(b.columns[2:], edges, b.num_rows)
-            yield pa.RecordBatch.from_arrays([_packed(x), b.column(0), b.column(1), _packed(np.full((b.num_rows, models), base))],
-                                             ["bins", "y", "mask", "margins"])
+            yield pa.RecordBatch.from_arrays([_packed(_bins(b.columns[k:], edges, b.num_rows)), *b.columns[:k]], names)
+
+    return rows.mapInArrow(run, ", ".join(["bins binary, y double", *(f"{m} long" for m in names[2:])]))
+
 
-    return stored_at(rows.mapInArrow(run, _TABLE))
+def _in_order(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows, those of equal bins side by side in one task."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    return rows.repartition(parts, "bins").sortWithinPartitions("bins")
+
+
+def _summed(rows: DataFrame, width: int, models: int, base: float) -> tuple[DataFrame, str]:
+    """Rows (bins, mask, number n and label sum s) as cells: per model the number and the gradient sum of its rows; the folder.
+
+    Rows side by side are one cell; a bins value may have several.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches, max(1, TASK_SUMS // models)):
+            first = _runs(b.column(0), width)
+            mask, n, s = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            ns, gs = np.empty((len(first), models)), np.empty((len(first), models))
+            for m in range(models):
+                on = mask >> m & 1
+                ns[:, m] = np.add.reduceat(on * n, first)
+                gs[:, m] = base * ns[:, m] - np.add.reduceat(on * s, first)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first)), _packed(ns), _packed(gs)], ["bins", "ns", "gs"])
+
+    return stored_at(rows.select("bins", "mask", "n", "s").mapInArrow(run, _TABLE))
 
 
 def _rows(b: pa.RecordBatch, features: int, models: int):
-    return (_matrix(b.column(0), np.uint8, features), b.column(1).to_numpy(zero_copy_only=False),
-            b.column(2).to_numpy(zero_copy_only=False), _matrix(b.column(3), np.float64, models))
+    return _matrix(b.column(0), np.uint8, features), _matrix(b.column(1), np.float64, models), _matrix(b.column(2), np.float64, models)
 
 
 def _refreshed(table: DataFrame, recent, sizes: np.ndarray, models: int) -> tuple[DataFrame, str]:
-    """The table with the recent trees added to the margins, and its folder."""
+    """The table with the recent trees added to the gradients, and its folder."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = Steps(recent, sizes)
         for b in batches:
-            x, _, mask, margins = _rows(b, len(sizes), models)
-            margins, at = margins.copy(), _bits(mask, models)
-            out = {m: margins[rows, m] for m, rows in at.items()}
-            steps.add(x, at, out)
-            for m, rows in at.items():
-                margins[rows, m] = out[m]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _packed(margins)], b.schema.names)
+            x, n, g = _rows(b, len(sizes), models)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _packed(g + n * steps.sums(x, models))], b.schema.names)
 
     return stored_at(table.mapInArrow(run, _TABLE))
 
 
 def _units(batches: Iterator[pa.RecordBatch], chosen: Sequence[int], recent, sizes: np.ndarray, models: int):
-    """(model, bins, gradient, None) of the rows that train the chosen models."""
+    """(model, bins, gradient, rows) of the cells that train the chosen models."""
     steps = Steps(recent, sizes)
-    for b in _blocks(batches):
-        x, y, mask, margins = _rows(b, len(sizes), models)
-        at = {m: np.flatnonzero(mask >> m & 1) for m in chosen}
-        out = {m: margins[rows, m] for m, rows in at.items()}
-        steps.add(x, at, out)
-        for m, rows in at.items():
+    for b in _blocks(batches, max(1, min(1 << 17, TASK_SUMS // models))):
+        x, n, g = _rows(b, len(sizes), models)
+        if recent:
+            g = g + n * steps.sums(x, models)
+        for m in chosen:
+            rows = np.flatnonzero(n[:, m])
             if len(rows):
-                yield m, x[rows], out[m] - y[rows], None
+                yield m, x[rows] if len(rows) < len(x) else x, g[rows, m], n[rows, m]
+
+
+def _cell_counts(table: DataFrame, models: int) -> dict[int, int]:
+    """Cells that train each model, without models that have none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum((np.count_nonzero(_matrix(b.column(0), np.float64, models), axis=0) for b in batches), np.zeros(models, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(models)), pa.array(n)], ["m", "n"])
+
+    found = table.select("ns").mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    return {r["m"]: r["n"] for r in sorted(found)}
 
 
 def _standing(units, growing: list[Tree], open_: list[list[int]]):
@@ -492,13 +558,14 @@ def _cube(table: DataFrame, units, chosen: Sequence[int], cols: np.ndarray, size
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {m: np.zeros((2, padded)) for m in chosen}
-        for m, x, g, _ in units(batches, chosen):
+        for m, x, g, n in units(batches, chosen):
             code = _codes(x, cols, sizes)
-            if len(code) < padded:
+            if len(code) < padded // 8:
                 np.add.at(held[m][0], code, g)
-                np.add.at(held[m][1], code, 1.0)
+                np.add.at(held[m][1], code, n)
             else:
-                held[m] += (np.bincount(code, g, padded), np.bincount(code, minlength=padded))
+                held[m][0] += np.bincount(code, g, padded)
+                held[m][1] += np.bincount(code, n, padded)
         for m, h in held.items():
             h = h.reshape(2, -1, chunk).transpose(1, 0, 2)
             some = np.flatnonzero(h[:, 1].any(axis=1))
@@ -573,30 +640,36 @@ def fit(df: DataFrame, features: Sequence[str], label: str, settings: Settings =
     """Fit ``models`` models side by side; bit m of ``mask`` says whether a row trains model m (default: one model, all rows).
 
     A round whose drawn columns have few cells is one pass.  In other rounds (all, without ``cube``) nodes of at most
-    ``small`` rows are finished in one task; the trees do not depend on either.
+    ``small`` cells are finished in one task; the trees do not depend on either.
     """
     if not 1 <= models <= MAX_MODELS:
         raise ValueError(f"1 to {MAX_MODELS} models, not {models}")
-    features, s = list(features), settings
-    edges = bin_edges(df.where(F.col(label).isNotNull()), features, s.bins)
-    booster = Booster(features, edges, s)
-    sizes = booster.sizes()
-    table, path = _binned(df, features, label, F.lit(1) if mask is None else mask, edges, models, s.base)
-    counts = table.agg(*[F.count_if(F.col("mask").bitwiseAND(F.lit(1 << m)) != 0).alias(f"n{m}") for m in range(models)]).first()
-    count = {m: n for m, n in enumerate(counts) if n}
+    features = list(features)
+    booster = Booster(features, bin_edges(df.where(F.col(label).isNotNull()), features, settings.bins), settings)
+    rows = _binned(df, features, label, booster.edges, mask=F.lit(1) if mask is None else mask).where("mask <> 0")
+    sums, path = stored_at(rows.groupBy("bins", "mask").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s")))
+    _boosted(booster, _in_order(sums, sums.count()), models, small, cube)
+    drop_stored(df.sparkSession, path)
+    return booster
+
+
+def _boosted(booster: Booster, rows: DataFrame, models: int, small: int = SMALL, cube: bool = True) -> None:
+    """Grow the trees of ``booster`` on rows (bins, mask, n, s) as in ``_summed``."""
+    s, sizes, spark = booster.settings, booster.sizes(), rows.sparkSession
+    table, path = _summed(rows, len(sizes), models, s.base)
+    count = _cell_counts(table, models)
     parts = table.rdd.getNumPartitions()
     recent: list = []
     for round_ in range(s.rounds):
         if len(recent) == REFRESH:
             (table, new), recent = _refreshed(table, recent, sizes, models), []
-            drop_stored(df.sparkSession, path)
+            drop_stored(spark, path)
             path = new
-        cols = s.columns(len(features), round_)
+        cols = s.columns(len(sizes), round_)
         grown = _round(table, partial(_units, recent=recent, sizes=sizes, models=models), count, models, cols, s, small, sizes if cube else None, parts)
         booster.trees.append(grown)
         recent = [*recent, (cols, grown)]
-    drop_stored(df.sparkSession, path)
-    return booster
+    drop_stored(spark, path)
 
 
 # --------------------------------------------------------------------------- absolute error
@@ -797,29 +870,34 @@ def learning_curve(df: DataFrame, features: Sequence[str], label: str, keys: Seq
         bit = F.lit(1 << i).cast("long")
         train = train.bitwiseOR(F.when((fold != k) & inside[z], bit).otherwise(F.lit(0)))
         test = test.bitwiseOR(F.when(fold == k, bit).otherwise(F.lit(0)))
-    data = stored_table(df.select(*features, F.col(label).alias("_y"), train.alias("_train"), test.alias("_test")))
-    model = fit(data, features, "_y", settings, F.col("_train"), len(pairs))
-    edges, base, n, rounds, bins = model.edges, settings.base, len(features), model.rounds(), model.sizes()
+    spark, features, n = df.sparkSession, list(features), len(pairs)
+    data, path = stored_at(df.select(*features, F.col(label).alias("_y"), train.alias("_train"), test.alias("_test")))
+    model = Booster(features, bin_edges(data.where("_y IS NOT NULL"), features, settings.bins), settings)
+    binned = _binned(data, features, "_y", model.edges, mask=F.col("_train"), test=F.col("_test"))
+    rows = stored_table(_in_order(binned, data.count()))
+    drop_stored(spark, path)
+    _boosted(model, rows.where("mask <> 0").select("bins", "mask", F.lit(1.0).alias("n"), F.col("y").alias("s")), n)
+    base, trees, bins = settings.base, model.rounds(), model.sizes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, steps = np.zeros((len(pairs), 2, 2)), Steps(rounds, bins)
-        for b in _blocks(batches):
-            x = _bins(b.columns[:n], edges, b.num_rows)
-            y, masks = b.column(n).to_numpy(zero_copy_only=False), [b.column(n + 1 + i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+        total, steps = np.zeros((n, 2, 2)), Steps(trees, bins)
+        for b in _blocks(batches, max(1, TASK_SUMS // n)):
+            first = _runs(b.column(0), len(bins))  # rows of equal bins are scored once
+            x = _matrix(b.column(0).take(pa.array(first)), np.uint8, len(bins))
+            cell = np.repeat(np.arange(len(first)), np.diff(np.append(first, b.num_rows)))
+            out = np.ascontiguousarray(np.maximum(base + steps.sums(x, n), 0.0).T)
+            y, *masks = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            if not log_y:
+                out, y = np.log1p(out), np.log1p(y)
             for side, mask in enumerate(masks):
-                rows = _bits(mask, len(pairs))
-                out = {m: np.full(len(at), base) for m, at in rows.items()}
-                steps.add(x, rows, out)
-                for m, at in rows.items():
-                    p = np.maximum(out[m], 0.0)
-                    d = p - y[at] if log_y else np.log1p(p) - np.log1p(y[at])
+                for m, at in _bits(mask, n).items():
+                    d = out[m][cell[at]] - y[at]
                     total[m, side] += (d @ d, len(at))
-        m = np.repeat(np.arange(len(pairs)), 2)
+        m = np.repeat(np.arange(n), 2)
         flat = total.reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([p[0] for p in pairs])[m]), pa.array(m), pa.array(np.tile([0, 1], len(pairs))),
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([p[0] for p in pairs])[m]), pa.array(m), pa.array(np.tile([0, 1], n)),
                                           pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["train_size", "m", "side", "s", "n"])
 
-    rows = data.where("_y IS NOT NULL").select(*[F.col(c).cast("double") for c in features], F.col("_y").cast("double"), "_train", "_test")
     sums = rows.mapInArrow(run, "train_size double, m long, side long, s double, n double").groupBy("train_size", "m", "side").agg(
         F.sqrt(F.try_divide(F.sum("s"), F.sum("n"))).alias("rmsle"))
     of = {name: F.when(F.col("side") == i, F.col("rmsle")) for i, name in enumerate(("train", "test"))}
