@@ -21,7 +21,7 @@ from ..operators import ml
 from ..operators import outliers as ol
 from ..operators import timeseries as tsx
 from ..operators import zerodays as zd
-from ..session import stored_table
+from ..session import drop_stored, stored_at, stored_table
 from ..sources import roles
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "building_id"]
@@ -55,14 +55,16 @@ def engineered(spark: SparkSession, sf_dir: str, holidays=cal.HOLIDAYS_2016) ->
     """Readings -> split flag -> unit fix -> building join -> calendar -> row removal -> log features -> one-hot.
 
     Rows are removed for their target on the train side only; every test row
-    stays, whatever its reading and whether or not its building is known.
+    stays, whatever its reading and whether or not its building is known.  The joined rows and what is left of them are
+    written once each: outlier bounds, logs and scaling take several passes.
     """
     r = raw_readings(spark, sf_dir).withColumn("meter_reading", exprs.unit_convert("meter_reading", "meter"))
-    r = r.join(roles.buildings(spark, sf_dir).withColumn("_known", F.lit(True)), "building_id", "left")
+    r, path = stored_at(r.join(roles.buildings(spark, sf_dir).withColumn("_known", F.lit(True)), "building_id", "left"))
     r = r.select("*", *[c.alias(n) for n, c in cal.calendar_parts("ts").items()])
     r = r.select("*", *[c.alias(n) for n, c in cal.calendar_features("ts", holidays).items()])
     train = _target_rules(spark, r.where((F.col("train_val_split") == 0) & F.col("_known")))
-    both = train.unionByName(r.where(F.col("train_val_split") == 1)).drop("_known")
+    both = stored_table(train.unionByName(r.where(F.col("train_val_split") == 1)).drop("_known"))
+    drop_stored(spark, path)
     return enc.one_hot(fx.log_transform(both, NUMERIC), {"meter": METERS, "season": SEASONS})
 
 
