@@ -199,3 +199,37 @@ def test_linear_learning_curve_takes_two_passes_and_equals_separate_fits(spark,
     assert set(got) == set(want) and seen == [4] * 6  # rows per fit: the independent columns (b, c) and two, not the training rows
     for z in sizes:
         assert tuple(got[z]) == pytest.approx(tuple(want[z]), abs=1e-6)
+
+
+def test_a_pass_goes_over_cells_of_equal_bins_and_not_over_rows(spark, monkeypatch):
+    df, rows = _frame(spark)
+    many = df.withColumn("y", F.col("y") * 2).unionByName(df).unionByName(df)  # three rows of equal bins each
+    s = bo.Settings(rounds=3, depth=4, rate=0.3, alpha=1.0, column_share=1.0, bins=8)
+    counts, plain = [], bo._round
+    monkeypatch.setattr(bo, "_round", lambda table, units, count, *a: counts.append(count) or plain(table, units, count, *a))
+    model = bo.fit(many, ["a", "b"], "y", s, F.when(F.col("y") > 1, 3).otherwise(1), 2)
+    x = np.column_stack([[0 if r[1 + c] is None else np.searchsorted(e, r[1 + c], "left") + 1 for r in rows] for c, e in enumerate(model.edges)])
+    assert len(counts) == 3 and all(0 < n <= len(np.unique(x, axis=0)) for c in counts for n in c.values())  # 1,200 rows before
+    got = {r["id"]: r["prediction"] for r in model.predict(df, ["id"]).collect()}
+    y = np.array([r[3] for r in rows])
+    want = _plain(np.concatenate([x] * 3), np.concatenate([2 * y, y, y]), s)
+    assert np.allclose([got[i] for i in range(len(rows))], want[:len(rows)])
+    sizes, cols = model.sizes(), np.arange(2)
+    grid = np.column_stack(np.unravel_index(np.arange(sizes.prod()), sizes)).astype(np.uint8)
+    for t in model.trees[-1]:
+        assert t.cells(cols, sizes).tolist() == t.predict(grid).tolist()
+
+
+def test_the_feature_table_is_read_from_what_was_written(spark, tmp_path):
+    from datetime import datetime
+
+    from meterspark.plans import forecast
+
+    rows = [(i, 1, i % 7, i % 5, "ANR"[i % 3], datetime(2016, 1 + i % 12, 1 + i % 28, i % 24), 100.0 + i, float(i % 9), i % 4 / 10) for i in range(200)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, "
+                          "l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i, 10.0 * i) for i in range(4)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = forecast.engineered(spark, str(tmp_path))
+    assert "md5" not in df._jdf.queryExecution().toString()  # the split of every raw row, made anew in each pass before
+    held_out = forecast.raw_readings(spark, str(tmp_path)).where("train_val_split = 1").count()
+    assert 0 < df.where("train_val_split = 1").count() == held_out < df.count()
