@@ -870,13 +870,10 @@ def learning_curve(df: DataFrame, features: Sequence[str], label: str, keys: Seq
         bit = F.lit(1 << i).cast("long")
         train = train.bitwiseOR(F.when((fold != k) & inside[z], bit).otherwise(F.lit(0)))
         test = test.bitwiseOR(F.when(fold == k, bit).otherwise(F.lit(0)))
-    spark, features, n = df.sparkSession, list(features), len(pairs)
-    data, path = stored_at(df.select(*features, F.col(label).alias("_y"), train.alias("_train"), test.alias("_test")))
-    model = Booster(features, bin_edges(data.where("_y IS NOT NULL"), features, settings.bins), settings)
-    binned = _binned(data, features, "_y", model.edges, mask=F.col("_train"), test=F.col("_test"))
-    rows = stored_table(_in_order(binned, data.count()))
-    drop_stored(spark, path)
-    _boosted(model, rows.where("mask <> 0").select("bins", "mask", F.lit(1.0).alias("n"), F.col("y").alias("s")), n)
+    features, n = list(features), len(pairs)
+    data = stored_table(df.select(*features, F.col(label).alias("_y"), train.alias("_train"), test.alias("_test")))
+    model = fit(data, features, "_y", settings, F.col("_train"), n)
+    rows = _in_order(_binned(data, features, "_y", model.edges, train=F.col("_train"), test=F.col("_test")), data.count())
     base, trees, bins = settings.base, model.rounds(), model.sizes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
